@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fst_tokens, packing, url_filter
+from . import fst_tokens, langid, multiindex, ngram_join, packing, pfair, pii, quality, topk, url_filter
 from .common import table
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -32,22 +32,108 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from c l
 """
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+with recursive d as (select doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text <> ''),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                               when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 5 * i >= 4 * (x.n + y.n - i)
+      union select x.doc_id, y.doc_id from d x join d y on x.text = y.text and x.doc_id <> y.doc_id),
+r(a, c) as (select doc_id, doc_id from documents union select l.a, r.c from l join r on l.b = r.a),
+m as (select a as doc_id, min(c) as component_id from r group by a),
+k as (select a as doc_id, count(*) as n_links from l group by a)
+select o.doc_id, case when text <> '' then min(o.doc_id) over (partition by text) else o.doc_id end as class_id,
+       coalesce(n_links, 0) as n_links, component_id, o.doc_id = component_id as kept
+from documents o join m using (doc_id) left join k using (doc_id)
+"""
+
+
+def op3_segmented_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), vocabulary)
+    out = langid.predict(docs, model, vocabulary)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+with recursive v as (select vec_id, embedding::double[] as x from embeddings where embedding is not null),
+u as (select vec_id, list_transform(x, lambda a: a / sqrt(list_sum(list_transform(x, lambda b: b * b)))) as x from v
+      where len(list_filter(x, lambda a: a is null or isnan(a) or isinf(a))) = 0 and list_sum(list_transform(x, lambda b: b * b)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_inner_product(a.x, b.x) >= 0.9),
+r(a, c) as (select vec_id, vec_id from embeddings union select l.a, r.c from l join r on l.b = r.a),
+m as (select a as vec_id, min(c) as component_id from r group by a),
+k as (select a as vec_id, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join m using (vec_id) left join k using (vec_id)
+"""
+
+
+def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+OP6_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda a: floor(256 * a::double)::bigint) as x from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda a: a is null or isnan(a) or isinf(a))) = 0),
+p as (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda t: t[1] * t[2]))::bigint as score
+      from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.fit(docs))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("found").alias("spans"))
+
+
 def op8_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op9_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = quality.held_out(F.col("doc_id"), 3, 1)
+    model = quality.fit(docs.where(~held), table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_url_filter": op1_url_filter,
-        "op8_power_of_two_packing": op8_power_of_two_packing,
-        "op10_token_counts": op10_token_counts,
-    }
+    found = (
+        op1_url_filter,
+        op2_ngram_jaccard_join,
+        op3_segmented_unigram_langid,
+        op4_inverted_multi_index,
+        op5_pfair_mix,
+        op6_threshold_top_k,
+        op7_weak_supervision_pii,
+        op8_power_of_two_packing,
+        op9_naive_bayes_svm,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op4_inverted_multi_index": OP4_SQL, "op6_threshold_top_k": OP6_SQL}
