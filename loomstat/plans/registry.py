@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_aggregate, q_gates, q_joins, q_predicates, q_rows, q_scores, q_spatial, q_text, q_vectors, q_votes, q_windows  # noqa: F401  they register themselves
+from . import q_aggregate, q_gates, q_joins, q_predicates, q_rows, q_scores, q_sinks, q_spatial, q_streams, q_text, q_vectors, q_votes, q_windows  # noqa: F401  they register themselves
 from .base import QUERIES, SQL, Query
 
 
