@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import cosine
-from .graph import connected_components
+from .graph import connected_components, cut
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -25,7 +25,8 @@ def density_groups(df: DataFrame, id_col: str, vector: str, eps: float, min_size
     from pyspark.ml.functions import array_to_vector
 
     fine = F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v)) & (F.size(vector) > 0)
-    v = df.where(fine).select(F.col(id_col).alias("id"), array_to_vector(vector).alias("features"))
+    clean = cut(df.where(fine).select(F.col(id_col).alias("id"), F.col(vector).alias("v")))  # else Spark may hash rows before it filters them
+    v = clean.select("id", array_to_vector("v").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
     pairs = model.approxSimilarityJoin(v, v, eps, "d").where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"))
     labels = connected_components(v.select("id"), pairs)
