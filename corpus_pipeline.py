@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as 1; the others go. It learns from all labelled documents; null texts score like empty ones."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.classify(docs.select(*COLUMNS, F.col("text").alias("loomstat_text")), model, text_col="loomstat_text", keep=COLUMNS[1:])
+    scored = quality.classify(docs, model, keep=COLUMNS[1:])
     return scored.where("predicted = 1").select(*COLUMNS)
 
 

@@ -279,9 +279,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(tokenizer)
-        for b in batches:
-            n = m.counts(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        for batch in batches:
+            for b, texts in textvec.parts(batch, chars=1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(m.counts(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     id_type = rows.schema["id"].dataType.simpleString()
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")

@@ -166,21 +166,21 @@ def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str
     langs = sorted(per)
     number = {x: k for k, x in enumerate(langs)}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(vocabulary)
         total = np.zeros((v.size, len(langs)))
         for batch in batches:
-            texts, lang = list(batch["text"]), batch["lang"].map(number).to_numpy()
-            for i, j in textvec.batches(texts, 1 << 22):
-                s, which, text = different_words(v, texts[i:j])
+            for part, texts in textvec.parts(batch, chars=1 << 20):
+                lang = np.array([number[x] for x in part.column("lang").to_pylist()])
+                s, which, text = different_words(v, texts)
                 if len(s):
                     weight = np.zeros((len(s), len(langs)))
-                    np.add.at(weight, (which, lang[i:j][text]), 1)
+                    np.add.at(weight, (which, lang[text]), 1)
                     total += v.expected(s, weight)
         p, k = np.nonzero(total)
-        yield pd.DataFrame({"piece": p.astype(np.int32), "k": k.astype(np.int32), "n": total[p, k]})
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(total[p, k])], ["piece", "k", "n"])
 
-    found = rows.mapInPandas(count, "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas() if langs else pd.DataFrame({"piece": [], "k": [], "n": []})
+    found = rows.mapInArrow(count, "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas() if langs else pd.DataFrame({"piece": [], "k": [], "n": []})
     v = pieces(vocabulary)
     n = np.zeros((v.size, len(langs)))
     n[found["piece"].to_numpy(dtype=int), found["k"].to_numpy(dtype=int)] = found["n"].to_numpy()
@@ -204,29 +204,25 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vo
         v = pieces(vocabulary)
         langs, prior, prob = sent.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            lang, posterior = [], []
-            for i, j in textvec.batches(texts, 1 << 22):
-                s, which, text = different_words(v, texts[i:j])
-                total = np.tile(prior, (j - i, 1))
+            for part, texts in textvec.parts(batch, chars=1 << 20):
+                s, which, text = different_words(v, texts)
+                total = np.tile(prior, (len(texts), 1))
                 if len(s) and langs:
                     length = (s > 0).sum(axis=1)
                     logs = np.empty((len(s), len(langs)))
                     step = max(1, 2_000_000 // (s.shape[1] * len(langs)))
                     for k in range(0, len(s), step):
-                        part = s[k : k + step]
-                        a = v.forward(part, prob)
-                        logs[k : k + step] = np.log(np.maximum(a[length[k : k + step], np.arange(len(part))], 1e-300))
+                        some = s[k : k + step]
+                        a = v.forward(some, prob)
+                        logs[k : k + step] = np.log(np.maximum(a[length[k : k + step], np.arange(len(some))], 1e-300))
                     for k in range(len(langs)):
-                        total[:, k] += np.bincount(text, logs[which, k], j - i)
+                        total[:, k] += np.bincount(text, logs[which, k], len(texts))
                     top = total.argmax(axis=1)
                     best = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                has = np.bincount(text, minlength=j - i) > 0
-                for k in range(j - i):
-                    known = has[k] and bool(langs)
-                    lang.append(langs[top[k]] if known else "und")
-                    posterior.append(float(best[k]) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lang, pa.string()), pa.array(posterior, pa.float64())], ["id", "lang_pred", "score"])
+                known = (np.bincount(text, minlength=len(texts)) > 0) & bool(langs)
+                lang = [langs[top[k]] if known[k] else "und" for k in range(len(texts))]
+                posterior = [float(best[k]) if known[k] else 0.0 for k in range(len(texts))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(posterior, pa.float64())], ["id", "lang_pred", "score"])
 
     return rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 

@@ -118,9 +118,10 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str, width: int, thresh
     id_type = rows.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = signatures(b.column("text").to_pylist(), width, trees, depth)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(sig, pa.list_(pa.int64()))], ["id", "key", "nodes"])
+        for batch in batches:
+            for b, texts in textvec.parts(batch):
+                sig = signatures(texts, width, trees, depth)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(sig, pa.list_(pa.int64()))], ["id", "key", "nodes"])
 
     signed = rows.mapInArrow(sign, f"id {id_type}, key binary, nodes array<bigint>")
     classes = cut(
@@ -138,9 +139,10 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str, width: int, thresh
     members = cut(members.withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int")))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pa.array(shingle_sets(b.column("text").to_pylist(), width), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("unit", "blocks", "block", "c", "copies")), sets], ["unit", "blocks", "block", "c", "copies", "shingles"])
+        for batch in batches:
+            for b, texts in textvec.parts(batch):
+                sets = pa.array(shingle_sets(texts, width), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("unit", "blocks", "block", "c", "copies")), sets], ["unit", "blocks", "block", "c", "copies", "shingles"])
 
     own_texts = rows.join(sent(members.withColumnRenamed("key", "k"), members.count()), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep")))
     own_texts = own_texts.select("unit", "blocks", "block", "c", "copies", "text")
@@ -209,10 +211,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of rows with equal id and text one stays. Null and empty texts all stay. Columns are those of the input.
     """
     gone = near_duplicates(docs, id_col, text_col, **parameters)
-    counts = cut(gone.groupBy(F.col(id_col).alias("gone_id"), "kept").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("n_links")).alias("links")))
+    counts = cut(gone.groupBy(F.col(id_col).alias("loomstat_gone"), "kept").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("n_links")).alias("links")))
     lost = counts.where("not kept")
     # An id may stand for several texts, so the key is part of the test only where ids repeat.
-    if counts.where("n > 1").limit(1).count() or counts.groupBy("gone_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+    if counts.where("n > 1").limit(1).count() or counts.groupBy("loomstat_gone").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         key = F.unhex(F.md5(F.nullif(F.col(text_col).cast("string"), F.lit(""))))
         classes = cut(text_classes(docs, id_col, text_col, **({"width": 5, "threshold": 0.8, "trees": 32, "label": 8, "target": 0.9999} | parameters)))
         stay = classes.where(F.col("rep").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("stay_key"), F.col("rep").alias("stay_id"))
@@ -220,4 +222,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         empty = keyed.where("loomstat_key is null").drop("loomstat_key")
         full = keyed.join(stay, (F.col("loomstat_key") == F.col("stay_key")) & F.col(id_col).eqNullSafe(F.col("stay_id")), "left_semi")
         return full.dropDuplicates([id_col, "loomstat_key"]).drop("loomstat_key").unionByName(empty)
-    return docs.join(sent(lost.select("gone_id"), lost.count()), F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(sent(lost.select("loomstat_gone"), lost.count()), F.col(id_col).eqNullSafe(F.col("loomstat_gone")), "left_anti")

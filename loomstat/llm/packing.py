@@ -25,7 +25,7 @@ from .fst_tokens import byte_symbols
 PLAIN = re.compile("[^\x00-įı-ɏ‐-‧]")
 SPACE = [*range(9, 14), 32, 0x85, 0xA0]
 #: Remembered words are forgotten beyond so many.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 
 
 class WordTokenizer:
@@ -152,21 +152,20 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in textvec.batches(texts, 1 << 21):
-                ids, bounds = tok.encode(texts[i:j])
+            for part, texts in textvec.parts(batch):
+                ids, bounds = tok.encode(texts)
                 n = np.diff(bounds)
-                full = np.full(len(ids) + j - i, end_id, dtype="<u4")
-                full[np.arange(len(ids)) + np.repeat(np.arange(j - i), n)] = ids
+                full = np.full(len(ids) + len(n), end_id, dtype="<u4")
+                full[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
                 lengths = [decompose(int(k) + 1, most) for k in n]
                 per = np.array([len(x) for x in lengths])
                 length = np.fromiter((x for one in lengths for x in one), dtype=np.int64, count=int(per.sum()))
                 ends = np.cumsum(length)
-                doc = np.repeat(np.arange(j - i), per)
-                start = ends - length - (bounds[:-1] + np.arange(j - i))[doc]
+                doc = np.repeat(np.arange(len(n)), per)
+                start = ends - length - (bounds[:-1] + np.arange(len(n)))[doc]
                 raw = memoryview(full).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), length.tolist(), strict=True)]
-                out = [batch.column("id").take(pa.array(i + doc)), start, length, np.log2(length).astype(np.int32), pa.array(crc, pa.int64()), (n + 1)[doc]]
+                out = [part.column("id").take(pa.array(doc)), start, length, np.log2(length).astype(np.int32), pa.array(crc, pa.int64()), (n + 1)[doc]]
                 if keep_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(full.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], [f.split()[0] for f in fields.split(", ")])

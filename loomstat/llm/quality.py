@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,21 +150,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = F.broadcast(known) if known.count() <= MOST_SENT else known
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(known, "id").select("id", "text", "y")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, SIZE), dtype=np.int64)
         seen = np.zeros(2, dtype=np.int64)
-        for b in batches:
-            index, bounds = features(list(b["text"]))
-            y = b["y"].to_numpy()
-            both = np.repeat(y, np.diff(bounds))
-            for k in (0, 1):
-                n[k] += np.bincount(index[both == k], minlength=SIZE)
-                seen[k] += int((y == k).sum())
+        for batch in batches:
+            for b, texts in textvec.parts(batch):
+                index, bounds = features(texts)
+                y = b.column("y").to_numpy()
+                both = np.repeat(y, np.diff(bounds))
+                for k in (0, 1):
+                    n[k] += np.bincount(index[both == k], minlength=SIZE)
+                    seen[k] += int((y == k).sum())
         there = np.flatnonzero(n.sum(axis=0))
-        yield pd.DataFrame({"f": np.append(there, -1), "n0": np.append(n[0][there], seen[0]), "n1": np.append(n[1][there], seen[1])})
+        found = (np.append(there, -1).astype(np.int32), np.append(n[0][there], seen[0]), np.append(n[1][there], seen[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["f", "n0", "n1"])
 
     # At most SIZE + 1 rows, whatever the input.
-    counts = rows.select("text", "y").mapInPandas(count, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    counts = rows.select("text", "y").mapInArrow(count, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     f, n = counts["f"].to_numpy(), counts[["n0", "n1"]].to_numpy()
     seen = n[f < 0].sum(axis=0)
     if not len(f) or seen.min() == 0:
@@ -177,9 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio[full.sum(axis=0) <= 2 * smooth + 2] = 0  # seen less than three times
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, bounds = features(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found))], ["y", "f"])
+        for batch in batches:
+            for b, texts in textvec.parts(batch):
+                found, bounds = features(texts)
+                yield pa.RecordBatch.from_arrays([b.column("y"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found))], ["y", "f"])
 
     h = F.xxhash64("id", "text")
     if int(seen.sum()) > sample:  # the sample lies below a bound that leaves room for chance
@@ -203,15 +205,17 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     score: 0 to 1, higher where label 1 is likelier; predicted: 1 from 0.5. Null and empty texts are scored like any other, by the
     indicators of an empty text; ids may be null or repeat.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    names = ["id", *[f"keep_{c}" for c in keep]]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep if c != text_col])
+    own = {c: "text" if c == text_col else f"keep_{c}" for c in keep}
+    names = ["id", *own.values()]
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", score double"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = sent.value.scores(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s, pa.float64())], [*names, "score"])
+        for batch in batches:
+            for b, texts in textvec.parts(batch):
+                s = sent.value.scores(texts)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s, pa.float64())], [*names, "score"])
 
     out = rows.mapInArrow(score, fields)
-    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(own[c]).alias(c) for c in keep])

@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -45,7 +47,22 @@ def powers() -> np.ndarray:
     return np.array(p, dtype=np.uint64)
 
 
-def batches(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: Characters that are worked on together: temporary arrays are some 150 bytes for each.
+CHARS = 1 << 18
+
+
+def parts(batch: pa.RecordBatch, column: str = "text", chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of an Arrow batch whose texts hold about so many bytes together (one long text may hold more), and these texts."""
+    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + chars, "right")))
+        piece = batch.slice(at, to - at)
+        yield piece, piece.column(column).to_pylist()
+        at = to
+
+
+def batches(texts: Iterable[str | None], chars: int = CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of list positions that together hold about so many characters; one long text may hold more."""
     start = n = 0
     i = -1
