@@ -19,10 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 #: Blocks of a schedule at most; beyond it, blocks hold more documents. Sources at most.
 MOST_BLOCKS, MOST_SOURCES = 1 << 17, 1 << 14
+#: A list of at most so many (id, place) rows is sent to every executor; a longer one is joined by a shuffle.
+MOST_SENT = 300_000
 #: Documents of one (source, hash range) group, about.
-GROUP = 20_000
+GROUP = 2_000
 
 
 def fluid(blocks: list[int], weights: list[Fraction]) -> list[tuple[Fraction, Fraction, Fraction]]:
@@ -128,6 +132,13 @@ def mix(
 def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", **parameters) -> DataFrame:
     """The input rows, unchanged, in the order of the mix: sorted by position across partitions and within, so files written from it hold it."""
     names = docs.columns
-    rest = tuple(c for c in names if c not in (id_col, source_col))
-    mixed = mix(docs, weights, id_col, source_col, keep=rest, **parameters)
-    return mixed.orderBy("position").select(*names)
+    places = cut(mix(docs, weights, id_col, source_col, **parameters).select(F.col(id_col).alias("loomstat_id"), F.col("position").alias("loomstat_position")))
+    n = places.count()
+    if places.where("loomstat_id is not null").select("loomstat_id").distinct().count() == n:  # then rows take their places by id, and only once move whole
+        placed = docs.join(F.broadcast(places) if n <= MOST_SENT else places, F.col(id_col) == F.col("loomstat_id"))
+    else:
+        own = {c: f"loomstat_{k}" for k, c in enumerate(names)}
+        rows = docs.select(*[F.col(c).alias(own[c]) for c in names], F.col(id_col).alias("id"), F.col(source_col).alias("source"))
+        placed = mix(rows, weights, "id", "source", keep=tuple(own.values()), **parameters).withColumnRenamed("position", "loomstat_position")
+        placed = placed.select("loomstat_position", *[F.col(own[c]).alias(c) for c in names])
+    return placed.orderBy("loomstat_position").select(*names)
