@@ -200,8 +200,9 @@ def redacted(text: str, xs: str) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows with all spans found in the text replaced; null texts stay null; other columns as they are."""
     names = docs.columns
-    rest = tuple(c for c in names if c not in (id_col, text_col))
-    was_null = F.col(text_col).isNull().alias("loomstat_null")
-    out = find(docs.withColumn("loomstat_null", was_null), fit(docs, text_col), id_col, text_col, keep=(*rest, "loomstat_null"))
-    out = out.withColumn("loomstat_text", F.when(~F.col("loomstat_null"), redacted("text", "found")))
-    return out.select(*[F.col("loomstat_text").alias(c) if c == text_col else F.col(c) for c in names])
+    own = {c: f"loomstat_{k}" for k, c in enumerate(names)}
+    rows = docs.select(*[F.col(c).alias(own[c]) for c in names], F.col(text_col).isNull().alias("loomstat_null"))
+    rest = tuple(own[c] for c in names if c not in (id_col, text_col))
+    out = find(rows, fit(docs, text_col), own[id_col], own[text_col], keep=(*rest, "loomstat_null"))
+    out = out.withColumn(own[text_col], F.when(~F.col("loomstat_null"), redacted("text", "found")))
+    return out.select(*[F.col(own[c]).alias(c) for c in names])
