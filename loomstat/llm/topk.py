@@ -78,7 +78,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     blocks, asks = max(1, -(-n // BLOCK)), max(1, -(-q // QUERIES))
     # Every block meets every group of queries: a stated query set against all rows.
     left = rows.select("id", "x", F.pmod(F.xxhash64("id", "x"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("a"))
-    right = asked.select("id", "x", F.pmod(F.xxhash64("id", "x"), F.lit(asks)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    # Rows of one query id are told apart by their number, which must be the same in every block.
+    asked = asked.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("x")))
+    right = asked.select("id", "x", "copy", F.pmod(F.xxhash64("id", "x"), F.lit(asks)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 
     def search(v: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -89,8 +91,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
             order = np.argsort(-x, axis=0, kind="stable").T.copy()
             if most < 2**53:  # doubles hold such scores exactly, and multiply faster
                 x, y = x.astype(np.float64), y.astype(np.float64)
-            for number, (own, one) in enumerate(zip(qs["id"].tolist(), y, strict=True)):
-                out += [(own, number, i, s) for s, i in best(one, own, ids, x, order, k, step)]
+            for own, copy, one in zip(qs["id"].tolist(), qs["copy"].tolist(), y, strict=True):
+                out += [(own, copy, i, s) for s, i in best(one, own, ids, x, order, k, step)]
         return pd.DataFrame(out, columns=["query_id", "copy", "vec_id", "score"]).astype("int64")
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(search, "query_id long, copy long, vec_id long, score long")
