@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no more than BATCH_ROWS rows go to a Python worker at once: texts are long, and both sides hold the batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import small_batches
 
 #: White space (Unicode's and the ASCII separators), and those of it that stretches are cut before.
 SPACE = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -274,6 +275,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     each for itself; null ids stay null; other columns are not looked at. A text of more than two chunks is cut, its
     chunks are counted anywhere in the cluster and their maps are composed.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > 2 * chunk_chars
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import small_batches
 
 #: Letters of a word that are segmented together; a longer run of letters is cut, and no piece crosses a cut.
 LONGEST = 24
@@ -122,7 +123,7 @@ def pieces(path: str) -> Pieces:
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    return np.array([c < 0x30000 and chr(c).isalpha() for c in range(0x110000)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def different_words(v: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str
 
     Counts are summed where the rows are; what comes to the driver is bounded by vocabulary x languages (at most 2048).
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(per) > MOST_LANGUAGES:
@@ -197,6 +199,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vo
     lang_pred: the language of the highest posterior (ties: the first by name), `und` where the text is null or has no letter, or no language is known; score: that
     posterior, 0 for `und`. Ids may be null or repeat; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

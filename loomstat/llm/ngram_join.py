@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import components, cut, drop_cut
+from .common import components, cut, small_batches
 
 #: A list of at most so many (key, number) rows is sent to every executor; a longer one is joined by a shuffle.
-MOST_SENT = 1_000_000
+MOST_SENT = 500_000
 #: Texts of a block: SMALL at least, LARGE at most, else a 64th of the unit.
 SMALL, LARGE = 96, 8192
 
@@ -113,6 +113,7 @@ def compare(block: list[tuple[int, int, bytes, int]], own: bool, ratio: Fraction
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, trees: int, label: int, target: float) -> DataFrame:
     """One row per different non-empty text: (key, rep = smallest id, copies, n_links of each of its rows, component_id)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''").withColumn("key", F.unhex(F.md5("text")))
     depth = prefix_depth(threshold, trees, label, target)
     id_type = rows.schema["id"].dataType.simpleString()

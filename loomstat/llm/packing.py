@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import small_batches
 from .fst_tokens import byte_symbols
 
 #: Texts with other characters are left to the tokenizer library itself: here case and normal forms are plain.
@@ -145,6 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     if most & (most - 1) or most < 1:
         raise ValueError("most must be a power of two")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     fields = f"id {rows.schema['id'].dataType.simpleString()}, start bigint, length bigint, bucket int, ids_crc32 bigint, doc_tokens bigint"
     fields += ", ids array<int>" if keep_ids else ""

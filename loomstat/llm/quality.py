@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import small_batches
 
 BITS = 17
 SIZE = 1 << BITS
@@ -148,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = F.broadcast(known) if known.count() <= MOST_SENT else known
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(known, "id").select("id", "text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +207,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     score: 0 to 1, higher where label 1 is likelier; predicted: 1 from 0.5. Null and empty texts are scored like any other, by the
     indicators of an empty text; ids may be null or repeat.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep if c != text_col])
     own = {c: "text" if c == text_col else f"keep_{c}" for c in keep}
     names = ["id", *own.values()]

@@ -28,7 +28,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: is it a letter or digit; its lower case (where that is one character); a random 64-bit value."""
     word = np.zeros(0x110000, dtype=bool)
     lower = np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x30000):
+    for c in range(0x32400):  # beyond it there are no letters or digits
         s = chr(c)
         word[c] = s.isalnum()
         low = s.lower()
