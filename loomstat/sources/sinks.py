@@ -54,7 +54,7 @@ def csv_export(df: DataFrame, path: str, columns: Sequence[str], scrub: Mapping[
         kind = df.schema[c].dataType.typeName()
         out.append((F.array_join(F.transform(x, lambda v: v.cast("string")), "; ") if kind == "array" else x).alias(c))
     refuse_identity(df.select(*columns))
-    df.select(*out).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*out).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def json_rows(df: DataFrame, path: str) -> None:
