@@ -26,7 +26,7 @@ from .fst_tokens import byte_symbols
 PLAIN = re.compile("[^\x00-įı-ɏ‐-‧]")
 SPACE = [*range(9, 14), 32, 0x85, 0xA0]
 #: Remembered words are forgotten beyond so many.
-MOST_WORDS = 300_000
+MOST_WORDS = 1_000_000
 
 
 class WordTokenizer:
@@ -55,14 +55,16 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.n_words = textvec.Memo(), 0
         self.at = np.zeros(1 << 16, dtype=np.int64)
         self.ids = np.zeros(1 << 17, dtype=np.uint32)
         self.used = 0
 
     def add(self, hashes: list[int], words: list[str]) -> None:
         for h, w in zip(hashes, words, strict=True):
-            k = self.known[h] = len(self.known)
+            k = self.n_words
+            self.known.add(h, k)
+            self.n_words += 1
             new = [t.id for t in self.hf.model.tokenize(w if w.isascii() and w.isprintable() else "".join(self.symbol[b] for b in w.encode()))]
             if k + 2 > len(self.at):
                 self.at = np.concatenate((self.at, np.zeros_like(self.at)))
@@ -106,13 +108,13 @@ class WordTokenizer:
         uniq, first, inverse = np.unique(textvec.run_hashes(cp, a, b), return_index=True, return_inverse=True)
         if len(self.known) > MOST_WORDS:
             self.clear()
-        known = self.known
-        uniq = uniq.tolist()
-        missing = [k for k, h in enumerate(uniq) if h not in known]
+        which, missing = self.known.find(uniq)
         if missing:
             joined = cp.astype("<u4")
-            self.add([uniq[k] for k in missing], [joined[a[first[k]] : b[first[k]]].tobytes().decode("utf-32-le") for k in missing])
-        which = np.fromiter((known[h] for h in uniq), dtype=np.int64, count=len(uniq))[inverse]
+            which[missing] = np.arange(self.n_words, self.n_words + len(missing))
+            self.add(uniq[missing].tolist(), [joined[a[first[k]] : b[first[k]]].tobytes().decode("utf-32-le") for k in missing])
+            self.known.settle()
+        which = which[inverse]
         n = self.at[which + 1] - self.at[which]
         bounds = np.concatenate(([0], np.cumsum(n)))
         ids = self.ids[np.repeat(self.at[which] - bounds[:-1], n) + np.arange(bounds[-1])]
@@ -154,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer)
         for batch in batches:
-            for part, texts in textvec.parts(batch):
+            for part, texts in textvec.parts(batch, chars=1 << 20):
                 ids, bounds = tok.encode(texts)
                 n = np.diff(bounds)
                 full = np.full(len(ids) + len(n), end_id, dtype="<u4")

@@ -129,3 +129,44 @@ def shingles(word: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarr
         w = word[np.minimum(at + j, max(len(word) - 1, 0))] if len(word) else word
         h = np.where(inside, mix(h * np.uint64(0x9E3779B97F4A7C55) + w), h)
     return h, out_bounds
+
+
+class Memo:
+    """64-bit hash -> whole number, in sorted arrays (16 bytes an entry) and a small dictionary of what came last."""
+
+    MERGE = 1 << 15
+
+    def __init__(self) -> None:
+        self.keys, self.values, self.recent = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), {}
+
+    def __len__(self) -> int:
+        return len(self.keys) + len(self.recent)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The values of different hashes, and the positions of those that aren't known (their values mean nothing)."""
+        out = np.zeros(len(hashes), dtype=np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            out = self.values[at]
+            rest = np.flatnonzero(self.keys[at] != hashes)
+        else:
+            rest = np.arange(len(hashes))
+        missing, recent = [], self.recent
+        for k, h in zip(rest.tolist(), hashes[rest].tolist(), strict=True):
+            if (v := recent.get(h)) is None:
+                missing.append(k)
+            else:
+                out[k] = v
+        return out, missing
+
+    def add(self, key: int, value: int) -> None:
+        self.recent[key] = value
+
+    def settle(self) -> None:
+        """Move what came last into the arrays once it is much."""
+        if len(self.recent) < self.MERGE:
+            return
+        keys = np.concatenate((self.keys, np.fromiter(self.recent.keys(), dtype=np.uint64, count=len(self.recent))))
+        values = np.concatenate((self.values, np.fromiter(self.recent.values(), dtype=np.int64, count=len(self.recent))))
+        order = np.argsort(keys)
+        self.keys, self.values, self.recent = keys[order], values[order], {}
