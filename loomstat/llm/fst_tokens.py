@@ -39,7 +39,7 @@ from .common import small_batches
 SPACE = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CUT_BEFORE = [9, 10, 13, 32]
 #: Remembered stretches are forgotten beyond so many.
-MOST_STRETCHES = 200_000
+MOST_STRETCHES = 1_000_000
 #: States are dropped and made again as needed beyond so many transitions; counts don't change.
 MOST_TRANSITIONS = 600_000
 FAN_IN = 64
@@ -89,7 +89,7 @@ class Machine:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.classes: dict[str, str] = {}
-        self.known: dict[int, int] = {}
+        self.known = textvec.Memo()
         self.is_space = np.zeros(0x110000, dtype=bool)
         self.is_space[SPACE] = True
         self.is_cut = np.zeros(0x110000, dtype=bool)
@@ -210,7 +210,7 @@ class Machine:
     def counts(self, texts: list[str]) -> np.ndarray:
         """The count of each text."""
         out = np.zeros(len(texts), dtype=np.int64)
-        for i, j in textvec.batches(texts):
+        for i, j in textvec.batches(texts, 1 << 20):
             joined, cp, starts = textvec.codes(texts[i:j])
             cut = self.is_cut[cp]
             cut[1:] &= ~self.is_space[cp[:-1]]
@@ -223,13 +223,13 @@ class Machine:
             end = np.minimum(np.append(begin[1:], len(cp)), starts[of + 1] - 1)
             uniq, first, inverse = np.unique(textvec.run_hashes(cp, begin, end), return_index=True, return_inverse=True)
             if len(self.known) > MOST_STRETCHES:
-                self.known.clear()
-            known, n = self.known, np.empty(len(uniq), dtype=np.int64)
-            for k, h in enumerate(uniq.tolist()):
-                if (got := known.get(h)) is None:
-                    at = first[k]
-                    got = known[h] = self.count(joined[begin[at] : end[at]])
-                n[k] = got
+                self.known = textvec.Memo()
+            n, missing = self.known.find(uniq)
+            for k in missing:
+                at = first[k]
+                n[k] = self.count(joined[begin[at] : end[at]])
+                self.known.add(int(uniq[k]), int(n[k]))
+            self.known.settle()
             np.add.at(out, i + of, n[inverse])
         return out
 
