@@ -22,12 +22,13 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone")
+# Values have no longest length: a span ends where the value ends.
 MORE = {
-    "secret": r"(?:(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)\x20?[=:]\x20?\"?[^\s\"',;]{6,256}\"?)|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"(?:(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)\x20?[=:]\x20?\"?[^\s\"',;]{6,}+\"?)|(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "phone_local": r"(?<![0-9+.(])(?<![0-9][\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])(?![\x20.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "email_text": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,64}){1,4}",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    "email_text": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
+    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
 }
 # First names that the gazetteer labeler knows, and words that the context labelers look for.
 FIRST_NAMES = ["James", "Mary", "John", "Linda", "Robert", "Anna", "Michael", "Maria", "David", "Laura", "Peter", "Julia", "Hans", "Claire", "Pierre", "Carlos", "Elena", "Thomas", "Sofia", "Paul"]
@@ -73,7 +74,7 @@ def luhn(digits: Column) -> Column:
 
 
 def candidates(df: DataFrame, text: str) -> DataFrame:
-    """df with a column voted: candidates beyond the base spans, apart from these and from each other, and the labelers' votes (-1, 0, 1)."""
+    """df with a column voted: candidates beyond the base spans, apart from each other and from these (but a secret may hold base spans), and the labelers' votes (-1, 0, 1)."""
     t = F.col(text)
     guards = {
         "secret": t.contains("=") | t.contains(":") | t.contains("AKIA") | t.contains("ASIA"),
@@ -87,7 +88,7 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("base", F.concat(*KINDS))
     df = df.withColumn("more", F.array_sort(F.concat(*MORE)))
     apart = lambda x, other: ~F.exists(other, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    df = df.withColumn("more", F.filter("more", lambda x: apart(x, F.col("base"))))
+    df = df.withColumn("more", F.filter("more", lambda x: apart(x, F.filter("base", lambda b: (x["kind"] != "secret") | (b["s"] <= x["s"])))))
     first = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(F.lit(None)))["e"] > x["s"]), acc).otherwise(F.concat(acc, F.array(x)))
     df = df.withColumn("more", F.when(F.size("more") > 1, F.aggregate("more", F.from_json(F.lit("[]"), SPAN), first)).otherwise(F.col("more")))
 

@@ -323,6 +323,16 @@ def test_pii_redact(spark):
     assert pii.redact(df).columns == df.columns
 
 
+def test_pii_long_values(spark):
+    """A span ends where the value ends, whatever its length and whatever else the value holds."""
+    long = "".join(random.Random(3).choices("abcdefXYZ0123456789_", k=2000))
+    mail, name = "john" * 30 + "7(at)host.a.b.c.d.e.f." + "g" * 80, "Mr. John S" + "m" * 50
+    texts = [f"the token={long} end", f"the token={long[:300]}&user=ab@c.de&{long[:900]} end", f"mail {mail} end", f"signed {name} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert got == {0: "the [SECRET] end", 1: "the [SECRET] end", 2: "mail [EMAIL_TEXT] end", 3: "signed [NAME] end"}
+
+
 # 8 Packing
 
 
