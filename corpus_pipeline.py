@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm import ngram_join, packing, pfair, pii, quality
-from loomstat.llm.common import cut, table
+from loomstat.llm.common import cut, numbered, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,9 +38,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length with their ids, one for each piece of a document."""
-    rows = docs.select("doc_id", "text")
-    return packing.pack(rows, public_tokenizers.path("word_bpe_49k.json"))
+    """Sequences of power-of-two length with their ids, one for each piece of a document; sequence_id follows the mix, position is the document's place in it."""
+    rows = numbered(docs.select("doc_id", "text"), "position")
+    return packing.pack(rows, public_tokenizers.path("word_bpe_49k.json"), order_col="position")
 
 
 STAGES = [

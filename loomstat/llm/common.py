@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,6 +47,30 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a column name: each row's place, rising in the order of its files' part numbers and of rows in files.
+
+    A scan reads file splits by size, not in order, so the place comes from file and row index. A df that isn't a plain scan of files
+    (or a projection or filter of one) is written first, in its own order. Only one row for each file comes to the driver.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        df = cut(df)
+    columns = [F.col(c) for c in df.columns]
+    rows = df.select(*columns, F.col("_metadata.file_path").alias("loomstat_file"), F.col("_metadata.row_index").alias("loomstat_row"))
+    sizes = rows.groupBy("loomstat_file").agg((F.max("loomstat_row") + 1).alias("n")).collect()
+    part = lambda path: (int(m[1]) if (m := re.search(r"/part-([0-9]+)[^/]*$", path)) else -1, path)
+    before, at = [], 0
+    for path, n in sorted(map(tuple, sizes), key=lambda x: part(x[0])):
+        before.append((path, at))
+        at += n
+    first = df.sparkSession.createDataFrame(before, "loomstat_path string, loomstat_first long")
+    placed = rows.join(F.broadcast(first), F.col("loomstat_file") == F.col("loomstat_path"))
+    return placed.select(*columns, (F.col("loomstat_first") + F.col("loomstat_row")).alias(name))
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that cut() returned, once nothing reads them any more."""
     spark = df.sparkSession

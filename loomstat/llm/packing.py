@@ -137,21 +137,25 @@ def decompose(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(most.bit_length() - 2, -1, -1) if (n % most) >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4096, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4096, end_id: int = 2, keep_ids: bool = True, order_col: str | None = None) -> DataFrame:
     """Cut every document into pieces of power-of-two length, each of which is a sequence.
 
     tokenizer: path of a tokenizers .json file on every machine; most: longest sequence, a power of two. A document is its
     ids and end_id. Returns one row per piece: (id, start, length, bucket = log2(length), ids if keep_ids, ids_crc32,
     doc_tokens, sequence_id, offset = 0). Null text counts as empty: one piece, end_id. Repeated ids stay apart as
     sequences of their own; null ids stay null; other columns are not looked at. sequence_id is the row's place in its
-    scan task: the same whenever a lost task runs again.
+    scan task: the same whenever a lost task runs again. With order_col, a column of different numbers from 0, sequence_id rises with that
+    number (returned as position) and then with start, whatever order rows are read in: position * 2**k + number of the piece in its document.
     """
     if most & (most - 1) or most < 1:
         raise ValueError("most must be a power of two")
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.col(order_col).cast("long").alias("position")] if order_col else []))
     fields = f"id {rows.schema['id'].dataType.simpleString()}, start bigint, length bigint, bucket int, ids_crc32 bigint, doc_tokens bigint"
     fields += ", ids array<int>" if keep_ids else ""
+    fields += ", position bigint, sequence_id bigint" if order_col else ""
+    # A text has less than 2**31 tokens, so less than 2**room pieces.
+    room = 32 - (most.bit_length() - 1)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer)
@@ -172,7 +176,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 out = [part.column("id").take(pa.array(doc)), start, length, np.log2(length).astype(np.int32), pa.array(crc, pa.int64()), (n + 1)[doc]]
                 if keep_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(full.astype(np.int32))))
+                if order_col:
+                    position = part.column("position").to_numpy()[doc]
+                    number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+                    out += [position, (position << room) + number]
                 yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], [f.split()[0] for f in fields.split(", ")])
 
-    out = rows.mapInArrow(pieces, fields).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    out = rows.mapInArrow(pieces, fields)
+    if not order_col:
+        out = out.withColumn("sequence_id", F.monotonically_increasing_id())
+    out = out.withColumn("offset", F.lit(0).cast("long"))
     return out.withColumnRenamed("id", id_col)

@@ -44,6 +44,32 @@ def test_packed_holds_all_ids(spark, sf):
     assert got.agg(F.sum("length")).first()[0] == want
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """On several files, of which later ones are larger, sequence_id follows the schedule, and its prefixes keep the target weights."""
+    sizes = {"a": 3200, "b": 800, "c": 200}
+    rows = [(k, "en", s) for k, s in enumerate(x for x, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string")
+    place = {r["doc_id"]: r["position"] for r in corpus_pipeline.pfair.mix(docs).collect()}
+    # Texts grow along the mix, so a scan by file size would start with the last file.
+    texts = spark.createDataFrame([(k, " ".join(f"w{k}" for _ in range(1 + p // 40))) for k, p in place.items()], "doc_id long, text string")
+    docs = docs.join(texts, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*corpus_pipeline.COLUMNS)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 300)
+    try:
+        mixed = corpus_pipeline.cut(corpus_pipeline.source_mix(spark, docs, ""))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(mixed.inputFiles()) > 5
+    got = corpus_pipeline.packed(spark, mixed, "").select("sequence_id", "doc_id", "start", "position").toPandas().sort_values("sequence_id")
+    assert got["sequence_id"].is_unique and got["position"].is_monotonic_increasing and (got.groupby("doc_id")["start"].diff().dropna() > 0).all()
+    order = got["doc_id"].drop_duplicates().tolist()
+    assert order == sorted(place, key=place.get)
+    weight = {s: n**0.5 for s, n in sizes.items()}
+    source = {k: s for k, _, s in rows}
+    for n in (128, 512, 1000):  # until c runs out
+        for s, w in weight.items():
+            assert abs(sum(source[k] == s for k in order[:n]) - n * w / sum(weight.values())) <= 128
+
+
 def test_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("1 = 0")
     for _, stage in corpus_pipeline.STAGES:
