@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, else (tests only) a local one."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a folder of this machine, but only if Spark runs in this process alone (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/spark-{os.getpid()}-cut"
     return where
 
@@ -81,30 +83,54 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key of at least so many rows is hot, and there are at most so many hot keys: with more rows, it takes more of them to be hot.
+HOT_ROWS, MOST_HOT = 128, 100_000
+
+
+def hot_join(rows: DataFrame, other: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with other, which has one row for each key; no task gets all rows of a hot key.
+
+    n: the column of other that says how many rows have its key; total: at least the sum of these. Keys of very many rows (at most
+    MOST_HOT, which total bounds) are sent to every executor; the others are joined by a shuffle. how: inner or left.
+    """
+    hot_from = max(HOT_ROWS, total // MOST_HOT)
+    rest = [c for c in other.columns if c != key]
+    hot = F.broadcast(other.where(F.col(n) >= hot_from).select(F.col(key).alias("loomstat_hot"), *rest))
+    met = rows.join(hot, F.col(key) == F.col("loomstat_hot"), "left")
+    cold = met.where("loomstat_hot is null").select(*rows.columns).join(other.where(F.col(n) < hot_from), key, how)
+    names = [*rows.columns, *rest]
+    return met.where("loomstat_hot is not null").select(*names).unionByName(cold.select(*names))
+
+
+def lowest(rows: DataFrame, total: int) -> DataFrame:
+    """Rows (u, v) with m, the smallest v of each u. The minimum is combined before it is shuffled."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return hot_join(rows, least, "u", "n", total).drop("n")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: (id, component), component = smallest id reached.
 
-    Alternating large-star / small-star rounds (Kiveris et al. 2014). Every step is a min-aggregation
-    (combined map-side) and a join, so a vertex with very many edges is neither collected nor paired with
-    itself; Spark splits its join partition when it is large. Ids without an edge are not in the result.
+    Alternating large-star / small-star rounds (Kiveris et al. 2014). A vertex with very many edges is neither collected nor paired with
+    itself nor sent to one task: see hot_join(). Ids without an edge are not in the result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = cut(e)
-    before = None
+    n = e.count()
     for _ in range(max_rounds):
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        large = lowest(sym, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
+        small = lowest(large, n)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         nxt = cut(small.where("u > v").distinct())
         drop_cut(e)
         e = nxt
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if now == before:
+        # Settled once all edges are stars: no vertex has two smaller ones, or both a smaller and a greater one.
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, unsettled = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+        if not unsettled:
             break
-        before = now
     else:
         raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))

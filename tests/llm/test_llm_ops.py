@@ -132,10 +132,62 @@ def test_ngram_blocks(monkeypatch):
     assert parts == whole
 
 
+def test_forest_shortens_prefixes():
+    """Recall follows from the links found; few links prove little, many links far above the threshold that no shorter prefix is needed."""
+    far = ngram_join.recalls({60: 5000, 64: 3000}, 8, 0.8, 32)
+    near = ngram_join.recalls({51: 400, 60: 5000}, 8, 0.8, 32)
+    assert far[8] >= 0.99999 > near[8] and near[5] >= 0.99999 and near[8] < near[7] < near[6]
+    assert ngram_join.recalls({}, 8, 0.8, 32)[8] < 0.998
+    assert ngram_join.shortest(0.8, 32, 0.99999) == 5
+    # the estimate against the truth: links found at depth 8 among pairs of known similarity
+    rng = np.random.default_rng(0)
+    truth = {51: 4000, 54: 4000, 60: 4000}
+    found = {b: int((rng.random(n) < ngram_join.chance(max(0.8, b / 64), 8, 4)).sum()) for b, n in truth.items()}
+    assert abs(ngram_join.recalls(found, 8, 0.8, 4)[8] - sum(found.values()) / 12000) < 0.02
+
+
+def test_walk_finds_longest_prefixes():
+    """Depths of sorted tries, in batches of any size, against all pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 2, size=(300, 8)).astype(np.uint8)
+    label = raw.view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+    tree = rng.integers(0, 3, 300).astype(np.int32)
+    order = np.lexsort((label, tree))
+    tree, label, raw = tree[order], label[order], raw[order]
+    want = {}
+    for i in range(300):
+        n = [int((raw[i] == raw[j]).cumprod().sum()) for j in range(300) if j != i and tree[i] == tree[j]]
+        want[i] = 8 if i in (0, 299) else max(n)
+    for size in (1, 7, 300):
+        parts = [pa.RecordBatch.from_arrays([pa.array(tree[k : k + size]), pa.array(label[k : k + size]), pa.array(np.arange(300)[k : k + size])], ["tree", "label", "c"]) for k in range(0, 300, size)]
+        got = {c: d for b in ngram_join.walk(iter(parts), 4) for c, d in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)}
+        assert got == {i: d for i, d in want.items() if d >= 4}
+
+
+def test_large_nodes_and_units(spark, monkeypatch):
+    """A group of copies that fills nodes and units of many blocks gives the links of brute force, near copies at the threshold among them."""
+    monkeypatch.setattr(ngram_join, "NODE_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = ngram_join.near_duplicates(df).collect()
+    assert sorted(((r["doc_id"], r["n_links"], r["component_id"]) for r in got), key=str) == plain_join(rows)
+
+
 def test_components(spark):
-    e = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (101, 102), (102, 100)] + [(500, k) for k in range(501, 540)]
+    e = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (101, 102), (102, 100)] + [(500, k) for k in range(501, 1040)]
     got = dict(map(tuple, common.components(spark.createDataFrame(e, "a long, b long")).collect()))
-    assert set(got.values()) == {1, 100, 500} and len(got) == 60 + 3 + 40
+    assert set(got.values()) == {1, 100, 500} and len(got) == 60 + 3 + 540
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
