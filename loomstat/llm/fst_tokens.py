@@ -14,13 +14,15 @@ transitions may carry negative numbers.
 A white space after another character is a sure boundary: every state becomes the start state there. So the stretches
 between sure boundaries add up, and a stretch that comes again (found by a 64-bit hash) is not read again.
 
-Long texts are cut into chunks. What a chunk does to any state is its map: the characters before its first sure
-boundary, a count for what lies between its boundaries, and the characters after the last. Maps compose associatively, so they are combined as a
-parallel prefix scan, 64 neighbours at a time, by Spark.
+Long texts are cut into chunks. A chunk's map says for each state that is live at its beginning which state it ends in and how many tokens it adds.
+The first live state of a chunk is the one that some characters before it lead to; then every state in which a chunk can end is live at the next one,
+round by round until nothing is new (nearly always at once, as states soon forget what was before). Maps compose associatively, so they are
+combined as a parallel prefix scan, 64 neighbours at a time, by Spark. No map holds text.
 """
 
 from __future__ import annotations
 
+import ast
 import json
 import re
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import small_batches
+from .common import cut, small_batches
 
 #: White space (Unicode's and the ASCII separators), and those of it that stretches are cut before.
 SPACE = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -42,7 +44,8 @@ CUT_BEFORE = [9, 10, 13, 32]
 MOST_STRETCHES = 1_000_000
 #: States are dropped and made again as needed beyond so many transitions; counts don't change.
 MOST_TRANSITIONS = 600_000
-FAN_IN = 64
+#: Maps composed at a time, and characters before a chunk that its first live state is guessed from.
+FAN_IN, LOOK = 64, 256
 
 
 def byte_symbols() -> dict[int, str]:
@@ -195,17 +198,22 @@ class Machine:
         nxt, more = self.start[ch]
         return nxt, before + n + more
 
-    def count(self, text: str) -> int:
+    def run(self, s: State, text: str) -> tuple[State, int]:
+        """The state after the text, and the tokens that it adds."""
         if self.made > MOST_TRANSITIONS:
             self.reset()
-        if self.cut_special and any(t in text for t in self.special):
-            parts = self.cut_special.split(text)
-            return len(parts) - 1 + sum(map(self.count, parts))
-        s, n = self.start, 0
-        for ch in text:
-            s, d = s[ch]
-            n += d
-        return n
+        n = 0
+        parts = self.cut_special.split(text) if self.cut_special and any(t in text for t in self.special) else [text]
+        for k, part in enumerate(parts):
+            if k:  # a special string: one token, then a new beginning
+                s, n = self.start, n + 1
+            for ch in part:
+                s, d = s[ch]
+                n += d
+        return s, n
+
+    def count(self, text: str) -> int:
+        return self.run(self.start, text)[1]
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """The count of each text."""
@@ -233,33 +241,42 @@ class Machine:
             np.add.at(out, i + of, n[inverse])
         return out
 
-    def chunk(self, text: str) -> tuple[str, str | None, str]:
-        """A chunk by its first and last sure boundary: text before, between and after; (text, None, "") if there is none."""
+    def name(self, s: State) -> str:
+        return repr((s.kind, s.data))
+
+    def named(self, name: str) -> State:
+        return self.state(*ast.literal_eval(name))
+
+    def sure(self, text: str) -> np.ndarray:
+        """Sure boundaries inside a text."""
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        at = np.flatnonzero(self.is_cut[cp[1:]] & ~self.is_space[cp[:-1]]) + 1
+        return np.flatnonzero(self.is_cut[cp[1:]] & ~self.is_space[cp[:-1]]) + 1
+
+    def guess(self, look: str) -> str:
+        """The state that the characters before a chunk lead to: surely, if there is a sure boundary among them."""
+        at = self.sure(look)
+        return self.name(self.run(self.start, look[at[-1] :] if len(at) else look)[0])
+
+    def map(self, text: str, names: list[str]) -> list[tuple[str, int]]:
+        """For each of these states before the chunk, the state after it and the tokens added."""
+        at = self.sure(text)
         if not len(at):
-            return text, None, ""
-        return text[: at[0]], text[at[0] : at[-1]], text[at[-1] :]
-
-    def maps(self, texts: list[str]) -> list[tuple[str, int | None, str]]:
-        """The maps of chunks: text before the first sure boundary, count, text after the last; (text, None, "") if there is none."""
-        parts = [self.chunk(t) for t in texts]
-        n = self.counts([p[1] or "" for p in parts])
-        return [(h, None if b is None else int(k), t) for (h, b, t), k in zip(parts, n, strict=True)]
-
-    def compose(self, left: tuple, right: tuple) -> tuple:
-        """The map of two chunks, one after the other."""
-        if left[1] is None:
-            return (left[0] + right[0], *right[1:])
-        if right[1] is None:
-            return (*left[:2], left[2] + right[0])
-        return left[0], left[1] + self.count(left[2] + right[0]) + right[1], right[2]
-
-    def total(self, whole: tuple) -> int:
-        """The count of a text from the map of all of it."""
-        if whole[1] is None:
-            return self.count(whole[0])
-        return self.count(whole[0]) + whole[1] + self.count(whole[2])
+            ends = [self.run(self.named(x), text) for x in names]
+            return [(self.name(e), n) for e, n in ends]
+        between = int(self.counts([text[at[0] : at[-1]]])[0])
+        end, rest = self.run(self.start, text[at[-1] :])
+        return [(self.name(end), self.run(self.named(x), text[: at[0]])[1] + between + rest) for x in names]
+
+    def chunks(self, text: str, size: int) -> Iterator[tuple[int, str, str]]:
+        """(number, characters before, chunk); special strings aren't cut."""
+        borders = np.arange(0, max(1, len(text)), size)
+        if self.cut_special:
+            for m in self.cut_special.finditer(text):
+                i = np.searchsorted(borders, m.start(), "right")
+                borders[i : np.searchsorted(borders, m.end())] = m.start()
+        ends = [*borders[1:].tolist(), len(text)]
+        for k, (a, b) in enumerate(zip(borders.tolist(), ends, strict=True)):
+            yield k, text[max(0, a - LOOK) : a], text[a:b]
 
 
 @lru_cache(maxsize=2)
@@ -267,13 +284,78 @@ def machine(path: str) -> Machine:
     return Machine(path)
 
 
+def composed(b: pd.DataFrame) -> pd.DataFrame:
+    """The map of neighbouring chunks from theirs."""
+    maps: dict[int, dict[str, tuple[str, int]]] = {}
+    for chunk, s, e, n in zip(b["chunk"], b["s"], b["e"], b["n"], strict=True):
+        maps.setdefault(chunk, {})[s] = (e, n)
+    first, *rest = [maps[k] for k in sorted(maps)]
+    out = []
+    for s, (e, n) in first.items():
+        for one in rest:
+            e, more = one[e]
+            n += more
+        out.append((b["row"].iloc[0], min(maps) // FAN_IN, s, e, n))
+    return pd.DataFrame(out, columns=["row", "chunk", "s", "e", "n"])
+
+
+def count_long(long: DataFrame, tokenizer: str, chunk_chars: int) -> DataFrame | None:
+    """(id, n_bytes, n_tokens) of long texts (id, text, n_bytes), by their chunks' maps; None if there are none."""
+    id_type = long.schema["id"].dataType.simpleString()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine(tokenizer)
+        for batch in batches:
+            for b, texts in textvec.parts(batch):
+                ids = b.column("id")
+                for i, (row, n, text) in enumerate(zip(b.column("row").to_pylist(), b.column("n_bytes").to_pylist(), texts, strict=True)):
+                    for k, look, piece in m.chunks(text, chunk_chars):
+                        one = [pa.array([row]), pa.array([k], pa.int32()), ids.slice(i, 1), pa.array([n]), pa.array([look]), pa.array([piece])]
+                        yield pa.RecordBatch.from_arrays(one, ["row", "chunk", "id", "n_bytes", "look", "piece"])
+
+    # A row's own key, so that repeated ids stay apart.
+    rows = long.withColumn("row", F.monotonically_increasing_id())
+    chunks = cut(rows.mapInArrow(pieces, f"row bigint, chunk int, id {id_type}, n_bytes bigint, look string, piece string"))
+    most = chunks.agg(F.max("chunk")).first()[0]
+    if most is None:
+        return None
+    fields = "row bigint, chunk int, s string, e string, n bigint"
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = machine(tokenizer)
+        start = m.name(m.start)
+        for b in batches:
+            out = []
+            for row, chunk, look, piece, asked in zip(b["row"], b["chunk"], b["look"], b["piece"], b["asked"], strict=True):
+                names = list(asked) if asked is not None else [m.guess(look) if chunk else start]
+                out += [(row, chunk, x, e, n) for x, (e, n) in zip(names, m.map(piece, names), strict=True)]
+            yield pd.DataFrame(out, columns=["row", "chunk", "s", "e", "n"])
+
+    columns = ("row", "chunk", "look", "piece")
+    known = cut(chunks.select(*columns, F.lit(None).cast("array<string>").alias("asked")).repartition("row", "chunk").mapInPandas(maps, fields))
+    while True:
+        ends = known.where(F.col("chunk") < most).select("row", (F.col("chunk") + 1).alias("chunk"), F.col("e").alias("s")).distinct()
+        asked = ends.join(known, ["row", "chunk", "s"], "left_anti").join(chunks.select("row", "chunk"), ["row", "chunk"], "left_semi")
+        asked = cut(asked.groupBy("row", "chunk").agg(F.collect_set("s").alias("asked")))
+        if asked.isEmpty():
+            break
+        new = chunks.select(*columns).join(asked, ["row", "chunk"]).select(*columns, "asked").mapInPandas(maps, fields)
+        known = cut(known.unionByName(new))
+    level = known
+    while most > 0:
+        level = level.groupBy("row", F.floor(F.col("chunk") / FAN_IN).alias("block")).applyInPandas(composed, fields)
+        most //= FAN_IN
+    whole = level.where(F.col("s") == repr(("start", ()))).select("row", F.col("n").alias("n_tokens"))
+    return chunks.where("chunk = 0").join(whole, "row").select("id", "n_bytes", "n_tokens")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk_chars: int = 32_768) -> DataFrame:
     """Tokens of every whole text, as a byte-level BPE tokenizer gives them.
 
     tokenizer: path of a tokenizers .json file on every machine. Returns (id, n_bytes, n_tokens, over_limit), one row for
     each input row. Null text counts as empty (0 bytes, 0 tokens); repeated ids stay repeated rows and are counted
     each for itself; null ids stay null; other columns are not looked at. A text of more than two chunks is cut, its
-    chunks are counted anywhere in the cluster and their maps are composed.
+    chunks are mapped anywhere in the cluster and their maps are composed.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -289,41 +371,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
     short = rows.where(~long).select("id", "text", n_bytes).mapInArrow(short_counts, f"id {id_type}, n_bytes bigint, n_tokens bigint")
 
-    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = machine(tokenizer)
-        for b in batches:
-            got = m.maps(list(b.pop("piece")))
-            for k, name in enumerate(("head", "n", "tail")):
-                b[name] = pd.array([g[k] for g in got], dtype="Int64") if name == "n" else [g[k] for g in got]
-            yield b
-
-    def merge(b: pd.DataFrame) -> pd.DataFrame:
-        m = machine(tokenizer)
-        b = b.sort_values("chunk")
-        whole = None
-        for h, n, t in zip(b["head"], b["n"], b["tail"], strict=True):
-            one = (h, None if pd.isna(n) else int(n), t)
-            whole = one if whole is None else m.compose(whole, one)
-        out = b.iloc[:1].copy()
-        out["chunk"] = out["chunk"] // FAN_IN
-        out["head"], out["n"], out["tail"] = whole[0], pd.array([whole[1]], dtype="Int64"), whole[2]
-        return out
-
-    last = F.floor((F.length("text") - 1) / chunk_chars).cast("int")
-    place = F.explode(F.sequence(F.lit(0), last)).alias("chunk")
-    # A row's own key, so that repeated ids stay apart: the position of its file's row in the scan.
-    pieces = rows.where(long).withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text", n_bytes, last.alias("last"), place)
-    pieces = pieces.select("id", "row", "n_bytes", "last", "chunk", F.substring("text", F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars)).alias("piece"))
-    schema = f"id {id_type}, row bigint, n_bytes bigint, last int, chunk int, head string, n bigint, tail string"
-    level = pieces.repartition("row", "chunk").mapInPandas(maps, schema)
-    for _ in range(3):  # 64 ** 3 chunks are more than a value can hold
-        level = level.groupBy("row", F.floor(F.col("chunk") / FAN_IN).alias("block")).applyInPandas(merge, schema)
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = machine(tokenizer)
-        for b in batches:
-            b["n_tokens"] = [m.total((h, None if pd.isna(n) else int(n), t)) for h, n, t in zip(b["head"], b["n"], b["tail"], strict=True)]
-            yield b[["id", "n_bytes", "n_tokens"]]
-
-    both = short.unionByName(level.mapInPandas(finish, f"id {id_type}, n_bytes bigint, n_tokens bigint"))
+    rest = count_long(rows.where(long).select("id", "text", n_bytes), tokenizer, chunk_chars)
+    both = short.unionByName(rest) if rest is not None else short
     return both.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -457,7 +457,29 @@ def test_chunk_maps_compose():
         text = "".join(rng.choices(alphabet, k=rng.randrange(50)))
         want = len(m.hf.encode(text, add_special_tokens=False).ids)
         assert m.count(text) == want and int(m.counts([text, "", text])[2]) == want
-        k, whole = rng.randrange(1, 9), None
-        for part in m.maps([text[j : j + k] for j in range(0, max(len(text), 1), k)]):
-            whole = part if whole is None else m.compose(whole, part)
-        assert m.total(whole) == want
+        size = rng.randrange(1, 20)
+        pieces = list(m.chunks(text, size))
+        assert "".join(p for _, _, p in pieces) == text
+        s, n = m.name(m.start), 0
+        for _, _, piece in pieces:
+            [(s, more)] = m.map(piece, [s])
+            n += more
+        assert n == want
+
+
+def test_long_runs_without_boundaries(spark):
+    """Texts of one class of characters and no white space: states live at chunk borders are found round by round, and no map holds text."""
+    t, path = tokenizer("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(4)
+    texts = ["a" * 9999, "ab" * 4000 + "c", "".join(rng.choices("abcdefgh", k=9000)), "".join(rng.choices("中文字符测试", k=5000)), "=" * 7001, "7" * 6000, "".join(rng.choices("ABCDEFabcdef0123456789+/", k=12_000)), " " * 6000 + "x", "'" * 5000 + "s", "<|endoftext|>" * 900]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string").repartition(3)
+    for size in (100, 1000):
+        got = sorted((r["doc_id"], r["n_tokens"]) for r in fst_tokens.count_tokens(df, path, chunk_chars=size).collect())
+        assert got == sorted((r["doc_id"], len(t.encode(r["text"], add_special_tokens=False).ids)) for r in df.collect())
+
+
+def test_five_megabytes_without_white_space(spark):
+    t, path = tokenizer("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    text = "".join(random.Random(6).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=5_000_000))
+    got = fst_tokens.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).first()
+    assert got["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids)
