@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, sqrt
 
 import numpy as np
@@ -18,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, hot_join
 
 #: Rows of a cell that are filed together in a block, and visitors that meet a block in one task.
 RESIDENTS, VISITORS = 512, 1024
+#: Lengths of at most so many different vectors have no index: all their pairs are compared in one task.
+FEW = 512
+#: Visits of a batch of rows that leave a task together, about.
+VISITS = 1 << 20
 
 
 def codebook(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
@@ -78,52 +83,86 @@ def near_vectors(
 
     Vectors link if their cosine in double precision is at least `similarity`; none below it. n_links: other rows linked directly;
     component_id: smallest id reachable by links; kept: id = component_id. Vectors that are null, empty, zero or hold null
-    or non-finite components link with nothing; vectors of different lengths neither (the index is on the most frequent
-    length, on a tie the shortest; rows of other lengths link with equal vectors only). Equal vectors are one entry of the index, so a group of copies costs one. Repeated
+    or non-finite components link with nothing. Vectors of different lengths don't link; each length has an index of its own (a length of few vectors none:
+    they are compared as they are; of length 1, those of one sign are equal). Equal vectors are one entry of the index, so a group of copies costs one. Repeated
     ids are rows of their own; other columns are not looked at.
 
     The codebooks and the reach of visits are fitted on the `sample` rows of the smallest hash; every row is filed and visits. The
     number of codewords grows with the rows so that a cell holds about `per_cell`, up to `most_codewords` for each half.
     """
-    x = F.col(vector_col).cast("array<double>")
+    x = F.col(vector_col)
+    if vectors.schema[vector_col].dataType.simpleString() not in ("array<float>", "array<double>"):
+        x = x.cast("array<double>")
     top = F.array_max(F.transform(x, F.abs))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (F.size(x) > 0) & (top > 0)
+    x = F.when(F.size(x) == 1, F.transform(x, F.signum).cast(x_type(vectors, vector_col))).otherwise(x)
     rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, x).alias("x"))
     classes = rows.where("x is not null").groupBy("x").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
-    usual = classes.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    d, n = (usual["d"], usual["n"]) if usual else (0, 0)
-    indexed = classes.where(F.size("x") == d)
-    if d < 2 or n < 2:
-        found = classes.select("c", F.col("c").alias("root"), F.lit(0).cast("long").alias("n")).limit(0)
-    else:
-        found = cut(visit(indexed, n, similarity, target, sample, per_cell, most_codewords, seed))
+    lengths = classes.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("d > 1 and n > 1")
+    found = [compare_few(classes.join(lengths.where(F.col("n") <= FEW).select("d"), F.size("x") == F.col("d")), similarity)]
+    # One index for each length of many vectors.
+    for r in lengths.where(F.col("n") > FEW).orderBy("d").collect():
+        found.append(visit(classes.where(F.size("x") == r["d"]), r["n"], similarity, target, sample, per_cell, most_codewords, seed))
+    found = cut(reduce(DataFrame.unionByName, found))
     links = found.groupBy("c").agg(F.sum("n").alias("n"))
     group = components(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("c"), "component")
-    whole = classes.select("c", "x", "rep", "copies").join(links, "c", "left").join(group, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    whole = classes.join(links, "c", "left").join(group, "c", "left").withColumn("component", F.coalesce("component", "c"))
     whole = cut(whole)
-    whole = whole.join(whole.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
-    # Rows take their result by a hash of the vector's text, shorter to send than the vector; then by the vector itself.
-    whole = whole.select(F.col("x").alias("class_x"), "copies", "n", "component_id")
-    out = rows.join(whole, F.col("x") == F.col("class_x"), "left")
-    out = out.select(
-        F.col("id").alias(id_col),
-        F.coalesce(F.col("copies") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).alias("n_links"),
-        F.when(F.col("class_x").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    first = whole.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    size = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    whole = hot_join(whole, first, "component", "members", size[0]).select("x", "copies", "n", "component_id")
+    out = hot_join(rows.where("x is not null"), whole, "x", "copies", size[1]).select("id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    lone = rows.where("x is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = out.unionByName(lone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return out.withColumnRenamed("id", id_col)
+
+
+def x_type(vectors: DataFrame, vector_col: str) -> str:
+    """Vectors stay floats where they are: half the bytes to send. Cosines are computed in doubles all the same."""
+    return "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1, without overflow."""
+    """Rows scaled to length 1, in doubles, without overflow."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def linked(names: np.ndarray, i: np.ndarray, j: np.ndarray, count: np.ndarray) -> list[tuple[int, int, int]]:
+    """(vector, smallest vector that links lead to, count) of the vectors with links (i, j)."""
+    low = np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        if (new == low).all():
+            break
+        low = new
+    on = np.flatnonzero((low != np.arange(len(names))) | (count > 0))
+    return list(zip(names[on].tolist(), names[low[on]].tolist(), count[on].tolist(), strict=True))
+
+
+def compare_few(few: DataFrame, similarity: float) -> DataFrame:
+    """(c, root, n) of vectors compared with all of their length, of which there are at most FEW."""
+
+    def every(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("c")
+        x = unit(np.array(b["x"].tolist()))
+        i, j = np.nonzero(x @ x.T >= similarity - 1e-9)
+        near = (i != j) & ((x[i] * x[j]).sum(1) >= similarity)
+        i, j = i[near], j[near]
+        n = np.bincount(i, b["copies"].to_numpy()[j], len(b)).astype(np.int64)
+        return pd.DataFrame(linked(b["c"].to_numpy(), i, j, n), columns=["c", "root", "n"]).astype("int64")
+
+    return few.select("d", "c", "copies", "x").groupBy("d").applyInPandas(every, "c long, root long, n long")
+
+
 def visit(indexed: DataFrame, n: int, similarity: float, target: float, sample: int, per_cell: int, most_codewords: int, seed: int) -> DataFrame:
     """(c, root, n): links of a vector found in one task, and the smallest vector linked there."""
     fit = indexed.orderBy(F.xxhash64("x"), "c").limit(sample).select("x").toPandas()
-    s = unit(np.array(fit["x"].tolist(), dtype=np.float64))
+    s = unit(np.array(fit["x"].tolist()))
     half = s.shape[1] // 2
     k = min(most_codewords, max(2, ceil(sqrt(n / per_cell))), len(s))
     c1, c2 = codebook(s[:, :half], k, seed), codebook(s[:, half:], k, seed + 1)
@@ -131,66 +170,68 @@ def visit(indexed: DataFrame, n: int, similarity: float, target: float, sample:
     wide = len(c2)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            col = b.column("x")
-            x = unit(col.flatten().to_numpy().reshape(b.num_rows, -1))
-            e1, e2 = excess(x[:, :half], c1), excess(x[:, half:], c2)
-            cells = [[i * wide + j for i, j in multi_sequence(a, z, far)] for a, z in zip(e1, e2, strict=True)]
-            home = e1.argmin(1) * wide + e2.argmin(1)
-            raw = [v.tobytes() for v in x]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("c"), b.column("copies"), pa.array(raw, pa.binary()), pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["c", "copies", "v", "home", "cells"]
-            )
-
-    filed = cut(indexed.select("c", "copies", "x").mapInArrow(file, "c bigint, copies bigint, v binary, home int, cells array<int>"))
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:
+                cells: list[np.ndarray] = []
+                b = whole.slice(at, 1024)
+                x = unit(b.column("x").flatten().to_numpy().reshape(b.num_rows, -1))
+                e1, e2 = excess(x[:, :half], c1), excess(x[:, half:], c2)
+                n = 0
+                for a, z in zip(e1, e2, strict=True):
+                    cells.append(np.array([i * wide + j for i, j in multi_sequence(a, z, far)], dtype=np.int32))
+                    n += len(cells[-1])
+                    if n > VISITS:
+                        break
+                k = len(cells)
+                home = [int(c[0]) for c in cells]  # the nearest cell comes first
+                yield pa.RecordBatch.from_arrays([*(v.slice(0, k) for v in (b.column("c"), b.column("copies"), b.column("x"))), pa.array(home, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names)
+                at += k
+
+    names = ["c", "copies", "x", "home", "cells"]
+    element = "float" if "float" in indexed.schema["x"].dataType.simpleString() else "double"
+    filed = cut(indexed.select("c", "copies", "x").mapInArrow(file, f"c bigint, copies bigint, x array<{element}>, home int, cells array<int>"))
     cells = filed.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("residents"))
     visits = filed.select("c", F.explode("cells").alias("cell"))
     crowd = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("visitors"))
-    # As many rows as there are cells at most, so bounded by most_codewords squared.
+    # As many rows as there are cells at most, so bounded by most_codewords squared. A cell whose only visitor lives there itself has no pairs.
     plan = F.broadcast(
-        cells.join(crowd, "cell").select("cell", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("rb"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("vb"))
+        cells.join(crowd, "cell").where("visitors > 1").select("cell", F.ceil(F.col("residents") / RESIDENTS).cast("int").alias("rb"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("vb"))
     )
     part = lambda m: F.pmod(F.xxhash64("c"), F.col(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    at_home = filed.withColumnRenamed("home", "cell").join(plan, "cell").select("cell", part("rb").alias("r"), every("vb").alias("q"), "c", "copies", "v", F.lit(True).alias("resident"))
-    guests = filed.select("c", "copies", "v", F.explode("cells").alias("cell")).join(plan, "cell")
-    guests = guests.select("cell", every("rb").alias("r"), part("vb").alias("q"), "c", "copies", "v", F.lit(False).alias("resident"))
+    # Residents bring along which cells they visit themselves; visitors, where they live.
+    at_home = filed.withColumn("cell", F.col("home")).join(plan, "cell").select("cell", part("rb").alias("r"), every("vb").alias("q"), "c", "copies", "x", F.lit(None).cast("int").alias("home"), "cells")
+    guests = filed.select("c", "copies", "x", "home", F.explode("cells").alias("cell")).join(plan, "cell")
+    guests = guests.select("cell", every("rb").alias("r"), part("vb").alias("q"), "c", "copies", "x", "home", F.lit(None).cast("array<int>").alias("cells"))
 
     def verify(b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        here = b["resident"].to_numpy()
-        a, z = b[~here], b[here]
+        guest = b["cells"].isna().to_numpy()
+        a, z = b[guest], b[~guest]
         if len(a) and len(z):
-            load = lambda f: np.frombuffer(b"".join(f["v"]), dtype=np.float64).reshape(len(f), -1)
-            xa, xz, na, nz = load(a), load(z), a["c"].to_numpy(), z["c"].to_numpy()
+            xa, xz = unit(np.stack(a["x"].to_list())), unit(np.stack(z["x"].to_list()))
+            na, nz = a["c"].to_numpy(), z["c"].to_numpy()
             i, j = np.nonzero(xa @ xz.T >= similarity - 1e-9)
+            # The same vectors in the same order in every task, so that both sides of a pair agree about it.
+            flip = na[i] > nz[j]
+            left, right = np.where(flip[:, None], xz[j], xa[i]), np.where(flip[:, None], xa[i], xz[j])
+            near = ((left * right).sum(1) >= similarity) & (na[i] != nz[j])
+            i, j = i[near], j[near]
             if len(i):
-                near = (xa[i] * xz[j]).sum(1) >= similarity
-                near &= na[i] != nz[j]
-                i, j = i[near], j[near]
                 # The pair counts for its visitor; for its resident only where that doesn't visit the other's cell itself.
-                p1, p2 = excess(xa[:, :half], c1).argmin(1), excess(xa[:, half:], c2).argmin(1)
-                back = excess(xz[:, :half], c1)[j, p1[i]] + excess(xz[:, half:], c2)[j, p2[i]] <= far
+                lists = z["cells"].to_list()
+                own = np.sort(np.concatenate([np.asarray(c, dtype=np.int64) + k * cell_count for k, c in enumerate(lists)]))
+                asked = a["home"].to_numpy().astype(np.int64)[i] + j * cell_count
+                alone = own[np.minimum(np.searchsorted(own, asked), len(own) - 1)] != asked
+                names, where = np.unique(np.concatenate((na[i], nz[j])), return_inverse=True)
+                ii, jj = where[: len(i)], where[len(i) :]
                 ca, cz = a["copies"].to_numpy(), z["copies"].to_numpy()
-                count = {}
-                for names, k, w in ((na, i, cz[j]), (nz, j[~back], ca[i[~back]])):
-                    for name, m in zip(names.tolist(), np.bincount(k, w, len(names)).tolist(), strict=True):
-                        if m:
-                            count[name] = count.get(name, 0) + int(m)
-                root = {name: name for name in set(na[i].tolist()) | set(nz[j].tolist())}
-                names = np.array(sorted(root))
-                ii, jj = np.searchsorted(names, na[i]), np.searchsorted(names, nz[j])
-                low = np.arange(len(names))
-                while True:
-                    new = low.copy()
-                    np.minimum.at(new, ii, low[jj])
-                    np.minimum.at(new, jj, new[ii])
-                    if (new == low).all():
-                        break
-                    low = new
-                out = [(int(m), int(names[r]), count.get(int(m), 0)) for m, r in zip(names, low, strict=True)]
+                n = np.zeros(len(names), dtype=np.int64)
+                np.add.at(n, ii, cz[j])
+                np.add.at(n, jj[alone], ca[i[alone]])
+                out = linked(names, ii, jj, n)
         return pd.DataFrame(out, columns=["c", "root", "n"]).astype("int64")
 
+    cell_count = len(c1) * wide
     return at_home.unionByName(guests).groupBy("cell", "r", "q").applyInPandas(verify, "c long, root long, n long")
