@@ -316,6 +316,16 @@ def test_pfair_mix(spark, docs, hard):
 # 6 Exact top-k
 
 
+def plain_top_k(rows):
+    good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and all(a is not None and np.isfinite(a) for a in v)]
+    want = []
+    for q, y in good:
+        if q % 50 == 0:
+            s = sorted((-int(y @ z), i) for i, z in good if i != q and len(z) == len(y))[:5]
+            want += [(q, r + 1, i, -v) for r, (v, i) in enumerate(s)]
+    return sorted(want)
+
+
 @pytest.mark.parametrize("blocks", [(8192, 2048), (64, 3)])
 def test_top_k(spark, monkeypatch, blocks):
     monkeypatch.setattr(topk, "BLOCK", blocks[0])
@@ -324,21 +334,32 @@ def test_top_k(spark, monkeypatch, blocks):
     x = [[float(v) for v in rng.normal(size=8)] for _ in range(400)]
     x[50] = x[51] = x[52] = x[53] = x[54] = x[55] = [0.5] * 8
     x[100] = [0.0] * 8
-    rows = [(k, v, "q") for k, v in enumerate(x)] + [(1000, None, "q"), (1050, [float("inf")] * 8, "q"), (1100, [1.0], "q"), (None, [1.0] * 8, "q"), (50, [0.25] * 8, "q")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(5)
+    rows = list(enumerate(x)) + [(1000, None), (1050, [float("inf")] * 8), (1100, [1.0]), (1101, [2.0]), (None, [1.0] * 8), (50, [0.25] * 8), (1150, [None, 1.0]), (1200, [])]
+    rows += [(2000 + k, [float(v) for v in rng.normal(size=3)]) for k in range(150)]  # other lengths take part among themselves
+    df = spark.createDataFrame([(*r, "q") for r in rows], "vec_id long, embedding array<double>, score string").repartition(5)
     got = topk.top_k(df, df.where("vec_id % 50 = 0"), step=4).collect()
-    good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows if i is not None and v is not None and len(v) == 8 and np.isfinite(v).all()]
-    want = []
-    for q, y in good:
-        if q % 50 == 0:
-            s = sorted((-int(y @ z), i) for i, z in good if i != q)[:5]
-            want += [(q, r + 1, i, -v) for r, (v, i) in enumerate(s)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, got)) == plain_top_k(rows)
     assert topk.top_k(empty(df), empty(df)).count() == 0
     few = df.where("vec_id in (50, 51) and embedding[0] = 0.5")
     assert topk.top_k(few, few).count() == 2
 
 
+def test_top_k_blocks_are_skipped(spark, monkeypatch):
+    """Blocks of like directions whose extremes can't beat a query's k-th best are not visited, and the result stays exact."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    centres = np.eye(6)
+    rows = [(k, [float(v) for v in centres[k % 6] + rng.normal(size=6) * 0.05]) for k in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    tables, cut = [], topk.cut
+    monkeypatch.setattr(topk, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+    got = topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    assert sorted(map(tuple, got)) == plain_top_k(rows)
+    visits = [t for t in tables if t.columns == ["id", "x", "d", "b", "copy"]]
+    blocks = next(t for t in tables if t.columns == ["d", "id", "x", "b"]).select("b").distinct().count()
+    assert blocks >= 18 and visits[-1].count() < 24 * (blocks - 1) / 2
+
+
 # 7 Personal data
 
 
