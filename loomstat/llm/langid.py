@@ -1,13 +1,14 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of a fixed public vocabulary (and for single characters that it lacks). The
-probability of a word is the sum over all its segmentations into pieces, found by the forward algorithm, which
-runs over all different words of a batch at once. Piece probabilities are expected counts over all segmentations of the training words
-(forward and backward from a uniform start, which favours few pieces).
+Each language has a probability for every piece of a fixed public vocabulary (in lower case; and for single characters that it lacks). The
+probability of a word, a run of letters and marks of any length, is the sum over all its segmentations into pieces, found by the forward algorithm, which
+runs over all different words of a batch at once and keeps as many columns as the longest piece has characters. Piece probabilities are expected
+counts over all segmentations of the training words (forward and backward from a uniform start, which favours few pieces).
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,32 +21,46 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import small_batches
 
-#: Letters of a word that are segmented together; a longer run of letters is cut, and no piece crosses a cut.
-LONGEST = 24
-PIECE = 16
-#: Code points below it are pieces' characters; others count by their block of 128, one by one.
-ALPHABET = 0x530
-MOST_LANGUAGES = 2048
+#: Training takes expected counts of longer runs of letters window by window, each with so many letters more on both sides.
+WINDOW, MARGIN = 1024, 128
+#: Expected counts of wider words are taken in logarithms.
+LOGS_FROM = 40
+#: Languages that are scored together.
+TOGETHER = 256
+#: Characters of the vocabulary with a column of their own in the trie's table; steps by others are looked up.
+DENSE = 160
 
 
 class Pieces:
-    """The vocabulary as a trie over compact symbols: 0 nothing, 1 the word mark, then characters, then blocks."""
+    """The vocabulary as a trie over compact symbols: 0 nothing, 1 the word mark, then characters of pieces, then blocks of 128 other characters."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        mark = "▁"
-        pieces = sorted({p for i in range(sp.get_piece_size()) if not sp.is_control(i) and not sp.is_byte(i) and not sp.is_unknown(i) for p in [sp.id_to_piece(i)] if 0 < len(p) <= PIECE})
-        fine = [p for p in pieces if all(c.isalpha() and ord(c) < ALPHABET for c in p.removeprefix(mark)) and p == p.lower()]
-        chars = sorted({chr(c) for c in range(ALPHABET) if chr(c).isalpha() and chr(c).lower() == chr(c)})
+        mark = "\u2581"
+        lower, word = textvec.tables()[1], letters()[0]
+        found = set()
+        for i in range(sp.get_piece_size()):
+            if sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i):
+                continue
+            p = sp.id_to_piece(i)
+            body = "".join(chr(lower[ord(c)]) for c in p.removeprefix(mark))
+            if body and all(word[ord(c)] for c in body):
+                found.add(p[: len(p) - len(body)] + body)
+        often: dict[str, int] = {}
+        for p in found:
+            for c in p.removeprefix(mark):
+                often[c] = often.get(c, 0) + 1
+        chars = sorted(often, key=lambda c: (-often[c], c))
+        self.longest = max(map(len, found), default=1)
         self.n_chars = len(chars)
         self.symbol = (np.arange(0x110000, dtype=np.int32) >> 7) + self.n_chars + 2
         for k, c in enumerate(chars):
             self.symbol[ord(c)] = k + 2
         children: list[dict[int, int]] = [{}]
         piece = [-1]
-        for number, p in enumerate([mark, *chars, *[p for p in fine if len(p) > 1]]):
+        for number, p in enumerate([mark, *chars, *sorted(p for p in found if len(p) > 1)]):
             node = 0
             for c in p:
                 s = 1 if c == mark else int(self.symbol[ord(c)])
@@ -57,63 +72,108 @@ class Pieces:
             piece[node] = number
         self.n_own = number + 1
         self.size = self.n_own + (0x110000 >> 7)
-        self.next = np.zeros((len(children), self.n_chars + 2), dtype=np.uint16 if len(children) < 1 << 16 else np.int32)
+        self.piece = np.array(piece, dtype=np.int32)
+        self.table = np.zeros((len(children), DENSE), dtype=np.int32)
+        rest = {}
         for node, kids in enumerate(children):
             for s, child in kids.items():
-                self.next[node, s] = child
-        self.piece = np.array(piece, dtype=np.int32)
+                if s < DENSE:
+                    self.table[node, s] = child
+                else:
+                    rest[node * (self.n_chars + 2) + s] = child
+        self.keys = np.array(sorted(rest), dtype=np.int64)
+        self.child = np.array([rest[k] for k in sorted(rest)], dtype=np.int32)
+
+    def step(self, node: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The trie's nodes after symbols of pieces, 0 where there is none."""
+        rare = s >= DENSE
+        out = self.table[node, np.where(rare, 0, s)]
+        if len(self.keys) and rare.any():
+            key = node[rare].astype(np.int64) * (self.n_chars + 2) + s[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[rare] = np.where(self.keys[at] == key, self.child[at], 0)
+        return out
+
+    def matches(self, s: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(end, rows, pieces) of all pieces that begin at place i in the rows of symbols."""
+        rows = np.flatnonzero(s[:, i])
+        block = s[rows, i] >= self.n_chars + 2
+        if block.any():
+            yield i + 1, rows[block], s[rows[block], i] - (self.n_chars + 2) + self.n_own
+            rows = rows[~block]
+        node = np.zeros(len(rows), dtype=np.int32)
+        for j in range(i, min(s.shape[1], i + self.longest)):
+            c = s[rows, j]
+            on = (c > 0) & (c < self.n_chars + 2)
+            if not on.all():
+                rows, node, c = rows[on], node[on], c[on]
+            node = self.step(node, c)
+            on = node > 0
+            if not on.all():
+                rows, node = rows[on], node[on]
+            if not len(rows):
+                break
+            p = self.piece[node]
+            is_piece = p >= 0
+            if is_piece.any():
+                yield j + 1, rows[is_piece], p[is_piece]
 
-    def matches(self, s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(begin, end, rows, pieces) of all pieces in the rows of symbols, by rising begin."""
-        n, width = s.shape
-        for i in range(width):
-            rows = np.flatnonzero(s[:, i])
-            block = s[rows, i] >= self.n_chars + 2
-            if block.any():
-                yield i, i + 1, rows[block], s[rows[block], i] - (self.n_chars + 2) + self.n_own
-                rows = rows[~block]
-            node = np.zeros(len(rows), dtype=self.next.dtype)
-            for j in range(i, min(width, i + PIECE)):
-                c = s[rows, j]
-                on = (c > 0) & (c < self.n_chars + 2)
-                if not on.all():
-                    rows, node, c = rows[on], node[on], c[on]
-                node = self.next[node, c]
-                on = node > 0
-                if not on.all():
-                    rows, node = rows[on], node[on]
-                if not len(rows):
-                    break
-                p = self.piece[node]
-                is_piece = p >= 0
-                if is_piece.any():
-                    yield i, j + 1, rows[is_piece], p[is_piece]
-
-    def forward(self, s: np.ndarray, prob: np.ndarray, matches: list | None = None) -> np.ndarray:
-        """Probabilities of all beginnings: [place, row, language]; prob: [piece, language]."""
-        a = np.zeros((s.shape[1] + 1, len(s), prob.shape[1]))
+    def forward(self, s: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        """Log-probabilities of whole words [row, language]; prob: [piece, language]. Columns are kept as long as a piece can reach them, and rescaled."""
+        n = self.longest + 1
+        length = (s > 0).sum(axis=1)
+        a = np.zeros((n, len(s), prob.shape[1]))
         a[0] = 1
-        for i, j, rows, p in matches if matches is not None else self.matches(s):
-            a[j, rows] += a[i, rows] * prob[p]
-        return a
-
-    def expected(self, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected piece counts [piece, language] of words with these weights [row, language], all pieces alike beforehand."""
-        prob = np.full((self.size, 1), 1.0 / self.n_own)
-        m = list(self.matches(s))
-        a = self.forward(s, prob, m)[:, :, 0]
+        scale = np.zeros(a.shape[1:])
+        out = np.zeros(a.shape[1:])
+        for i in range(s.shape[1] + 1):
+            done = np.flatnonzero(length == i)
+            if len(done):
+                out[done] = np.log(np.maximum(a[i % n, done], 1e-300)) + scale[done]
+            if i == s.shape[1]:
+                break
+            for j, rows, p in self.matches(s, i):
+                a[j % n, rows] += a[i % n, rows] * prob[p]
+            a[i % n] = 0
+            if i % 8 == 7:
+                top = a.max(axis=0)
+                top[top <= 0] = 1
+                a /= top
+                scale += np.log(top)
+        return out
+
+    def expected(self, s: np.ndarray, inner: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, piece, expected count) of words, all pieces alike beforehand; of pieces that begin from inner[0] up to inner[1] only, if given."""
+        width = s.shape[1]
         length = (s > 0).sum(axis=1)
-        b = np.zeros_like(a)
-        b[length, np.arange(len(s))] = 1
-        for i, j, rows, p in reversed(m):
-            b[i, rows] += prob[p, 0] * b[j, rows]
-        total = a[length, np.arange(len(s))]
-        out = np.zeros((self.size, weight.shape[1]))
+        even = 1.0 / self.n_own
+        m = [(i, j, rows, p) for i in range(width) for j, rows, p in self.matches(s, i)]
+        here = np.arange(len(s))
+        if width > LOGS_FROM:  # sums of long words would leave the range of doubles
+            even = np.log(even)
+            a, b = np.full((width + 1, len(s)), -np.inf), np.full((width + 1, len(s)), -np.inf)
+            a[0], b[length, here] = 0, 0
+            for i, j, rows, p in m:
+                a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + even)
+            for i, j, rows, p in reversed(m):
+                b[i, rows] = np.logaddexp(b[i, rows], b[j, rows] + even)
+            weight = lambda i, j, rows: np.exp(a[i, rows] + even + b[j, rows] - a[length[rows], rows])
+        else:
+            a, b = np.zeros((width + 1, len(s))), np.zeros((width + 1, len(s)))
+            a[0], b[length, here] = 1, 1
+            for i, j, rows, p in m:
+                a[j, rows] += a[i, rows] * even
+            for i, j, rows, p in reversed(m):
+                b[i, rows] += b[j, rows] * even
+            weight = lambda i, j, rows: a[i, rows] * even * b[j, rows] / a[length[rows], rows]
+        out = []
         for i, j, rows, p in m:
-            share = a[i, rows] * prob[p, 0] * b[j, rows] / total[rows]
-            for k in range(weight.shape[1]):
-                out[:, k] += np.bincount(p, share * weight[rows, k], self.size)
-        return out
+            share = weight(i, j, rows)
+            if inner is not None:
+                on = (inner[0][rows] <= i) & (i < inner[1][rows])
+                rows, p, share = rows[on], p[on], share[on]
+            out.append((rows, p, share))
+        return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
 @lru_cache(maxsize=2)
@@ -122,82 +182,136 @@ def pieces(path: str) -> Pieces:
 
 
 @lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: is it a letter or a mark; is it a letter."""
+    kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    return np.array([k in "LM" for k in kind]), np.array([k == "L" for k in kind])
 
 
-def different_words(v: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the different words, [word, place]; for each word of the texts, which of these it is; and its text."""
+def different_words(v: Pieces, texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Groups (numbers, symbols [word, place]) of the different words, those of like length together; for each word of the texts, its number; its text; which texts have a letter."""
     _, cp, starts = textvec.codes(texts)
-    is_letter = letters()[cp]
-    a, b = textvec.runs(is_letter)
+    is_word, is_letter = letters()
+    a, b = textvec.runs(is_word[cp])
+    has = np.add.reduceat(is_letter[cp], starts[:-1]) > 0 if len(texts) else np.zeros(0, dtype=bool)
     cp = textvec.tables()[1][cp]
-    n = b - a
-    if len(n) and int(n.max()) > LONGEST:  # cut long runs
-        cuts = -(-n // LONGEST)
-        first = np.cumsum(cuts) - cuts
-        k = np.arange(int(cuts.sum())) - np.repeat(first, cuts)
-        a, b = np.repeat(a, cuts) + k * LONGEST, np.minimum(np.repeat(a, cuts) + (k + 1) * LONGEST, np.repeat(b, cuts))
-        begins = k == 0
-    else:
-        begins = np.ones(len(a), dtype=bool)
     text = np.searchsorted(starts, a, "right") - 1
-    h = textvec.run_hashes(cp, a, b) + begins.astype(np.uint64)
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    a, b, begins = a[one], b[one], begins[one]
-    s = np.zeros((len(one), LONGEST + 1), dtype=np.int32)
-    s[begins, 0] = 1
-    n = b - a
-    row = np.repeat(np.arange(len(one)), n)
-    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    s[row, place + begins[row]] = v.symbol[cp[a[row] + place]]
-    width = int((s > 0).any(axis=0).sum()) if len(s) else 1
-    return s[:, : max(1, width)], which, text
-
-
-def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.01) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log prior, piece probabilities [piece, language]) from all rows with a text and a language.
-
-    Counts are summed where the rows are; what comes to the driver is bounded by vocabulary x languages (at most 2048).
+    _, one, which = np.unique(textvec.run_hashes(cp, a, b), return_index=True, return_inverse=True)
+    a, n = a[one], (b - a)[one]
+    group = np.ceil(np.log2(np.maximum(n, 16))).astype(int)
+    out = []
+    for g in np.unique(group):
+        rows = np.flatnonzero(group == g)
+        k = n[rows]
+        s = np.zeros((len(rows), int(k.max()) + 1), dtype=np.int32)
+        s[:, 0] = 1
+        row = np.repeat(np.arange(len(rows)), k)
+        place = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        s[row, place + 1] = v.symbol[cp[a[rows][row] + place]]
+        out.append((rows, s))
+    return out, which, text, has
+
+
+def windows(s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]]:
+    """(rows, symbols, places to count) of words: as they are, or window by window where they are long."""
+    if s.shape[1] <= WINDOW:
+        step = max(1, 4_000_000 // s.shape[1])
+        for k in range(0, len(s), step):
+            yield np.arange(k, min(k + step, len(s))), s[k : k + step], None
+        return
+    length = (s > 0).sum(axis=1)
+    for at in range(0, s.shape[1], WINDOW):
+        rows = np.flatnonzero(length > at)
+        lo = max(0, at - MARGIN)
+        for k in range(0, len(rows), 2000):
+            some = rows[k : k + 2000]
+            yield some, s[some, lo : at + WINDOW + MARGIN], (np.full(len(some), at - lo), np.full(len(some), at - lo + WINDOW))
+
+
+class Model:
+    """Languages, their log prior and their piece counts, held as (piece, language, count) triples by language."""
+
+    def __init__(self, langs: list[str], prior: np.ndarray, size: int, piece: np.ndarray, lang: np.ndarray, n: np.ndarray, smooth: float):
+        order = np.argsort(lang, kind="stable")
+        self.langs, self.prior, self.size = langs, prior, size
+        self.piece, self.lang, self.n = piece[order], lang[order], n[order]
+        both = np.bincount(piece, n, size) + 0.5
+        self.base = both / both.sum()
+        self.total = np.bincount(lang, n, len(langs))
+        self.share = smooth * self.total + 1
+        self.block: tuple[int, np.ndarray] | None = None
+
+    def prob(self, first: int) -> np.ndarray:
+        """Piece probabilities [piece, language] of TOGETHER languages from this one on."""
+        if self.block is None or self.block[0] != first:
+            to = min(first + TOGETHER, len(self.langs))
+            lo, hi = np.searchsorted(self.lang, [first, to])
+            dense = self.base[:, None] * self.share[None, first:to]
+            dense[self.piece[lo:hi], self.lang[lo:hi] - first] += self.n[lo:hi]
+            self.block = (first, dense / (self.total + self.share)[None, first:to])
+        return self.block[1]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"block": None}
+
+
+def fit(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.01) -> Model:
+    """Piece counts of each language, from all rows with a text and a language; null and empty ones, and those without letters, add nothing.
+
+    Counts are summed where the rows are; what comes to the driver is bounded by vocabulary x languages.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(per) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(per)
     number = {x: k for k, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(vocabulary)
-        total = np.zeros((v.size, len(langs)))
+        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0)
         for batch in batches:
             for part, texts in textvec.parts(batch, chars=1 << 20):
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()])
-                s, which, text = different_words(v, texts)
-                if len(s):
-                    weight = np.zeros((len(s), len(langs)))
-                    np.add.at(weight, (which, lang[text]), 1)
-                    total += v.expected(s, weight)
-        p, k = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(total[p, k])], ["piece", "k", "n"])
+                groups, which, text, _ = different_words(v, texts)
+                if not len(which):
+                    continue
+                # How often each different word occurs in each language.
+                used, times = np.unique(which * np.int64(len(langs)) + lang[text], return_counts=True)
+                word, spoken = used // len(langs), used % len(langs)
+                parts_k, parts_n = [keys], [sums]
+                for names, s in groups:
+                    for some, symbols, inner in windows(s):
+                        row, piece, share = v.expected(symbols, inner)
+                        row = names[some][row]
+                        lo, hi = np.searchsorted(word, row), np.searchsorted(word, row, "right")
+                        at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))
+                        parts_k.append(np.repeat(piece, hi - lo).astype(np.int64) * len(langs) + spoken[at])
+                        parts_n.append(np.repeat(share, hi - lo) * times[at])
+                keys, inverse = np.unique(np.concatenate(parts_k), return_inverse=True)
+                sums = np.bincount(inverse, np.concatenate(parts_n), len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array((keys // max(1, len(langs))).astype(np.int32)), pa.array((keys % max(1, len(langs))).astype(np.int32)), pa.array(sums)], ["piece", "k", "n"])
 
     found = rows.mapInArrow(count, "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas() if langs else pd.DataFrame({"piece": [], "k": [], "n": []})
-    v = pieces(vocabulary)
-    n = np.zeros((v.size, len(langs)))
-    n[found["piece"].to_numpy(dtype=int), found["k"].to_numpy(dtype=int)] = found["n"].to_numpy()
-    both = n.sum(axis=1) + 0.5
-    share = smooth * n.sum(axis=0) + 1
-    prob = (n + share * (both / both.sum())[:, None]) / (n.sum(axis=0) + share)
     prior = np.log(np.array([per[x] for x in langs], dtype=float) / max(1, sum(per.values())))
-    return langs, prior, prob
+    return Model(langs, prior, pieces(vocabulary).size, found["piece"].to_numpy(dtype=np.int64), found["k"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=float), smooth)
+
+
+def log_words(v: Pieces, model: Model, s: np.ndarray) -> np.ndarray:
+    """Log-probabilities of words [row, language]."""
+    logs = np.empty((len(s), len(model.langs)))
+    for first in range(0, len(model.langs), TOGETHER):
+        prob = model.prob(first)
+        step = max(1, 2_000_000 // ((v.longest + 1) * prob.shape[1]))
+        for k in range(0, len(s), step):
+            logs[k : k + step, first : first + prob.shape[1]] = v.forward(s[k : k + step], prob)
+    return logs
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every whole text.
 
     lang_pred: the language of the highest posterior (ties: the first by name), `und` where the text is null or has no letter, or no language is known; score: that
-    posterior, 0 for `und`. Ids may be null or repeat; other columns are not looked at.
+    posterior, 0 for `und`. Ids may be null or repeat; other columns are not looked at. Runs of letters are segmented whole, whatever their length and script.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -205,24 +319,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], vo
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(vocabulary)
-        langs, prior, prob = sent.value
+        langs, prior = sent.value.langs, sent.value.prior
         for batch in batches:
             for part, texts in textvec.parts(batch, chars=1 << 20):
-                s, which, text = different_words(v, texts)
+                groups, which, text, known = different_words(v, texts)
+                if not langs:
+                    known[:] = False
                 total = np.tile(prior, (len(texts), 1))
-                if len(s) and langs:
-                    length = (s > 0).sum(axis=1)
-                    logs = np.empty((len(s), len(langs)))
-                    step = max(1, 2_000_000 // (s.shape[1] * len(langs)))
-                    for k in range(0, len(s), step):
-                        some = s[k : k + step]
-                        a = v.forward(some, prob)
-                        logs[k : k + step] = np.log(np.maximum(a[length[k : k + step], np.arange(len(some))], 1e-300))
+                if len(which) and langs:
+                    logs = np.empty((int(which.max()) + 1, len(langs)))
+                    for names, s in groups:
+                        logs[names] = log_words(v, sent.value, s)
                     for k in range(len(langs)):
                         total[:, k] += np.bincount(text, logs[which, k], len(texts))
+                if langs:
                     top = total.argmax(axis=1)
                     best = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                known = (np.bincount(text, minlength=len(texts)) > 0) & bool(langs)
                 lang = [langs[top[k]] if known[k] else "und" for k in range(len(texts))]
                 posterior = [float(best[k]) if known[k] else 0.0 for k in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(posterior, pa.float64())], ["id", "lang_pred", "score"])

@@ -210,22 +210,74 @@ def test_langid(spark, docs, hard):
     assert langid.predict(empty(hard), model, vocabulary).count() == 0
 
 
+def segmentations(v, s, prob, at=0):
+    """The sum over all segmentations of one row of symbols, by enumeration."""
+    if at == len(s):
+        return 1.0
+    ends = {j: int(p[0]) for j, _, p in v.matches(s[None, :], at)}
+    return sum(prob[p] * segmentations(v, s, prob, j) for j, p in ends.items())
+
+
 def test_forward_sums_all_segmentations():
     v = langid.pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    rng = np.random.default_rng(0)
-    prob = rng.random((v.size, 2))
-    s, which, _ = langid.different_words(v, ["theß"])
-    found = {}
-    for i, j, rows, p in v.matches(s):
-        for r, x in zip(rows, p, strict=True):
-            found[(int(r), i, j)] = int(x)
-    length = int((s[0] > 0).sum())
-
-    def total(at, k):
-        return 1.0 if at == length else sum(prob[p, k] * total(j, k) for (r, i, j), p in found.items() if r == 0 and i == at)
-
-    a = v.forward(s, prob)[length, 0]
-    assert np.allclose(a, [total(0, 0), total(0, 1)])
+    prob = np.random.default_rng(0).random((v.size, 2))
+    for word in ("theß", "Привет", "हिन्दी", "中文字", "ꙮtest"):
+        [(_, s)], _, _, _ = langid.different_words(v, [word])
+        want = np.log([segmentations(v, s[0], prob[:, k]) for k in (0, 1)])
+        assert np.allclose(v.forward(s, prob)[0], want)
+
+
+def test_document_score_by_enumeration(spark):
+    """The posterior of whole texts against sums over enumerated segmentations with the fitted probabilities."""
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    train = [(1, "the cat and the hat", "en"), (2, "der hut und die katze", "de"), (3, "le chat et la", "fr"), (4, "the dog", "en")]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), vocabulary)
+    texts = ["the hat", "Die Katze", "la die the", "chat!"]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, vocabulary).collect()}
+    v, prob = langid.pieces(vocabulary), model.prob(0)
+    assert np.allclose(prob.sum(axis=0), 1)
+    for k, t in enumerate(texts):
+        logs = model.prior.copy()
+        for w in re.findall(r"[^\W\d_]+", t):
+            [(_, s)], _, _, _ = langid.different_words(v, [w])
+            logs += np.log([segmentations(v, s[0], prob[:, j]) for j in range(3)])
+        post = np.exp(logs - logs.max())
+        post /= post.sum()
+        assert got[k]["lang_pred"] == model.langs[post.argmax()] and abs(got[k]["score"] - post.max()) < 1e-9
+
+
+def test_long_runs_are_segmented_whole(spark):
+    """No cut at any length: a run's probability is that of one long recursion, and expected counts by windows are those of the whole."""
+    v = langid.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(2)
+    prob = rng.random((v.size, 2)) / 50
+    word = "".join(rng.choice(list("etaoinshrdlu"), 3000))
+    [(_, s)], _, _, _ = langid.different_words(v, [word])
+    logs = np.full(s.shape[1] + 1, -np.inf)
+    logs[0] = 0
+    for i in range(s.shape[1]):
+        for j, _, p in v.matches(s, i):
+            logs[j] = np.logaddexp(logs[j], logs[i] + np.log(prob[p[0], 0]))
+    assert abs(v.forward(s, prob)[0, 0] - logs[-1]) < 1e-6
+    whole = np.zeros(v.size)
+    for row, piece, n in [v.expected(s)]:
+        np.add.at(whole, piece, n)
+    parts = np.zeros(v.size)
+    for _, symbols, inner in langid.windows(s):
+        _, piece, n = v.expected(symbols, inner)
+        np.add.at(parts, piece, n)
+    assert np.abs(whole - parts).max() < 1e-6
+
+
+def test_langid_other_scripts(spark):
+    """Languages that share a script differ by their pieces, in scripts of any block."""
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    train = [("hi", "यह एक किताब है और वह घर में है"), ("mr", "हे एक पुस्तक आहे आणि तो घरात आहे"), ("ja", "これは本です。私は家にいます"), ("zh", "这是一本书。我在家里"), ("vi", "đây là một quyển sách và tôi ở nhà")] * 3
+    df = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(train)], "doc_id long, text string, lang string")
+    model = langid.fit(df, vocabulary)
+    ask = [(1, "वह किताब घर में है"), (2, "तो पुस्तक आहे आणि घरात"), (3, "私は本です"), (4, "我在这里一本书"), (5, "tôi ở nhà và sách")]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame(ask, "doc_id long, text string"), model, vocabulary).collect()}
+    assert got == {1: "hi", 2: "mr", 3: "ja", 4: "zh", 5: "vi"}
 
 
 # 4 Inverted multi-index
