@@ -1,19 +1,22 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base patterns (e-mail, IP address, card, phone) are always spans. Further candidates (credentials, access keys, local phone numbers,
-written-out e-mails, social security numbers, names) get votes of labelers: shape, context, gazetteer, character variety and
+written-out e-mails, social security numbers, names) get votes of labelers: shape, context, gazetteer (an equi-join of their words with a table), character variety and
 counter-evidence. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, and a
-logistic model fitted to the resulting probabilities decides for each candidate.
+logistic model on the votes, the span (its kind, length, digits and capitals) and the words beside it, fitted to the resulting probabilities, decides for each candidate.
+Texts are read once: a narrow table of base spans and candidates is written, and the rest works on that.
 """
 
 from __future__ import annotations
 
-from itertools import product
 from math import exp, log
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LOCAL = "[A-Za-z0-9._%+-]"
 # Each pattern finds just what its plain form in the comment finds from the left; guards and possessive repeats keep it linear and free of recursion.
 EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -30,13 +33,18 @@ MORE = {
     "email_text": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
 }
-# First names that the gazetteer labeler knows, and words that the context labelers look for.
-FIRST_NAMES = ["James", "Mary", "John", "Linda", "Robert", "Anna", "Michael", "Maria", "David", "Laura", "Peter", "Julia", "Hans", "Claire", "Pierre", "Carlos", "Elena", "Thomas", "Sofia", "Paul"]
+# Words of the gazetteer that is used if none is given.
+FIRST_NAMES = ["james", "mary", "john", "linda", "robert", "anna", "michael", "maria", "david", "laura", "peter", "julia", "hans", "claire", "pierre", "carlos", "elena", "thomas", "sofia", "paul"]
+CREDENTIAL_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "akia", "asia"]
+#: A gazetteer, or list of rows that it knows, of at most so many rows is sent to every executor; a longer one is joined by a shuffle.
+MOST_SENT = 200_000
+# Words that the context labelers look for.
 CUES = r"(?i)(password|passwd|secret|token|credential|login|key|call|phone|tel|fax|mobile|contact|mail|write|ssn|social|security|name|signed|regards|dear)[^A-Za-z0-9]{0,6}$"
 AGAINST = r"(?i)(example|sample|dummy|placeholder|version|page|isbn|order|ticket)[^A-Za-z0-9]{0,6}$"
 LABELERS = ("shape", "context", "gazetteer", "variety", "against")
 SPAN = "array<struct<s:int,e:int,kind:string,t:string>>"
-VOTED = "array<struct<s:int,e:int,kind:string,v:array<int>>>"
+#: Buckets of the span classifier's features: kind, length, share of digits, share of capitals, word before, word after.
+BUCKETS = (len(MORE), 4, 4, 4, 3, 3)
 
 
 def spans(text: str, kind: str, pattern: str, guard: Column, df: DataFrame) -> DataFrame:
@@ -73,8 +81,21 @@ def luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def bucket(x: Column, bounds: tuple[float, ...]) -> Column:
+    """How many of the bounds x reaches."""
+    return sum((F.when(x >= b, 1).otherwise(0) for b in bounds[1:]), F.when(x >= bounds[0], 1).otherwise(0))
+
+
+def word_class(x: Column) -> Column:
+    """0: no letter there, 1: small letters, 2: a capital."""
+    return F.when(x.rlike("^[A-Z]"), 2).when(x.rlike("^[a-z]"), 1).otherwise(0)
+
+
 def candidates(df: DataFrame, text: str) -> DataFrame:
-    """df with a column voted: candidates beyond the base spans, apart from each other and from these (but a secret may hold base spans), and the labelers' votes (-1, 0, 1)."""
+    """df with columns base and voted: candidates beyond the base spans, apart from each other and from these (but a secret may hold base spans).
+
+    Each has v: votes (-1, 0, 1) of all labelers but the gazetteer, f: feature buckets, words: what the gazetteer is asked for.
+    """
     t = F.col(text)
     guards = {
         "secret": t.contains("=") | t.contains(":") | t.contains("AKIA") | t.contains("ASIA"),
@@ -97,14 +118,45 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
         yes = lambda c, no=0: F.when(c, 1).otherwise(no)
         shape = yes(x["t"].rlike("[0-9]{2}|(?i)^(mr|mrs|ms|dr|herr|frau)|\\(at\\)|\\[at\\]"), -1)
         context = yes(before.rlike(CUES) | x["t"].rlike(r"^[A-Za-z_]{3,10}\x20?[=:]"))
-        known = yes(x["t"].rlike(rf"^(AKIA|ASIA)|[Pp]assw|[Tt]oken|[Ss]ecret|\b({'|'.join(FIRST_NAMES)})\b"))
         variety = yes(F.size(F.array_distinct(F.split(x["t"], ""))) >= 8, -1)
         against = F.when(before.rlike(AGAINST), -1).otherwise(0)
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), F.array(shape, context, known, variety, against).alias("v"))
+        share = lambda pattern: F.length(F.regexp_replace(x["t"], pattern, "")) / F.length(x["t"])
+        kind = F.array_position(F.array(*[F.lit(k) for k in MORE]), x["kind"]) - 1
+        sides = [word_class(F.regexp_extract(before, r"([^\s]+)\s*$", 1)), word_class(F.regexp_extract(F.substring(t, x["e"] + 1, F.lit(16)), r"^\s*(\S+)", 1))]
+        features = [kind, bucket(F.length(x["t"]), (12, 24, 48)), bucket(share("[^0-9]"), (0.001, 0.3, 0.7)), bucket(share("[^A-Z]"), (0.001, 0.3, 0.7)), *sides]
+        low = F.lower(x["t"])
+        words = F.array_distinct(F.concat(F.split(low, "[^a-z]+"), F.array(F.substring(low, 1, 4))))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), F.array(shape, context, variety, against).alias("v"), F.array(*[f.cast("int") for f in features]).alias("f"), words.alias("words"))
 
     return df.withColumn("voted", F.transform("more", votes))
 
 
+def default_gazetteer(spark: SparkSession) -> DataFrame:
+    """First names and words for credentials: (word), in small letters."""
+    return spark.createDataFrame([(w,) for w in FIRST_NAMES + CREDENTIAL_WORDS], "word string")
+
+
+def survey(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), gazetteer: DataFrame | None = None, with_text: bool = False) -> DataFrame:
+    """One row for each input row, written in the shared folder: id, n_<kind>, base, voted (s, e, kind, v: votes of LABELERS, f: feature buckets), keep_<column>, and text if asked for."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    df = candidates(base_spans(rows, "text"), "text")
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    bare = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    names = ["id", *(["text"] if with_text else []), *[f"keep_{c}" for c in keep]]
+    found = cut(df.select(*names, *counts, bare.alias("base"), "voted", F.monotonically_increasing_id().alias("row")))
+    gazetteer = default_gazetteer(docs.sparkSession) if gazetteer is None else gazetteer
+    known_words = gazetteer.select(F.lower("word").alias("word")).where("word <> ''").distinct()
+    sent = lambda df: F.broadcast(df) if df.count() <= MOST_SENT else df
+    asked = found.where(F.size("voted") > 0).select("row", F.posexplode("voted").alias("k", "x")).select("row", "k", F.explode("x.words").alias("word"))
+    known = cut(asked.join(sent(known_words), "word").groupBy("row").agg(F.collect_set("k").alias("known")))  # places in one text
+    met = found.join(sent(known.withColumnRenamed("row", "known_row")), F.col("row") == F.col("known_row"), "left")
+    hit = lambda k: F.when(F.array_contains(F.coalesce("known", F.array().cast("array<int>")), k), 1).otherwise(0)
+    votes = lambda x, k: F.array(x["v"][0], x["v"][1], hit(k), x["v"][2], x["v"][3])
+    voted = F.transform("voted", lambda x, k: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), votes(x, k).alias("v"), x["f"].alias("f")))
+    return met.withColumn("voted", voted).drop("known", "known_row", "row")
+
+
 def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
     """The probability that a candidate with these votes is personal data: two classes, labelers independent within each; by expectation-maximisation."""
     if not counts:
@@ -127,55 +179,71 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[
     return p
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = 300, rate: float = 0.5) -> list[float]:
-    """Weights of the span classifier: bias, and for each labeler one for a vote for and one for a vote against.
+def fit(found: DataFrame, rounds: int = 400, rate: float = 1.0) -> list[float]:
+    """Weights of the span classifier from what survey() found: bias, for each labeler one for a vote for and one for a vote against, and one for each feature bucket.
 
-    Counts of vote patterns (at most 3 ** 5) are all that comes to the driver.
+    Counts of different (votes, features) come to the driver: less than 3 ** 5 times the product of BUCKETS, whatever the input.
     """
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = candidates(base_spans(rows, "text"), "text").select(F.explode("voted.v").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    counts = {tuple(r["v"]): r["n"] for r in rows.collect()}
+    rows = found.select(F.explode("voted").alias("x")).groupBy(F.col("x.v").alias("v"), F.col("x.f").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts: dict[tuple[int, ...], int] = {}
+    for r in rows:
+        counts[tuple(r["v"])] = counts.get(tuple(r["v"]), 0) + r["n"]
     target = reliabilities(counts)
-    # A little belief in the labelers as they are, so that patterns not seen are decided by majority.
-    pairs = [(v, float(n), target[v]) for v, n in counts.items()] + [(v, 0.01, 1 / (1 + exp(-2 * sum(v)))) for v in product((-1, 0, 1), repeat=len(LABELERS))]
-    total = sum(n for _, n, _ in pairs)
-    x = [[1.0, *[float(a == 1) for a in v], *[float(a == -1) for a in v]] for v, _, _ in pairs]
-    w = [0.0] * (2 * len(LABELERS) + 1)
+    pairs = [(tuple(r["v"]), tuple(r["f"]), float(r["n"]), target[tuple(r["v"])]) for r in rows]
+    return logistic(pairs, rounds, rate)
+
+
+def logistic(pairs: list[tuple[tuple[int, ...], tuple[int, ...], float, float]], rounds: int, rate: float) -> list[float]:
+    """Weights fitted to (votes, feature buckets, number, probability); each labeler is believed a little from the start, and weights are drawn to that."""
+    n_votes = len(LABELERS)
+    size = 1 + 2 * n_votes + sum(BUCKETS)
+    prior = np.zeros(size)
+    prior[1 : 1 + n_votes], prior[1 + n_votes : 1 + 2 * n_votes] = 2.0, -2.0
+    if not pairs:
+        return prior.tolist()
+    x = np.zeros((len(pairs), size))
+    x[:, 0] = 1
+    first = np.concatenate(([0], np.cumsum(BUCKETS)[:-1])) + 1 + 2 * n_votes
+    for k, (v, f, _, _) in enumerate(pairs):
+        x[k, 1 : 1 + n_votes], x[k, 1 + n_votes : 1 + 2 * n_votes] = np.equal(v, 1), np.equal(v, -1)
+        x[k, first + np.array(f)] = 1
+    n, y = np.array([p[2] for p in pairs]), np.array([p[3] for p in pairs])
+    share = n / n.sum()
+    w = prior.copy()
     for _ in range(rounds):
-        slope = [0.002 * a for a in w]
-        for f, (_, n, y) in zip(x, pairs, strict=True):
-            d = 1 / (1 + exp(-sum(a * b for a, b in zip(w, f, strict=True)))) - y
-            for k, b in enumerate(f):
-                if b:
-                    slope[k] += n / total * d
-        w = [a - rate * b for a, b in zip(w, slope, strict=True)]
-    return w
-
+        w -= rate * (x.T @ (share * (1 / (1 + np.exp(-x @ w)) - y)) + 0.002 * (w - prior))
+    return w.tolist()
 
-def find(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base, found, text) for every row, and the columns named in keep.
 
-    base and found: arrays of (s, e, kind, t) with code-point positions, end exclusive; found holds the base spans and the accepted candidates, sorted
-    by start, then kind as listed. Null text counts as empty; ids may be null or repeat.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    df = candidates(base_spans(rows, "text"), "text")
+def decided(found: DataFrame, weights: list[float]) -> DataFrame:
+    """found with column found: base spans and accepted candidates, sorted by start, then kind as listed; base sorted alike."""
 
-    def logit(v: Column) -> Column:
-        out = F.lit(weights[0])
+    def logit(x: Column) -> Column:
+        out, at = F.lit(weights[0]), 1 + 2 * len(LABELERS)
         for k in range(len(LABELERS)):
-            out = out + F.when(v[k] == 1, weights[1 + k]).when(v[k] == -1, weights[1 + len(LABELERS) + k]).otherwise(0.0)
+            out = out + F.when(x["v"][k] == 1, weights[1 + k]).when(x["v"][k] == -1, weights[1 + len(LABELERS) + k]).otherwise(0.0)
+        for k, size in enumerate(BUCKETS):
+            out = out + F.array(*[F.lit(w) for w in weights[at : at + size]])[x["f"][k]]
+            at += size
         return out
 
-    fine = F.filter("voted", lambda x: logit(x["v"]) >= 0)
     order = {k: n for n, k in enumerate((*KINDS, *MORE))}
     number = lambda kind: F.coalesce(*[F.when(kind == k, n) for k, n in order.items()])
     by_place = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(x["s"].alias("s"), number(x["kind"]).alias("k"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    bare = lambda xs: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    df = df.withColumn("found", by_place(F.concat(bare("base"), bare(fine))))
-    df = df.withColumn("base", by_place(bare("base")))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return df.select(F.col("id").alias(id_col), *counts, "base", "found", "text", *[F.col(f"keep_{c}").alias(c) for c in keep])
+    fine = F.transform(F.filter("voted", lambda x: logit(x) >= 0), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    return found.withColumn("found", by_place(F.concat("base", fine))).withColumn("base", by_place(F.col("base"))).drop("voted")
+
+
+def find(docs: DataFrame, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), gazetteer: DataFrame | None = None) -> DataFrame:
+    """(id, n_email, n_ip, n_card, n_phone, base, found) for every row, and the columns named in keep.
+
+    base and found: arrays of (s, e, kind) with code-point positions, end exclusive; found holds the base spans and the accepted candidates, sorted
+    by start, then kind as listed. weights: of fit(); else fitted to these rows. gazetteer: a table with a column word. Null text counts as empty; ids may be null
+    or repeat, and each row has its own result; texts may be of any length, and a span ends where the value ends; other columns may have any names.
+    """
+    found = survey(docs, id_col, text_col, keep, gazetteer)
+    out = decided(found, fit(found) if weights is None else weights)
+    return out.select(F.col("id").alias(id_col), *[f"n_{k}" for k in KINDS], "base", "found", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def listed(xs: str) -> Column:
@@ -198,12 +266,13 @@ def redacted(text: str, xs: str) -> Column:
     return F.when(F.size(xs) > 0, whole).otherwise(t)
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows with all spans found in the text replaced; null texts stay null; other columns as they are."""
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gazetteer: DataFrame | None = None) -> DataFrame:
+    """The input rows with all spans found in the text replaced; null texts stay null; other columns, whatever their names, as they are; repeated rows stay repeated; any text length."""
     names = docs.columns
     own = {c: f"loomstat_{k}" for k, c in enumerate(names)}
     rows = docs.select(*[F.col(c).alias(own[c]) for c in names], F.col(text_col).isNull().alias("loomstat_null"))
     rest = tuple(own[c] for c in names if c not in (id_col, text_col))
-    out = find(rows, fit(docs, text_col), own[id_col], own[text_col], keep=(*rest, "loomstat_null"))
-    out = out.withColumn(own[text_col], F.when(~F.col("loomstat_null"), redacted("text", "found")))
-    return out.select(*[F.col(own[c]).alias(c) for c in names])
+    found = survey(rows, own[id_col], own[text_col], (*rest, "loomstat_null"), gazetteer, with_text=True)
+    out = decided(found, fit(found))
+    made = {id_col: F.col("id"), text_col: F.when(~F.col("keep_loomstat_null"), redacted("text", "found"))}
+    return out.select(*[made.get(c, F.col(f"keep_{own[c]}")).alias(c) for c in names])

@@ -99,7 +99,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 
 def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = pii.find(docs, pii.fit(docs))
+    out = pii.find(docs)
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("found").alias("spans"))
 
 

@@ -446,7 +446,7 @@ def test_pii_base(spark, docs, hard):
     fuzz = ["".join(rng.choices(["a", "@", ".", "b", "1", "22", "4111", " ", "-", "+", "(", "\n", "é"], k=rng.randrange(40))) for _ in range(600)]
     texts = TRICKY + fuzz + ["4111 1111 1111 1111 and 378282246310005"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("email", F.lit("clash")).withColumn("base", F.lit(1)).repartition(4)
-    weights = pii.fit(df)
+    weights = pii.fit(pii.survey(df, "doc_id", "text"))
     out = pii.find(df, weights)
     got = {r["doc_id"]: r for r in out.select("*", pii.listed("base").alias("b"), pii.listed("found").alias("f")).collect()}
     for k, t in enumerate(texts):
@@ -458,7 +458,55 @@ def test_pii_base(spark, docs, hard):
         b = plain_spans(r["text"])
         assert real[r["doc_id"]] == (hashlib.sha256(b.encode()).hexdigest(), b.count("email:"))
     assert pii.find(hard, weights).count() == len(HARD)
-    assert pii.find(empty(hard), pii.fit(empty(hard))).count() == 0
+    assert pii.find(empty(hard)).count() == 0
+
+
+def plain_reliabilities(votes, rounds=60):
+    """EM over single candidates, two classes, labelers independent within each."""
+    v = np.array(votes)
+    p = 1 / (1 + np.exp(-v.sum(axis=1)))
+    for _ in range(rounds):
+        logs = np.zeros((2, len(v)))
+        for k, share in ((0, 1 - p), (1, p)):
+            weight = 1 + share.sum()
+            logs[k] = np.log(weight)
+            for j in range(v.shape[1]):
+                for x in (-1, 0, 1):
+                    logs[k][v[:, j] == x] += np.log((0.5 + share[v[:, j] == x].sum()) / (weight + 0.5))
+        p = 1 / (1 + np.exp(logs[0] - logs[1]))
+    return p
+
+
+def test_pii_em_and_classifier():
+    """EM over counted vote patterns is EM over candidates; the classifier's weights are where the penalised loss is flat, and features decide where votes don't."""
+    rng = np.random.default_rng(0)
+    truth = rng.random(500) < 0.4
+    votes = [tuple(int(a) for a in np.where(rng.random(5) < 0.8, np.where(t, 1, -1), 0) * np.array([1, 1, 1, 1, -1 if t else 1])) for t in truth]
+    counts = {v: votes.count(v) for v in set(votes)}
+    got = pii.reliabilities(counts)
+    assert np.allclose([got[v] for v in votes], plain_reliabilities(votes), atol=1e-9)
+    assert pii.reliabilities({}) == {}
+    pairs = [((0, 0, 0, 0, 0), (0, 3, 2, 0, 1, 1), 30.0, 0.98), ((0, 0, 0, 0, 0), (4, 0, 0, 1, 2, 2), 30.0, 0.03), ((1, 0, 0, 1, 0), (0, 2, 2, 0, 1, 0), 9.0, 0.99)]
+    w = np.array(pii.logistic(pairs, 20_000, 1.0))
+    first = np.concatenate(([0], np.cumsum(pii.BUCKETS)[:-1])) + 11
+
+    def score(v, f):
+        return w[0] + sum(w[1 + k] * (a == 1) + w[6 + k] * (a == -1) for k, a in enumerate(v)) + sum(w[b + x] for b, x in zip(first, f, strict=True))
+
+    assert score(*pairs[0][:2]) > 0 > score(*pairs[1][:2])
+    off = sum(n / 69 * (1 / (1 + np.exp(-score(v, f))) - y) for v, f, n, y in pairs) + 0.002 * w[0]
+    assert abs(off) < 1e-4
+
+
+def test_pii_gazetteer(spark):
+    """The gazetteer is a table: a name that it holds is known, and repeated rows, null ids and clashing columns keep their own results."""
+    texts = ["signed Mr. Xaver Quill", "signed Mr. Xaver Quill", "signed Dr. Nobody Here", None, "password: hunter2hunter2x"]
+    df = spark.createDataFrame([(None if k == 1 else k % 3, t, "x") for k, t in enumerate(texts)], "doc_id int, text string, row string").repartition(2)
+    words = spark.createDataFrame([("XAVER",), ("xaver",), (None,), ("",)], "word string")
+    votes = {r["id"]: r["voted"][0]["v"] for r in pii.survey(df, "doc_id", "text", gazetteer=words).where("size(voted) > 0").collect()}
+    assert votes[0][2] == votes[None][2] == 1 and votes[2][2] == 0
+    assert pii.find(df, gazetteer=words).count() == 5
+    assert pii.redact(df, gazetteer=empty(words)).columns == df.columns
 
 
 def test_pii_redact(spark):
