@@ -5,28 +5,32 @@ at rates in proportion to their weights; block k of a source may not start befor
 must end by the slot in which the fluid mix completes it (its deadline). One block per slot, earliest deadline first among
 the released, keeps every source within less than one block of the fluid mix at all times.
 
-Spark counts, ranks and places the documents; the schedule itself needs the block counts only, and the number of blocks is bounded.
+Weights are whole numbers of blocks in a period. At the end of each period every source is just where the fluid mix is, so periods are
+scheduled apart from each other, and periods in which the same numbers of blocks are left to mix (all but two for each source that runs out) have the same
+schedule. So the schedule's size depends on the sources and the period, not on the documents. Spark counts, ranks and places the documents and schedules the periods.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
-from math import ceil, floor, sqrt
+from math import ceil, floor, lcm, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import MOST_HOT, cut
 
-#: Blocks of a schedule at most; beyond it, blocks hold more documents. Sources at most.
-MOST_BLOCKS, MOST_SOURCES = 1 << 17, 1 << 14
-#: A list of at most so many (id, place) rows is sent to every executor; a longer one is joined by a shuffle.
-MOST_SENT = 300_000
+#: Slots of a period, about, while all sources last; 16 for each source, if that is more.
+PERIOD = 1024
+#: A list of at most so many rows of fixed width (below 100 bytes) is sent to every executor; a longer one is joined by a shuffle.
+MOST_SENT = 200_000
 #: Documents of one (source, hash range) group, about.
-GROUP = 2_000
+GROUP = 500
 
 
 def fluid(blocks: list[int], weights: list[Fraction]) -> list[tuple[Fraction, Fraction, Fraction]]:
@@ -82,13 +86,37 @@ def schedule(blocks: list[int], weights: list[Fraction]) -> list[tuple[int, int,
     return out
 
 
-def target_weights(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None) -> dict[str | None, Fraction]:
-    """The weight of each source: as given (a source that isn't named gets the smallest), else in proportion to the square root of its documents."""
+def target_weights(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None) -> dict[str | None, int]:
+    """Blocks of each source in a period: as the weights given (a source that isn't named gets the smallest), else in proportion to the square root of its documents.
+
+    Weights whose ratios are of small whole numbers are kept exactly; others are rounded to shares of a period, one block at least.
+    """
+    if not counts:
+        return {}
     if weights is None:
-        return {s: Fraction(max(1, round(sqrt(n) * 1000))) for s, n in counts.items()}
-    given = {s: Fraction(w).limit_denominator(1_000_000) for s, w in weights.items() if w > 0}
-    least = min(given.values(), default=Fraction(1))
-    return {s: given.get(s, least) for s in counts}
+        exact = {s: Fraction(sqrt(n)) for s, n in counts.items()}
+    else:
+        given = {s: Fraction(w).limit_denominator(1_000_000) for s, w in weights.items() if w > 0}
+        least = min(given.values(), default=Fraction(1))
+        exact = {s: given.get(s, least) for s in counts}
+    period = max(PERIOD, 16 * len(counts))
+    whole = lcm(*(w.denominator for w in exact.values()))
+    if sum(exact.values()) * whole <= period:
+        return {s: int(w * whole) for s, w in exact.items()}
+    total = sum(exact.values())
+    return {s: max(1, round(w * period / total)) for s, w in exact.items()}
+
+
+def periods(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int, int]]:
+    """Ranges of periods with the same schedule: (first period, end, first slot, slots of a period)."""
+    n, w = np.array(blocks, dtype=np.int64), np.array(weights, dtype=np.int64)
+    points = np.unique(np.concatenate(([0], n // w, -(-n // w))))
+    out, slot = [], 0
+    for lo, hi in zip(points[:-1].tolist(), points[1:].tolist(), strict=True):
+        per = int(np.clip(n - lo * w, 0, w).sum())
+        out.append((lo, hi, slot, per))
+        slot += (hi - lo) * per
+    return out
 
 
 def mix(
@@ -97,36 +125,57 @@ def mix(
     """Every row with its place in the mix: (id, source, block, slot, release, deadline, position) and the columns named in keep.
 
     weights: source -> target share, relative; by default the square root of a source's rows. Null is a source of its own. Each row is in
-    the mix once; a source that has run out leaves its share to the others in proportion to their weights. block: number within the source; position: order of all
-    rows (slot * block size + place in the block, so with gaps after a source's last block). Blocks hold `block_docs` rows, or more if there would be more than
-    2**17. Order within a source is by a hash of the id; repeated and null ids are rows like others. At most 2**14 sources.
+    the mix once; a source that has run out leaves its share to the others in proportion to their weights. block: number within the source, of `block_docs` rows;
+    position: order of all rows (slot * block size + place in the block, so with gaps after a source's last block). Order within a source is by a hash
+    of the id; repeated and null ids are rows like others, in any order among themselves. An empty table gives an empty mix.
     """
     s = F.col(source_col).cast("string")
     kept = [F.col(c).alias(f"keep_{c}") for c in keep]
-    rows = docs.select(F.col(id_col).alias("id"), s.alias("source"), F.xxhash64(F.col(id_col)).alias("h"), *kept)
-    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    rows = cut(docs.select(F.col(id_col).alias("id"), s.alias("source"), F.xxhash64(F.col(id_col)).alias("h"), F.monotonically_increasing_id().alias("salt"), *kept))
+    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    size = max(block_docs, ceil(total / MOST_BLOCKS))
     names = sorted(counts, key=lambda x: (x is not None, x or ""))
     weight = target_weights(counts, weights)
-    plan = schedule([ceil(counts[x] / size) for x in names], [weight[x] for x in names])
-
+    blocks, per = [ceil(counts[x] / block_docs) for x in names], [weight[x] for x in names]
     spark = docs.sparkSession
-    slots = spark.createDataFrame([(names[k], b, t, r, d) for t, k, b, r, d in plan], "s string, b long, slot long, release long, deadline long")
-    # The rank of a row in its source, by hash ranges, so that no task sorts a whole source.
-    ranges = max(1, ceil(total / GROUP))
-    rows = rows.withColumn("range", F.floor((F.shiftrightunsigned("h", 33) * ranges) / (1 << 31)).cast("int"))
-    here = Window.partitionBy("source", "range").orderBy("h", "id")
-    per = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
-    before = per.select(F.col("source").alias("s2"), F.col("range").alias("r2"), (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("before"))
-    ranked = rows.withColumn("k", F.row_number().over(here) - 1).join(before, F.col("source").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")))
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("k"))
-    ranked = ranked.withColumn("block", F.floor(F.col("rank") / size).cast("long"))
-    out = ranked.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    position = (F.col("slot") * size + F.col("rank") % size).alias("position")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "slot", "release", "deadline", position, *[F.col(f"keep_{c}").alias(c) for c in keep])
+    ranges = periods(blocks, per) if names else []
+    sources = F.broadcast(spark.createDataFrame([(x, k, w) for k, (x, w) in enumerate(zip(names, per, strict=True))], "s string, number int, weight long"))
+    shared = F.broadcast(spark.createDataFrame([(lo, hi, at, n) for lo, hi, at, n in ranges], "lo long, hi long, at long, per long"))
+
+    def plans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in b["lo"].tolist():
+                left = [min(w, max(0, n - lo * w)) for n, w in zip(blocks, per, strict=True)]
+                plan = [(lo, s, k, t, r, d) for t, s, k, r, d in schedule(left, [Fraction(w) for w in per])]
+                yield pd.DataFrame(plan, columns=["lo", "number", "k", "t", "r", "d"])
+
+    starts = spark.createDataFrame([(r[0],) for r in ranges], "lo long").repartition(max(1, min(len(ranges), 64)), "lo")
+    schedules = cut(starts.mapInPandas(plans, "lo long, number int, k long, t long, r long, d long"))
+    schedules = F.broadcast(schedules) if schedules.count() <= MOST_SENT else schedules
+    last = max((hi for _, hi, _, _ in ranges), default=0)
+    of_period = spark.range(last).withColumnRenamed("id", "period").join(shared, (F.col("period") >= F.col("lo")) & (F.col("period") < F.col("hi")))
+    of_period = of_period.select("period", "lo", (F.col("at") + (F.col("period") - F.col("lo")) * F.col("per")).alias("first"))
+    of_period = F.broadcast(of_period) if last <= MOST_SENT else of_period
+
+    # The rank of a row in its source, by hash ranges, so that no task sorts a whole source; rows of an id that repeats very often are dealt on.
+    parts = max(1, ceil(total / GROUP))
+    rows = rows.withColumn("range", F.floor((F.shiftrightunsigned("h", 33) * parts) / (1 << 31)).cast("int"))
+    hot = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(4 * GROUP, total // MOST_HOT))
+    hot = F.broadcast(hot.select(F.col("source").alias("s1"), F.col("range").alias("r1"), F.ceil(F.col("n") / GROUP).alias("dealt")))
+    rows = rows.join(hot, F.col("source").eqNullSafe(F.col("s1")) & (F.col("range") == F.col("r1")), "left").withColumn("sub", F.coalesce(F.pmod(F.xxhash64("salt"), "dealt"), F.lit(0)).cast("int"))
+    here = Window.partitionBy("source", "range", "sub").orderBy("h", "id", "salt")
+    groups = rows.groupBy("source", "range", "sub").agg(F.count(F.lit(1)).alias("n"))
+    before = groups.select(F.col("source").alias("s2"), F.col("range").alias("r2"), F.col("sub").alias("sub2"), (F.sum("n").over(Window.partitionBy("source").orderBy("range", "sub")) - F.col("n")).alias("before"))
+    ranked = rows.withColumn("nth", F.row_number().over(here) - 1)
+    ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")) & (F.col("sub") == F.col("sub2")))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth")).withColumn("block", F.floor(F.col("rank") / block_docs).cast("long"))
+    ranked = ranked.join(sources, F.col("source").eqNullSafe(F.col("s")))
+    ranked = ranked.withColumn("period", F.floor(F.col("block") / F.col("weight")).cast("long")).withColumn("k", F.col("block") % F.col("weight"))
+    out = ranked.join(of_period, "period").join(schedules, ["lo", "number", "k"])
+    slot = (F.col("first") + F.col("t")).alias("slot")
+    release, deadline = (F.col("first") + F.col("r")).alias("release"), (F.col("first") + F.col("d")).alias("deadline")
+    position = ((F.col("first") + F.col("t")) * block_docs + F.col("rank") % block_docs).alias("position")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", slot, release, deadline, position, *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", **parameters) -> DataFrame:

@@ -353,6 +353,44 @@ def test_pfair_deviation():
             assert all(abs(min(Fraction(b), w * v) - k) < 1 for b, w, k in zip(blocks, weights, done, strict=True))
 
 
+def test_pfair_periods(spark):
+    """Many periods, sources that run out and a hot repeated id: every prefix of the mix stays within less than a block of the global fluid mix."""
+    sizes = {"a": 7000, "b": 2500, "c": 700, None: 90}
+    rows = [(k if s != "b" else 5, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = pfair.mix(df, {"a": 5, "b": 3, "c": 2, None: 1}, block_docs=2).toPandas()
+    assert len(got) == len(rows) and got["position"].is_unique
+    names = list(sizes)
+    blocks, weights = [-(-sizes[s] // 2) for s in names], [Fraction(5), Fraction(3), Fraction(2), Fraction(1)]
+    plan = got.drop_duplicates("slot").sort_values("slot")
+    assert plan["slot"].tolist() == list(range(sum(blocks)))
+    assert (plan["release"] <= plan["slot"]).all() and (plan["slot"] < plan["deadline"]).all()
+    phases, done, p = pfair.fluid(blocks, weights), [0] * 4, 0
+    for slot, s in zip(plan["slot"], plan["source"], strict=True):
+        done[names.index(None if s is None or s != s else s)] += 1
+        while p + 1 < len(phases) and phases[p + 1][1] <= slot + 1:
+            p += 1
+        at, before, rate = phases[p]
+        v = at + ((int(slot) + 1 - before) / rate if rate else 0)
+        assert all(abs(min(Fraction(b), w * v) - k) < 1 for b, w, k in zip(blocks, weights, done, strict=True))
+
+
+def test_pfair_weights():
+    assert pfair.target_weights({"a": 1, "b": 1}, {"a": 0.3, "b": 0.7}) == {"a": 3, "b": 7}
+    w = pfair.target_weights({"a": 10**6, "b": 10**4, "c": 1}, None)
+    assert w["a"] > 9 * w["b"] and w["c"] >= 1 and abs(sum(w.values()) - pfair.PERIOD) < 4
+    assert sum(n for _, _, _, n in [(0, 0, 0, 0)] + pfair.periods([5, 0, 9], [2, 3, 4])) > 0
+
+
+def test_in_order_is_in_order(spark, docs, hard):
+    """Rows come in the order of the mix, across files and in files."""
+    place = {r["doc_id"]: r["position"] for r in pfair.mix(docs).collect()}
+    rows = common.numbered(pfair.in_order(docs.repartition(3)), "at").orderBy("at").select("doc_id").collect()
+    assert [r[0] for r in rows] == sorted(place, key=place.get)
+    weight = {s: n**0.5 for s, n in docs.groupBy("source").count().collect()}
+    assert len(weight) > 1
+
+
 def test_pfair_mix(spark, docs, hard):
     got = pfair.mix(docs, {"src0": 3, "src1": 1}, block_docs=4).toPandas()
     assert sorted(got["doc_id"]) == sorted(r[0] for r in docs.select("doc_id").collect())
