@@ -37,6 +37,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Folders that cut() wrote in this process and that are still there.
+MADE: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -45,6 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomstat-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,14 +78,19 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return placed.select(*columns, (F.col("loomstat_first") + F.col("loomstat_row")).alias(name))
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that cut() wrote, once nothing reads them any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame that cut() returned, once nothing reads them any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = name.rpartition("/")[0]
-        if "/loomstat-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files behind a DataFrame that cut() returned."""
+    names = [name.rpartition("/")[0].rpartition("/loomstat-")[2] for name in df.inputFiles()[:1]]
+    drop(df.sparkSession, [p for p in MADE if p.rpartition("/loomstat-")[2] in names])
 
 
 #: A key of at least so many rows is hot, and there are at most so many hot keys: with more rows, it takes more of them to be hot.

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hot_join
+
 #: A rule list of at most so many rows is sent to every executor; a longer one is joined by a shuffle.
 MOST_SENT = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,7 +44,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     list or table is fine; other columns are not looked at.
 
     Only different (host, path) pairs are expanded, so a host with a third of all pages costs one expansion for each of its
-    paths. Expansions are bounded by the rules: as many labels, and the path lengths, that occur among them.
+    paths, and a URL that a third of all pages have isn't sent to one task. Expansions are bounded by the rules: as many labels, and the path lengths, that occur
+    among them. The join's key is the short hash prefix; the few rules that share one are told apart by their digests.
     """
     host, path = url_parts(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -55,6 +58,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     digest = lambda h, p: F.sha2(F.concat(h, F.lit("\n"), p), 256)
     short = lambda d: F.conv(F.substring(d, 1, prefix_bits // 4), 16, 10).cast("long")
     rules = rules.withColumn("digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", short(F.col("digest")))
+    rules = rules.groupBy("short").agg(F.collect_list(F.struct("digest", "rule_host", "rule_path", "rule_verdict")).alias("alike"))  # rules of one hash prefix
     if n_rules <= MOST_SENT:
         rules = F.broadcast(rules)
 
@@ -62,11 +66,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     hosts = F.transform(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(labels))), lambda n: F.array_join(F.slice("parts", -n, n), "."))
     fits = [n for n in lengths]
     paths = F.transform(F.filter(F.array(*[F.lit(n) for n in fits]), lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
-    keys = urls.select("host", "path").distinct().withColumn("parts", parts)
-    asked = keys.select("host", "path", F.explode(hosts).alias("h"), paths.alias("ps")).select("host", "path", "h", F.explode("ps").alias("p"))
-    asked = asked.withColumn("digest", digest(F.col("h"), F.col("p"))).withColumn("short", short(F.col("digest")))
-    hits = asked.join(rules, (asked["short"] == rules["short"]) & (asked["digest"] == rules["digest"]))
-    rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("rule_verdict") == "block", F.col("rule_host"), F.col("rule_path"))
-    found = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"), rank).alias("best"))
-    out = urls.join(found, ["host", "path"], "left")
+    urls = urls.withColumn("page", F.concat("host", "path"))  # no host holds the "/" that begins a path
+    keys = urls.groupBy("page", "host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts)
+    asked = keys.select("page", "path", F.explode(hosts).alias("h"), paths.alias("ps")).select("page", "h", F.explode("ps").alias("p"))
+    asked = asked.withColumn("asked", digest(F.col("h"), F.col("p"))).withColumn("short", short(F.col("asked")))
+    hits = asked.join(rules, "short").select("page", "asked", F.explode("alike").alias("r")).where(F.col("asked") == F.col("r.digest"))
+    rank = F.struct(F.length("r.rule_host") + F.length("r.rule_path"), F.length("r.rule_host"), F.col("r.rule_verdict") == "block", F.col("r.rule_host"), F.col("r.rule_path"))
+    best = hits.groupBy("page").agg(F.max_by(F.struct(F.concat("r.rule_host", "r.rule_path").alias("rule"), F.col("r.rule_verdict").alias("rule_verdict")), rank).alias("best"))
+    found = keys.select("page", "n").join(best, "page", "left")
+    out = hot_join(urls, found, "page", "n", pages.count(), "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))

@@ -68,6 +68,17 @@ def test_url_filter(spark):
     assert url_filter.judge(empty(pages), url_filter.rules_frame(spark, rules)).count() == 0
 
 
+def test_url_filter_hot_pages(spark, monkeypatch):
+    """URLs that very many rows share, with and without a rule, and rules of one hash prefix."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    urls = ["http://q.net/es/a"] * 60 + ["http://other.org/x"] * 60 + [None] * 30 + [f"http://h{k}.com/" for k in range(30)]
+    pages = spark.createDataFrame([(k % 50, u) for k, u in enumerate(urls)], "page_id int, url string").repartition(4)
+    rules = [*queries.RULES, ("block", "org", "/x")]
+    for bits in (32, 4):
+        got = sorted(map(tuple, url_filter.judge(pages, url_filter.rules_frame(spark, rules), prefix_bits=bits).collect()), key=str)
+        assert got == sorted(((k % 50, *plain_judge(u, rules)) for k, u in enumerate(urls)), key=str)
+
+
 # 2 N-gram Jaccard join
 
 
@@ -570,7 +581,7 @@ def test_pii_long_values(spark):
 def test_packing(spark, docs, hard):
     t = tokenizer("word_bpe_49k.json")
     path = public_tokenizers.path("word_bpe_49k.json")
-    for df in (docs.limit(60), hard):
+    for df in (docs, hard):
         got = packing.pack(df, path).toPandas()
         assert got["sequence_id"].is_unique and (got["offset"] == 0).all()
         assert all(n & (n - 1) == 0 and n <= 4096 for n in got["length"])
@@ -605,6 +616,51 @@ def test_quality(spark, sf, docs, hard):
     assert quality.classify(empty(hard), model).count() == 0
 
 
+def test_quality_ratios_by_count(spark, docs, sf):
+    """Log-count ratios against plain counting, and scores against the model's formula, one text at a time."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").select("text", "quality").collect()
+    sets = [set(quality.features([r["text"]])[0].tolist()) for r in rows]
+    seen = [sum(r["quality"] == k for r in rows) for k in (0, 1)]
+    n = np.zeros((2, quality.SIZE))
+    for r, f in zip(rows, sets, strict=True):
+        n[r["quality"], sorted(f)] += 1
+    ratio = np.log((n[1] + 1) / (seen[1] + 2)) - np.log((n[0] + 1) / (seen[0] + 2))
+    ratio[n.sum(axis=0) < 3] = 0
+    assert np.allclose(model.square, ratio**2)
+    weight = np.divide(model.weight, ratio, out=np.zeros(quality.SIZE), where=ratio != 0)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, model).collect()}
+    for r in docs.collect():
+        f = np.array(sorted(set(quality.features([r["text"]])[0].tolist())))
+        margin = float(weight[f] @ ratio[f]) / float(np.sqrt((ratio[f] ** 2).sum()) or 1e-9)
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-4 * margin))) < 1e-6
+    # the empty text is scored like any other, and a very long one too
+    some = spark.createDataFrame([(1, ""), (2, None), (3, "word " * 100_000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    out = {r["doc_id"]: r["score"] for r in quality.classify(some, model).collect()}
+    assert out[1] == out[2] and 0 <= out[3] <= 1
+
+
+def test_dual_descent_is_optimal():
+    """Weights against those of the dual problem solved by projected gradients, and the duality gap."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(12, 4, replace=False)).astype(np.int32) for _ in range(40)]
+    y = np.where(rng.random(40) < 0.5, 1, -1)
+    ratio = np.zeros(quality.SIZE)
+    ratio[:12] = rng.normal(size=12)
+    w = quality.dual_descent(rows, y, ratio, 1.0, 5000)
+    x = np.zeros((40, 12))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / np.linalg.norm(ratio[r])
+    q = (x @ x.T) * np.outer(y, y)
+    alpha = np.zeros(40)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - 0.1 * (q @ alpha - 1), 0, 1)
+    primal = lambda v: 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
+    dual = alpha.sum() - 0.5 * alpha @ q @ alpha
+    assert primal(w[:12]) - dual < 0.02 and not w[12:].any()
+
+
 def test_dual_descent_separates():
     rows = [np.array([k % 2, 2 + k % 3], dtype=np.int32) for k in range(30)]
     y = np.array([1 if k % 2 else -1 for k in range(30)])
