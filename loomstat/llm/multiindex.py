@@ -99,11 +99,12 @@ def near_vectors(
     rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, x).alias("x"))
     classes = rows.where("x is not null").groupBy("x").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
-    lengths = classes.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("d > 1 and n > 1")
-    found = [compare_few(classes.join(lengths.where(F.col("n") <= FEW).select("d"), F.size("x") == F.col("d")), similarity)]
     # One index for each length of many vectors.
-    for r in lengths.where(F.col("n") > FEW).orderBy("d").collect():
-        found.append(visit(classes.where(F.size("x") == r["d"]), r["n"], similarity, target, sample, per_cell, most_codewords, seed))
+    lengths = {r["d"]: r["n"] for r in classes.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).where((F.col("d") > 1) & (F.col("n") > FEW)).collect()}
+    few = classes.where((F.size("x") > 1) & ~F.size("x").isin([*lengths]))
+    found = [compare_few(few.withColumn("d", F.size("x")), similarity)]
+    for d, n in sorted(lengths.items()):
+        found.append(visit(classes.where(F.size("x") == d), n, similarity, target, sample, per_cell, most_codewords, seed))
     found = cut(reduce(DataFrame.unionByName, found))
     links = found.groupBy("c").agg(F.sum("n").alias("n"))
     group = components(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("c"), "component")
