@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .sizes import sent
 
 FORMATS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
@@ -49,5 +52,35 @@ def anomalies(df: DataFrame, field: str, threshold: float = 2.0) -> DataFrame:
 
 
 def inputs_hash(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """A digest of each group's rows that doesn't depend on their order: rows as canonical JSON, sorted. Groups are of bounded size (a region's hour)."""
-    return df.groupBy(*keys).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))), 256).alias("hash"))
+    """A digest of each group's rows that doesn't depend on their order: 60 bits of each half of a row's MD5 (of its canonical JSON), combined by sum and by exclusive or. No group is gathered."""
+    row = F.md5(F.to_json(F.struct(*fields)))
+    half = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("long")
+    rows = df.select(*keys, half(1).alias("a"), half(17).alias("b"))
+    text = lambda c: c.cast("string")
+    parts = [F.count(F.lit(1)), F.bit_xor("a"), F.bit_xor("b"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))]
+    return rows.groupBy(*keys).agg(F.sha2(F.concat_ws("|", *[text(p) for p in parts]), 256).alias("hash"))
+
+
+def percentiles(df: DataFrame, keys: list[str], field: str, shares: dict[str, float], ranges: int = 4096) -> DataFrame:
+    """(keys, one column for each share): exact percentiles, interpolated between neighbours, without holding a group's values.
+
+    Values are counted in equal ranges between a group's least and greatest; then the different values of just those ranges that hold a wanted rank are counted.
+    """
+    x = F.col(field).cast("double")
+    rows = df.where(x.isNotNull()).select(*keys, x.alias("x"))
+    ends = rows.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("total"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges), F.lit(ranges - 1))).otherwise(0).cast("int")
+    dealt = rows.join(sent(ends), keys).withColumn("range", place)
+    counts = dealt.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*keys).orderBy("range")  # at most `ranges` rows for each key
+    counts = counts.withColumn("from", F.sum("n").over(before) - F.col("n"))
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), (F.lit(q) * (F.col("total") - 1)).alias("at")) for name, q in shares.items()]
+    ranks = ends.select(*keys, F.explode(F.array(*wanted)).alias("w")).select(*keys, "w.name", "w.at", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("rank"))
+    hit = ranks.join(counts, keys).where("rank >= `from` and rank < `from` + n").select(*keys, "name", "at", "rank", "range", "from")
+    values = dealt.join(sent(hit.select(*keys, "range").distinct()), [*keys, "range"], "left_semi").groupBy(*keys, "range", "x").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*keys, "range").orderBy("x")
+    values = values.withColumn("upto", F.sum("n").over(inside))
+    found = hit.join(values, [*keys, "range"]).where("rank - `from` >= upto - n and rank - `from` < upto")
+    low, high = F.min_by("x", "rank"), F.max_by("x", "rank")
+    got = found.groupBy(*keys, "name").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias("v"))
+    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])

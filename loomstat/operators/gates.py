@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
-from pyspark.sql.window import Window
 
 from ..functions.columns import all_of, cases, hours_before, reasons
 from .limits import PROHIBITED, Limits
+from .slices import counts_within, gaps
 
 
 def gates(limits: Limits, as_of: Column) -> dict[str, Column]:
@@ -82,15 +82,15 @@ def delayed(df: DataFrame, as_of: Column, hours: int, ts: str = "ts") -> DataFra
 
 def dynamic_threshold(base: Column, seed: int, context: Column, day: Column) -> Column:
     """The base threshold, moved by a daily choice of -1, 0, 0, 0 or 1 that depends on seed, day and context; at least 3."""
-    pick = F.pmod(F.xxhash64(F.lit(seed), day, context), F.lit(5))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), day.cast("string"), context.cast("string"))), 1, 8), 16, 10).cast("long") % 5
     return F.greatest(base + F.when(pick == 0, -1).when(pick == 4, 1).otherwise(0), F.lit(3))
 
 
 def regularity(df: DataFrame, keys: list[str]) -> DataFrame:
     """Signs of coordination per key: 5 rows or more with regular short gaps, or one source with over 60 %."""
-    w = Window.partitionBy(*keys).orderBy("ts", "signal_id")
-    gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 6e7
-    g = df.withColumn("gap", gap).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.var_pop("gap").alias("v"), F.avg("gap").alias("m"))
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    g = gaps(df, keys, slice_hours=1).groupBy(*keys).agg(F.var_pop(F.col("gap") / 6e7).alias("v"), F.avg(F.col("gap") / 6e7).alias("m"))
+    g = per.join(g, keys, "left")
     share = df.groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg((F.max("c") / F.sum("c")).alias("top_share"))
     out = g.join(share, keys)
     five = F.col("n") >= 5
@@ -99,8 +99,8 @@ def regularity(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def concentration(df: DataFrame, keys: list[str], hours: int = 2) -> DataFrame:
     """The highest share of a key's rows within any such stretch."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros("ts")).rangeBetween(0, hours * 3_600_000_000 - 1)
-    return df.withColumn("k", F.count(F.lit(1)).over(w)).groupBy(*keys).agg((F.max("k") / F.count(F.lit(1))).alias("share"), F.count(F.lit(1)).alias("n"))
+    k = counts_within(df, keys, 0, hours * 3_600_000_000 - 1)
+    return k.groupBy(*keys).agg((F.max("k") / F.count(F.lit(1))).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
 STATES = ("silent", "insufficient", "delayed", "quiet", "active", "elevated")

@@ -5,15 +5,25 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a folder of this machine, but only if Spark runs in this process alone (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/spark-{os.getpid()}-tables"
+    return where
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage with a checkpoint in the folder that the cluster names; a temporary one is set only where none is (tests)."""
+    """End the lineage with a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"file://{tempfile.gettempdir()}/spark-{os.getpid()}-checkpoints")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

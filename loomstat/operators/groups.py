@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import cosine
 from .graph import connected_components, cut
+from .sizes import sent
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -46,7 +50,7 @@ def representatives(df: DataFrame, centroid: DataFrame, key: str, id_col: str, v
 def novelty(new: DataFrame, history: DataFrame, key: str) -> DataFrame:
     """1 - the highest cosine to any earlier centroid; 1 if there is none. The history is of groups, not rows."""
     h = history.select(F.col("centroid").alias("old"))
-    j = new.join(F.broadcast(h), F.lit(True), "left").withColumn("c", cosine(F.col("centroid"), F.col("old")))
+    j = new.join(sent(h), F.lit(True), "left").withColumn("c", cosine(F.col("centroid"), F.col("old")))
     return j.groupBy(key).agg((1 - F.coalesce(F.max("c"), F.lit(0.0))).alias("novelty"))
 
 
@@ -61,3 +65,50 @@ def ctfidf(tokens: DataFrame, topic: str, term: str) -> DataFrame:
 def top_terms(scored: DataFrame, topic: str, term: str, n: int) -> DataFrame:
     w = Window.partitionBy(topic).orderBy(F.desc("score"), term)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def merged_topics(counts: DataFrame, least: float) -> DataFrame:
+    """(id, component): topics linked by term vectors (topic, term, n) of at least this cosine; they meet by terms, so topics without a common term never do."""
+    length = counts.groupBy("topic").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l"))
+    side = lambda t, n: counts.select(F.col("topic").alias(t), "term", F.col("n").alias(n))
+    both = side("a", "na").join(side("b", "nb"), "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("s"))
+    of = lambda t: length.select(F.col("topic").alias(t), F.col("l").alias(f"l_{t}"))
+    near = both.join(of("a"), "a").join(of("b"), "b").where(F.col("s") / (F.col("l_a") * F.col("l_b")) >= least)
+    return connected_components(length.select(F.col("topic").alias("id")), near.select("a", "b"))
+
+
+def topics(df: DataFrame, id_col: str, text: str, k: int, vocabulary: int, stop: list[str], words: int = 10, seed: int = 42) -> DataFrame:
+    """(id, topic, words): LDA over counts of 1- to 3-grams without stop words; words: the topic's strongest, comma-joined. Texts without terms have topic -1 and null words."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer, NGram, StopWordsRemover
+    from pyspark.ml.functions import vector_to_array
+
+    d = df.select(F.col(id_col), F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)).alias("raw"))
+    d = StopWordsRemover(inputCol="raw", outputCol="g1", stopWords=stop).transform(d)
+    for n in (2, 3):
+        d = NGram(n=n, inputCol="g1", outputCol=f"g{n}").transform(d)
+    d = cut(d.select(id_col, F.concat("g1", "g2", "g3").alias("terms")))
+    counted = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocabulary, minDF=2.0).fit(d)
+    v = counted.transform(d)
+    model = LDA(k=k, seed=seed, maxIter=5, optimizer="online").fit(v)
+    named = F.array(*[F.lit(w) for w in counted.vocabulary])
+    best = model.describeTopics(words).select(F.col("topic"), F.array_join(F.transform("termIndices", lambda i: F.get(named, i)), ",").alias("words"))
+    dist = vector_to_array("topicDistribution")
+    got = model.transform(v).select(id_col, F.when(F.size("terms") > 0, F.array_position(dist, F.array_max(dist)) - 1).otherwise(-1).cast("int").alias("topic"))
+    return got.join(F.broadcast(best), "topic", "left").select(id_col, "topic", "words")  # k rows
+
+
+def embed_with(df: DataFrame, id_col: str, text: str, load: Callable[[], Callable[[list[str]], Iterable[Iterable[float]]]]) -> DataFrame:
+    """(id, embedding) by a model of the user's own: load() is called once in each Python worker and gives a function from a list of texts to their vectors. Null texts have no vector."""
+    rows = df.select(F.col(id_col), F.col(text).cast("string").alias("text"))
+
+    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for b in batches:
+            some = b["text"].notna()
+            out = pd.Series([None] * len(b), index=b.index, dtype=object)
+            if some.any():
+                out[some] = pd.Series([[float(x) for x in v] for v in model(b.loc[some, "text"].tolist())], index=b.index[some])
+            yield pd.DataFrame({id_col: b[id_col], "embedding": out})
+
+    return rows.mapInPandas(embed, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, embedding array<double>")

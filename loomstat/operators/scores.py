@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import cases, clamp, reasons
+from .slices import gaps
 
 
 def category_counts(df: DataFrame, keys: list[str], category: str) -> DataFrame:
@@ -34,10 +35,9 @@ def gini(dim: DataFrame, facts: DataFrame, key: str, groups: list[str]) -> DataF
     return x.groupBy(*groups).agg(F.when(total > 0, 2 * F.sum(F.col("i") * F.col("c")) / (n * total) - (n + 1) / n).otherwise(0.0).alias("gini"))
 
 
-def interarrival(df: DataFrame, keys: list[str], ts: str = "ts", order: str = "signal_id") -> DataFrame:
+def interarrival(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Variation of positive gaps in hours (sample deviation / mean), squashed to 0..1."""
-    gap = (F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(Window.partitionBy(*keys).orderBy(ts, order))) / 3.6e9
-    g = df.select(*keys, gap.alias("gap")).where("gap > 0").groupBy(*keys).agg(F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s"))
+    g = gaps(df, keys, ts).select(*keys, (F.col("gap") / 3.6e9).alias("gap")).where("gap > 0").groupBy(*keys).agg(F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s"))
     cv = F.coalesce(F.col("s") / F.col("m"), F.lit(0.0))
     return g.select(*keys, cv.alias("cv"), (2 / (1 + F.exp(-cv)) - 1).alias("squashed"))
 

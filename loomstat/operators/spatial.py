@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import product
+from math import pi, sin
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bearing, haversine_km, normal_cdf
+from ..functions.columns import EARTH_KM, bearing, haversine_km, normal_cdf
 from .graph import connected_components
+from .sizes import sent
 
 
 def adjacency(regions: DataFrame, min_km: float = 0.01, max_km: float = 30.0) -> DataFrame:
@@ -18,12 +22,18 @@ def adjacency(regions: DataFrame, min_km: float = 0.01, max_km: float = 30.0) ->
 
 
 def near_pairs(points: DataFrame, eps_km: float) -> DataFrame:
-    """(a, b) of points (id, lat, lon) within eps: points meet those of their own and the 8 neighbouring grid cells only."""
-    step = eps_km / 111.0
-    p = points.withColumn("cy", F.floor(F.col("lat") / step)).withColumn("cx", F.floor(F.col("lon") * F.cos(F.radians(F.lit(41.0))) / step))
-    around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dy: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dx: F.struct((F.col("cy") + dy).alias("y"), (F.col("cx") + dx).alias("x"))))))
-    q = p.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around.alias("cell")).select("b", "lat2", "lon2", F.col("cell.y").alias("cy"), F.col("cell.x").alias("cx"))
-    j = p.join(q, ["cy", "cx"]).where("id <> b")
+    """(a, b) of points (id, lat, lon) within eps.
+
+    Points are put on the unit sphere and dealt to cubes as wide as the chord of eps, so they meet those of their own and the 26 neighbouring
+    cubes only, at every latitude and across the date line.
+    """
+    step = 2 * sin(min(eps_km / EARTH_KM, pi) / 2) + 1e-12
+    lat, lon = F.radians("lat"), F.radians("lon")
+    xyz = {"cx": F.cos(lat) * F.cos(lon), "cy": F.cos(lat) * F.sin(lon), "cz": F.sin(lat)}
+    p = points.select("id", "lat", "lon", *[F.floor(v / step).alias(c) for c, v in xyz.items()])
+    around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("x"), (F.col("cy") + j).alias("y"), (F.col("cz") + k).alias("z")) for i, j, k in product((-1, 0, 1), repeat=3)]))
+    q = p.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around.alias("cell")).select("b", "lat2", "lon2", F.col("cell.x").alias("cx"), F.col("cell.y").alias("cy"), F.col("cell.z").alias("cz"))
+    j = p.join(q, ["cx", "cy", "cz"]).where("id <> b")
     return j.where(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= eps_km).select(F.col("id").alias("a"), "b")
 
 
@@ -40,12 +50,12 @@ def dbscan(points: DataFrame, eps_km: float, min_points: int) -> DataFrame:
 
 
 def kde_grid(points: DataFrame, n: int, bandwidth: float, box: tuple[float, float, float, float]) -> DataFrame:
-    """(i, j, density): Gaussian kernel sums of weighted points (lat, lon, weight) on an n x n grid, as shares of the highest. Points are one for each region."""
+    """(i, j, density): Gaussian kernel sums of weighted points (lat, lon, weight) on an n x n grid, as shares of the highest. The grid is of fixed size and points are aggregated places; beyond sizes.MOST_SENT of them they are not sent whole."""
     a1, a2, o1, o2 = box
     cells = points.sparkSession.range(n * n).select((F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j"))
     cells = cells.withColumn("y", F.lit(a1) + (a2 - a1) * F.col("i") / (n - 1)).withColumn("x", F.lit(o1) + (o2 - o1) * F.col("j") / (n - 1))
     d = F.pow(F.col("y") - F.col("lat"), 2) + F.pow(F.col("x") - F.col("lon"), 2)
-    k = cells.join(F.broadcast(points), F.lit(True)).groupBy("i", "j").agg(F.sum(F.col("weight") * F.exp(-d / (2 * bandwidth**2))).alias("k"))
+    k = cells.join(sent(points), F.lit(True)).groupBy("i", "j").agg(F.sum(F.col("weight") * F.exp(-d / (2 * bandwidth**2))).alias("k"))
     return k.join(F.broadcast(k.agg(F.max("k").alias("top"))), F.lit(True)).select("i", "j", (F.col("k") / F.col("top")).alias("density"))
 
 

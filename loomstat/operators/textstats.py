@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .sizes import sent
 
 
 def terms(df: DataFrame, key: list[str], text: str, pattern: str = "[a-z]{3,}") -> DataFrame:
@@ -13,21 +14,46 @@ def terms(df: DataFrame, key: list[str], text: str, pattern: str = "[a-z]{3,}")
 
 
 def keywords(df: DataFrame, key: str, text: str, stop: list[str], boost: list[str], n: int) -> DataFrame:
-    """The n strongest terms of each text: counts, three times for boosted terms; ties to the earlier one. Stop words are a short fixed list."""
-    t = terms(df, [key], text).where(~F.col("term").isin(*stop))
-    c = t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos"))
-    c = c.withColumn("score", F.col("c") * F.when(F.col("term").isin(*boost), 3).otherwise(1))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "pos")
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
-def cooccurrence(tokens: DataFrame, key: str, window: int) -> DataFrame:
-    """(a, b, weight): unordered pairs of different terms less than `window` places apart. Each term meets its next ones by lead(), so a text's terms are never paired with all others."""
-    w = Window.partitionBy(key).orderBy("pos")
-    ahead = [F.lead("term", k).over(w).alias(f"n{k}") for k in range(1, window)]
-    ahead = tokens.select(F.col("term").alias("x"), *ahead)
-    p = ahead.select("x", F.explode(F.array(*[f"n{k}" for k in range(1, window)])).alias("y")).where("x <> y")
-    return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    """The n strongest terms of each text: counts, three times for boosted terms; ties to the earlier one. Stop words are a short fixed list.
+
+    A text's terms are together in its row, so they are sorted and counted there; nothing is shuffled.
+    """
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
+    placed = F.filter(F.transform(found, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))), lambda x: ~x["term"].isin(*stop))
+    df = df.select(key, F.array_sort(placed).alias("s")).where(F.size("s") > 0)
+    at = lambda i: F.get("s", i)
+    df = df.withColumn("first", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"])))
+    ends = F.concat(F.slice("first", 2, F.size("s")), F.array(F.size("s")))
+
+    def run(a, b):
+        c = (b - a).cast("long")
+        score = c * F.when(at(a)["term"].isin(*boost), 3).otherwise(1)
+        return F.struct((-score).alias("order"), at(a)["pos"].alias("pos"), at(a)["term"].alias("term"), c.alias("c"), score.alias("score"))
+
+    top = F.slice(F.array_sort(F.zip_with("first", ends, run)), 1, n)
+    got = df.select(key, F.posexplode(top).alias("k", "x"))
+    return got.select(key, "x.term", "x.c", "x.pos", "x.score", (F.col("k") + 1).alias("rank"))
+
+
+def cooccurrence(df: DataFrame, text: str, window: int, stop: list[str]) -> DataFrame:
+    """(a, b, weight): unordered pairs of different terms less than `window` places apart, stop words left out. A text's pairs are made in its row; only counts of pairs are shuffled."""
+    terms = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: ~x.isin(*stop)) if stop else F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
+    t = df.select(terms.alias("t"))
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    ahead = lambda k: F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - k, F.lit(0))), F.slice("t", k + 1, F.size("t")), pair)
+    p = t.where(F.size("t") > 1).select(F.explode(F.concat(*[ahead(k) for k in range(1, window)])).alias("p")).where("p.a <> p.b")
+    return p.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def entities(df: DataFrame, key: str, text: str, rules: dict[str, str], places: DataFrame) -> DataFrame:
+    """(key, kind, entity, n): typed entities by patterns, and places by an equi-join of the text's words with (w, place). Counted in the row's task before any shuffle."""
+    one = lambda kind, found: df.select(key, F.lit(kind).alias("kind"), F.explode(found).alias("entity"))
+    out = None
+    for kind, pattern in rules.items():
+        got = one(kind, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        out = got if out is None else out.unionByName(got)
+    words = one("PLACE", F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).join(sent(places), F.col("entity") == F.col("w"))
+    return out.unionByName(words.select(key, "kind", F.col("place").alias("entity"))).groupBy(key, "kind", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sentences(df: DataFrame, key: list[str], text: str) -> DataFrame:

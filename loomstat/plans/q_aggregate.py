@@ -69,8 +69,8 @@ def correlation(spark, sf):
 
 @query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) as p25, round(quantile_cont(l_extendedprice, 0.9), 4) as p90 from lineitem group by 1")
 def percentile(spark, sf):
-    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(p(0.25).alias("p25"), p(0.9).alias("p90"))
+    p = A.percentiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p25": 0.25, "p90": 0.9})
+    return p.select("l_returnflag", F.round("p25", 4).alias("p25"), F.round("p90", 4).alias("p90"))
 
 
 @query("with s as (select avg(l_extendedprice) as m, stddev_pop(l_extendedprice) as sd from lineitem) select l_orderkey, l_linenumber, round((l_extendedprice - m) / sd, 6) as z from lineitem, s where abs((l_extendedprice - m) / sd) > 2")
@@ -207,7 +207,8 @@ def region_time_decay(spark, sf):
     return A.with_totals(a, F.max("d").alias("top")).select("region", "n", F.round("d", 4).alias("decayed"), "n_sources", F.round(F.col("d") / F.col("top"), 6).alias("share"))
 
 
-@query()
+@query(f"""with {SQL_EV}, m as (select region, strftime(ts, '%Y-%m-%d %H') as hour, md5('{{"signal_id":' || signal_id || ',"source":"' || source || '"}}') as h from ev), p as (select region, hour, ('0x' || substr(h, 1, 15))::bigint as a, ('0x' || substr(h, 17, 15))::bigint as b from m)
+select region, hour, sha256(concat_ws('|', count(*)::varchar, bit_xor(a)::varchar, bit_xor(b)::varchar, sum(a::hugeint)::varchar, sum(b::hugeint)::varchar)) as hash from p group by 1, 2""")
 def inputs_hash(spark, sf):
     e = event_signals(spark, sf).withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
     return A.inputs_hash(e, ["region", "hour"], ["signal_id", "source"])
@@ -238,8 +239,8 @@ def source_scrape_stats(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("scraped"), F.count_if(F.length("text") >= 200).alias("valid"))
 
 
-@query(f"with {SQL_EV} select region, strftime(ts, '%Y-%m-%d') as day, string_agg(signal_id::varchar, ',' order by signal_id) as ids from ev where ts < timestamp '2024-01-08' group by 1, 2")
+@query(f"with {SQL_EV} select region, strftime(ts, '%Y-%m-%d') as day, signal_id from ev")
 def event_catalog_index(spark, sf):
-    e = event_signals(spark, sf).where("ts < timestamp'2024-01-08 00:00:00'")
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("signal_id")), lambda x: x.cast("string")), ",")
-    return e.groupBy("region", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(ids.alias("ids"))
+    """The index as rows sorted by region, day and id, so that no day's ids are gathered in one."""
+    e = event_signals(spark, sf)
+    return e.select("region", F.date_format("ts", "yyyy-MM-dd").alias("day"), "signal_id").orderBy("region", "day", "signal_id")

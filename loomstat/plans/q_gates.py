@@ -102,7 +102,7 @@ def progressive_view(spark, sf):
     return _gated(spark, sf).select("cluster_id", "region", F.when(level >= 3, F.col("size")).otherwise(0).alias("size"), F.when(level >= 4, F.col("n_sources")).otherwise(0).alias("n_sources"))
 
 
-@query()
+@query(f"with {SQL_EV}, {SQL_GEV}, {_CS}, d as (select cluster_id, size, ('0x' || substr(md5(concat_ws('|', '7', strftime(last_ts, '%Y-%m-%d'), region)), 1, 8))::bigint % 5 as pick from cs), t as (select cluster_id, size, greatest(3 + case when pick = 0 then -1 when pick = 4 then 1 else 0 end, 3)::int as threshold from d) select cluster_id, threshold, size >= threshold as passes from t")
 def dynamic_threshold(spark, sf):
     c = clusters(spark, sf)
     t = G.dynamic_threshold(F.lit(3), 7, F.col("region"), F.to_date("last_ts"))
@@ -204,9 +204,9 @@ def audit_report(spark, sf):
     return table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("n_sources"), F.count_if(F.col("text").contains("@")).alias("with_at"), F.count_if(F.col("text").rlike("[0-9]{16}")).alias("with_number"))
 
 
-@query(f"{_W} select cluster_id, region, size, n_sources, round(volume, 6) as volume from cs where {_pass()} and region = '08608' and last_ts >= timestamp '2024-01-20'")
+@query(f"{_W} select cluster_id, region, size, n_sources, round(volume, 6) as volume from cs where {_pass()} and region = '01249' and last_ts >= timestamp '2024-01-20'")
 def group_report(spark, sf):
-    return _gated(spark, sf).where("region = '08608' and last_ts >= timestamp'2024-01-20 00:00:00'").select("cluster_id", "region", "size", "n_sources", F.round("volume", 6).alias("volume"))
+    return _gated(spark, sf).where("region = '01249' and last_ts >= timestamp'2024-01-20 00:00:00'").select("cluster_id", "region", "size", "n_sources", F.round("volume", 6).alias("volume"))
 
 
 @query(f"{_W} select cluster_id, region, left('Attention in ' || region || ': ' || size || ' records from ' || n_sources || ' sources', 200) as notice from cs where {_pass()} and volume >= 400")

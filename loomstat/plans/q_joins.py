@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import haversine_km
 from ..operators import dedup as D
-from ..sources.adapters import SQL_DOC, SQL_EV, SQL_GEV, SQL_REGIONS, event_groups, event_signals, regions, table, text_signals
+from ..operators.sizes import sent
+from ..operators.spatial import near_pairs
+from ..sources.adapters import SQL_DOC, SQL_EV, SQL_GEV, SQL_REGIONS, SQL_SITES, event_groups, event_signals, regions, sites, table, text_signals
 from .base import query
 
 _KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -33,11 +35,11 @@ def dedup_hash_key(spark, sf):
     return D.by_hash(text_signals(spark, sf)).select("signal_id", D.hash_key(F.col("text"), F.col("ts")).alias("k"))
 
 
-@query(f"""with {SQL_DOC}, b as (select *, 0 as batch from doc where signal_id % 2 = 0 union all select *, 1 as batch from doc where signal_id % 3 = 0)
+@query(f"""with {SQL_DOC}, b as (select *, 0 as batch from doc union all select *, 1 as batch from doc where signal_id % 3 = 0)
 select signal_id, region from (select *, row_number() over (partition by text, region order by batch desc, signal_id desc) as n from b) where n = 1""")
 def dedup_keep_last(spark, sf):
     d = text_signals(spark, sf)
-    return D.keep_last(d.where("signal_id % 2 = 0"), d.where("signal_id % 3 = 0"), ["text", "region"]).select("signal_id", "region")
+    return D.keep_last(d, d.where("signal_id % 3 = 0"), ["text", "region"]).select("signal_id", "region")
 
 
 @query(f"with {SQL_DOC} select signal_id, left(md5(substr(text, 1, 100) || strftime(ts, '%Y-%m-%d') || region), 12) as content_id from doc")
@@ -50,9 +52,9 @@ def anti_join_seen(spark, sf):
     return D.not_seen(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id")
 
 
-@query(f"with {SQL_EV}, {SQL_REGIONS} select signal_id from ev where region in (select region from regions where grp = 'edison')")
+@query(f"with {SQL_EV}, {SQL_REGIONS} select signal_id from ev where region in (select region from regions where grp = 'europe')")
 def semi_join_regions(spark, sf):
-    return D.in_regions(event_signals(spark, sf), regions(spark).where("grp = 'edison'")).select("signal_id")
+    return D.in_regions(event_signals(spark, sf), regions(spark).where("grp = 'europe'")).select("signal_id")
 
 
 @query("select n_name, customers, suppliers from (select c_nationkey as k, count(*) as customers from customer group by 1) join (select s_nationkey as k, count(*) as suppliers from supplier group by 1) using (k) join nation on n_nationkey = k")
@@ -68,9 +70,9 @@ def left_join_coalesce(spark, sf):
     return j.select("doc_id", F.coalesce("quality", F.lit(1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
-@query(f"with {SQL_EV}, {SQL_REGIONS} select signal_id, coalesce(grp, 'none') as grp from ev left join (select * from regions where grp <> 'edison') using (region)")
+@query(f"with {SQL_EV}, {SQL_REGIONS} select signal_id, coalesce(grp, 'none') as grp from ev left join (select * from regions where grp <> 'europe') using (region)")
 def map_lookup_join(spark, sf):
-    r = regions(spark).where("grp <> 'edison'").select("region", "grp")
+    r = regions(spark).where("grp <> 'europe'").select("region", "grp")
     return event_signals(spark, sf).join(r, "region", "left").select("signal_id", F.coalesce("grp", F.lit("none")).alias("grp"))
 
 
@@ -92,32 +94,32 @@ def calendar_gap_fill(spark, sf):
     return c.select("region", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "n")
 
 
-@query(f"with {SQL_REGIONS}, p as (select a.region as a, b.region as b, {_KM} as km from regions a join regions b on a.region < b.region) select a, b, round(km, 6) as km from p where km <= 10 union all select b, a, round(km, 6) from p where km <= 10")
+@query(f"with {SQL_SITES} select a.site as a, b.site as b, round({_KM}, 6) as km from sites a join sites b on a.site <> b.site and b.lat between a.lat - 0.04 and a.lat + 0.04 where {_KM} <= 4.0")
 def self_pair_join(spark, sf):
-    r = regions(spark)
-    a, b = r.alias("a"), r.alias("b")
-    km = haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    # The region dimension is small and fixed; pairs are of regions, not of rows.
-    p = a.join(b, F.col("a.region") < F.col("b.region")).select(F.col("a.region").alias("a"), F.col("b.region").alias("b"), km.alias("km")).where("km <= 10")
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "km"))
-    return both.select("a", "b", F.round("km", 6).alias("km"))
+    """Pairs of sites within four kilometres; sites meet those of neighbouring cells only."""
+    p = sites(spark, sf)
+    one = lambda c: p.select(F.col("site").alias(c), F.col("lat").alias(f"lat_{c}"), F.col("lon").alias(f"lon_{c}"))
+    near = near_pairs(p.withColumnRenamed("site", "id"), 4.0).join(one("a"), "a").join(one("b"), "b")
+    return near.select("a", "b", F.round(haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 6).alias("km"))
 
 
-@query(f"""with {SQL_REGIONS}, d as (select a.region as centre, b.region, {_KM} as km from regions a cross join regions b where a.region in ('08608', '08901'))
-select centre, case when km < 2 then 0 when km < 5 then 1 when km < 10 then 2 when km < 20 then 3 else 4 end as ring, count(*) as n from d where km < 50 group by 1, 2""")
+_RING = "case when km < 2 then 0 when km < 5 then 1 when km < 10 then 2 when km < 20 then 3 else 4 end"
+
+
+@query(f"with {SQL_REGIONS}, {SQL_SITES}, d as (select a.region as centre, {_KM} as km from regions a cross join sites b where a.region in ('01249', '01582')) select centre, {_RING} as ring, count(*) as n from d where km < 50 group by 1, 2")
 def range_join_ring(spark, sf):
-    r = regions(spark)
-    a, b = r.where("region in ('08608', '08901')").alias("a"), r.alias("b")
-    d = a.join(b, F.abs(F.col("a.lat") - F.col("b.lat")) < 1).select(F.col("a.region").alias("centre"), haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")).alias("km"))
+    """Sites by distance from two centres."""
+    a = F.broadcast(regions(spark).where("region in ('01249', '01582')").select(F.col("region").alias("centre"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0")))  # two rows
+    d = sites(spark, sf).join(a, F.abs(F.col("lat") - F.col("lat0")) < 1).select("centre", haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")).alias("km"))
     ring = F.when(F.col("km") < 2, 0).when(F.col("km") < 5, 1).when(F.col("km") < 10, 2).when(F.col("km") < 20, 3).otherwise(4)
     return d.where("km < 50").groupBy("centre", ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {SQL_REGIONS}, b as (select grp, min(lat) - 0.01 as a1, max(lat) + 0.01 as a2, min(lon) - 0.01 as o1, max(lon) + 0.01 as o2 from regions group by 1) select region, b.grp as box from regions join b on lat between a1 and a2 and lon between o1 and o2")
+@query(f"with {SQL_REGIONS}, {SQL_SITES}, b as (select grp, min(lat) - 0.01 as a1, max(lat) + 0.01 as a2, min(lon) - 0.01 as o1, max(lon) + 0.01 as o2 from regions group by 1) select site, b.grp as box from sites join b on lat between a1 and a2 and lon between o1 and o2")
 def point_in_box(spark, sf):
-    r = regions(spark)
-    b = r.groupBy(F.col("grp").alias("box")).agg((F.min("lat") - 0.01).alias("a1"), (F.max("lat") + 0.01).alias("a2"), (F.min("lon") - 0.01).alias("o1"), (F.max("lon") + 0.01).alias("o2"))
-    return r.join(F.broadcast(b), F.col("lat").between(F.col("a1"), F.col("a2")) & F.col("lon").between(F.col("o1"), F.col("o2"))).select("region", "box")
+    """Sites in the boxes of region groups."""
+    b = regions(spark).groupBy(F.col("grp").alias("box")).agg((F.min("lat") - 0.01).alias("a1"), (F.max("lat") + 0.01).alias("a2"), (F.min("lon") - 0.01).alias("o1"), (F.max("lon") + 0.01).alias("o2"))
+    return sites(spark, sf).join(F.broadcast(b), F.col("lat").between(F.col("a1"), F.col("a2")) & F.col("lon").between(F.col("o1"), F.col("o2"))).select("site", "box")  # a box for each group of regions
 
 
 _G = "g as (select cluster_id, any_value(region) as region, count(*) as n, sum(weight) as volume, max(ts) as last_ts from gev group by 1)"
@@ -160,27 +162,32 @@ def union_by_name(spark, sf):
     return c.unionByName(table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url"), allowMissingColumns=True)
 
 
-_WORDS = "w as (select distinct lang, unnest(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{3,}')) as t from documents)"
+_WORDS = "w as (select distinct lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as t from documents), c as (select lang, count(*) as n from w group by 1), o as (select a.lang as a, b.lang as b, count(*) as n from w a join w b on a.lang < b.lang and a.t = b.t group by 1, 2)"
 
 
 def _lang_words(spark, sf):
+    """Different (lang, term) of whole texts."""
     d = table(spark, sf, "documents")
-    t = F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("[a-z]{3,}"), F.lit(0)))
-    return d.select("lang", t.alias("t")).groupBy("lang").agg(F.collect_set("t").alias("terms"))
+    return d.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("t")).distinct()
+
 
+def _shared(w):
+    """Terms that two languages share, counted by an equi-join on the term."""
+    b = w.select(F.col("lang").alias("b"), "t")
+    return w.withColumnRenamed("lang", "a").join(b, "t").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
-@query(f"with {_WORDS} select a.lang as a, b.lang as b, count(*) filter (where a.t not in (select t from w where w.lang = b.lang)) as n from w a join (select distinct lang from w) b on a.lang < b.lang group by 1, 2")
+
+@query(f"with {_WORDS} select x.lang as a, y.lang as b, x.n - coalesce(o.n, 0) as n from c x join c y on x.lang < y.lang left join o on o.a = x.lang and o.b = y.lang")
 def set_diff_terms(spark, sf):
     w = _lang_words(spark, sf)
-    a, b = w.alias("a"), w.alias("b")
-    return a.join(b, F.col("a.lang") < F.col("b.lang")).select(F.col("a.lang").alias("a"), F.col("b.lang").alias("b"), F.size(F.array_except("a.terms", "b.terms")).cast("long").alias("n"))
+    c = w.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    pairs = c.withColumnRenamed("lang", "a").join(sent(c.select(F.col("lang").alias("b"))), F.col("a") < F.col("b"))  # of languages
+    return pairs.join(_shared(w), ["a", "b"], "left").select("a", "b", (F.col("size") - F.coalesce("n", F.lit(0))).alias("n"))
 
 
-@query(f"with {_WORDS} select a.lang as a, b.lang as b, count(*) as n from w a join w b on a.lang < b.lang and a.t = b.t group by 1, 2")
+@query(f"with {_WORDS} select a, b, n from o")
 def set_overlap(spark, sf):
-    w = _lang_words(spark, sf)
-    a, b = w.alias("a"), w.alias("b")
-    return a.join(b, F.col("a.lang") < F.col("b.lang")).select(F.col("a.lang").alias("a"), F.col("b.lang").alias("b"), F.size(F.array_intersect("a.terms", "b.terms")).cast("long").alias("n"))
+    return _shared(_lang_words(spark, sf))
 
 
 @query(f"with {SQL_EV}, {SQL_REGIONS} select region from regions where region not in (select region from ev where ts >= timestamp '2024-01-30 22:30:00')")

@@ -63,17 +63,17 @@ def filter_keywords(spark, sf):
     return table(spark, sf, "documents").where(P.keywords(["source", "text"], ["license", "src3"])).select("doc_id")
 
 
-@query(f"with {SQL_EV}, {SQL_REGIONS} select signal_id, region from ev where region in (select region from regions where grp = 'trenton')")
+@query(f"with {SQL_EV}, {SQL_REGIONS} select signal_id, region from ev where region in (select region from regions where grp = 'asia')")
 def filter_region_group(spark, sf):
-    r = regions(spark).where("grp = 'trenton'").select("region")
+    r = regions(spark).where("grp = 'asia'").select("region")
     return event_signals(spark, sf).join(r, "region", "left_semi").select("signal_id", "region")
 
 
 @query(f"""with {SQL_EV}, {SQL_GEV}, g as (select cluster_id, any_value(region) as region, sum(weight) as strength, min(ts) as ts, list(distinct source) as sources from gev group by 1)
-select cluster_id from g where region in ('07030', '08608') and strength >= 100 and ts >= timestamp '2024-01-05' and list_contains(sources, 'click')""")
+select cluster_id from g where region in ('01101', '01249') and strength >= 100 and ts >= timestamp '2024-01-05' and list_contains(sources, 'click')""")
 def filter_named(spark, sf):
     g = event_groups(spark, sf).groupBy("cluster_id").agg(F.any_value("region").alias("region"), F.sum("weight").alias("strength"), F.min("ts").alias("ts"), F.collect_set("source").alias("sources"))
-    return g.where(P.named(["07030", "08608"], (100.0, None), ("2024-01-05", None), ["click"])).select("cluster_id")
+    return g.where(P.named(["01101", "01249"], (100.0, None), ("2024-01-05", None), ["click"])).select("cluster_id")
 
 
 @query(f"""with {SQL_EV} select count(*) filter (where ts >= timestamp '{AS_OF}' - interval 1 day) as recent_24h, count(*) filter (where ts >= timestamp '{AS_OF}' - interval 7 day) as recent_7d,

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import normalize as N
+from ..operators.slices import counts_within
 from ..sources.adapters import SQL_DOC, SQL_EV, SQL_REGIONS, as_of, event_signals, regions, table, text_signals
 from .base import query
 
-TARGETS = ["07030", "08608", "08901", "07060"]
-_T = "('07030', '08608', '08901', '07060')"
+TARGETS = ["01101", "01249", "01582", "01138"]
+_T = "('01101', '01249', '01582', '01138')"
 
 
 def _rules_sql(col: str, what: str) -> str:
@@ -121,14 +122,14 @@ def conditional_relevance_filter(spark, sf):
     return table(spark, sf, "documents").where((F.col("lang") != "en") | F.lower("text").contains("the")).select("doc_id")
 
 
-@query(r"""select doc_id, coalesce(nullif(regexp_extract(t, '\b([0-9]{5})\b', 1), ''), '08901') as region from (select doc_id, case when doc_id % 3 = 0 then '08608 ' || text else text end as t from documents)""")
+@query(r"""select doc_id, coalesce(nullif(regexp_extract(t, '\b([0-9]{5})\b', 1), ''), '01582') as region from (select doc_id, case when doc_id % 3 = 0 then '01249 ' || text else text end as t from documents)""")
 def region_from_text(spark, sf):
     d = table(spark, sf, "documents")
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("08608 "), F.col("text"))).otherwise(F.col("text"))
-    return d.select("doc_id", N.region_in_text(t, "08901").alias("region"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("01249 "), F.col("text"))).otherwise(F.col("text"))
+    return d.select("doc_id", N.region_in_text(t, "01582").alias("region"))
 
 
-_PLACES = [("the", "07030"), ("der", "08608"), ("les", "08901"), ("del", "07060"), ("und", "08609")]
+_PLACES = [("the", "01101"), ("der", "01249"), ("les", "01582"), ("del", "01138"), ("und", "01286")]
 _PLACES_SQL = "(values " + ", ".join(f"('{p}', '{r}')" for p, r in _PLACES) + ") as g(place, region)"
 
 
@@ -156,14 +157,14 @@ def location_confidence(spark, sf):
 
 @query(f"""with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) as place from documents),
 p as (select doc_id, list(distinct region) as found from w join {_PLACES_SQL} using (place) group by doc_id),
-j as (select d.doc_id, found, case d.lang when 'en' then ['07030'] when 'de' then ['08608', '08609'] when 'fr' then ['08901'] else ['07060'] end as expected from documents d left join p using (doc_id)),
+j as (select d.doc_id, found, case d.lang when 'en' then ['01101'] when 'de' then ['01249', '01286'] when 'fr' then ['01582'] else ['01138'] end as expected from documents d left join p using (doc_id)),
 s as (select doc_id, case when found is null then 0.4 when len(list_intersect(found, expected)) = len(found) then 0.85 when len(list_intersect(found, expected)) > 0 then 0.65 else 0.0 end::double as confidence from j)
 select doc_id, confidence, case when confidence >= 0.65 then 'accept' when confidence >= 0.4 then 'review' else 'reject' end as status from s""")
 def geo_validate(spark, sf):
     d = table(spark, sf, "documents")
     g = spark.createDataFrame(_PLACES, "place string, region string")
     found = N.gazetteer_matches(d, g, "text", "doc_id").groupBy("doc_id").agg(F.collect_set("region").alias("found"))
-    expected = F.when(F.col("lang") == "en", F.array(F.lit("07030"))).when(F.col("lang") == "de", F.array(F.lit("08608"), F.lit("08609"))).when(F.col("lang") == "fr", F.array(F.lit("08901"))).otherwise(F.array(F.lit("07060")))
+    expected = F.when(F.col("lang") == "en", F.array(F.lit("01101"))).when(F.col("lang") == "de", F.array(F.lit("01249"), F.lit("01286"))).when(F.col("lang") == "fr", F.array(F.lit("01582"))).otherwise(F.array(F.lit("01138")))
     both = F.size(F.array_intersect("found", "expected"))
     conf = F.when(F.col("found").isNull(), 0.4).when(both == F.size("found"), 0.85).when(both > 0, 0.65).otherwise(0.0)
     got = d.select("doc_id", expected.alias("expected")).join(found, "doc_id", "left").select("doc_id", conf.alias("confidence"))
@@ -227,8 +228,8 @@ def submission_validate(spark, sf):
 @query(f"""with {SQL_EV}, c as (select signal_id, count(*) over (partition by region, source order by epoch_us(ts) range between 3600000000 preceding and current row) as n from ev)
 select signal_id, n, n <= 2 as accepted from c""")
 def trailing_rate_limit(spark, sf):
-    w = Window.partitionBy("region", "source").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
-    return event_signals(spark, sf).select("signal_id", F.count(F.lit(1)).over(w).alias("n")).withColumn("accepted", F.col("n") <= 2)
+    c = counts_within(event_signals(spark, sf), ["region", "source"], 3_600_000_000, 0)
+    return c.select("signal_id", F.col("k").alias("n"), (F.col("k") <= 2).alias("accepted"))
 
 
 @query("select left(url, 8) as scheme, count(*) as n from pages where starts_with(url, 'http://') or starts_with(url, 'https://') group by 1")
@@ -243,11 +244,11 @@ def theme_label(spark, sf):
     return table(spark, sf, "documents").select("doc_id", N.classify(F.col("text"), [("token", "security"), ("license", "legal"), (" and ", "prose")], "general", regex=False).alias("theme"))
 
 
-@query(r"""with m as (select conv_id, turn, case when turn % 2 = 0 then '08901 ' || text else text end as t from conversations)
+@query(r"""with m as (select conv_id, turn, case when turn % 2 = 0 then '01582 ' || text else text end as t from conversations)
 select conv_id, turn, nullif(regexp_extract(t, '\b([0-9]{5})\b', 1), '') as region, trim(regexp_replace(t, '\b[0-9]{5}\b', '')) as body, case when contains(lower(t), '?') then 'question' else 'report' end as category from m""")
 def message_parse(spark, sf):
     c = table(spark, sf, "conversations")
-    c = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("08901 "), F.col("text"))).otherwise(F.col("text")).alias("t"))
+    c = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("01582 "), F.col("text"))).otherwise(F.col("text")).alias("t"))
     code = F.nullif(F.regexp_extract("t", r"\b([0-9]{5})\b", 1), F.lit(""))
     body = F.trim(F.concat(F.regexp_replace("t", r"(?s)^(.*?)\b[0-9]{5}\b.*$", "$1"), F.regexp_replace("t", r"(?s)^.*?\b[0-9]{5}\b(.*)$", "$1")))
     return c.select("conv_id", "turn", code.alias("region"), F.when(code.isNull(), F.trim("t")).otherwise(body).alias("body"), F.when(F.col("t").contains("?"), "question").otherwise("report").alias("category"))

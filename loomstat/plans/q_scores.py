@@ -105,10 +105,29 @@ def _quality(spark, sf):
     return c.withColumn("corroboration", F.least(F.col("n_sources") / F.col("size"), F.lit(1.0))).withColumn("temporal", S.temporal_quality(F.col("span")))
 
 
-@query(f"{_W}, {_Q} select cluster_id, round(0.25 * reliability + 0.2 * corroboration + 0.15 * 0.5 + 0.1 * 1.0 + 0.15 * temporal + 0.15 * least(size / 20, 1), 6) as quality from qq")
+_SIX = f"""with {SQL_DOC}, {SQL_VEC}, s as (select v.cluster_id, v.embedding, d.signal_id, d.source, d.ts, d.region, d.text from vec v join doc d on d.signal_id = v.signal_id where v.embedding is not null),
+b as (select cluster_id, count(*) as size, count(distinct source) as k, count(distinct region) as r, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 as span, coalesce(sum(len(regexp_extract_all(text, '[A-Z][a-z]+'))), 0) as ents from s group by 1),
+rel as (select cluster_id, avg({_rules_sql('source', 'weight')}) as reliability from (select distinct cluster_id, source from s) group by 1),
+co as (select a.cluster_id, avg(list_cosine_similarity(a.embedding, b.embedding)) as coherence from s a join s b on a.cluster_id = b.cluster_id and a.signal_id <> b.signal_id group by 1),
+six as (select cluster_id, reliability, least(k / size, 1) as corroboration, coalesce(coherence, 1) as coherence, 1 / (1 + 0.5 * (r - 1)) as geo, case when span <= 0 then 0.5 when span > 168 then 0.3 else greatest(0.2, 1 - 0.5 * abs(span - 36) / 36) end as temporal, least(ents / (5 * size), 1) as entities from b join rel using (cluster_id) left join co using (cluster_id))"""
+
+
+@query(f"{_SIX} select cluster_id, round(0.25 * reliability + 0.2 * corroboration + 0.15 * coherence + 0.1 * geo + 0.15 * temporal + 0.15 * entities, 5) as quality from six")
 def signal_quality(spark, sf):
-    q = 0.25 * F.col("reliability") + 0.2 * F.col("corroboration") + 0.15 * F.lit(0.5) + 0.1 * F.lit(1.0) + 0.15 * F.col("temporal") + 0.15 * F.least(F.col("size") / 20, F.lit(1.0))
-    return _quality(spark, sf).select("cluster_id", F.round(q, 6).alias("quality"))
+    """The six components of groups of texts: each from the groups' own rows."""
+    d = text_signals(spark, sf).select("signal_id", "source", "ts", "region", F.regexp_count("text", F.lit("[A-Z][a-z]+")).alias("entities"))
+    s = vector_groups(spark, sf).where("embedding is not null").select("signal_id", "cluster_id", "embedding").join(d, "signal_id")
+    w = N.source_weight(F.col("source"), {}, N.SOURCE_RULES, N.CLASS_WEIGHT)
+    rel = s.select("cluster_id", "source").distinct().groupBy("cluster_id").agg(F.avg(w).alias("reliability"))
+    span = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 3.6e9
+    n = F.count(F.lit(1))
+    b = s.groupBy("cluster_id").agg(
+        F.least(F.countDistinct("source") / n, F.lit(1.0)).alias("corroboration"), (1 / (1 + 0.5 * (F.countDistinct("region") - 1))).alias("geo"),
+        S.temporal_quality(span).alias("temporal"), F.least(F.coalesce(F.sum("entities"), F.lit(0)) / (5 * n), F.lit(1.0)).alias("entities"),
+    )
+    six = b.join(rel, "cluster_id").join(S.coherence(s, ["cluster_id"], "embedding"), "cluster_id")
+    q = sum(F.col(c) * share for c, share in (("reliability", 0.25), ("corroboration", 0.2), ("coherence", 0.15), ("geo", 0.1), ("temporal", 0.15), ("entities", 0.15)))
+    return six.select("cluster_id", F.round(q, 5).alias("quality"))
 
 
 @query(f"{_W}, {_Q} select cluster_id, round(reliability, 6) as reliability from qq")
@@ -136,21 +155,24 @@ def q_temporal(spark, sf):
     return _quality(spark, sf).select("cluster_id", *_r("temporal"))
 
 
-@query("select source, round(least(sum(len(regexp_extract_all(substr(text, 1, 2000), '[A-Z][a-z]+'))) / (5 * count(*)), 1), 6) as density from documents group by 1")
+@query("select source, round(least(sum(len(regexp_extract_all(text, '[A-Z][a-z]+'))) / (5 * count(*)), 1), 6) as density from documents group by 1")
 def q_entity_density(spark, sf):
-    n = F.regexp_count(F.substring("text", 1, 2000), F.lit("[A-Z][a-z]+"))
+    n = F.regexp_count("text", F.lit("[A-Z][a-z]+"))
     return table(spark, sf, "documents").groupBy("source").agg(F.round(F.least(F.sum(n) / (5 * F.count(F.lit(1))), F.lit(1.0)), 6).alias("density"))
 
 
-_PTS = "(30 * least(size / 10, 1) + 30 * least(n_sources / 3, 1) + 20 * volume / (select max(volume) from cs) + 20 * (size % 2))"
+_PTS = "(30 * least(size / 10, 1) + 30 * least(n_sources / 3, 1) + 20 * volume / (select max(volume) from cs) + 20 * coalesce(linked, 0) / size)"
 
 
-@query(f"{_W}, p as (select cluster_id, {_PTS} as pts from cs) select cluster_id, round(pts, 6) as points, case when pts >= 70 then 'HIGH' when pts >= 50 then 'MEDIUM' else 'LOW' end as band from p")
+@query(f"{_W}, ur as (select cluster_id, count(*) as linked from gev join pages on page_id = signal_id where url like 'http://%' or url like 'https://%' group by 1), p as (select cluster_id, {_PTS} as pts from cs left join ur using (cluster_id)) select cluster_id, round(pts, 6) as points, case when pts >= 70 then 'HIGH' when pts >= 50 then 'MEDIUM' else 'LOW' end as band from p")
 def group_quality_points(spark, sf):
-    c = clusters(spark, sf)
+    """Size, sources, share of the highest volume, and the share of signals that have a page with a web address."""
+    pages = table(spark, sf, "pages").where(F.col("url").startswith("http://") | F.col("url").startswith("https://")).select(F.col("page_id").alias("signal_id"))
+    linked = event_groups(spark, sf).join(pages, "signal_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("linked"))
+    c = clusters(spark, sf).join(linked, "cluster_id", "left")
     c = c.join(F.broadcast(c.agg(F.max("volume").alias("top"))), F.lit(True))
     one = F.lit(1.0)
-    pts = 30 * F.least(F.col("size") / 10, one) + 30 * F.least(F.col("n_sources") / 3, one) + 20 * F.col("volume") / F.col("top") + 20 * (F.col("size") % 2)
+    pts = 30 * F.least(F.col("size") / 10, one) + 30 * F.least(F.col("n_sources") / 3, one) + 20 * F.col("volume") / F.col("top") + 20 * F.coalesce("linked", F.lit(0)) / F.col("size")
     return c.select("cluster_id", F.round(pts, 6).alias("points"), cases([(pts >= 70, "HIGH"), (pts >= 50, "MEDIUM")], "LOW").alias("band"))
 
 

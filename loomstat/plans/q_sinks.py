@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..operators import normalize as N
+from ..operators.graph import shared_dir
 from ..sources import readers as R
 from ..sources import sinks as S
-from ..sources.adapters import SQL_EV, SQL_GEV, SQL_REGIONS, as_of, event_groups, event_signals, regions, table, text_signals
+from ..sources.adapters import SQL_EV, SQL_GEV, SQL_REGIONS, SQL_SITES, as_of, event_groups, event_signals, regions, sites, table
 from .base import query
 from .q_aggregate import _CS, clusters
 
 
 def place(spark) -> str:
     """A new folder for a table, in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/spark-{os.getpid()}-tables"
-    return f"{base}/table-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
 @query(f"with {SQL_EV} select region, count(*) as n from ev group by 1")
@@ -46,10 +44,10 @@ def scan_column_alias(spark, sf):
     return R.aliased(o, {"text": ["text", "content", "MESSAGE"], "date": ["date", "created"]}).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {SQL_EV} select source as category, region as zip, count(*) as n from ev where ts < timestamp '2024-01-03' group by 1, 2")
+@query(f"with {SQL_EV} select source as category, region as zip, count(*) as n from ev group by 1, 2")
 def scan_json_submissions(spark, sf):
     p = place(spark)
-    event_signals(spark, sf).where("ts < timestamp'2024-01-03 00:00:00'").select(F.col("source").alias("category"), F.col("region").alias("zip")).write.json(p)
+    event_signals(spark, sf).select(F.col("source").alias("category"), F.col("region").alias("zip")).write.json(p)
     return spark.read.schema("category string, zip string").json(p).groupBy("category", "zip").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -67,11 +65,22 @@ def scan_table_as_df(spark, sf):
     return R.sql_over(spark, {"signals": event_signals(spark, sf)}, "select region, count(*) as n from signals where source = 'click' group by region")
 
 
-@query(f"with {SQL_REGIONS} select region, case when grp = 'trenton' then 2 else 3 end as n_expected from regions")
+_KNOWN = "k as (select region, list(distinct source) as sources from ev join regions using (region) where grp = 'asia' group by 1), gen as (select list(distinct source) as sources from ev where weight >= 90)"
+
+
+@query(f"with {SQL_EV}, {SQL_REGIONS}, {_KNOWN} select r.region, coalesce(len(k.sources), (select len(sources) from gen)) as n_expected, (select count(distinct source) from ev where ev.region = r.region) as n_seen from regions r left join k using (region)")
 def scan_expected_sources(spark, sf):
-    r = regions(spark)
-    known = r.where("grp = 'trenton'").select("region", F.array(F.lit("click"), F.lit("view")).alias("sources"))
-    return R.with_general(r.select("region"), known, "region", "sources", ["a", "b", "c"]).select("region", F.size("sources").alias("n_expected"))
+    """Sources expected of each region, from a JSON map of those seen in one group of regions, else a general list; and how many were seen."""
+    p = place(spark)
+    e = event_signals(spark, sf)
+    seen = e.groupBy("region").agg(F.collect_set("source").alias("sources"))  # sources are a short fixed list
+    asia = regions(spark).where("grp = 'asia'").select("region")
+    seen.join(asia, "region", "left_semi").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("region", "sources")))).alias("value")).write.text(p)  # an entry for each region
+    known = spark.read.text(p).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("region", "sources"))
+    general = sorted(r[0] for r in e.where("weight >= 90").select("source").distinct().collect())
+    got = R.with_general(regions(spark).select("region"), known, "region", "sources", general)
+    n = e.groupBy("region").agg(F.countDistinct("source").alias("n_seen"))
+    return got.join(n, "region", "left").select("region", F.size("sources").cast("long").alias("n_expected"), F.coalesce("n_seen", F.lit(0)).alias("n_seen"))
 
 
 @query(f"with {SQL_EV} select source, 2 * count(*) as n, 'unknown' as language from ev group by 1")
@@ -82,12 +91,12 @@ def sink_table_append(spark, sf):
     return spark.read.parquet(p).groupBy("source", "language").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {SQL_EV}, {SQL_GEV}, {_CS} select region, count(*) as n, sum(size + case when region = '08901' then 1000 else 0 end)::bigint as size from cs group by 1")
+@query(f"with {SQL_EV}, {SQL_GEV}, {_CS} select region, count(*) as n, sum(size + case when region = '01582' then 1000 else 0 end)::bigint as size from cs group by 1")
 def sink_upsert_stats(spark, sf):
     p = place(spark)
     c = clusters(spark, sf).select("cluster_id", "region", "size")
     S.upsert(c, p, ["cluster_id"], ["region"])
-    S.upsert(c.where("region = '08901'").withColumn("size", F.col("size") + 1000), p, ["cluster_id"], ["region"])
+    S.upsert(c.where("region = '01582'").withColumn("size", F.col("size") + 1000), p, ["cluster_id"], ["region"])
     return spark.read.schema("cluster_id long, size long, region string").parquet(p).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
 
 
@@ -140,12 +149,13 @@ def sink_json_rows(spark, sf):
     return spark.read.schema("cluster_id long, where_ struct<region:string, size:long>").json(p).select("cluster_id", "where_.region", "where_.size")
 
 
-@query(f"with {SQL_REGIONS} select region, lat, lon from regions")
+@query(f"with {SQL_SITES} select site, region, round(lat, 9) as lat, round(lon, 9) as lon from sites")
 def sink_geo_features(spark, sf):
     p = place(spark)
-    S.geo_features(regions(spark), p, "Point", F.array("lon", "lat"), ["region", "grp"])
-    j = spark.read.schema("geometry struct<coordinates:array<double>>, properties struct<region:string>").json(p)
-    return j.select("properties.region", F.col("geometry.coordinates")[1].alias("lat"), F.col("geometry.coordinates")[0].alias("lon"))
+    S.geo_features(sites(spark, sf), p, "Point", F.array("lon", "lat"), ["site", "region"])
+    j = spark.read.schema("geometry struct<coordinates:array<double>>, properties struct<site:long,region:string>").json(p)
+    at = lambda k: F.round(F.col("geometry.coordinates")[k], 9)
+    return j.select("properties.site", "properties.region", at(1).alias("lat"), at(0).alias("lon"))
 
 
 @query(f"with {SQL_EV}, {SQL_GEV} select cluster_id::varchar as cluster_id, string_agg(source, '; ' order by source) as sources from (select distinct cluster_id, source from gev) group by 1")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import bearing as bearing_deg
 from ..functions.columns import cases, haversine_km
 from ..operators import spatial as P
-from ..sources.adapters import SQL_EV, SQL_GEV, SQL_REGIONS, SQL_VEC, event_groups, event_signals, regions, vector_groups
+from ..operators.aggregate import with_totals
+from ..sources.adapters import SQL_EV, SQL_REGIONS, SQL_SITES, event_signals, regions, sites
 from .base import query
 from .q_joins import _KM
 
@@ -25,41 +27,56 @@ def _weights(spark, sf):
 _WT = "wt as (select region, lat, lon, grp, w, n from regions join (select region, sum(weight) as w, count(*) as n from ev where ts <= timestamp '2024-01-30' group by 1) using (region))"
 
 
-@query(f"with {SQL_REGIONS} select a.region as a, b.region as b, round({_KM}, 6) as km from regions a join regions b on a.region <> b.region")
+_SR = f"with {SQL_SITES}, {SQL_REGIONS}"
+
+
+def _at_region(spark, sf):
+    """Sites with the centroid of their region."""
+    r = regions(spark).select("region", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
+    return sites(spark, sf).join(r, "region")
+
+
+@query(f"{_SR} select b.site, b.region, round({_KM}, 6) as km from sites b join regions a using (region)")
 def haversine(spark, sf):
-    return P.adjacency(regions(spark), 0.0, 1e9).select("a", "b", F.round("km", 6).alias("km"))
+    km = haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
+    return _at_region(spark, sf).select("site", "region", F.round(km, 6).alias("km"))
 
 
-@query(f"with {SQL_REGIONS} select a.region as a, b.region as b, round({_DEG}, 5) as bearing from regions a join regions b on a.region <> b.region")
+@query(f"{_SR} select b.site, b.region, round({_DEG}, 5) as bearing from sites b join regions a using (region)")
 def bearing(spark, sf):
-    return P.adjacency(regions(spark), 0.0, 1e9).select("a", "b", F.round("bearing", 5).alias("bearing"))
+    return _at_region(spark, sf).select("site", "region", F.round(bearing_deg(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")), 5).alias("bearing"))
 
 
-@query(f"with {SQL_REGIONS}, p as (select a.region as a, b.region as b, {_KM} as km, {_DEG} as bearing from regions a join regions b on a.region <> b.region) select a, b, round(km, 6) as km, round(1 / km, 6) as weight, round(bearing, 5) as bearing from p where km between 0.01 and 30")
+@query(f"{_W}, {_WT}, p as (select a.region as a, b.region as b, {_KM} as km, {_DEG} as bearing, a.n + b.n as n from wt a join wt b on a.region <> b.region) select a, b, round(km, 6) as km, round(1 / km, 6) as weight, round(bearing, 5) as bearing, n from p where km between 0.01 and 12")
 def adjacency_graph(spark, sf):
-    return P.adjacency(regions(spark)).select("a", "b", F.round("km", 6).alias("km"), F.round("weight", 6).alias("weight"), F.round("bearing", 5).alias("bearing"))
+    """Edges between regions with released signals, and how many these have."""
+    w = _weights(spark, sf)
+    n = lambda c: w.select(F.col("region").alias(c), F.col("n").alias(f"n_{c}"))
+    e = P.adjacency(w, 0.01, 12.0).join(n("a"), "a").join(n("b"), "b")
+    return e.select("a", "b", F.round("km", 6).alias("km"), F.round("weight", 6).alias("weight"), F.round("bearing", 5).alias("bearing"), (F.col("n_a") + F.col("n_b")).alias("n"))
 
 
-@query(f"""with recursive {SQL_REGIONS}, p as (select a.region as a, b.region as b from regions a join regions b on a.region <> b.region where {_KM} <= 5), r(a, c) as (select region, region from regions where region in (select a from p) union select p.a, r.c from p join r on r.a = p.b),
-g as (select a, min(c) as c from r group by 1) select region, coalesce(c, '-1') as grp from regions left join g on g.a = region""")
+@query(f"""with recursive {SQL_SITES}, p as (select a.site as a, b.site as b from sites a join sites b on a.site <> b.site and b.lat between a.lat - 0.03 and a.lat + 0.03 where {_KM} <= 2.6),
+core as (select a as site from p group by 1 having count(*) >= 2), r(a, c) as (select site, site from core union select p.a, r.c from p join r on r.a = p.b where p.a in (select site from core)), g as (select a, min(c) as c from r group by 1),
+e as (select p.a, min(g.c) as c from p join g on g.a = p.b group by 1) select site, coalesce(g.c, e.c, -1) as grp from sites left join g on g.a = site left join e on e.a = site""")
 def spatial_dbscan(spark, sf):
-    r = regions(spark).select(F.col("region").alias("id"), "lat", "lon")
-    return P.dbscan(r, 5.0, 2).select(F.col("id").alias("region"), F.col("group").cast("string").alias("grp"))
+    p = sites(spark, sf).select(F.col("site").alias("id"), "lat", "lon")
+    return P.dbscan(p, 2.6, 3).select(F.col("id").alias("site"), F.col("group").alias("grp"))
 
 
-_GRID = "cells as (select i, j, 40.19 + 0.56 * i / 29 as y, -74.8 + 0.8 * j / 29 as x from (select unnest(range(0, 30)) as i) cross join (select unnest(range(0, 30)) as j))"
+_GRID = "cells as (select i, j, 9.95 + 0.3 * i / 29 as y, 19.95 + 0.35 * j / 29 as x from (select unnest(range(0, 30)) as i) cross join (select unnest(range(0, 30)) as j))"
 
 
 @query(f"{_W}, {_WT}, {_GRID}, k as (select i, j, sum(w * exp(-(pow(y - lat, 2) + pow(x - lon, 2)) / (2 * 0.05 * 0.05))) as k from cells cross join wt group by 1, 2) select i::int as i, j::int as j, round(k / (select max(k) from k), 6) as density from k")
 def kde_grid(spark, sf):
     p = _weights(spark, sf).select("lat", "lon", F.col("w").alias("weight"))
-    return P.kde_grid(p, 30, 0.05, (40.19, 40.75, -74.8, -74.0)).withColumn("density", F.round("density", 6))
+    return P.kde_grid(p, 30, 0.05, (9.95, 10.25, 19.95, 20.3)).withColumn("density", F.round("density", 6))
 
 
 @query(f"{_W}, {_WT}, {_GRID}, k as (select i, j, sum(w * exp(-(pow(y - lat, 2) + pow(x - lon, 2)) / (2 * 0.05 * 0.05))) as k from cells cross join wt group by 1, 2), s as (select i, j, k / (select max(k) from k) as d from k) select count(*) as n_cells, round(sum(d), 4) as total from s where d >= 0.01")
 def kde_cells(spark, sf):
     p = _weights(spark, sf).select("lat", "lon", F.col("w").alias("weight"))
-    return P.kde_grid(p, 30, 0.05, (40.19, 40.75, -74.8, -74.0)).where("density >= 0.01").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("density"), 4).alias("total"))
+    return P.kde_grid(p, 30, 0.05, (9.95, 10.25, 19.95, 20.3)).where("density >= 0.01").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("density"), 4).alias("total"))
 
 
 @query(f"""{_W}, {_WT}, nb as (select a.region, sum(b.w) as s, count(*) as k from wt a join wt b on {_KM} <= 10 or a.region = b.region group by 1), st as (select avg(w) as m, stddev_pop(w) as sd, count(*) as n from wt),
@@ -69,18 +86,21 @@ def getis_ord(spark, sf):
     return P.getis_ord(w, 10.0).select(F.col("id").alias("region"), F.round("z", 6).alias("z"))
 
 
-@query(f"{_W}, {_WT}, d as (select b.n, {_KM} as km from wt a cross join wt b where a.region = '08901'), r as (select least(floor(km / 5), 5)::int as ring, n from d) select ring, sum(n)::bigint as n, round(sum(n) / (pi() * 25 * ((ring + 1) * (ring + 1) - ring * ring)), 6) as density from r where ring < 5 group by 1")
+@query(f"{_W}, {_WT}, d as (select b.n, {_KM} as km from wt a cross join wt b where a.region = '01582'), r as (select least(floor(km / 5), 5)::int as ring, n from d) select ring, sum(n)::bigint as n, round(sum(n) / (pi() * 25 * ((ring + 1) * (ring + 1) - ring * ring)), 6) as density from r where ring < 5 group by 1")
 def ring_density(spark, sf):
     w = _weights(spark, sf)
-    c = w.where("region = '08901'").select(F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    c = w.where("region = '01582'").select(F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     d = w.join(F.broadcast(c), F.lit(True)).select("n", F.floor(haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) / 5).cast("int").alias("ring"))
     r = F.col("ring")
     return d.where("ring < 5").groupBy("ring").agg(F.sum("n").alias("n")).select("ring", "n", F.round(F.col("n") / (F.pi() * 25 * ((r + 1) * (r + 1) - r * r)), 6).alias("density"))
 
 
-@query(f"with {SQL_REGIONS}, p as (select region, unnest(range(0, 9)) as k, lat, lon from regions) select region, k::int as k, round(lon + 2.0 / (111.32 * cos(radians(lat))) * cos(2 * pi() * (k % 8) / 8), 6) as x, round(lat + 2.0 / 110.574 * sin(2 * pi() * (k % 8) / 8), 6) as y from p")
+@query(f"{_W}, {_WT}, p as (select region, unnest(range(0, 9)) as k, lat, lon, sqrt(n / (select max(n) from wt)) * 2.0 as km from wt) select region, k::int as k, round(lon + km / (111.32 * cos(radians(lat))) * cos(2 * pi() * (k % 8) / 8), 6) as x, round(lat + km / 110.574 * sin(2 * pi() * (k % 8) / 8), 6) as y from p")
 def circle_polygon(spark, sf):
-    r = regions(spark).select("region", F.posexplode(P.circle(F.col("lat"), F.col("lon"), 2.0, 8)).alias("k", "p"))
+    """Circles around regions, of areas in proportion to their signals."""
+    w = with_totals(_weights(spark, sf), F.max("n").alias("top"))
+    km = F.sqrt(F.col("n") / F.col("top")) * 2.0
+    r = w.select("region", F.posexplode(P.circle(F.col("lat"), F.col("lon"), km, 8)).alias("k", "p"))
     return r.select("region", "k", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
 
 

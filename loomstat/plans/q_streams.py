@@ -113,9 +113,6 @@ def stream_topic_assign(spark, sf):
 def stream_upsert(spark, sf):
     p = place(spark)
 
-    def put(b, k):
-        counts = b.groupBy("source", "region").agg(F.count(F.lit(1)).alias("n"))
-        sinks.upsert(counts, f"{p}/out", ["source", "region"], ["region"])
-
-    S.each_batch(events(spark, sf), put, f"{p}/checkpoint")
+    S.each_batch(events(spark, sf), S.batch_counts(f"{p}/counts", ["source", "region"]), f"{p}/checkpoint")
+    sinks.upsert(S.total_counts(spark, f"{p}/counts", ["source", "region"], "source string, region string"), f"{p}/out", ["source", "region"], ["region"])
     return spark.read.schema("source string, n long, region string").parquet(f"{p}/out").select("source", "region", "n")

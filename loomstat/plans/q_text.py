@@ -75,13 +75,12 @@ def category_distribution(spark, sf):
     return _docs(spark, sf).select(F.explode(c).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CO = f"with {_TERMS}, tf as (select term from t group by 1 having count(*) >= 100), f as (select doc_id, term, row_number() over (partition by doc_id order by pos) as pos from t where term in (select term from tf)), co as (select least(a.term, b.term) as a, greatest(a.term, b.term) as b, count(*) as weight from f a join f b on a.doc_id = b.doc_id and b.pos - a.pos between 1 and 4 and a.term <> b.term group by 1, 2)"
+_CO = f"""with {_TERMS}, f as (select doc_id, term, row_number() over (partition by doc_id order by pos) as pos from t where term not in {_IN(STOP)}), l as (select term as x, unnest([lead(term, 1) over w, lead(term, 2) over w, lead(term, 3) over w, lead(term, 4) over w]) as y from f window w as (partition by doc_id order by pos)),
+co as (select least(x, y) as a, greatest(x, y) as b, count(*) as weight from l where x <> y group by 1, 2)"""
 
 
 def _edges(spark, sf):
-    t = T.terms(_docs(spark, sf), ["doc_id"], "text")
-    often = t.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 100").select("term")
-    return T.cooccurrence(t.join(often, "term", "left_semi"), "doc_id", 5)
+    return T.cooccurrence(_docs(spark, sf), "text", 5, STOP)
 
 
 @query(f"{_CO} select a, b, weight from co")
@@ -89,9 +88,9 @@ def cooccurrence_edges(spark, sf):
     return _edges(spark, sf)
 
 
-@query(f"{_CO}, e as (select a, b from co where weight >= 400 union select b, a from co where weight >= 400), h1 as (select distinct b as node from e where a = 'the'), h2 as (select distinct e.b as node from e join h1 on e.a = h1.node) select node, min(hops) as hops from (select 'the' as node, 0 as hops union all select node, 1 from h1 union all select node, 2 from h2) group by 1")
+@query(f"{_CO}, e as (select a, b from co where weight >= 5 union select b, a from co where weight >= 5), h1 as (select distinct b as node from e where a = 'license'), h2 as (select distinct e.b as node from e join h1 on e.a = h1.node) select node, min(hops) as hops from (select 'license' as node, 0 as hops union all select node, 1 from h1 union all select node, 2 from h2) group by 1")
 def graph_expand(spark, sf):
-    return expand(spark.createDataFrame([("the",)], "node string"), _edges(spark, sf), 2, 400)
+    return expand(spark.createDataFrame([("license",)], "node string"), _edges(spark, sf), 2, 5)
 
 
 _EM = f"""with {_TERMS}, {SQL_DOC}, w as (select date_trunc('week', ts)::date as week, term, count(*) as n from t join doc on signal_id = doc_id where term not in {_IN(STOP)} group by 1, 2), k as (select week, term from (select *, row_number() over (partition by week order by n desc, term) as r from w) where r <= 20)"""
@@ -108,10 +107,17 @@ def term_emergence(spark, sf):
     return j.select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.size(F.array_except("terms", F.coalesce("old", F.array().cast("array<string>")))).cast("long").alias("n_new"))
 
 
-@query(r"select doc_id, len(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) as n_net, len(regexp_extract_all(text, '[A-Z]{2,}')) as n_caps, len(regexp_extract_all(text, '[0-9]{4}')) as n_year from documents")
+# Rules of typed entities. A person type is never produced.
+ORG = r"[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)* (?:License|Foundation|Institute|University|Council|Inc|Ltd|Corp|GmbH)"
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{4}|(?:19|20)[0-9]{2}"
+
+
+@query(f"""with m as (select doc_id, 'ORG' as kind, unnest(regexp_extract_all(text, '{ORG}')) as entity from documents union all select doc_id, 'DATE', unnest(regexp_extract_all(text, '{DATE}')) from documents
+union all select doc_id, 'PLACE', place from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as w from documents) join (select distinct lower(n_name) as w, n_name as place from nation union select 'the', 'the' union select 'der', 'der') using (w)) select doc_id, kind, entity, count(*) as n from m group by all""")
 def entity_extract(spark, sf):
-    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return _docs(spark, sf).select("doc_id", n(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}").alias("n_net"), n("[A-Z]{2,}").alias("n_caps"), n("[0-9]{4}").alias("n_year"))
+    """Typed entities of each text, with counts: organisations and dates by rules, places by an equi-join of words with a gazetteer (nations, and two frequent words as test places)."""
+    places = table(spark, sf, "nation").select(F.col("n_name").alias("place")).unionByName(spark.createDataFrame([("the",), ("der",)], "place string"))
+    return T.entities(_docs(spark, sf), "doc_id", "text", {"ORG": ORG, "DATE": DATE}, places.select(F.lower("place").alias("w"), "place").distinct())
 
 
 _PL = "('the', 'der', 'les', 'del', 'und')"

@@ -7,10 +7,11 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import cases, cosine, hours_before
 from ..operators import groups as G
-from ..operators.graph import connected_components
+from ..operators.sizes import sent
 from ..sources.adapters import SQL_DOC, SQL_EV, SQL_GEV, SQL_VEC, as_of, event_groups, table, text_signals, vector_groups
 from .base import query
 from .q_aggregate import _CS, clusters
+from .q_text import STOP
 
 _CEN = "cu as (select cluster_id, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as p from vec), cp as (select cluster_id, p, avg(x) as x from cu group by all), cen as (select cluster_id, list(x order by p) as c from cp group by 1)"
 _TOK = "tok as (select signal_id, language as topic, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as term from doc)"
@@ -90,16 +91,9 @@ def cluster_noise_stats(spark, sf):
 
 @query()
 def topic_model(spark, sf):
-    """Topic of each document by LDA over counted terms."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("terms"))
-    v = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=2000, minDF=2.0).fit(d).transform(d)
-    t = LDA(k=4, seed=42, maxIter=5, optimizer="online").fit(v).transform(v)
-    dist = vector_to_array("topicDistribution")
-    return t.select("doc_id", (F.array_position(dist, F.array_max(dist)) - 1).cast("int").alias("topic"))
+    """Topic of each document, with the topic's ten strongest words or word groups: LDA over counted 1- to 3-grams without stop words."""
+    d = table(spark, sf, "documents").where("text is not null")
+    return G.topics(d, "doc_id", "text", k=4, vocabulary=2000, stop=STOP)
 
 
 @query(f"{_TF} select topic, term, tf, round(score, 4) as score, rank from rk where rank <= 10")
@@ -119,24 +113,40 @@ def topic_evolution(spark, sf):
     return text_signals(spark, sf).groupBy(F.col("language").alias("topic"), b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {SQL_VEC}, {_CEN} select cluster_id as id, cluster_id as component from cen")
+_VT = f"with recursive {SQL_DOC}, tv as (select region as topic, term, count(*) as n from (select region, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as term from doc) where term not in ({', '.join(repr(x) for x in STOP)}) group by 1, 2), tl as (select topic, sqrt(sum(n * n)) as l from tv group by 1)"
+
+
+@query(f"""{_VT}, p as (select a.topic as a, b.topic as b from tv a join tv b on a.term = b.term and a.topic <> b.topic join tl x on x.topic = a.topic join tl y on y.topic = b.topic group by 1, 2 having sum(a.n * b.n) / any_value(x.l * y.l) >= 0.7),
+r(a, c) as (select topic, topic from tl union select p.a, r.c from p join r on r.a = p.b) select a as id, min(c) as component from r group by 1""")
 def topic_merge(spark, sf):
-    c = G.centroids(vector_groups(spark, sf), ["cluster_id"], "embedding")
-    a, b = c.alias("a"), c.alias("b")
-    near = a.join(b, F.col("a.cluster_id") < F.col("b.cluster_id")).where(cosine(F.col("a.centroid"), F.col("b.centroid")) >= 0.7)  # topics, not rows
-    return connected_components(c.select(F.col("cluster_id").alias("id")), near.select(F.col("a.cluster_id").alias("a"), F.col("b.cluster_id").alias("b")))
+    """Topics (here: texts by region) whose term vectors have a cosine of 0.7 or more become one."""
+    d = text_signals(spark, sf)
+    t = d.select(F.col("region").alias("topic"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP))
+    return G.merged_topics(t.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")), 0.7)
 
 
-@query(f"with {SQL_VEC}, {_CEN}, n as (select signal_id, cen.cluster_id, list_cosine_similarity(embedding, c) as s from vec cross join cen where signal_id % 10 = 3 or signal_id % 10 <> 3) select signal_id, arg_max(cluster_id, (s, -cluster_id)) as topic from n group by 1")
+@query(f"with {SQL_VEC}, {_CEN}, n as (select signal_id, cen.cluster_id, list_cosine_similarity(embedding, c) as s from vec cross join cen) select signal_id, arg_max(cluster_id, (s, -cluster_id)) as topic from n group by 1")
 def topic_assign_new(spark, sf):
     v = vector_groups(spark, sf)
     c = G.centroids(v, ["cluster_id"], "embedding").withColumnRenamed("cluster_id", "topic")
-    n = v.join(F.broadcast(c), F.lit(True)).withColumn("s", cosine(F.col("embedding"), F.col("centroid")))  # topics are few
+    n = v.join(sent(c), F.lit(True)).withColumn("s", cosine(F.col("embedding"), F.col("centroid")))  # topics are few
     return n.groupBy("signal_id").agg(F.max_by("topic", F.struct("s", -F.col("topic"))).alias("topic"))
 
 
-@query(f"{_TF}, h as (select language as topic, count(*) filter (where ts < timestamp '2024-01-16') as a, count(*) filter (where ts >= timestamp '2024-01-16') as b, min(signal_id) as doc from doc group by 1) select topic, case when b > 1.1 * a then 'rising' when b < 0.9 * a then 'falling' else 'stable' end as trend, doc from h")
+@query(f"""{_TF}, h as (select language as topic, count(*) filter (where ts < timestamp '2024-01-16') as a, count(*) filter (where ts >= timestamp '2024-01-16') as b from doc group by 1), kw as (select topic, string_agg(term, ',' order by rank) as keywords from rk where rank <= 10 group by 1),
+st as (select topic, term, score from rk where rank <= 10), ds as (select t.topic, t.signal_id, sum(score) as s from (select distinct signal_id, topic, term from tok) t join st using (topic, term) group by 1, 2), dr as (select topic, string_agg(signal_id::varchar, ',' order by k) as docs from (select *, row_number() over (partition by topic order by round(s, 6) desc, signal_id) as k from ds) where k <= 3 group by 1)
+select topic, case when b > 1.1 * a then 'rising' when b < 0.9 * a then 'falling' else 'stable' end as trend, keywords, docs from h left join kw using (topic) left join dr using (topic)""")
 def topic_narratives(spark, sf):
+    """Each topic's ten keywords, up to three documents that hold most of them (by the keywords' scores), and the trend between the halves of the month."""
     mid = F.to_timestamp(F.lit("2024-01-16 00:00:00"))
-    h = text_signals(spark, sf).groupBy(F.col("language").alias("topic")).agg(F.count_if(F.col("ts") < mid).alias("a"), F.count_if(F.col("ts") >= mid).alias("b"), F.min("signal_id").alias("doc"))
-    return h.select("topic", cases([(F.col("b") > 1.1 * F.col("a"), "rising"), (F.col("b") < 0.9 * F.col("a"), "falling")], "stable").alias("trend"), "doc")
+    h = text_signals(spark, sf).groupBy(F.col("language").alias("topic")).agg(F.count_if(F.col("ts") < mid).alias("a"), F.count_if(F.col("ts") >= mid).alias("b"))
+    t = tokens(spark, sf)
+    top = G.top_terms(G.ctfidf(t, "topic", "term"), "topic", "term", 10)
+    listed = lambda xs: F.array_join(F.transform(F.array_sort(F.collect_list(xs)), lambda x: x["v"]), ",")
+    words = top.groupBy("topic").agg(listed(F.struct("rank", F.col("term").alias("v"))).alias("keywords"))
+    # Ten rows for each topic; documents meet them by term, and are counted where they are before anything is shuffled.
+    held = t.join(sent(top.select("topic", "term", "score")), ["topic", "term"]).select("topic", "signal_id", "term", "score").distinct().groupBy("topic", "signal_id").agg(F.sum("score").alias("s"))
+    w = Window.partitionBy("topic").orderBy(F.desc(F.round("s", 6)), "signal_id")
+    three = held.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("topic").agg(listed(F.struct("k", F.col("signal_id").cast("string").alias("v"))).alias("docs"))
+    trend = cases([(F.col("b") > 1.1 * F.col("a"), "rising"), (F.col("b") < 0.9 * F.col("a"), "falling")], "stable")
+    return h.join(words, "topic", "left").join(three, "topic", "left").select("topic", trend.alias("trend"), "keywords", "docs")

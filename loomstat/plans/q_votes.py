@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import cases
 from ..operators import dedup as D
+from ..operators import opinions as V
 from ..operators.graph import connected_components
 from ..sources.adapters import SQL_EV, SQL_GEV, SQL_VOTES, table, votes
 from .base import query
@@ -29,36 +30,19 @@ def vote_counts(spark, sf):
     return latest(spark, sf).groupBy("statement").agg(*[F.count_if(F.col("vote") == v).alias(v) for v in ("agree", "disagree", "pass")])
 
 
-_M = "m as (select session, " + ", ".join(f"coalesce(max(case vote when 'agree' then 1 when 'disagree' then -1 else 0 end) filter (where statement = {k}), 0)::int as s{k}" for k in range(8)) + " from lv group by 1)"
+_V = "case vote when 'agree' then 1 when 'disagree' then -1 else 0 end"
 
 
-def matrix(spark, sf):
-    v = cases([(F.col("vote") == "agree", 1), (F.col("vote") == "disagree", -1)], 0)
-    p = latest(spark, sf).withColumn("v", v).groupBy("session").pivot("statement", list(range(8))).agg(F.max("v"))
-    return p.select("session", *[F.coalesce(F.col(str(k)), F.lit(0)).cast("int").alias(f"s{k}") for k in range(8)])
-
-
-@query(f"{_LV}, {_M} select * from m")
+@query(f"{_LV} select session, statement, ({_V})::int as v from lv")
 def vote_matrix(spark, sf):
-    return matrix(spark, sf)
+    """The session x statement matrix in sparse form: one row for each vote, for any number of statements; what isn't there is 0."""
+    return V.matrix(latest(spark, sf))
 
 
 @query()
 def opinion_groups(spark, sf):
-    """Groups of sessions by PCA and k-means, k of the best silhouette; groups below 5 sessions are hidden."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import PCA, VectorAssembler
-
-    m = VectorAssembler(inputCols=[f"s{k}" for k in range(8)], outputCol="raw").transform(matrix(spark, sf))
-    x = PCA(k=4, inputCol="raw", outputCol="features").fit(m).transform(m).select("session", "features").cache()
-    best, score = None, -2.0
-    for k in range(2, 6):
-        got = KMeans(k=k, seed=42).fit(x).transform(x)
-        s = ClusteringEvaluator().evaluate(got)
-        if s > score:
-            best, score = got, s
-    return best.groupBy(F.col("prediction").alias("group")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    """Groups of sessions by PCA (10 dimensions at most) and k-means, k from 2 to 8 of the best silhouette; groups below 5 sessions are hidden."""
+    return V.opinion_groups(V.matrix(latest(spark, sf)))
 
 
 _GR = f"{_LV}, gv as (select session % 3 as grp, statement, avg(case vote when 'agree' then 1.0 when 'disagree' then -1.0 else 0 end) as mean, count(*) filter (where vote = 'agree') / count(*) as ratio, count(*) as n from lv group by 1, 2)"
@@ -93,7 +77,7 @@ def opinion_summary(spark, sf):
     return latest(spark, sf).agg(n.alias("n_votes"), F.countDistinct("session").alias("n_sessions"), F.countDistinct("statement").alias("n_statements"), F.round(F.count_if(F.col("vote") == "agree") / n, 6).alias("agree_ratio"))
 
 
-_BP = f"""with {SQL_EV}, {SQL_GEV}, {_CS}, bp as (select cluster_id, least(100, 5.0 * size) as density, least(100, 20.0 * n_sources) as breadth, least(100, volume / 10) as strength, least(100, (epoch_us(last_ts) - epoch_us(first_ts)) / 3.6e9 / 24 * 100) as span from cs where size >= 3 and n_sources >= 2 and last_ts <= timestamp '2024-01-30')"""
+_BP = f"""with recursive {SQL_EV}, {SQL_GEV}, {_CS}, bp as (select cluster_id, region, least(100, 5.0 * size) as density, least(100, 20.0 * n_sources) as breadth, least(100, volume / 10) as strength, least(100, (epoch_us(last_ts) - epoch_us(first_ts)) / 3.6e9 / 24 * 100) as span from cs where size >= 3 and n_sources >= 2 and last_ts <= timestamp '2024-01-30')"""
 
 
 def profile(spark, sf):
@@ -108,7 +92,8 @@ def behaviour_profile(spark, sf):
     return p.select("cluster_id", *[F.round(c, 6).alias(c) for c in ("density", "breadth", "strength", "span")], cases([(F.col("span") < 50, "fast"), (F.col("density") >= 75, "dense")], "sparse").alias("label"))
 
 
-@query()
+@query(f"""{_BP}, m as (select region, avg(density) as d, avg(breadth) as b, avg(strength) as s, avg(span) as p from bp group by 1), e as (select x.region as a, y.region as b from m x join m y on x.region <> y.region and sqrt(pow(x.d - y.d, 2) + pow(x.b - y.b, 2) + pow(x.s - y.s, 2) + pow(x.p - y.p, 2)) <= 25),
+r(a, c) as (select region, region from m union select e.a, r.c from e join r on r.a = e.b) select a as region, min(c) as component from r group by 1""")
 def behaviour_regions(spark, sf):
     """Regions whose mean profiles are linked by distances below 25; neutral labels."""
     m = profile(spark, sf).groupBy("region").agg(*[F.avg(c).alias(c) for c in ("density", "breadth", "strength", "span")])

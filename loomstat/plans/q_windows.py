@@ -199,9 +199,9 @@ def weekly_snapshot(spark, sf):
     return snapshot(spark, sf).select(F.date_format("week", "yyyy-MM-dd").alias("week"), "region", "n", F.round("entropy", 6).alias("entropy"), F.round("quality", 6).alias("quality"), "mix")
 
 
-@query(f"{_SNAP} select strftime(week, '%Y-%m-%d') as week, n from snap where region = '08901' and week between date '2024-01-08' and date '2024-01-22'")
+@query(f"{_SNAP} select strftime(week, '%Y-%m-%d') as week, n from snap where region = '01582' and week between date '2024-01-08' and date '2024-01-22'")
 def history_range(spark, sf):
-    s = snapshot(spark, sf).where("region = '08901' and week between date'2024-01-08' and date'2024-01-22'")
+    s = snapshot(spark, sf).where("region = '01582' and week between date'2024-01-08' and date'2024-01-22'")
     return s.orderBy("week").select(F.date_format("week", "yyyy-MM-dd").alias("week"), "n")
 
 

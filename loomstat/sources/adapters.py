@@ -9,26 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# The region dimension. Public area codes used as test keys, with centroids and a group name.
-REGIONS = [
-    ("07030", 40.7440, -74.0324, "hudson"),
-    ("07060", 40.6168, -74.4157, "plainfield"),
-    ("07062", 40.6318, -74.4032, "plainfield"),
-    ("07063", 40.6048, -74.4457, "plainfield"),
-    ("08608", 40.2206, -74.7656, "trenton"),
-    ("08609", 40.2240, -74.7410, "trenton"),
-    ("08610", 40.1987, -74.7130, "trenton"),
-    ("08611", 40.2040, -74.7510, "trenton"),
-    ("08618", 40.2540, -74.7800, "trenton"),
-    ("08619", 40.2400, -74.6960, "trenton"),
-    ("08817", 40.5187, -74.4121, "edison"),
-    ("08820", 40.5850, -74.3650, "edison"),
-    ("08837", 40.5260, -74.3370, "edison"),
-    ("08901", 40.4862, -74.4518, "brunswick"),
-    ("08902", 40.4540, -74.4830, "brunswick"),
-    ("08903", 40.4800, -74.4600, "brunswick"),
-    ("08906", 40.5100, -74.4100, "brunswick"),
-]
+#: The region dimension, made by rule: 17 codes of five digits on a lattice some 5 km wide, in five groups named after the driver's regions.
+GROUPS = ("africa", "america", "asia", "europe", "middle_east")
+REGIONS = [(f"{1101 + 37 * k:05d}", round(10.0 + 0.045 * (k % 4) + 0.003 * k, 4), round(20.0 + 0.05 * (k // 4) + 0.002 * k, 4), GROUPS[k * 5 // 17]) for k in range(17)]
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -63,6 +46,14 @@ def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("signal_id"), "text", "source", F.col("lang").alias("language"), ts.alias("ts"), region_code(F.col("doc_id")).alias("region"))
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, region, lat, lon): suppliers as points, spread by their key over the area of the regions; their region by nation."""
+    k = F.col("s_suppkey")
+    lat = 9.98 + 0.24 * F.pmod(k * 7919, F.lit(10007)) / 10007
+    lon = 19.98 + 0.26 * F.pmod(k * 104729, F.lit(10009)) / 10009
+    return table(spark, sf_dir, "supplier").select(k.alias("site"), region_code(F.col("s_nationkey")).alias("region"), lat.alias("lat"), lon.alias("lon"))
+
+
 def group_id(region: Column, ts: Column) -> Column:
     """The group of a region's day, as a number: region's place times 100000 plus days since 1970."""
     place = F.array_position(F.array(*[F.lit(r[0]) for r in REGIONS]), region) - 1
@@ -95,6 +86,7 @@ SQL_EV = f"ev as (select event_id as signal_id, ts::timestamp as ts, event_type
 SQL_GEV = f"gev as (select *, (list_position({_CODES}, region) - 1) * 100000 + date_diff('day', date '1970-01-01', ts::date) as cluster_id from ev)"
 SQL_DOC = f"doc as (select doc_id as signal_id, text, source, lang as language, timestamp '2024-01-01' + to_hours((doc_id % 720)::int) as ts, ({_CODES})[(doc_id % 17 + 1)::int] as region from documents)"
 SQL_VEC = f"vec as (select vec_id as signal_id, label as cluster_id, embedding::double[] as embedding, timestamp '2024-01-01' + to_hours((vec_id % 720)::int) as ts, ({_CODES})[(vec_id % 17 + 1)::int] as region from embeddings)"
+SQL_SITES = f"sites as (select s_suppkey as site, ({_CODES})[(s_nationkey % 17 + 1)::int] as region, 9.98 + 0.24 * (s_suppkey * 7919 % 10007) / 10007.0 as lat, 19.98 + 0.26 * (s_suppkey * 104729 % 10009) / 10009.0 as lon from supplier)"
 SQL_VOTES = "votes as (select conv_id as session, turn as statement, (['agree', 'disagree', 'pass'])[(length(text) % 3 + 1)::int] as vote, length(text) as seq from conversations)"
 
 

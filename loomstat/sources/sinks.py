@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gates import refuse_identity
+from ..operators.sizes import sent
 
 
 def append(df: DataFrame, path: str, defaults: Mapping[str, object] | None = None, partition: Sequence[str] = ()) -> None:
@@ -33,7 +34,7 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: Sequence[st
     refuse_identity(df)
     touched = df.select(*partition).distinct()
     try:
-        old = spark.read.schema(df.schema).parquet(path)  # else partition codes such as 08901 are read as numbers
+        old = spark.read.schema(df.schema).parquet(path)  # else partition codes such as 01582 are read as numbers
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -42,7 +43,7 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: Sequence[st
     # The rows to keep are read from the files that are overwritten, so they are cut loose first.
     from ..operators.graph import cut
 
-    out = cut(merged(old.join(F.broadcast(touched), list(partition), "left_semi"), df, keys))
+    out = cut(merged(old.join(sent(touched), list(partition), "left_semi"), df, keys))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 

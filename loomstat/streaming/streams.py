@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.columns import cosine
 from ..operators.gates import advance, refuse_identity
+from ..operators.sizes import sent
 
 
 def files(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
@@ -89,7 +90,7 @@ def assign(df: DataFrame, centroids: DataFrame, id_col: str, vector: str) -> Cal
     """Nearest topic for each batch, without refitting; centroids: (topic, centroid), few."""
 
     def one(batch: DataFrame, _: int = 0) -> DataFrame:
-        n = batch.join(F.broadcast(centroids), F.lit(True)).withColumn("s", cosine(F.col(vector), F.col("centroid")))
+        n = batch.join(sent(centroids), F.lit(True)).withColumn("s", cosine(F.col(vector), F.col("centroid")))
         return n.groupBy(id_col).agg(F.max_by("topic", F.struct("s", -F.col("topic"))).alias("topic"))
 
     return one
@@ -116,6 +117,21 @@ def late_splitter(path: str, ts: str, hours: int) -> Callable[[DataFrame, int],
     return split
 
 
+def batch_counts(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps counts by key: each batch writes its own, in a partition named by batch, so a batch that runs again replaces them."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("batch", F.lit(number))
+        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return put
+
+
+def total_counts(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
+    """Counts of all batches so far."""
+    return spark.read.schema(f"{schema}, n long, batch int").parquet(path).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def to_table(df: DataFrame, path: str, checkpoint: str) -> None:
     """Run over what there is now, appending to a Parquet table."""
     refuse_identity(df).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

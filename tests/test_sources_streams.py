@@ -11,7 +11,7 @@ from loomstat.streaming import streams
 
 
 def test_csv_rejects(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('text,zip,date,url\n"He said ""no"", twice",07030,2024-01-01,\n,07030,2024-01-01,\n   ,1,2,3\nok,1,2,3\n')
+    (tmp_path / "a.csv").write_text('text,zip,date,url\n"He said ""no"", twice",01101,2024-01-01,\n,01101,2024-01-01,\n   ,1,2,3\nok,1,2,3\n')
     ok, bad = readers.csv_signals(spark, f"file://{tmp_path}/a.csv")
     assert [(r["text"], r["source"]) for r in ok.orderBy("text").collect()] == [('He said "no", twice', "a"), ("ok", "a")]
     assert bad.count() == 2
@@ -65,3 +65,17 @@ def test_state_machine_keeps_state_between_batches(spark, tmp_path):
         streams.to_table(streams.area_states(streams.files(spark, raw, schema)), f"{out}/t", f"{out}/c")
     got = {(r["region"], r["day"]): r["state"] for r in spark.read.parquet(f"{out}/t").collect()}
     assert got == {("a", "1"): "quiet", ("a", "2"): "active", ("a", "3"): "elevated", ("b", "3"): "silent"}
+
+
+def test_counts_over_two_batches(spark, tmp_path):
+    """Counts of a key add up over micro-batches, and a batch that runs again replaces its own."""
+    schema = StructType.fromDDL("region string, source string")
+    raw, out = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    put = streams.batch_counts(f"{out}/t", ["region", "source"])
+    for n in (10, 5):
+        spark.createDataFrame([("r", "s")] * n, schema).write.mode("append").parquet(raw)
+        streams.each_batch(streams.files(spark, raw, schema), put, f"{out}/c")
+    total = lambda: [tuple(r) for r in streams.total_counts(spark, f"{out}/t", ["region", "source"], "region string, source string").collect()]
+    assert total() == [("r", "s", 15)]
+    put(spark.createDataFrame([("r", "s")] * 5, schema), 1)
+    assert total() == [("r", "s", 15)]
