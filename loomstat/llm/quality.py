@@ -205,7 +205,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(id, score, predicted) for every row, and the columns named in keep.
 
     score: 0 to 1, higher where label 1 is likelier; predicted: 1 from 0.5. Null and empty texts are scored like any other, by the
-    indicators of an empty text; ids may be null or repeat.
+    indicators of an empty text; ids may be null or repeat, and each row has its own result; texts are read whole, whatever their length; columns may have any names.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep if c != text_col])

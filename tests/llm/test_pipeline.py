@@ -6,9 +6,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from loomstat.llm import packing
+from loomstat.llm import common, packing
 
-HARD = [(900001, None, None, None, None), (900002, "", "en", "a", 0), (900003, "same text here for two rows " * 30, "en", "a", 5), (900003, "same text here for two rows " * 30, "en", "a", 5), (None, "id is null but the text is fine, really", "en", "b", 1)]
+HARD = [(900001, None, None, None, None), (900002, "", "en", "a", 0), (900003, "same text here for two rows " * 30, "en", "a", 5), (900003, "same text here for two rows " * 30, "en", "a", 5), (None, "id is null but the text is fine, really", "en", "b", 1), (900006, "a long text that goes on and on, with words such as " + " ".join(f"w{k} and more of it." for k in range(30_000)), "en", None, 1)]
 
 
 def test_stages(spark, sf):
@@ -27,6 +27,14 @@ def test_stages(spark, sf):
     assert now.where("length > 4096 or offset <> 0").count() == 0
 
 
+def test_run_leaves_only_what_it_returns(spark, sf):
+    """Tables that stages wrote for themselves go; the result can still be read."""
+    before = set(common.MADE)
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0
+    assert len(set(common.MADE) - before) <= 2
+
+
 def test_filters_keep_clean_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -37,7 +45,7 @@ def test_filters_keep_clean_documents(spark, sf):
 
 
 def test_packed_holds_all_ids(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = corpus_pipeline.packed(spark, docs, sf)
     t = packing.word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     want = sum(len(t.hf.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
