@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,20 +21,81 @@ def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return x.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("centroid"))
 
 
-def density_groups(df: DataFrame, id_col: str, vector: str, eps: float, min_size: int = 3, bucket: float = 1.0, tables: int = 4, seed: int = 42) -> DataFrame:
-    """(id, group, size, eps): vectors linked within eps (found by random-projection buckets) and their connected components; smaller groups are -1.
+#: Rows of a cell, and visitors, that meet in one task.
+BLOCK = 1024
 
-    Vectors of null, empty or non-finite content are noise.
+
+def near_edges(v: DataFrame, eps: float, per_cell: int = 256, most_cells: int = 1024, sample: int = 4096, seed: int = 42) -> DataFrame:
+    """Edges (a, b) that connect just the rows (id, x) of distance at most eps: one for each row and task at most, never all pairs.
+
+    Rows are dealt to cells by their nearest pivot. Two rows within eps have distances to any pivot that differ by eps at most, so a row whose nearest pivot is at
+    distance d meets all its neighbours in cells of pivots within d + 2 eps: none is missed. Pivots come from a bounded sample; large cells are compared block by block.
+    """
+    n = v.count()
+    k = max(1, min(most_cells, n // per_cell))
+    some = [r["x"] for r in v.orderBy(F.xxhash64("x"), "id").limit(min(sample, 8 * k)).select("x").collect()]
+    rng = np.random.default_rng(seed)
+    by_size: dict[int, np.ndarray] = {}
+    for size in {len(x) for x in some}:
+        rows = np.array([x for x in some if len(x) == size])
+        c = rows[rng.choice(len(rows), min(k, len(rows)), replace=False)]
+        for _ in range(5):
+            near = ((c**2).sum(1)[None] - 2 * rows @ c.T).argmin(1)
+            c = np.array([rows[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
+        by_size[size] = c
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            home, cells = [], []
+            for x in b["x"]:
+                c = by_size.get(len(x))
+                d = np.zeros(1) if c is None else np.linalg.norm(c - np.asarray(x, dtype=np.float64), axis=1)
+                home.append(int(d.argmin()))
+                # The row of the lower cell visits the higher one, which is enough for the pair.
+                cells.append([int(j) for j in np.flatnonzero(d <= d.min() + 2 * eps + 1e-9) if j >= home[-1]])
+            yield pd.DataFrame({"id": b["id"], "x": b["x"], "d": b["x"].map(len), "home": home, "cells": cells})
+
+    kind = v.schema["id"].dataType.simpleString()
+    dealt = cut(v.select("id", "x").mapInPandas(deal, f"id {kind}, x array<double>, d int, home int, cells array<int>"))
+    residents = dealt.groupBy("d", F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rb"))
+    visitors = dealt.select("d", F.explode("cells").alias("cell")).groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vb"))
+    plan = sent(residents.join(visitors, ["d", "cell"]))
+    part = lambda m: F.pmod(F.xxhash64("id", "x"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    here = dealt.withColumn("cell", F.col("home")).join(plan, ["d", "cell"]).select("d", "cell", part("rb").alias("r"), every("vb").alias("q"), "id", "x", F.lit(False).alias("guest"))
+    guests = dealt.withColumn("cell", F.explode("cells")).join(plan, ["d", "cell"]).select("d", "cell", every("rb").alias("r"), part("vb").alias("q"), "id", "x", F.lit(True).alias("guest"))
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        a, z = b[b["guest"]], b[~b["guest"]]
+        if not len(a) or not len(z):
+            return pd.DataFrame({"a": a["id"].iloc[:0], "b": a["id"].iloc[:0]})
+        xa, xz = np.array(a["x"].tolist()), np.array(z["x"].tolist())
+        i, j = np.nonzero((xa**2).sum(1)[:, None] + (xz**2).sum(1)[None] - 2 * xa @ xz.T <= eps * eps + 1e-6)
+        near = np.linalg.norm(xa[i] - xz[j], axis=1) <= eps
+        names, at = np.unique(np.concatenate((a["id"].to_numpy(), z["id"].to_numpy())), return_inverse=True)
+        i, j = at[: len(a)][i[near]], at[len(a) :][j[near]]
+        low = np.arange(len(names))
+        while True:
+            new = low.copy()
+            np.minimum.at(new, i, low[j])
+            np.minimum.at(new, j, low[i])
+            if (new == low).all():
+                break
+            low = new
+        on = np.flatnonzero(low != np.arange(len(names)))
+        return pd.DataFrame({"a": names[on], "b": names[low[on]]})
+
+    return here.unionByName(guests).groupBy("d", "cell", "r", "q").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def density_groups(df: DataFrame, id_col: str, vector: str, eps: float, min_size: int = 3) -> DataFrame:
+    """(id, group, size, eps): vectors linked within eps and their connected components; smaller groups are -1.
+
+    Vectors of null, empty or non-finite content are noise; vectors of different lengths are never linked.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    fine = F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v)) & (F.size(vector) > 0)
-    clean = cut(df.where(fine).select(F.col(id_col).alias("id"), F.col(vector).alias("v")))  # else Spark may hash rows before it filters them
-    v = clean.select("id", array_to_vector("v").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
-    pairs = model.approxSimilarityJoin(v, v, eps, "d").where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"))
-    labels = connected_components(v.select("id"), pairs)
+    fine = F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (F.size(vector) > 0)
+    v = cut(df.where(fine).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x")))
+    labels = connected_components(v.select("id"), near_edges(v, eps))
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     small = F.coalesce(F.col("size"), F.lit(0)) < min_size
     out = df.select(F.col(id_col).alias("id")).join(labels.join(sizes, "component"), "id", "left")

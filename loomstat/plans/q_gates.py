@@ -177,13 +177,20 @@ def output_checks(spark, sf):
     return G.checks([("fresh", g, F.col("last_ts") > as_of() - F.expr("interval 24 hours")), ("size", g, F.col("size") < 3), ("sources", g, F.col("n_sources") < 2), ("text", table(spark, sf, "documents"), F.col("text").contains("@"))])
 
 
-@query(f"select tier, min_size, min_sources, delay_hours, min_size >= 3 and min_sources >= 2 and delay_hours >= 24 as complies from (values (0, 5, 2, 72), (1, 3, 2, 24)) as t(tier, min_size, min_sources, delay_hours), (select count(*) as n from events) where n >= 0")
+_LEAST = f"count(*) as n_released, min(size) as least_size, min(n_sources) as least_sources, round(min((epoch_us({_NOW}) - epoch_us(last_ts)) / 3.6e9), 6) as least_age"
+
+
+@query(f"{_W}, l as (select 0 as tier, {_LEAST} from cs where {_pass(72, 5)} union all select 1, {_LEAST} from cs where {_pass()}) select *, coalesce(least_size >= 3 and least_sources >= 2 and least_age >= 24, true) as complies from l")
 def compliance_checks(spark, sf):
-    """Limits of the tiers, for a signals table that exists and holds no identity column."""
+    """What each tier releases, its smallest, least attested and newest group, and whether these keep the limits; for signals that hold no identity column."""
     G.refuse_identity(event_signals(spark, sf))
-    rows = [(t, x.min_size, x.min_sources, x.delay_hours) for t, x in TIERS.items()]
-    t = spark.createDataFrame(rows, "tier int, min_size int, min_sources int, delay_hours int").join(F.broadcast(event_signals(spark, sf).agg(F.count(F.lit(1)).alias("n"))), F.lit(True)).drop("n")
-    return t.withColumn("complies", (F.col("min_size") >= 3) & (F.col("min_sources") >= 2) & (F.col("delay_hours") >= 24))
+    out = None
+    for t, limits in TIERS.items():
+        age = F.min(hours_before(as_of(), F.col("last_ts")))
+        one = G.release(clusters(spark, sf), limits, as_of()).agg(F.lit(t).alias("tier"), F.count(F.lit(1)).alias("n_released"), F.min("size").alias("least_size"), F.min("n_sources").alias("least_sources"), F.round(age, 6).alias("least_age"))
+        out = one if out is None else out.unionByName(one)
+    kept = (F.col("least_size") >= 3) & (F.col("least_sources") >= 2) & (F.col("least_age") >= 24)
+    return out.withColumn("complies", F.coalesce(kept, F.lit(True)))
 
 
 @query(f"{_W}, g as (select * from cs where {_pass()} and first_ts >= {_NOW} - interval 8 day), {SQL_REGIONS} select region, count(cluster_id) as n_groups, coalesce(sum(size), 0)::bigint as n_signals, round(coalesce(avg(volume), 0), 6) as mean_volume from regions left join g using (region) group by 1")

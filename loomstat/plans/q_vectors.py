@@ -37,7 +37,9 @@ def embed(spark, sf):
     return out.select("doc_id", F.transform(vector_to_array("v"), lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query()
+@query(f"""with recursive {SQL_VEC}, p as (select a.signal_id as a, b.signal_id as b from vec a join vec b on a.signal_id <> b.signal_id and list_distance(a.embedding, b.embedding) <= 0.5),
+r(a, c) as (select signal_id, signal_id from vec where embedding is not null union select p.a, r.c from p join r on r.a = p.b), m as (select a, min(c) as c from r group by 1), z as (select c, count(*) as size from m group by 1)
+select signal_id, case when size >= 2 then c else -1 end as "group", coalesce(size, 1) as size, 0.5::double as eps from vec left join m on a = signal_id left join z using (c)""")
 def density_cluster(spark, sf):
     return G.density_groups(vector_groups(spark, sf), "signal_id", "embedding", eps=0.5, min_size=2)
 
