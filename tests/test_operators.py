@@ -22,6 +22,7 @@ def rows(df, *order):
 
 
 def test_attention_states(spark):
+    # The public thresholds of the states.
     cases = [(0.0, 1.0, "QUIET"), (0.24, 1.0, "QUIET"), (0.25, 1.0, "MODERATE"), (0.49, 1.0, "MODERATE"), (0.5, 1.0, "ELEVATED_ATTENTION"), (0.74, 1.0, "ELEVATED_ATTENTION"), (0.75, 1.0, "HIGH_ATTENTION"), (1.0, 1.0, "HIGH_ATTENTION"), (0.8, 0.5, "MODERATE"), (0.75, 0.6, "MODERATE")]
     df = spark.createDataFrame(cases, "s double, c double, expected string")
     assert df.where(state(F.col("s"), F.col("c")) != F.col("expected")).count() == 0
@@ -34,9 +35,10 @@ def test_limits_cannot_be_weakened():
 
 
 def test_release_gate(spark):
-    data = [("ok", 5, 3, "2026-02-06 12:00:00", 1.5), ("small", 2, 3, "2026-02-06 12:00:00", 1.5), ("one source", 5, 1, "2026-02-06 12:00:00", 1.5), ("new", 5, 3, "2026-02-08 06:00:00", 1.5), ("weak", 5, 3, "2026-02-06 12:00:00", 0.5), ("null", 5, 3, None, 1.5)]
+    old, new = "2025-03-01 08:30:00", "2025-03-09 21:00:00"
+    data = [("ok", 7, 4, old, 2.25), ("small", 2, 4, old, 2.25), ("one source", 7, 1, old, 2.25), ("new", 7, 4, new, 2.25), ("weak", 7, 4, old, 0.75), ("null", 7, 4, None, 2.25)]
     df = spark.createDataFrame(data, "name string, size int, n_sources int, t string, volume double").withColumn("last_ts", F.to_timestamp("t"))
-    now = F.to_timestamp(F.lit("2026-02-08 12:00:00"))
+    now = F.to_timestamp(F.lit("2025-03-10 09:00:00"))
     assert [r["name"] for r in gates.release(df, Limits(), now).collect()] == ["ok"]
     failed = {r["name"]: r["f"] for r in df.select("name", gates.failed(Limits(), now).alias("f")).collect()}
     assert failed == {"ok": [], "small": ["size"], "one source": ["sources"], "new": ["delay"], "weak": ["volume"], "null": ["delay"]}
