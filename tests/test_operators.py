@@ -229,6 +229,36 @@ def test_topics_and_merging(spark):
     assert rows(groups.merged_topics(counts, 0.72), "id") == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")]
 
 
+def test_embed_query_by_counting(spark, sf):
+    """Term frequencies by bucket times log((texts + 1) / (texts with the bucket + 1)), for every document."""
+    from pyspark.ml.feature import HashingTF
+
+    from loomstat.plans import registry
+
+    docs = {r["doc_id"]: re.findall("[a-z]{3,}", (r["text"] or "").lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    tf = HashingTF(numFeatures=256)
+    place = {t: tf.indexOf(t) for t in {t for ts in docs.values() for t in ts}}
+    counts = {k: np.bincount([place[t] for t in ts], minlength=256) if ts else np.zeros(256) for k, ts in docs.items()}
+    idf = np.log((len(docs) + 1) / (sum((c > 0).astype(int) for c in counts.values()) + 1))
+    got = {r["doc_id"]: r["embedding"] for r in registry.queries()["embed"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for k, c in counts.items():
+        assert np.allclose(got[k], c * idf, atol=2e-6), k
+
+
+def test_kmeans_query_is_settled(spark, sf):
+    """Nearly every vector is in the group whose mean is nearest."""
+    from loomstat.plans import registry
+
+    x = {r["vec_id"]: np.array(r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").collect()}
+    group = {r["signal_id"]: r["group"] for r in registry.queries()["kmeans_cluster"](spark, sf).collect()}
+    assert set(group) == set(x) and 2 <= len(set(group.values())) <= 10
+    names = sorted(set(group.values()))
+    means = np.array([np.mean([x[k] for k in x if group[k] == g], axis=0) for g in names])
+    near = {k: names[int(np.linalg.norm(means - v, axis=1).argmin())] for k, v in x.items()}
+    assert sum(near[k] == group[k] for k in x) >= 0.95 * len(x)
+
+
 def test_user_embedding_model(spark):
     def load():
         return lambda texts: [[len(t), t.count("a")] for t in texts]
