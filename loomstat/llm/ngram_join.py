@@ -27,7 +27,7 @@ MOST_SENT = 200_000
 #: Texts of a block of a unit at most, about, and bytes of their shingle sets.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 #: Texts of a block of a trie node at most, about; and nodes that may be larger than that (they are sent to every executor).
-NODE_ROWS, MOST_LARGE = 512, 100_000
+NODE_ROWS, MOST_LARGE = 256, 100_000
 #: Values of a label, one byte each: a label is one whole number, whose order is the order of the trie.
 LABEL = 8
 BINS = 64
