@@ -49,13 +49,13 @@ def gate_reasons(spark, sf):
     return r.where("failed <> ''")
 
 
-@query("select t, n from (values ('customer', 0), ('documents', 0), ('events', 1), ('pages', 0)) as v(t, n)")
+@query("select 'customer' as t, 0 as n, count(*) as n_rows from customer union all select 'documents', 0, count(*) from documents union all select 'events', 1, count(*) from events union all select 'pages', 0, count(*) from pages")
 def schema_identity_gate(spark, sf):
-    """Prohibited columns of raw tables (events has a user key, which no adapter projects)."""
+    """Prohibited columns of raw tables (events has a user key, which no adapter projects), and how many rows the gate covers; a row for each table, empty or not."""
     out = None
     for t in ("customer", "documents", "events", "pages"):
         df = table(spark, sf, t)
-        one = df.limit(1).select(F.lit(t).alias("t"), F.lit(len(G.identity_fields(df.schema))).alias("n"))
+        one = df.agg(F.lit(t).alias("t"), F.lit(len(G.identity_fields(df.schema))).alias("n"), F.count(F.lit(1)).alias("n_rows"))
         out = one if out is None else out.unionByName(one)
     return out
 
