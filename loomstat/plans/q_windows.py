@@ -194,9 +194,9 @@ def snapshot(spark, sf):
     return every.join(h, ["week", "region"], "left").fillna({"n": 0, "entropy": 0.0, "quality": 0.0, "mix": ""})
 
 
-@query(f"{_SNAP} select strftime(week, '%Y-%m-%d') as week, region, n, round(entropy, 6) as entropy, round(quality, 5) as quality, mix from snap")
+@query(f"{_SNAP} select strftime(week, '%Y-%m-%d') as week, region, n, round(entropy, 6) as entropy, round(quality + 1e-9, 5) as quality, mix from snap")
 def weekly_snapshot(spark, sf):
-    return snapshot(spark, sf).select(F.date_format("week", "yyyy-MM-dd").alias("week"), "region", "n", F.round("entropy", 6).alias("entropy"), F.round("quality", 5).alias("quality"), "mix")
+    return snapshot(spark, sf).select(F.date_format("week", "yyyy-MM-dd").alias("week"), "region", "n", F.round("entropy", 6).alias("entropy"), F.round(F.col("quality") + 1e-9, 5).alias("quality"), "mix")  # means of halves: a nudge, so that ties go one way
 
 
 @query(f"{_SNAP} select strftime(week, '%Y-%m-%d') as week, n from snap where region = '01582' and week between date '2024-01-08' and date '2024-01-22'")
