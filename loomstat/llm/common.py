@@ -95,14 +95,19 @@ def drop_cut(df: DataFrame) -> None:
 
 #: A key of at least so many rows is hot, and there are at most so many hot keys: with more rows, it takes more of them to be hot.
 HOT_ROWS, MOST_HOT = 128, 100_000
+#: A table of keys of narrow rows is sent to every executor as it is if it can't have more rows.
+SMALL = 100_000
 
 
-def hot_join(rows: DataFrame, other: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, other: DataFrame, key: str, n: str, total: int, how: str = "inner", small: int | None = None) -> DataFrame:
     """rows joined with other, which has one row for each key; no task gets all rows of a hot key.
 
     n: the column of other that says how many rows have its key; total: at least the sum of these. Keys of very many rows (at most
-    MOST_HOT, which total bounds) are sent to every executor; the others are joined by a shuffle. how: inner or left.
+    MOST_HOT, which total bounds) are sent to every executor; the others are joined by a shuffle. how: inner or left. other is sent whole if total is at
+    most `small` (SMALL; 0 for wide rows).
     """
+    if total <= (SMALL if small is None else small):
+        return rows.join(F.broadcast(other), key, how).select(*rows.columns, *[c for c in other.columns if c != key])
     hot_from = max(HOT_ROWS, total // MOST_HOT)
     rest = [c for c in other.columns if c != key]
     hot = F.broadcast(other.where(F.col(n) >= hot_from).select(F.col(key).alias("loomstat_hot"), *rest))
@@ -129,7 +134,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     n = e.count()
     for _ in range(max_rounds):
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = lowest(sym, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
+        large = lowest(sym, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v")
         small = lowest(large, n)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         nxt = cut(small.where("u > v").distinct())

@@ -113,7 +113,7 @@ def near_vectors(
     first = whole.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
     size = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     whole = hot_join(whole, first, "component", "members", size[0]).select("x", "copies", "n", "component_id")
-    out = hot_join(rows.where("x is not null"), whole, "x", "copies", size[1]).select("id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    out = hot_join(rows.where("x is not null"), whole, "x", "copies", size[1], small=0).select("id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     lone = rows.where("x is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = out.unionByName(lone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
     return out.withColumnRenamed("id", id_col)

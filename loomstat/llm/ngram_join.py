@@ -306,32 +306,39 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str, width: int, thresh
     own_texts = own_texts.select("unit", "blocks", "block", "c", "copies", "text")
     sets = own_texts.mapInArrow(to_sets, "unit bigint, blocks int, block int, c bigint, copies bigint, shingles binary")
     spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("unit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "c", "copies", "shingles", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
+    spread = spread.select("unit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "c", "copies", "shingles", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("blocks") > 1).alias("more"))
 
     ratio = Fraction(threshold).limit_denominator(10_000)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["c", "root", "n"])
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([f[3] for f in found], pa.bool_())], ["c", "root", "n", "more"])
+
+        def linked() -> list:
+            return [(*x, now[3]) for x in compare(list(block.values()), now[1] == now[2], ratio)] if len(block) > 1 else []
 
         now, block = None, {}
         for b in batches:
             found = []
-            for u, lo, hi, c, copies, s, side in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
-                if (u, lo, hi) != now:
-                    if len(block) > 1:
-                        found += compare(list(block.values()), now[1] == now[2], ratio)
-                    now, block = (u, lo, hi), {}
+            for u, lo, hi, c, copies, s, side, more in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if (u, lo, hi, more) != now:
+                    found += linked()
+                    now, block = (u, lo, hi, more), {}
                 block[c] = (c, copies, s, side)  # a repeated row of a representative is one text
             yield result(found)
-        if len(block) > 1:
-            yield result(compare(list(block.values()), now[1] == now[2], ratio))
+        yield result(linked())
 
-    found = spread.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi").mapInArrow(verify, "c bigint, root bigint, n bigint")
+    found = spread.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi").mapInArrow(verify, "c bigint, root bigint, n bigint, more boolean")
     found = cut(found)
-    links = found.groupBy("c").agg(F.sum("n").alias("n"))
-    group = components(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("c"), "component")
-    whole = cut(classes.select("c", "key", "rep", "copies").join(links, "c", "left").join(group, "c", "left").withColumn("component", F.coalesce("component", "c")))
+    # A unit of one block is settled by its task; only what larger ones found in different blocks has to be brought together.
+    links = found.groupBy("c").agg(F.sum("n").alias("n"), F.min("root").alias("root"))
+    parted = found.where("more and c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))
+    whole = classes.select("c", "key", "rep", "copies").join(links, "c", "left").withColumn("component", F.coalesce("root", "c")).drop("root")
+    if not parted.isEmpty():
+        group = components(parted).withColumnRenamed("component", "joint")
+        whole = whole.join(group.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("joint", "component")).drop("joint")
+    whole = cut(whole)
     drop_cut(found)
     first = whole.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"))
     whole = hot_join(whole, first, "component", "m", whole.count())

@@ -71,6 +71,7 @@ def test_url_filter(spark):
 def test_url_filter_hot_pages(spark, monkeypatch):
     """URLs that very many rows share, with and without a rule, and rules of one hash prefix."""
     monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "SMALL", 0)
     urls = ["http://q.net/es/a"] * 60 + ["http://other.org/x"] * 60 + [None] * 30 + [f"http://h{k}.com/" for k in range(30)]
     pages = spark.createDataFrame([(k % 50, u) for k, u in enumerate(urls)], "page_id int, url string").repartition(4)
     rules = [*queries.RULES, ("block", "org", "/x")]
@@ -182,6 +183,7 @@ def test_large_nodes_and_units(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "NODE_ROWS", 16)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
     monkeypatch.setattr(common, "HOT_ROWS", 8)
+    monkeypatch.setattr(common, "SMALL", 0)
     rng = random.Random(7)
     base = [f"w{k}" for k in range(80)]
     rows = []
@@ -195,7 +197,9 @@ def test_large_nodes_and_units(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_links"], r["component_id"]) for r in got), key=str) == plain_join(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL", small)
     e = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (101, 102), (102, 100)] + [(500, k) for k in range(501, 1040)]
     got = dict(map(tuple, common.components(spark.createDataFrame(e, "a long, b long")).collect()))
     assert set(got.values()) == {1, 100, 500} and len(got) == 60 + 3 + 540
