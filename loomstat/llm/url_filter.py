@@ -66,7 +66,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     hosts = F.transform(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(labels))), lambda n: F.array_join(F.slice("parts", -n, n), "."))
     fits = [n for n in lengths]
     paths = F.transform(F.filter(F.array(*[F.lit(n) for n in fits]), lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
-    urls = urls.withColumn("page", F.concat("host", "path"))  # no host holds the "/" that begins a path
+    urls = urls.withColumn("page", F.unhex(F.md5(F.concat("host", "path"))))  # of fixed width; no host holds the "/" that begins a path
     keys = urls.groupBy("page", "host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts)
     asked = keys.select("page", "path", F.explode(hosts).alias("h"), paths.alias("ps")).select("page", "h", F.explode("ps").alias("p"))
     asked = asked.withColumn("asked", digest(F.col("h"), F.col("p"))).withColumn("short", short(F.col("asked")))
