@@ -14,7 +14,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,10 @@ from .common import cut, numbered, small_batches
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Between texts: no word holds it.
 SENTINEL = b"\n"
-#: Words of which features are made at once; a longer text is worked on piece by piece.
-WORDS_AT_ONCE = 1 << 18
+#: Whatever no word holds.
+GAP = re.compile(rb"[^0-9a-z\x80-\xff]")
+#: Bytes of which features are made at once, about; a longer text is worked on piece by piece.
+BYTES_AT_ONCE = 1 << 21
 #: Words of fewer bytes are carried over by table, longer ones are joined and hashed whole.
 TABLED = 64
 #: The longest n-grams.
@@ -60,19 +61,32 @@ def carried(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def word_bytes() -> np.ndarray:
+    """For each byte: can it be in a word?"""
+    return np.array([bool(WORD.match(bytes((b,)))) for b in range(256)])
+
+
 def features(joined: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Features of joined texts, piece by piece: of which text each is, its unsigned CRC-32, and whether it is a single word.
 
     joined: lower-cased texts, each followed by SENTINEL; starts: where each begins.
     """
-    found = WORD.finditer(joined)
     space = zlib.crc32(b" ")
-    before: list[tuple[int, bytes]] = []  # the last words of the piece before
-    while new := [(m.start(), m.group()) for m in islice(found, WORDS_AT_ONCE)]:
-        words = before + new
-        old, total = len(before), len(words)
-        place = np.fromiter((p for p, _ in words), dtype=np.int64, count=total)
-        raw = [w for _, w in words]
+    before: list[bytes] = []  # the last words of the piece before, and where they begin
+    place_before = np.zeros(0, dtype=np.int64)
+    at = 0
+    while at < len(joined):
+        gap = GAP.search(joined, min(at + BYTES_AT_ONCE, len(joined) - 1))
+        at, begin = gap.end() if gap else len(joined), at
+        new = WORD.findall(joined, begin, at)
+        if not new:
+            continue
+        is_word = word_bytes()[np.frombuffer(joined, dtype=np.uint8, count=at - begin, offset=begin)]
+        is_word[1:] &= ~is_word[:-1]  # left are the first bytes of words
+        place = np.concatenate((place_before, begin + np.flatnonzero(is_word)))
+        raw = before + new
+        old, total = len(before), len(raw)
         n = np.fromiter(map(len, raw), dtype=np.int64, count=total)
         crc = np.fromiter(map(zlib.crc32, raw), dtype=np.uint32, count=total)
         doc = np.searchsorted(starts, place, "right") - 1
@@ -93,7 +107,7 @@ def features(joined: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np
                 after[k] = zlib.crc32(b" ".join(raw[k - length + 1 : k + 1]))
             yield doc[last], after[last], np.zeros(len(last), dtype=bool)
             gram = after
-        before = words[-(LONGEST - 1) :]
+        before, place_before = raw[-(LONGEST - 1) :], place[-(LONGEST - 1) :]
 
 
 def joined(texts: list[str]) -> tuple[bytes, np.ndarray]:
