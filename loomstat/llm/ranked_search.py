@@ -109,11 +109,13 @@ class Best:
         return (bound > self.score[-1]) | ((bound == self.score[-1]) & (first_id < self.id[-1]))
 
 
-def descend(treap: Treap, ids: np.ndarray, rows: np.ndarray, weight: np.ndarray, best: Best) -> int:
+def descend(treap: Treap, ids: np.ndarray, rows: np.ndarray, weight: np.ndarray, best: Best, bundle: int = BUNDLE) -> int:
     """Add the block's best documents for an item (its terms' rows, and weights times repeats) to best; returns how many ranges were opened.
 
     ids: of the columns, in ascending order; columns beyond them don't exist, so nothing is found there.
     """
+    inside = rows >> treap.height == 0  # a term of a row beyond the block's grid isn't in the block
+    rows, weight = rows[inside], weight[inside]
     n = len(rows)
     at = np.full(1, treap.height, dtype=np.int64)
     first = np.zeros(1, dtype=np.int64)
@@ -122,8 +124,8 @@ def descend(treap: Treap, ids: np.ndarray, rows: np.ndarray, weight: np.ndarray,
     bound = most @ weight
     opened = 0
     while len(bound):
-        if len(bound) > BUNDLE:
-            take = np.argpartition(-bound, BUNDLE)[:BUNDLE]
+        if len(bound) > bundle:
+            take = np.argpartition(-bound, bundle)[:bundle]
             left = np.ones(len(bound), dtype=bool)
             left[take] = False
         else:
@@ -147,7 +149,7 @@ def descend(treap: Treap, ids: np.ndarray, rows: np.ndarray, weight: np.ndarray,
     return opened
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], most_docs: int, most_cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of documents (id, n, terms, counts): ids in ascending order, lengths; columns, terms and counts of the filled cells."""
     held: list[tuple[np.ndarray, ...]] = []
     docs = cells = 0
@@ -168,12 +170,12 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         ends = np.cumsum(size)
         a = 0
         while a < len(ids):
-            room = max(1, BLOCK_CELLS - cells)
-            z = min(len(ids), a + BLOCK_DOCS - docs, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + room, "right"))))
+            room = max(1, most_cells - cells)
+            z = min(len(ids), a + most_docs - docs, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + room, "right"))))
             lo, hi = (int(ends[a - 1]) if a else 0), int(ends[z - 1])
             held.append((ids[a:z], b.column("n").to_numpy()[a:z], size[a:z], term[lo:hi], count[lo:hi]))
             docs, cells, a = docs + z - a, cells + hi - lo, z
-            if docs >= BLOCK_DOCS or cells >= BLOCK_CELLS:
+            if docs >= most_docs or cells >= most_cells:
                 yield block()
                 held, docs, cells = [], 0, 0
     if docs:
@@ -224,24 +226,25 @@ def search_bundle(docs: DataFrame, items: list[list[bytes]], k: int) -> DataFram
         on = rows >= 0
         on[on] = weight[rows[on]] > 0
         asked.append((rows[on], weight[rows[on]] * repeats[on]))
+    most_docs, most_cells, bundle = BLOCK_DOCS, BLOCK_CELLS, BUNDLE
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(k) for _ in items]
-        for ids, n, col, term, count in blocks(batches):
+        for ids, n, col, term, count in blocks(batches, most_docs, most_cells):
             if not len(col):
                 continue
             m = 75 + (25 * n * n_docs) // n_terms
             treap = Treap(row[term], col, (1_000_000_000 * count) // (1000 * count + 12 * m[col]))
-            padded = np.full(1 << treap.height, NO_ID, dtype=np.int64)
+            padded = np.full(max(1 << treap.height, len(ids)), NO_ID, dtype=np.int64)
             padded[: len(ids)] = ids
             for (rows, w), b in zip(asked, best, strict=True):
                 if len(rows):
-                    descend(treap, padded, rows, w, b)
+                    descend(treap, padded, rows, w, b, bundle)
         item = np.repeat(np.arange(len(best)), [len(b.score) for b in best])
         ids, score = (np.concatenate([getattr(b, x) for b in best]) for x in ("id", "score"))
         yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(ids, mask=ids == NO_ID), pa.array(score)], ["item", "id", "score"])
 
-    return cut(found.mapInArrow(rank, "item bigint, id bigint, score bigint"))
+    return cut(found.where(F.size("terms") > 0).mapInArrow(rank, "item bigint, id bigint, score bigint"))
 
 
 def bundles(items: DataFrame) -> Iterator[tuple[list, list[list[bytes]]]]:

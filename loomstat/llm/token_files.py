@@ -1,8 +1,8 @@
 """Token ids as Arrow files of fixed-size-list batches.
 
 Documents in ascending order of their ids form one long stream of token ids, which is cut into sequences of one length. A file is an Arrow IPC
-file whose rows are sequences: ids and mask (1: an id, 0: padding after a file's last id) as fixed-size lists of numbers, and the documents that
-begin in the sequence (id, place, number of ids). Every batch but a file's last has the same number of rows, so that a sequence's place
+file whose rows are sequences: ids (of two bytes where the vocabulary allows, else four) and mask (true: an id, false: padding after a file's last id; a bit each) as fixed-size
+lists, and the documents that begin in the sequence (id, place, number of ids). Every batch but a file's last has the same number of rows, so that a sequence's place
 follows from its number, and ids and masks of a batch are one plain buffer each: with a memory map nothing is copied or parsed.
 
 Spark sorts the documents; each task writes the files of its range under names of its own attempt, batch by batch, and returns a row for each. Only the
@@ -47,6 +47,7 @@ class StretchTokenizer:
         from tokenizers import Tokenizer
 
         self.hf = Tokenizer.from_file(path)
+        self.size = max(self.hf.get_vocab(with_added_tokens=True).values()) + 1
         self.is_space = np.zeros(0x110000, dtype=bool)
         self.is_space[SPACE] = True
         self.is_cut = np.zeros(0x110000, dtype=bool)
@@ -108,19 +109,19 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(use_mmap=True), path) if isinstance(system, fs.LocalFileSystem) else (system, path)
 
 
-def file_schema(id_type: pa.DataType, length: int) -> pa.Schema:
+def file_schema(id_type: pa.DataType, token_type: pa.DataType, length: int) -> pa.Schema:
     docs = pa.list_(pa.struct([("id", id_type), ("at", pa.int32()), ("n", pa.int64())]))
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length)), ("docs", docs)])
+    return pa.schema([("ids", pa.list_(token_type, length)), ("mask", pa.list_(pa.bool_(), length)), ("docs", docs)])
 
 
 class Writer:
     """Files of one task: ids and documents come in, full batches go out; no more than a batch and one slice of texts is held."""
 
-    def __init__(self, folder: str, prefix: str, schema: pa.Schema, length: int):
+    def __init__(self, folder: str, prefix: str, schema: pa.Schema, length: int, batch_ids: int, file_ids: int):
         self.system, self.path = store(folder)
         self.prefix, self.schema, self.length = prefix, schema, length
-        self.per_batch = max(1, BATCH_IDS // length)
-        self.per_file = max(1, FILE_IDS // (self.per_batch * length)) * self.per_batch * length
+        self.per_batch = max(1, batch_ids // length)
+        self.per_file = max(1, file_ids // (self.per_batch * length)) * self.per_batch * length
         self.files: list[tuple[str, int, int, int]] = []  # name, number of the file, documents, ids
         self.sink = None
         self.open()
@@ -158,7 +159,7 @@ class Writer:
             name = f"{self.prefix}-{len(self.files):04d}-{uuid.uuid4().hex}.arrow"
             self.name, self.sink = name, self.system.open_output_stream(f"{self.path}/{name}")
             self.file = ipc.new_file(self.sink, self.schema)
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         rows, upto = len(ids) // self.length, self.written + len(ids)
         n = next((k for k, d in enumerate(self.docs) if d[0] >= upto), len(self.docs))
         mine, self.docs = self.docs[:n], self.docs[n:]
@@ -167,7 +168,7 @@ class Writer:
         kinds = self.schema.field("docs").type.value_type
         values = [pa.array([d[1] for d in mine], kinds.field(0).type), pa.array(place % self.length, pa.int32()), pa.array([d[2] for d in mine], pa.int64())]
         listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(values, fields=list(kinds)))
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(ids.astype(np.uint32, copy=False)), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length), listed]
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(ids, self.schema.field("ids").type.value_type), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length), listed]
         self.file.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.written += real
 
@@ -205,12 +206,15 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
 
+    batch_ids, file_ids = BATCH_IDS, FILE_IDS
+
     def to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer = TaskContext.get().partitionId(), None
         tok = stretch_tokenizer(tokenizer)
         for batch in batches:
             if writer is None:
-                writer = Writer(folder, f"part-{part:06d}", file_schema(batch.schema.field("id").type, length), length)
+                token_type = pa.uint16() if max(tok.size, end_id + 1) <= 1 << 16 else pa.uint32()
+                writer = Writer(folder, f"part-{part:06d}", file_schema(batch.schema.field("id").type, token_type, length), length, batch_ids, file_ids)
             for b, texts in textvec.parts(batch, chars=1 << 20):
                 ids, bounds = tok.encode(texts)
                 n = np.diff(bounds)
@@ -238,12 +242,12 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_rows(file: ipc.RecordBatchFileReader, first: int) -> Iterator[tuple[list, list[int], list[int], list[int]]]:
-    """Documents that end in each batch of a file: ids, starts, numbers of ids, CRCs of the ids (little-endian). first: ids of the stream before the file."""
+    """Documents that end in each batch of a file: ids, starts, numbers of ids, CRCs of the ids (little-endian, four bytes each). first: ids of the stream before the file."""
     at, open_doc = first, None  # the document that goes on: id, start, n, ids still to come, CRC so far
     for k in range(file.num_record_batches):
         b = file.get_batch(k)
         flat = b.column("ids").flatten().to_numpy(zero_copy_only=True)
-        raw, length = memoryview(flat.astype("<u4", copy=False)).cast("B"), b.column("ids").type.list_size
+        raw, length = memoryview(flat.astype("<u4")).cast("B"), b.column("ids").type.list_size
         docs = b.column("docs")
         begins = np.repeat(np.arange(b.num_rows), np.diff(docs.offsets.to_numpy())) * length + docs.values.field("at").to_numpy()
         out: tuple[list, list[int], list[int], list[int]] = ([], [], [], [])
@@ -295,28 +299,28 @@ def documents(spark: SparkSession, folder: str, id_col: str = "doc_id", id_type:
 
 
 class Sequences:
-    """Random access to the sequences of one file, without a copy where the store maps files: len(), and [k] -> (ids, mask) as numpy views."""
+    """Random access to the sequences of one file, without a copy where the store maps files: len(), and [k] -> (ids: a numpy view, mask: an Arrow view of bits)."""
 
     def __init__(self, path: str):
         system, where = store(path)
         self.file = ipc.open_file(system.open_input_file(where))
         self.n_batches = self.file.num_record_batches
         self.per_batch = self.file.get_batch(0).num_rows if self.n_batches else 1
-        self.kept: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
+        self.kept: tuple[int, tuple[np.ndarray, pa.BooleanArray]] | None = None
 
     def __len__(self) -> int:
         return (self.n_batches - 1) * self.per_batch + self.file.get_batch(self.n_batches - 1).num_rows if self.n_batches else 0
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of a whole batch: one row for each sequence."""
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """A whole batch: ids, one row for each sequence, and the mask of them all."""
         if self.kept is None or self.kept[0] != k:
             b = self.file.get_batch(k)
-            view = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=True).reshape(b.num_rows, -1)
-            self.kept = (k, (view("ids"), view("mask")))
+            self.kept = (k, (b.column("ids").flatten().to_numpy(zero_copy_only=True).reshape(b.num_rows, -1), b.column("mask").flatten()))
         return self.kept[1]
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not 0 <= k < len(self):
             raise IndexError(k)
         ids, mask = self.batch(k // self.per_batch)
-        return ids[k % self.per_batch], mask[k % self.per_batch]
+        row, length = k % self.per_batch, ids.shape[1]
+        return ids[row], mask.slice(row * length, length)
