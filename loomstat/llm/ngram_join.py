@@ -26,8 +26,8 @@ from .common import components, cut, drop_cut, hot_join, small_batches
 MOST_SENT = 200_000
 #: Texts of a block of a unit at most, about, and bytes of their shingle sets.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
-#: Texts of a block of a trie node at most, about; and nodes that may be larger than that (they are sent to every executor).
-NODE_ROWS, MOST_LARGE = 256, 100_000
+#: Texts of a trie node, or of a block of a larger one, at most, about.
+NODE_ROWS = 256
 #: Values of a label, one byte each: a label is one whole number, whose order is the order of the trie.
 LABEL = 8
 BINS = 64
@@ -197,10 +197,9 @@ def plausible(classes: DataFrame, forest: DataFrame, depth: int, threshold: floa
     rows = classes.select("c", "labels").join(crowded, "c").select("c", "labels", F.explode("in").alias("tree"))
     rows = cut(rows.select("tree", F.shiftrightunsigned(F.element_at("labels", F.col("tree") + 1), 64 - 8 * depth).alias("prefix"), "c", "labels"))
     nodes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
-    most = max(NODE_ROWS, rows.count() // MOST_LARGE)
-    large = F.broadcast(nodes.where(F.col("n") > most).select(F.col("tree").alias("t"), F.col("prefix").alias("p"), F.ceil(F.col("n") / NODE_ROWS).cast("int").alias("blocks")))
-    small = nodes.where((F.col("n") > 1) & (F.col("n") <= most)).groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("node")).select("node.tree", "node.prefix")
-    met = rows.join(large, (F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p")), "left")
+    large = nodes.where(F.col("n") > NODE_ROWS).select(F.struct("tree", "prefix").alias("node"), "n", F.ceil(F.col("n") / NODE_ROWS).cast("int").alias("blocks"))
+    small = nodes.where((F.col("n") > 1) & (F.col("n") <= NODE_ROWS)).groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("node")).select("node.tree", "node.prefix")
+    met = hot_join(rows.withColumn("node", F.struct("tree", "prefix")), large, "node", "n", rows.count(), "left", MOST_SENT * NODE_ROWS)  # there are less than rows / NODE_ROWS large ones
     few = met.where("blocks is null").join(small, ["tree", "prefix"]).select("tree", "prefix", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "c", "labels")
     many = met.where("blocks is not null").withColumn("own", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "c", "labels")
