@@ -16,19 +16,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 1; the others go. It learns from all labelled documents among those that it then filters; null and empty texts, repeated rows and null ids are scored like any other."""
+    """Documents that the quality classifier predicts as 1; the others go. It learns from all labelled documents among those that it then filters; null and empty texts, repeated rows, null ids and texts of any length are scored like any other, whole."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.classify(docs, model, keep=COLUMNS[1:])
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id; null and empty texts all stay."""
+    """One document of each group of near-duplicates, that of the smallest doc_id; null and empty texts all stay; of rows that repeat id and text one stays; texts of any length are compared whole."""
     return ngram_join.keep_one(docs).select(*COLUMNS)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced by its kind in brackets; n_chars follows the new text, null for a null text."""
+    """Every document, personal data replaced by its kind in brackets; n_chars follows the new text, null for a null text; repeated rows stay repeated, each with its own result; texts of any length are searched whole."""
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
