@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Columns that identify a person and may be in no schema.
-PROHIBITED = ("author", "author_id", "user_id", "username", "user_name", "email", "phone", "phone_number", "address", "street_address", "ip_address", "device_id", "ssn", "full_name", "first_name", "last_name", "lat_exact", "lon_exact", "precise_location")
+#: Columns that identify a person and may be in no schema. The first list must be refused by name.
+PROHIBITED = (
+    "user_id", "device_id", "ip_address", "phone_number", "name", "email", "social_media_handle", "biometric_data", "precise_coordinates", "street_address", "license_plate", "mac_address",
+    "imei", "advertising_id", "ssn", "account_id",
+    "author", "author_id", "username", "user_name", "phone", "address", "full_name", "first_name", "last_name", "lat_exact", "lon_exact", "precise_location",
+)
 
 
 @dataclass(frozen=True)

@@ -20,29 +20,32 @@ def keywords(df: DataFrame, key: str, text: str, stop: list[str], boost: list[st
     """
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
     placed = F.filter(F.transform(found, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))), lambda x: ~x["term"].isin(*stop))
-    df = df.select(key, F.array_sort(placed).alias("s")).where(F.size("s") > 0)
+    df = df.select(key, F.sort_array(placed).alias("s"))
     at = lambda i: F.get("s", i)
-    df = df.withColumn("first", F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"])))
-    ends = F.concat(F.slice("first", 2, F.size("s")), F.array(F.size("s")))
+    # A text without terms has no first place and so no row: a filter here would be pushed below, and find and sort all terms twice.
+    places = F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)))
+    df = df.withColumn("first", F.filter(places, lambda i: (i < F.size("s")) & ((i == 0) | (at(i)["term"] != at(i - 1)["term"]))))
+    ends = F.concat(F.slice("first", 2, F.greatest(F.size("first"), F.lit(1))), F.when(F.size("first") > 0, F.array(F.size("s"))).otherwise(F.array().cast("array<int>")))
 
     def run(a, b):
         c = (b - a).cast("long")
         score = c * F.when(at(a)["term"].isin(*boost), 3).otherwise(1)
         return F.struct((-score).alias("order"), at(a)["pos"].alias("pos"), at(a)["term"].alias("term"), c.alias("c"), score.alias("score"))
 
-    top = F.slice(F.array_sort(F.zip_with("first", ends, run)), 1, n)
+    top = F.slice(F.sort_array(F.zip_with("first", ends, run)), 1, n)
     got = df.select(key, F.posexplode(top).alias("k", "x"))
     return got.select(key, "x.term", "x.c", "x.pos", "x.score", (F.col("k") + 1).alias("rank"))
 
 
 def cooccurrence(df: DataFrame, text: str, window: int, stop: list[str]) -> DataFrame:
     """(a, b, weight): unordered pairs of different terms less than `window` places apart, stop words left out. A text's pairs are made in its row; only counts of pairs are shuffled."""
-    terms = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: ~x.isin(*stop)) if stop else F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
-    t = df.select(terms.alias("t"))
-    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    ahead = lambda k: F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - k, F.lit(0))), F.slice("t", k + 1, F.size("t")), pair)
-    p = t.where(F.size("t") > 1).select(F.explode(F.concat(*[ahead(k) for k in range(1, window)])).alias("p")).where("p.a <> p.b")
-    return p.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
+    t = df.select((F.filter(found, lambda x: ~x.isin(*stop)) if stop else found).alias("t"))
+    # Pairs of a text by distance; no filter on its terms, which would be pushed below and find them twice.
+    ahead = lambda k: F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - k, F.lit(0))).alias("x"), F.slice("t", k + 1, F.greatest(F.size("t"), F.lit(1))).alias("y"))
+    p = t.select(F.explode(F.concat(*[ahead(k) for k in range(1, window)])).alias("p")).select("p.x", "p.y")
+    p = p.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("x <> y")
+    return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").alias("weight"))
 
 
 def entities(df: DataFrame, key: str, text: str, rules: dict[str, str], places: DataFrame) -> DataFrame:

@@ -56,11 +56,11 @@ def keyword_context(spark, sf):
     return s.join(top, "term").orderBy(F.desc("n"), "term").limit(30)
 
 
-@query(f"{_KW}, s as (select term, count(*) as n from kr where rank <= 10 group by 1) select term, n, case when n >= 0.7 * (select max(n) from s) then 'large' when n >= 0.4 * (select max(n) from s) then 'medium' else 'small' end as size from s order by n desc, term limit 40")
+@query(f"{_KW}, s as (select term, count(*) as n from kr where rank <= 10 group by 1) select term, n, case when n >= 0.7 * (select max(n) from s) then 'large' when n >= 0.4 * (select max(n) from s) then 'medium' else 'small' end as size from s")
 def keyword_display_rank(spark, sf):
     s = _keywords(spark, sf).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     s = s.join(F.broadcast(s.agg(F.max("n").alias("top"))), F.lit(True))
-    return s.orderBy(F.desc("n"), "term").limit(40).select("term", "n", cases([(F.col("n") >= 0.7 * F.col("top"), "large"), (F.col("n") >= 0.4 * F.col("top"), "medium")], "small").alias("size"))
+    return s.orderBy(F.desc("n"), "term").select("term", "n", cases([(F.col("n") >= 0.7 * F.col("top"), "large"), (F.col("n") >= 0.4 * F.col("top"), "medium")], "small").alias("size"))
 
 
 @query(f"{_KW} select term, sum(c)::bigint as n from kc group by 1 order by n desc, term limit 20")
@@ -153,10 +153,10 @@ def event_extract(spark, sf):
     return s.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {SQL_DOC} select signal_id, strftime(case when signal_id % 5 <> 0 then ts end, '%Y-%m-%d %H') as at from doc order by case when signal_id % 5 <> 0 then ts end nulls last, signal_id limit 200")
+@query(f"with {SQL_DOC} select signal_id, strftime(case when signal_id % 5 <> 0 then ts end, '%Y-%m-%d %H') as at from doc order by case when signal_id % 5 <> 0 then ts end nulls last, signal_id")
 def event_timeline(spark, sf):
     d = text_signals(spark, sf).select("signal_id", F.when(F.col("signal_id") % 5 != 0, F.col("ts")).alias("ts"))
-    return d.orderBy(F.asc_nulls_last("ts"), "signal_id").limit(200).select("signal_id", F.date_format("ts", "yyyy-MM-dd HH").alias("at"))
+    return d.orderBy(F.asc_nulls_last("ts"), "signal_id").select("signal_id", F.date_format("ts", "yyyy-MM-dd HH").alias("at"))
 
 
 @query(f"with {_TERMS}, h as (select doc_id, count(*) as words, count(*) filter (where term in {_IN(BOOST)}) as hits, count(*) filter (where term in {_PL}) as ents, count(*) filter (where term in {_IN([t for t, _ in TRIGGERS])}) as trig from t group by 1) select doc_id, round(least(5.0 * hits / words, 0.5) + least(10.0 * ents / words, 0.25) + least(trig / 10, 0.25), 6) as relevance from h")
