@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import cases, cosine, hours_before
+from ..operators import density as D
 from ..operators import groups as G
 from ..operators.sizes import sent
 from ..sources.adapters import SQL_DOC, SQL_EV, SQL_GEV, SQL_VEC, as_of, event_groups, table, text_signals, vector_groups
@@ -40,10 +41,24 @@ def embed(spark, sf):
 @query(f"""with recursive {SQL_VEC}, p as (select a.signal_id as a, b.signal_id as b from vec a join vec b on a.signal_id <> b.signal_id and list_distance(a.embedding, b.embedding) <= 0.5),
 r(a, c) as (select signal_id, signal_id from vec where embedding is not null union select p.a, r.c from p join r on r.a = p.b), m as (select a, min(c) as c from r group by 1), z as (select c, count(*) as size from m group by 1)
 select signal_id, case when size >= 2 then c else -1 end as "group", coalesce(size, 1) as size, 0.5::double as eps from vec left join m on a = signal_id left join z using (c)""")
-def density_cluster(spark, sf):
+def eps_groups(spark, sf):
+    """Vectors linked within a distance, and their components."""
     return G.density_groups(vector_groups(spark, sf), "signal_id", "embedding", eps=0.5, min_size=2)
 
 
+@query(f"""with recursive {SQL_VEC}, pt as (select embedding as x, min(signal_id) as id, count(*) as n from vec where embedding is not null group by 1),
+e as materialized (select a.id, b.id as other, struct_pack(d := list_distance(a.x, b.x), lo := least(a.id, b.id), hi := greatest(a.id, b.id)) as e from pt a join pt b on a.id <> b.id),
+nn as (select e.id, arg_min(other, e) as other, min(e) as joined from e join pt using (id) where n = 1 group by e.id),
+l as (select id, other from nn union select other, id from nn), r(id, c) as (select id, id from pt union select l.id, r.c from l join r on r.id = l.other), ba as (select id, min(c) as c from r group by 1),
+sp as (select x.c, min(e) as split from e join ba x on x.id = e.id join ba y on y.id = e.other where x.c <> y.c group by 1),
+i as (select pt.id, pt.x, n, c from pt join ba using (id) join sp using (c) left join nn using (id) where joined is null or joined < split),
+g as (select c, min(id) as "group", sum(n)::bigint as size from i group by 1)
+select signal_id, coalesce("group", -1) as "group", coalesce(size, 1) as size from vec left join i on i.x = vec.embedding left join g using (c)""")
+def density_cluster(spark, sf):
+    """The leaves of the density hierarchy; no distance is given."""
+    return D.leaf_groups(vector_groups(spark, sf), "signal_id", "embedding")
+
+
 @query()
 def kmeans_cluster(spark, sf):
     from pyspark.ml.clustering import KMeans
