@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..functions.columns import all_of, cases, hours_before, reasons
 from .limits import PROHIBITED, Limits
+from .scans import finite_scan
 from .slices import counts_within, gaps
 
 
@@ -103,15 +104,15 @@ def concentration(df: DataFrame, keys: list[str], hours: int = 2) -> DataFrame:
     return k.groupBy(*keys).agg((F.max("k") / F.count(F.lit(1))).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
+# The states in order of attention, and the transitions that the machine allows; others keep the state.
 STATES = ("silent", "insufficient", "delayed", "quiet", "active", "elevated")
-#: Transitions that the machine allows; others keep the state.
 ALLOWED = {
-    "silent": {"insufficient", "delayed", "quiet"},
-    "insufficient": {"silent", "delayed", "quiet", "active"},
-    "delayed": {"silent", "insufficient", "quiet", "active"},
+    "silent": {"insufficient", "delayed", "quiet", "active"},
+    "insufficient": {"silent", "delayed", "quiet", "active", "elevated"},
+    "delayed": {"silent", "insufficient", "quiet", "active", "elevated"},
     "quiet": {"silent", "insufficient", "delayed", "active"},
     "active": {"insufficient", "delayed", "quiet", "elevated"},
-    "elevated": {"insufficient", "delayed", "active"},
+    "elevated": {"insufficient", "delayed", "quiet", "active"},
 }
 
 
@@ -125,18 +126,22 @@ def advance(state: str, wanted: str) -> str:
 
 
 def state_machine(days: DataFrame) -> DataFrame:
-    """(region, day, wanted, state): the wanted state of each day, kept or taken as the transitions allow, per region in the order of days, starting silent."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("day")
-        now, out = "silent", []
-        for w in rows["wanted"]:
-            now = advance(now, w)
-            out.append(now)
-        rows["state"] = out
-        return rows[["region", "day", "wanted", "state"]]
-
-    return days.select("region", "day", "wanted").groupBy("region").applyInPandas(fold, "region string, day string, wanted string, state string")
+    """(region, day, wanted, before, state): the wanted state of each day (once a region and day; days as yyyy-MM-dd or as numbers), taken or not as the transitions allow, per region in the order of days, starting silent.
+
+    A prefix scan over the six-to-six maps of days; no task folds a region.
+    """
+    number = {s: k for k, s in enumerate(STATES)}
+    table = [[number[advance(s, w)] for s in STATES] for w in STATES]
+    names = F.array(*[F.lit(s) for s in STATES])
+    rows = days.select("region", "day", "wanted", F.expr("coalesce(try_cast(day as bigint), datediff(try_cast(day as date), date'0001-01-01'))").alias("at"))
+    got = finite_scan(rows, ["region"], "at", F.array_position(names, F.col("wanted")).cast("int") - 1, number["silent"], table)
+    name = lambda c: F.element_at(names, F.col(c) + 1)
+    return rows.join(got, ["region", "at"]).select("region", "day", "wanted", name("before").alias("before"), name("after").alias("state"))
+
+
+def transitions(states: DataFrame) -> DataFrame:
+    """(region, day, previous, state, wanted): the log of a state machine, one row for each day on which the state changed."""
+    return states.where("before <> state").select("region", "day", F.col("before").alias("previous"), "state", "wanted")
 
 
 def checks(rows: Iterator[tuple[str, DataFrame, Column]] | list[tuple[str, DataFrame, Column]]) -> DataFrame:

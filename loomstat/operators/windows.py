@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.columns import cases
+from .scans import decayed_sums
 
 ALPHA = 2 / 29  # of an average with span 28
 #: Older days weigh below 1e-12 in it.
@@ -78,6 +79,26 @@ def baseline(s: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "days", F.when(few, 0.0).otherwise(F.col("ema")).alias("ema"), F.when(few, 1.0).otherwise(F.coalesce("std", F.lit(1.0))).alias("std"), factor("we").alias("weekend_factor"), factor("wd").alias("weekday_factor"))
 
 
+def daily_baselines(s: DataFrame, keys: list[str]) -> DataFrame:
+    """The baseline as it stands on each bucket (a day): (keys, bucket, days, ema, std, weekend_factor, weekday_factor).
+
+    The exponential average is a scan of affine maps over slices of time; the deviation is of the 28 last days (from 7 days on, else 1, as is 0), factors are of all days so far.
+    With fewer than 7 days the defaults 0, 1, 1, 1.
+    """
+    rows = s.select(*keys, "bucket", "n", F.datediff("bucket", F.lit("0001-01-01")).cast("long").alias("at"))
+    averages = decayed_sums(rows, keys, "at", F.col("n"), 1 - ALPHA)
+    w = Window.partitionBy(*keys).orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    weekend = F.dayofweek("bucket").isin(1, 7)
+    rows = rows.withColumn("days", F.count(F.lit(1)).over(so_far)).withColumn("s", F.stddev_samp("n").over(w.rowsBetween(-27, 0))).withColumn("mean", F.avg("n").over(so_far))
+    rows = rows.withColumn("we", F.avg(F.when(weekend, F.col("n"))).over(so_far)).withColumn("wd", F.avg(F.when(~weekend, F.col("n"))).over(so_far))
+    j = rows.join(averages, [*keys, "at"])
+    few = F.col("days") < 7
+    factor = lambda c: F.when(few | (F.col("mean") == 0) | ~(F.col(c) > 0) | F.col(c).isNull(), 1.0).otherwise(F.col(c) / F.col("mean"))
+    std = F.when(few | F.col("s").isNull() | (F.col("s") == 0), 1.0).otherwise(F.col("s"))
+    return j.select(*keys, "bucket", "n", "days", F.when(few, 0.0).otherwise(F.col("total") / F.col("weight")).alias("ema"), std.alias("std"), factor("we").alias("weekend_factor"), factor("wd").alias("weekday_factor"))
+
+
 def kinematics(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and hour: count, velocity and acceleration (differences), distinct sources and regions so far."""
     s = series(df, "hour", keys)

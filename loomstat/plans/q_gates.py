@@ -150,14 +150,32 @@ def area_state(spark, sf):
     return j.select("region", F.coalesce("n", F.lit(0)).alias("n"), G.area_state(F.col("n"), F.col("s"), hours_before(as_of(), F.col("t")), F.col("score")).alias("state"))
 
 
-@query()
-def area_state_machine(spark, sf):
+def _states(spark, sf):
     e = event_signals(spark, sf).withColumn("day", F.to_date("ts"))
     a = e.groupBy("region", "day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("s"), F.max("ts").alias("t"), (F.avg("weight") / 100).alias("score"))
     wanted = G.area_state(F.col("n"), F.col("s"), hours_before(as_of(), F.col("t")), F.col("score"))
     return G.state_machine(a.select("region", F.date_format("day", "yyyy-MM-dd").alias("day"), wanted.alias("wanted")))
 
 
+_KEEPS = "[" + ", ".join(f"('{s}', '{w}')" for s in G.STATES for w in G.STATES if G.advance(s, w) != w) + "]"
+_MACHINE = f"""with recursive {SQL_EV}, da as (select region, ts::date as day, count(*) as n, count(distinct source) as s, (epoch_us({_NOW}) - epoch_us(max(ts))) / 3.6e9 as age, avg(weight) / 100 as score from ev group by 1, 2),
+wa as (select region, day, row_number() over (partition by region order by day) as k, case when n = 0 then 'silent' when n < 3 or s < 2 then 'insufficient' when age < 24 then 'delayed' when score < 0.25 then 'quiet' when score < 0.6 then 'active' else 'elevated' end as wanted from da),
+m(region, k, day, wanted, before, state) as (select region, 0::bigint, null::date, null::varchar, null::varchar, 'silent' from (select distinct region from wa)
+ union all select m.region, wa.k, wa.day, wa.wanted, m.state, case when list_contains({_KEEPS}, (m.state, wa.wanted)) then m.state else wa.wanted end from m join wa on wa.region = m.region and wa.k = m.k + 1)"""
+
+
+@query(f"{_MACHINE} select region, strftime(day, '%Y-%m-%d') as day, wanted, state from m where k > 0")
+def area_state_machine(spark, sf):
+    """The state of each region on each day."""
+    return _states(spark, sf).select("region", "day", "wanted", "state")
+
+
+@query(f"{_MACHINE} select region, strftime(day, '%Y-%m-%d') as day, before as previous, state, wanted from m where k > 0 and before <> state")
+def area_transition_log(spark, sf):
+    """Every change of a region's state."""
+    return G.transitions(_states(spark, sf))
+
+
 @query(f"{_W} select cluster_id, round((least(size / 10, 1) + least(n_sources / 5, 1)) / 2, 6) as confidence from cs")
 def state_confidence(spark, sf):
     one = F.lit(1.0)

@@ -120,8 +120,23 @@ def burst_score(spark, sf):
 _BASE = f"""a as (select *, row_number() over (partition by region order by bucket desc) - 1 as age from s), e as (select region, sum(n * pow(1 - 2.0 / 29, age)) / sum(pow(1 - 2.0 / 29, age)) as ema, stddev_samp(n) filter (where age < 28) as std, count(*) as days, avg(n) as mean, avg(n) filter (where dayofweek(bucket) in (0, 6)) as we, avg(n) filter (where dayofweek(bucket) not in (0, 6)) as wd from a group by 1)"""
 
 
-@query(f"{_DAY}, {_BASE} select region, days, round(ema, 6) as ema, round(std, 6) as std, round(we / mean, 6) as weekend_factor, round(wd / mean, 6) as weekday_factor from e")
+_DAILY = """w as (select region, bucket, n, count(*) over f as days, stddev_samp(n) over l as s, avg(n) over f as mean, avg(n) filter (where dayofweek(bucket) in (0, 6)) over f as we, avg(n) filter (where dayofweek(bucket) not in (0, 6)) over f as wd
+from s window f as (partition by region order by bucket), l as (partition by region order by bucket rows 27 preceding)),
+x as (select a.region, a.bucket, sum(b.n * pow(1 - 2.0 / 29, date_diff('day', b.bucket, a.bucket))) / sum(pow(1 - 2.0 / 29, date_diff('day', b.bucket, a.bucket))) as ema from s a join s b on a.region = b.region and b.bucket <= a.bucket group by 1, 2),
+bl as (select region, bucket, n, days, case when days < 7 then 0 else ema end as ema, case when days < 7 or s is null or s = 0 then 1 else s end as std,
+case when days < 7 or mean = 0 or not coalesce(we > 0, false) then 1 else we / mean end as weekend_factor, case when days < 7 or mean = 0 or not coalesce(wd > 0, false) then 1 else wd / mean end as weekday_factor from w join x using (region, bucket))"""
+
+
+@query(f"{_DAY}, {_DAILY} select region, strftime(bucket, '%Y-%m-%d') as day, days, round(ema, 6) as ema, round(std, 6) as std, round(weekend_factor, 6) as weekend_factor, round(weekday_factor, 6) as weekday_factor from bl")
 def adaptive_baseline(spark, sf):
+    """The baseline of each region as it stands on each day."""
+    b = W.daily_baselines(days(spark, sf), ["region"])
+    return b.select("region", _day(), "days", *[F.round(c, 6).alias(c) for c in ("ema", "std", "weekend_factor", "weekday_factor")])
+
+
+@query(f"{_DAY}, {_BASE} select region, days, round(ema, 6) as ema, round(std, 6) as std, round(we / mean, 6) as weekend_factor, round(wd / mean, 6) as weekday_factor from e")
+def last_baseline(spark, sf):
+    """The baseline of each region at the last day."""
     b = W.baseline(days(spark, sf), ["region"])
     return b.select("region", "days", *[F.round(c, 6).alias(c) for c in ("ema", "std", "weekend_factor", "weekday_factor")])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomstat.operators import density
+from loomstat.operators import density, gates, scans, windows
 
 
 def plain_leaves(rows):
@@ -71,3 +71,40 @@ def test_leaf_groups_hard_rows(spark):
     assert got == {1: (-1, 1), 2: (-1, 1), 3: (-1, 1), 4: (-1, 1), 5: (5, 2), 6: (5, 2), 7: (7, 3), 8: (7, 3), 9: (7, 3), 10: (-1, 1), 11: (-1, 1), None: (-1, 1)}
     assert {r["group"] for r in density.leaf_groups(df.where("id in (7, 8, 9)"), "id", "v").collect()} == {-1}  # no split
     assert density.leaf_groups(df.where("1 = 0"), "id", "v").count() == 0
+
+
+def test_scan_of_states_equals_a_fold(spark, monkeypatch):
+    """Any history, sparse or dense, over several levels of slices."""
+    rng = np.random.default_rng(4)
+    rows = [(r, str(int(d)), str(rng.choice(gates.STATES))) for r, n, span in (("a", 700, 1000), ("b", 3, 90_000), ("c", 1, 5)) for d in rng.choice(span, n, replace=False)]
+    got = {(r["region"], int(r["day"])): (r["before"], r["state"]) for r in gates.state_machine(spark.createDataFrame(rows, "region string, day string, wanted string")).collect()}
+    assert len(got) == len(rows)
+    now = dict.fromkeys("abc", "silent")
+    for r, d, w in sorted(((r, int(d), w) for r, d, w in rows)):
+        before, now[r] = now[r], gates.advance(now[r], w)
+        assert got[r, d] == (before, now[r])
+    assert gates.state_machine(spark.createDataFrame([], "region string, day string, wanted string")).count() == 0
+
+
+def test_decayed_sums_equal_a_fold(spark):
+    rng = np.random.default_rng(4)
+    places = sorted(rng.choice(3000, 400, replace=False).tolist())
+    values = rng.normal(size=400).tolist()
+    df = spark.createDataFrame(list(zip(["k"] * 400, places, values, strict=True)), "k string, at long, v double")
+    got = {r["at"]: (r["total"], r["weight"]) for r in scans.decayed_sums(df, ["k"], "at", F.col("v"), 0.9).collect()}
+    t = w = 0.0
+    for at, v in zip(places, values, strict=True):
+        t, w = t * 0.9 + v, w * 0.9 + 1
+        assert np.allclose(got[at], (t, w))
+
+
+def test_daily_baselines_end_at_the_last_one(spark):
+    """The last day's baseline is that of baseline(); every day's is that of the days up to it."""
+    rng = np.random.default_rng(1)
+    n = rng.poisson(5, 40).tolist()
+    df = spark.createDataFrame([("r", k, int(x)) for k, x in enumerate(n)], "region string, k int, n long").withColumn("bucket", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, k)")).drop("k")
+    names = ("days", "ema", "std", "weekend_factor", "weekday_factor")
+    daily = {r["bucket"].timetuple().tm_yday: [r[c] for c in names] for r in windows.daily_baselines(df, ["region"]).collect()}
+    for day in (1, 6, 7, 20, 40):
+        last = windows.baseline(df.where(F.dayofyear("bucket") <= day), ["region"]).first()
+        assert np.allclose(daily[day], [last[c] for c in names]), day

@@ -55,7 +55,9 @@ def test_identity_columns_are_refused(spark, tmp_path):
 
 def test_state_machine(spark):
     df = spark.createDataFrame([("a", "1", "elevated"), ("a", "2", "quiet"), ("a", "3", "active"), ("a", "4", "elevated"), ("a", "5", "silent"), ("a", "6", "active")], "region string, day string, wanted string")
-    assert [r[3] for r in rows(gates.state_machine(df), "day")] == ["silent", "quiet", "active", "elevated", "elevated", "active"]
+    got = rows(gates.state_machine(df), "day")
+    assert [r[4] for r in got] == ["silent", "quiet", "active", "elevated", "elevated", "active"]
+    assert [r[1:4] for r in rows(gates.transitions(gates.state_machine(df)), "day")] == [("2", "silent", "quiet"), ("3", "quiet", "active"), ("4", "active", "elevated"), ("6", "elevated", "active")]
     for s, allowed in gates.ALLOWED.items():
         for t in gates.STATES:
             assert gates.advance(s, t) == (t if t in allowed or t == s else s)
