@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_word, cases, reasons
+from .sizes import sent
 
 # Rules from a source's name to its class, in order, and the weight of each class.
 SOURCE_RULES = [("click", "news"), ("view", "community"), ("purchase", "official"), ("signup", "advocacy"), ("error", "system")]
@@ -104,6 +105,44 @@ def gazetteer_matches(df: DataFrame, gazetteer: DataFrame, text: str, key: str)
     return words.join(gazetteer, "place")
 
 
+TOKEN = r"[\p{L}\p{N}]+"
+
+
+def name_trie(gazetteer: DataFrame, most_words: int) -> tuple[DataFrame, DataFrame]:
+    """A gazetteer (name, entity, kind) as two tables: of first words, with the numbers of words that names with it have; and of whole names by their words.
+
+    Names count by their words (letters and digits, in small letters): those without a word or of more than most_words are left out. Of names with the same words the first entity stays.
+    """
+    words = F.regexp_extract_all(F.lower("name"), F.lit(TOKEN), F.lit(0))
+    names = gazetteer.select(words.alias("words"), "entity", "kind").where(F.size("words").between(1, most_words))
+    names = names.groupBy(F.array_join("words", " ").alias("phrase"), "words").agg(F.min(F.struct("entity", "kind")).alias("e"))
+    firsts = names.groupBy(F.element_at("words", 1).alias("first")).agg(F.collect_set(F.size("words")).alias("lengths"))  # most_words at most
+    return firsts, names.select("phrase", "e.entity", "e.kind")
+
+
+def name_matches(df: DataFrame, gazetteer: DataFrame, text: str, key: str, most_words: int = 8) -> DataFrame:
+    """(key, entity, kind, start, words): names of one or several words in each whole text, from the left, the longest first, none over another; start and words count the text's words from 0.
+
+    A text's words meet the trie's first words by an equi-join, are extended by as many words as names with that first word have, and these phrases meet the names by another. So a
+    row yields at most most_words phrases for each word, whatever the gazetteer's size. Null texts have no names; keys that repeat are one text each only if they differ.
+    """
+    firsts, names = name_trie(gazetteer, most_words)
+    rows = df.select(F.col(key), F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    ahead = F.transform("tokens", lambda w, i: F.struct(i.alias("at"), F.slice("tokens", i + 1, most_words).alias("ahead")))
+    rows = rows.select(key, F.inline(ahead)).withColumn("first", F.element_at("ahead", 1))
+    begun = rows.join(sent(firsts), "first").select(key, "at", "ahead", F.explode("lengths").alias("words")).where(F.size("ahead") >= F.col("words"))
+    met = begun.withColumn("phrase", F.array_join(F.slice("ahead", 1, F.col("words")), " ")).join(sent(names), "phrase")
+    found = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("start"), (-F.col("words")).alias("less"), "entity", "kind"))).alias("all"))
+
+    def taken(acc, x):
+        free = x["start"] >= acc["end"]
+        return F.when(free, F.struct((x["start"] - x["less"]).alias("end"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
+
+    none = F.struct(F.lit(0).alias("end"), F.from_json(F.lit("[]"), "array<struct<start:int,less:int,entity:string,kind:string>>").alias("out"))
+    kept = found.select(key, F.inline(F.aggregate("all", none, taken, lambda acc: acc["out"])))
+    return kept.select(key, "entity", "kind", "start", (-F.col("less")).alias("words"))
+
+
 def submission_errors(text: Column, region: Column, category: Column, ts: Column, as_of: Column, categories: list[str]) -> Column:
     return reasons(
         [

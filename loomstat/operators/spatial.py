@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
-from math import pi, sin
+from math import cos, log, pi, radians, sin, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_KM, bearing, haversine_km, normal_cdf
 from .graph import connected_components
-from .sizes import sent
 
 
 def adjacency(regions: DataFrame, min_km: float = 0.01, max_km: float = 30.0) -> DataFrame:
@@ -49,14 +49,80 @@ def dbscan(points: DataFrame, eps_km: float, min_points: int) -> DataFrame:
     return out.select("id", F.coalesce("component", "near", F.lit(-1).cast(points.schema["id"].dataType)).alias("group"))
 
 
+#: Kernel values below this share of the peak are left out: a point reaches no farther.
+LEAST_KERNEL = 1e-13
+
+
+@dataclass(frozen=True)
+class Grid:
+    """n x n grid points over a box of latitudes and longitudes, ends included."""
+
+    n: int
+    south: float
+    north: float
+    west: float
+    east: float
+
+    def place(self, i: Column, j: Column) -> tuple[Column, Column]:
+        """Latitude and longitude of grid points."""
+        return F.lit(self.south) + (self.north - self.south) * i / (self.n - 1), F.lit(self.west) + (self.east - self.west) * j / (self.n - 1)
+
+
+def scattered(points: DataFrame, grid: Grid, cov: tuple[float, float, float]) -> DataFrame:
+    """(i, j, density): Gaussian kernel sums of weighted points (lat, lon, weight) on a grid, as shares of the highest; zero where no point reaches.
+
+    cov: the kernel's covariance (lat lat, lat lon, lon lon), positive definite. Points at one place are one; each is dealt to the grid points within its kernel's reach only, so the work is points times what
+    one point covers.
+    """
+    yy, yx, xx = cov
+    det = yy * xx - yx * yx
+    reach = sqrt(-2 * log(LEAST_KERNEL))
+    p = points.groupBy("lat", "lon").agg(F.sum("weight").alias("weight"))
+    span = lambda v, low, high, r: (
+        F.greatest(F.ceil((v - r - low) * (grid.n - 1) / (high - low)), F.lit(0)), F.least(F.floor((v + r - low) * (grid.n - 1) / (high - low)), F.lit(grid.n - 1)),
+    )
+    i1, i2 = span(F.col("lat"), grid.south, grid.north, reach * sqrt(yy))
+    j1, j2 = span(F.col("lon"), grid.west, grid.east, reach * sqrt(xx))
+    p = p.select("lat", "lon", "weight", i1.alias("i1"), i2.alias("i2"), j1.alias("j1"), j2.alias("j2")).where("i1 <= i2 and j1 <= j2")
+    p = p.select("lat", "lon", "weight", "j1", "j2", F.explode(F.sequence("i1", "i2")).alias("i")).select("lat", "lon", "weight", "i", F.explode(F.sequence("j1", "j2")).alias("j"))
+    y, x = grid.place(F.col("i"), F.col("j"))
+    dy, dx = y - F.col("lat"), x - F.col("lon")
+    k = p.groupBy("i", "j").agg(F.sum(F.col("weight") * F.exp(-(xx * dy * dy - 2 * yx * dy * dx + yy * dx * dx) / (2 * det))).alias("k"))
+    cells = points.sparkSession.range(grid.n * grid.n).select((F.col("id") / grid.n).cast("long").alias("i"), (F.col("id") % grid.n).alias("j"))
+    k = cells.join(k, ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
+    top = k.agg(F.max("k")).first()[0] or 1.0
+    return k.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), (F.col("k") / F.lit(top)).alias("density"))
+
+
 def kde_grid(points: DataFrame, n: int, bandwidth: float, box: tuple[float, float, float, float]) -> DataFrame:
-    """(i, j, density): Gaussian kernel sums of weighted points (lat, lon, weight) on an n x n grid, as shares of the highest. The grid is of fixed size and points are aggregated places; beyond sizes.MOST_SENT of them they are not sent whole."""
-    a1, a2, o1, o2 = box
-    cells = points.sparkSession.range(n * n).select((F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j"))
-    cells = cells.withColumn("y", F.lit(a1) + (a2 - a1) * F.col("i") / (n - 1)).withColumn("x", F.lit(o1) + (o2 - o1) * F.col("j") / (n - 1))
-    d = F.pow(F.col("y") - F.col("lat"), 2) + F.pow(F.col("x") - F.col("lon"), 2)
-    k = cells.join(sent(points), F.lit(True)).groupBy("i", "j").agg(F.sum(F.col("weight") * F.exp(-d / (2 * bandwidth**2))).alias("k"))
-    return k.join(F.broadcast(k.agg(F.max("k").alias("top"))), F.lit(True)).select("i", "j", (F.col("k") / F.col("top")).alias("density"))
+    """(i, j, density): kernel sums of one width in both directions, on an n x n grid over the box (south, north, west, east), as shares of the highest."""
+    return scattered(points, Grid(n, *box), (bandwidth**2, 0.0, bandwidth**2))
+
+
+def kde_cells(points: DataFrame, n: int, least: float = 0.01, pad_m: float = 1000.0) -> DataFrame:
+    """(i, j, density, ring): cells of at least this density, with their outlines (lon, lat) as closed rings, of a kernel density with the points' own weighted covariance.
+
+    The kernel's covariance is that of the points (lat, lon, weight), times Scott's factor squared (effective number of points to the power -1/6); the grid spans the points and a margin on all sides.
+    A cell begins at south + i * height, where n heights span the box. Points on one line, or fewer than two places, have no covariance to whiten by: no cells. One row of sums comes to the driver.
+    """
+    w = F.col("weight")
+    places = points.where("weight > 0 and lat is not null and lon is not null").groupBy("lat", "lon").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("weight")).alias("w2"))
+    s = places.agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.sum("weight").alias("w"), F.sum("w2").alias("w2"), F.sum(w * F.col("lat")).alias("y"), F.sum(w * F.col("lon")).alias("x")).first()
+    none = points.sparkSession.createDataFrame([], "i int, j int, density double, ring array<array<double>>")
+    if not s["w"]:
+        return none
+    my, mx, share2 = s["y"] / s["w"], s["x"] / s["w"], s["w2"] / s["w"] ** 2
+    dy, dx = F.col("lat") - my, F.col("lon") - mx
+    c = places.agg(*[F.sum(w * a * b).alias(k) for k, a, b in (("yy", dy, dy), ("yx", dy, dx), ("xx", dx, dx))]).first()
+    if share2 >= 1 or c["yy"] * c["xx"] - c["yx"] ** 2 <= 1e-12 * c["yy"] * c["xx"]:
+        return none
+    scale = share2 ** (1 / 3) / (s["w"] * (1 - share2))
+    up, side = pad_m / 110_574.0, pad_m / (111_320.0 * cos(radians(my)))
+    grid = Grid(n, s["south"] - up, s["north"] + up, s["west"] - side, s["east"] + side)
+    height, width = (grid.north - grid.south) / n, (grid.east - grid.west) / n
+    got = scattered(places, grid, (c["yy"] * scale, c["yx"] * scale, c["xx"] * scale)).where((F.col("density") >= least) & (F.col("i") < n - 1) & (F.col("j") < n - 1))
+    corner = lambda a, b: F.array(F.lit(grid.west) + (F.col("j") + b) * width, F.lit(grid.south) + (F.col("i") + a) * height)
+    return got.select("i", "j", "density", F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0), corner(0, 0)).alias("ring"))
 
 
 def getis_ord(points: DataFrame, band_km: float) -> DataFrame:

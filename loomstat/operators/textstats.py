@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizes import sent
+from .normalize import name_matches
 
 
 def terms(df: DataFrame, key: list[str], text: str, pattern: str = "[a-z]{3,}") -> DataFrame:
@@ -48,15 +48,12 @@ def cooccurrence(df: DataFrame, text: str, window: int, stop: list[str]) -> Data
     return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").alias("weight"))
 
 
-def entities(df: DataFrame, key: str, text: str, rules: dict[str, str], places: DataFrame) -> DataFrame:
-    """(key, kind, entity, n): typed entities by patterns, and places by an equi-join of the text's words with (w, place). Counted in the row's task before any shuffle."""
-    one = lambda kind, found: df.select(key, F.lit(kind).alias("kind"), F.explode(found).alias("entity"))
-    out = None
+def entities(df: DataFrame, key: str, text: str, rules: dict[str, str], gazetteer: DataFrame) -> DataFrame:
+    """(key, kind, entity, n): typed entities by patterns, and by the names of a gazetteer (name, entity, kind), counted for each text."""
+    out = name_matches(df, gazetteer, text, key).select(key, "kind", "entity")
     for kind, pattern in rules.items():
-        got = one(kind, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        out = got if out is None else out.unionByName(got)
-    words = one("PLACE", F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).join(sent(places), F.col("entity") == F.col("w"))
-    return out.unionByName(words.select(key, "kind", F.col("place").alias("entity"))).groupBy(key, "kind", "entity").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(df.select(key, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("entity")))
+    return out.groupBy(key, "kind", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sentences(df: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import normalize as N
 from ..operators.slices import counts_within
-from ..sources.adapters import SQL_DOC, SQL_EV, SQL_REGIONS, as_of, event_signals, regions, table, text_signals
+from ..sources.adapters import SQL_DOC, SQL_EV, SQL_MATCHES, SQL_REGIONS, as_of, event_signals, place_names, place_texts, regions, table, text_signals
 from .base import query
 
 TARGETS = ["01101", "01249", "01582", "01138"]
@@ -133,12 +133,11 @@ _PLACES = [("the", "01101"), ("der", "01249"), ("les", "01582"), ("del", "01138"
 _PLACES_SQL = "(values " + ", ".join(f"('{p}', '{r}')" for p, r in _PLACES) + ") as g(place, region)"
 
 
-@query(f"""with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) as place from documents)
-select doc_id, count(*) as n_places, string_agg(place, ',' order by place) as places from w join {_PLACES_SQL} using (place) group by doc_id""")
+@query(f"with recursive {SQL_MATCHES} select text_id, count(*) as n_places, string_agg(distinct entity, ',' order by entity) as places from hit where kind = 'PLACE' group by 1")
 def gazetteer_match_all(spark, sf):
-    g = spark.createDataFrame(_PLACES, "place string, region string")
-    got = N.gazetteer_matches(table(spark, sf, "documents"), g, "text", "doc_id")
-    return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_places"), F.array_join(F.sort_array(F.collect_set("place")), ",").alias("places"))
+    """Places that each text names, by names of several words and aliases; the longest name counts."""
+    got = N.name_matches(place_texts(spark, sf), place_names(spark, sf), "text", "text_id").where("kind = 'PLACE'")
+    return got.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_places"), F.array_join(F.sort_array(F.collect_set("entity")), ",").alias("places"))
 
 
 @query(f"""with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) as place from documents),

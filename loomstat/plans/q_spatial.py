@@ -9,7 +9,7 @@ from ..functions.columns import bearing as bearing_deg
 from ..functions.columns import cases, haversine_km
 from ..operators import spatial as P
 from ..operators.aggregate import with_totals
-from ..sources.adapters import SQL_EV, SQL_REGIONS, SQL_SITES, event_signals, regions, sites
+from ..sources.adapters import SQL_EV, SQL_REGIONS, SQL_SITES, event_signals, regions, sites, table
 from .base import query
 from .q_joins import _KM
 
@@ -73,10 +73,20 @@ def kde_grid(spark, sf):
     return P.kde_grid(p, 30, 0.05, (9.95, 10.25, 19.95, 20.3)).withColumn("density", F.round("density", 6))
 
 
-@query(f"{_W}, {_WT}, {_GRID}, k as (select i, j, sum(w * exp(-(pow(y - lat, 2) + pow(x - lon, 2)) / (2 * 0.05 * 0.05))) as k from cells cross join wt group by 1, 2), s as (select i, j, k / (select max(k) from k) as d from k) select count(*) as n_cells, round(sum(d), 4) as total from s where d >= 0.01")
+@query(f"""with {SQL_SITES}, p as (select lat, lon, s_acctbal as w from sites join supplier on s_suppkey = site where s_acctbal > 0), m as (select sum(w) as sw, sum(w * w) as w2, sum(w * lat) / sum(w) as my, sum(w * lon) / sum(w) as mx, min(lat) as s0, max(lat) as n0, min(lon) as w0, max(lon) as e0 from p),
+c as (select sum(w * (lat - my) * (lat - my)) as yy, sum(w * (lat - my) * (lon - mx)) as yx, sum(w * (lon - mx) * (lon - mx)) as xx from p, m), h as (select pow(w2 / (sw * sw), 1.0 / 3) / (sw * (1 - w2 / (sw * sw))) as f from m),
+g as (select yy * f as yy, yx * f as yx, xx * f as xx, s0 - 1000 / 110574.0 as s, n0 + 1000 / 110574.0 as n, w0 - 1000 / (111320.0 * cos(radians(my))) as w, e0 + 1000 / (111320.0 * cos(radians(my))) as e from c, h, m),
+cells as (select i, j, s + (n - s) * i / 39 as y, w + (e - w) * j / 39 as x from g, (select unnest(range(40)) as i), (select unnest(range(40)) as j)),
+k as (select i, j, sum(p.w * exp(-(xx * (y - lat) * (y - lat) - 2 * yx * (y - lat) * (x - lon) + yy * (x - lon) * (x - lon)) / (2 * (yy * xx - yx * yx)))) as k from cells, p, g group by 1, 2),
+d as (select i, j, k / (select max(k) from k) as density from k) select i::int as i, j::int as j, round(density, 4) as density,
+array_to_string(list_transform([[0, 0], [0, 1], [1, 1], [1, 0], [0, 0]], lambda a: round(w + (j + a[2]) * (e - w) / 40, 4)::decimal(9, 4) || ' ' || round(s + (i + a[1]) * (n - s) / 40, 4)::decimal(9, 4)), ',') as ring from d, g where density >= 0.01 and i < 39 and j < 39""")
 def kde_cells(spark, sf):
-    p = _weights(spark, sf).select("lat", "lon", F.col("w").alias("weight"))
-    return P.kde_grid(p, 30, 0.05, (9.95, 10.25, 19.95, 20.3)).where("density >= 0.01").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("density"), 4).alias("total"))
+    """Dense cells of sites weighted by their balance, with closed outlines."""
+    b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_acctbal").alias("weight"))
+    got = P.kde_cells(sites(spark, sf).join(b, "site").select("lat", "lon", "weight"), 40)
+    text = lambda v: F.round(v, 4).cast("decimal(9,4)").cast("string")
+    ring = F.array_join(F.transform("ring", lambda p: F.concat_ws(" ", text(p[0]), text(p[1]))), ",")
+    return got.select("i", "j", F.round("density", 4).alias("density"), ring.alias("ring"))
 
 
 @query(f"""{_W}, {_WT}, nb as (select a.region, sum(b.w) as s, count(*) as k from wt a join wt b on {_KM} <= 10 or a.region = b.region group by 1), st as (select avg(w) as m, stddev_pop(w) as sd, count(*) as n from wt),

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from ..functions.columns import cases
 from ..operators import textstats as T
 from ..operators.graph import expand
-from ..sources.adapters import SQL_DOC, table, text_signals
+from ..operators.normalize import name_matches
+from ..sources.adapters import SQL_DOC, SQL_MATCHES, place_names, place_texts, table, text_signals
 from .base import query
 
 STOP = ["the", "and", "der", "die", "und", "les", "des", "una", "que", "for", "was", "con"]
@@ -112,24 +113,21 @@ ORG = r"[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)* (?:License|Foundation|Institute|Unive
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{4}|(?:19|20)[0-9]{2}"
 
 
-@query(f"""with m as (select doc_id, 'ORG' as kind, unnest(regexp_extract_all(text, '{ORG}')) as entity from documents union all select doc_id, 'DATE', unnest(regexp_extract_all(text, '{DATE}')) from documents
-union all select doc_id, 'PLACE', place from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as w from documents) join (select distinct lower(n_name) as w, n_name as place from nation union select 'the', 'the' union select 'der', 'der') using (w)) select doc_id, kind, entity, count(*) as n from m group by all""")
+@query(f"""with recursive {SQL_MATCHES}, m as (select text_id, 'ORG' as kind, unnest(regexp_extract_all(text, '{ORG}')) as entity from notes union all select text_id, 'DATE', unnest(regexp_extract_all(text, '{DATE}')) from notes
+union all select text_id, kind, entity from hit) select text_id, kind, entity, count(*) as n from m group by all""")
 def entity_extract(spark, sf):
-    """Typed entities of each text, with counts: organisations and dates by rules, places by an equi-join of words with a gazetteer (nations, and two frequent words as test places)."""
-    places = table(spark, sf, "nation").select(F.col("n_name").alias("place")).unionByName(spark.createDataFrame([("the",), ("der",)], "place string"))
-    return T.entities(_docs(spark, sf), "doc_id", "text", {"ORG": ORG, "DATE": DATE}, places.select(F.lower("place").alias("w"), "place").distinct())
+    """Typed entities of each text, with counts: organisations and dates by rules, places and products by a trie of names from the tables."""
+    return T.entities(place_texts(spark, sf), "text_id", "text", {"ORG": ORG, "DATE": DATE}, place_names(spark, sf))
 
 
 _PL = "('the', 'der', 'les', 'del', 'und')"
 
 
-@query(f"with w as (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) as place from documents) select place, count(*) as n_docs from w where place in {_PL} group by 1")
+@query(f"with recursive {SQL_MATCHES} select entity as place, count(distinct text_id) as n_texts from hit where kind = 'PLACE' group by 1")
 def location_entities(spark, sf):
-    from ..operators.normalize import gazetteer_matches
-    from .q_rows import _PLACES
-
-    g = spark.createDataFrame(_PLACES, "place string, region string")
-    return gazetteer_matches(_docs(spark, sf), g, "text", "doc_id").groupBy("place").agg(F.count(F.lit(1)).alias("n_docs"))
+    """In how many texts each place is named."""
+    got = name_matches(place_texts(spark, sf), place_names(spark, sf), "text", "text_id").where("kind = 'PLACE'").select("text_id", "entity").distinct()
+    return got.groupBy(F.col("entity").alias("place")).agg(F.count(F.lit(1)).alias("n_texts"))
 
 
 TRIGGERS = [("the", "report"), ("and", "meeting"), ("der", "protest"), ("les", "notice"), ("que", "filing")]

@@ -54,6 +54,28 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("site"), region_code(F.col("s_nationkey")).alias("region"), lat.alias("lat"), lon.alias("lon"))
 
 
+def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, entity, kind) from the tables: regions and nations, aliases of nations (region's name and nation's number), and products."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    nations = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    one = lambda df, name, entity, kind: df.select(name.alias("name"), F.col(entity).alias("entity"), F.lit(kind).alias("kind"))
+    out = one(r, F.col("r_name"), "r_name", "PLACE").unionByName(one(n, F.col("n_name"), "n_name", "PLACE"))
+    out = out.unionByName(one(nations, F.concat_ws(" ", "r_name", "n_nationkey"), "n_name", "PLACE"))
+    return out.unionByName(one(table(spark, sf_dir, "part").select("p_name").distinct(), F.col("p_name"), "p_name", "PRODUCT"))
+
+
+def place_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text_id, text): all documents, and a note for each order: its customer's nation (every third one by its alias), region and product, as far as they are known."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    o = o.join(table(spark, sf_dir, "part"), F.col("o_custkey") == F.col("p_partkey"), "left")
+    place = F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws(" ", "r_name", "n_nationkey")).otherwise(F.concat_ws(", ", "n_name", "r_name"))
+    note = F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" from "), place, F.lit(": "), F.coalesce("p_name", F.lit("nothing")), F.lit("."))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    return d.unionByName(o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("text_id"), note.alias("text")))
+
+
 def group_id(region: Column, ts: Column) -> Column:
     """The group of a region's day, as a number: region's place times 100000 plus days since 1970."""
     place = F.array_position(F.array(*[F.lit(r[0]) for r in REGIONS]), region) - 1
@@ -87,6 +109,16 @@ SQL_GEV = f"gev as (select *, (list_position({_CODES}, region) - 1) * 100000 + d
 SQL_DOC = f"doc as (select doc_id as signal_id, text, source, lang as language, timestamp '2024-01-01' + to_hours((doc_id % 720)::int) as ts, ({_CODES})[(doc_id % 17 + 1)::int] as region from documents)"
 SQL_VEC = f"vec as (select vec_id as signal_id, label as cluster_id, embedding::double[] as embedding, timestamp '2024-01-01' + to_hours((vec_id % 720)::int) as ts, ({_CODES})[(vec_id % 17 + 1)::int] as region from embeddings)"
 SQL_SITES = f"sites as (select s_suppkey as site, ({_CODES})[(s_nationkey % 17 + 1)::int] as region, 9.98 + 0.24 * (s_suppkey * 7919 % 10007) / 10007.0 as lat, 19.98 + 0.26 * (s_suppkey * 104729 % 10009) / 10009.0 as lon from supplier)"
+SQL_NAMES = """names as (select r_name as name, r_name as entity, 'PLACE' as kind from region union all select n_name, n_name, 'PLACE' from nation
+union all select r_name || ' ' || n_nationkey, n_name, 'PLACE' from nation join region on n_regionkey = r_regionkey union all select distinct p_name, p_name, 'PRODUCT' from part),
+notes as (select 'd' || doc_id as text_id, text from documents union all select 'o' || o_orderkey, 'Order of ' || strftime(o_orderdate, '%Y-%m-%d') || ' from ' || case when o_orderkey % 3 = 0 then r_name || ' ' || n_nationkey else n_name || ', ' || r_name end || ': ' || coalesce(p_name, 'nothing') || '.'
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join part on o_custkey = p_partkey)"""
+# All names of the texts, one after the other: of those that begin after the last one, the first, and of these the longest.
+SQL_MATCHES = rf"""{SQL_NAMES}, nw as (select w, min((entity, kind)) as e from (select regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}]+') as w, entity, kind from names) where len(w) between 1 and 8 group by w),
+tw as (select text_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as t from notes), tp as (select text_id, t, unnest(range(len(t))) as s from tw),
+cand as materialized (select text_id, s, len(w) as n, e[1] as entity, e[2] as kind from tp join nw on t[s + 1] = w[1] and t[s + 1:s + len(w)] = w),
+hit(text_id, s, n, entity, kind) as (select * from (select * from cand qualify row_number() over (partition by text_id order by s, n desc) = 1)
+ union all select * from (select c.* from cand c join hit h on c.text_id = h.text_id and c.s >= h.s + h.n qualify row_number() over (partition by c.text_id order by c.s, c.n desc) = 1))"""
 SQL_VOTES = "votes as (select conv_id as session, turn as statement, (['agree', 'disagree', 'pass'])[(length(text) % 3 + 1)::int] as vote, length(text) as seq from conversations)"
 
 

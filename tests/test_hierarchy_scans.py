@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomstat.operators import density, gates, scans, windows
+from loomstat.operators import density, gates, normalize, scans, spatial, windows
 
 
 def plain_leaves(rows):
@@ -108,3 +111,61 @@ def test_daily_baselines_end_at_the_last_one(spark):
     for day in (1, 6, 7, 20, 40):
         last = windows.baseline(df.where(F.dayofyear("bucket") <= day), ["region"]).first()
         assert np.allclose(daily[day], [last[c] for c in names]), day
+
+
+def plain_names(text, names, most):
+    """Names from the left, the longest first, none over another."""
+    by_words = {}
+    for name, entity, kind in names:
+        w = tuple(re.findall(r"[^\W_]+", (name or "").lower()))
+        if 0 < len(w) <= most:
+            by_words[w] = min(by_words.get(w, (entity, kind)), (entity, kind))
+    tokens = re.findall(r"[^\W_]+", (text or "").lower())
+    out, at = [], 0
+    while at < len(tokens):
+        n = next((n for n in range(most, 0, -1) if tuple(tokens[at : at + n]) in by_words and at + n <= len(tokens)), 0)
+        if n:
+            out.append((*by_words[tuple(tokens[at : at + n])], at, n))
+        at += n or 1
+    return out
+
+
+def test_name_matches(spark):
+    """Overlapping names of several words, aliases, names that begin alike, other scripts and cases, against a plain scan."""
+    rng = random.Random(8)
+    words = ["new", "york", "city", "of", "east", "Middle", "é", "São", "paulo", "7"]
+    names = [(" ".join(rng.choices(words, k=rng.randint(1, 5))), f"e{k % 30}", rng.choice(["PLACE", "ORG"])) for k in range(60)]
+    names += [("New-York", "NYC", "PLACE"), ("...", "none", "PLACE"), (None, "null", "PLACE"), ("", "empty", "PLACE"), (" ".join(["of"] * 6), "too long", "PLACE")]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(300)] + [None, "", "new york, NEW YORK CITY! middle_east"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("entity", F.lit("clash")).withColumn("words", F.lit(1)).repartition(3)
+    gazetteer = spark.createDataFrame(names, "name string, entity string, kind string")
+    got = {}
+    for r in normalize.name_matches(df, gazetteer, "text", "id", 5).collect():
+        got.setdefault(r["id"], []).append((r["entity"], r["kind"], r["start"], r["words"]))
+    for k, t in enumerate(texts):
+        assert sorted(got.get(k, []), key=lambda x: x[2]) == plain_names(t, names, 5), t
+    assert normalize.name_matches(df, gazetteer.where("1 = 0"), "text", "id").count() == 0
+
+
+def test_kde_cells(spark):
+    """Densities equal a whole sum over all points; outlines are closed; degenerate points have no cells."""
+    rng = np.random.default_rng(2)
+    p = np.column_stack([rng.normal(40, 0.05, 300), rng.normal(-74, 0.1, 300), rng.random(300)])
+    p[:, 1] += 0.8 * (p[:, 0] - 40)
+    p[5] = p[6]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in p], "lat double, lon double, weight double")
+    got = {(r["i"], r["j"]): (r["density"], r["ring"]) for r in spatial.kde_cells(df, 25).collect()}
+    w = p[:, 2] / p[:, 2].sum()
+    cov = np.cov(p[:, :2].T, aweights=w) * (1 / (w**2).sum()) ** (-1 / 3)
+    up, side = 1000 / 110_574, 1000 / (111_320 * np.cos(np.radians(w @ p[:, 0])))
+    south, north, west, east = p[:, 0].min() - up, p[:, 0].max() + up, p[:, 1].min() - side, p[:, 1].max() + side
+    grid = np.stack(np.meshgrid(np.linspace(south, north, 25), np.linspace(west, east, 25), indexing="ij"), -1)
+    d = grid[:, :, None] - p[None, None, :, :2]
+    k = (w * np.exp(-0.5 * np.einsum("ijka,ab,ijkb->ijk", d, np.linalg.inv(cov), d))).sum(-1)
+    k /= k.max()
+    want = {(i, j): k[i, j] for i in range(24) for j in range(24) if k[i, j] >= 0.01}
+    assert set(got) == set(want) and all(abs(got[c][0] - want[c]) < 1e-9 for c in want)
+    assert all(len(ring) == 5 and ring[0] == ring[4] and np.allclose(np.ptp(ring, axis=0), [(east - west) / 25, (north - south) / 25]) for _, ring in got.values())
+    line = df.limit(3).withColumn("lon", F.col("lat") * 2)
+    for few in (df.limit(1), line, df.where("1 = 0"), df.withColumn("weight", F.lit(0.0))):
+        assert spatial.kde_cells(few, 10).count() == 0

@@ -167,7 +167,7 @@ def test_entities(spark):
     from loomstat.plans.q_text import DATE, ORG
 
     df = spark.createDataFrame([(1, "The Apache License of 2024-02-03, Rome and ROME, 5 May 2020; Acme Widgets Inc"), (2, None)], "id int, t string")
-    places = spark.createDataFrame([("rome", "Rome")], "w string, place string")
+    places = spark.createDataFrame([("rome", "Rome", "PLACE")], "name string, entity string, kind string")
     got = rows(textstats.entities(df, "id", "t", {"ORG": ORG, "DATE": DATE}, places), "kind", "entity")
     assert got == [(1, "DATE", "2024-02-03", 1), (1, "DATE", "5 May 2020", 1), (1, "ORG", "Acme Widgets Inc", 1), (1, "ORG", "The Apache License", 1), (1, "PLACE", "Rome", 2)]
 
