@@ -11,6 +11,7 @@ from ..sources import sinks
 from ..sources.adapters import SQL_EV, SQL_VEC, as_of, region_code, table, vector_groups
 from ..streaming import streams as S
 from .base import query
+from .q_gates import _MACHINE
 from .q_sinks import place
 from .q_vectors import _CEN
 
@@ -84,17 +85,31 @@ def stream_late_rows(spark, sf):
 
 @query(f"with {SQL_EV}, c as (select signal_id, count(*) over (partition by region order by epoch_us(ts) range between 3600000000 preceding and current row) as n from ev) select signal_id, n, n <= 2 as accepted from c")
 def stream_rate_limit(spark, sf):
-    return run(S.rate_limit(events(spark, sf), "region", "ts", "signal_id", 2), spark).withColumnRenamed("id", "signal_id")
+    """Events arrive in three stretches of time, as files of a folder; state goes on from one to the next."""
+    p = place(spark)
+    e = table(spark, sf, "events").select(F.col("event_id").alias("signal_id"), F.col("ts").cast("timestamp").alias("ts"), region_code(F.col("user_id")).alias("region"))
+    out = None
+    for first, end in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        e.where((F.col("ts") >= first) & (F.col("ts") < end)).write.mode("append").parquet(f"{p}/raw")
+        out = S.rate_limit(S.files(spark, f"{p}/raw", e.schema), "region", "ts", "signal_id", 2)
+        with S.keyed_state(spark):
+            S.to_table(out, f"{p}/out", f"{p}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{p}/out").withColumnRenamed("id", "signal_id")
 
 
-@query()
+@query(f"{_MACHINE} select region, strftime(day, '%Y-%m-%d') as day, wanted, state from m where k > 0")
 def stream_area_state(spark, sf):
     p = place(spark)
     e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), region_code(F.col("user_id")).alias("region"), F.col("value").alias("weight"))
     a = e.groupBy("region", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("s"), F.max("ts").alias("t"), (F.avg("weight") / 100).alias("score"))
     wanted = a.select("region", "day", G.area_state(F.col("n"), F.col("s"), hours_before(as_of(), F.col("t")), F.col("score")).alias("wanted"))
-    sinks.replace(wanted, p + "/wanted")
-    return run(S.area_states(S.files(spark, p + "/wanted", wanted.schema)), spark)
+    out = None
+    for cond in ("day < '2024-01-15'", "day >= '2024-01-15'"):  # two batches
+        wanted.where(cond).write.mode("append").parquet(f"{p}/wanted")
+        out = S.area_states(S.files(spark, f"{p}/wanted", wanted.schema))
+        with S.keyed_state(spark):
+            S.to_table(out, f"{p}/out", f"{p}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{p}/out")
 
 
 @query(f"with {SQL_VEC}, {_CEN}, n as (select signal_id, cen.cluster_id, list_cosine_similarity(embedding, c) as s from vec cross join cen) select signal_id, arg_max(cluster_id, (s, -cluster_id)) as topic from n group by 1")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from ..functions.columns import cosine
@@ -46,44 +48,94 @@ def sessions(df: DataFrame, keys: list[str], gap: str, delay: str = "24 hours",
     return got.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def rate_limit(df: DataFrame, key: str, ts: str, id_col: str, limit: int, seconds: int = 3600) -> DataFrame:
-    """(id, n, accepted): rows of the key in the trailing stretch, the row included. State: the times of that stretch; it goes when the key has been silent for as long."""
-    micro = seconds * 1_000_000
-
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        times = recent + rows["t"].tolist()
-        s = pd.Series(times)
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which transformWithStateInPandas needs; the session's setting is as before afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Limiter(StatefulProcessor):
+    """Counts rows of a key in the trailing stretch before each row of one slice of time. State: the times of the slice and of the stretch before it; a timer clears it once the watermark is past the slice."""
+
+    def __init__(self, limit: int, micros: int, slice_micros: int):
+        self.limit, self.micros, self.slice_micros = limit, micros, slice_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "t long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["t", "id"])  # rows of one key and slice
+        known = [r[0] for r in self.times.get()] if self.times.exists() else []
+        if not known:
+            self.handle.registerTimer((int(key[1]) + 1) * self.slice_micros // 1000 + 1)
+        self.times.appendList([(int(t),) for t in new["t"]])
+        times = np.sort(np.concatenate((np.array(known, dtype=np.int64), new["t"].to_numpy(dtype=np.int64))))
+        own = new[~new["guest"]]
+        t = own["t"].to_numpy(dtype=np.int64)
         # Rows of one moment all count for each other, as in a range frame.
-        low = s.searchsorted(s - micro, side="left")
-        high = s.searchsorted(s, side="right")
-        n = (high - low)[len(recent) :]
-        state.update(([int(t) for t in times if t >= times[-1] - micro],))
-        state.setTimeoutTimestamp(max(times[-1] // 1000, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
-        yield pd.DataFrame({"id": rows["id"].to_numpy(), "n": n, "accepted": n <= limit})
+        n = np.searchsorted(times, t, "right") - np.searchsorted(times, t - self.micros, "left")
+        yield pd.DataFrame({"id": own["id"].to_numpy(), "n": n, "accepted": n <= self.limit})
 
-    rows = df.withWatermark(ts, f"{seconds} seconds").select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(step, "id long, n long, accepted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        yield from ()
 
+    def close(self) -> None:
+        pass
 
-def area_states(df: DataFrame) -> DataFrame:
-    """(region, day, wanted, state): the state machine over rows (region, day, wanted), its state kept between batches."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else "silent"
-        rows = pd.concat(list(batches)).sort_values("day")
+def rate_limit(df: DataFrame, key: str, ts: str, id_col: str, limit: int, seconds: int = 3600, delay: str = "1 hour", stretches: int = 24) -> DataFrame:
+    """(id, n, accepted): rows of the key in the trailing stretch, the row included, among those that have arrived by its batch. To be started within keyed_state().
+
+    State is kept by key and slice of time (so many stretches), so a key of very many rows is spread over its slices; a row goes to its own slice and, in the slice's last stretch, also to the next one, to be counted. A
+    row that is late by more than `delay` isn't counted and gets no row: late_splitter() keeps such rows.
+    """
+    micros = seconds * 1_000_000
+    rows = df.withWatermark(ts, delay).select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("t"))
+    length = stretches * micros
+    own = F.floor(F.col("t") / length)
+    here, next_one = F.struct(own.alias("slice"), F.lit(False).alias("guest")), F.struct((own + 1).alias("slice"), F.lit(True).alias("guest"))
+    dealt = rows.select("*", F.explode(F.when(F.pmod("t", F.lit(length)) >= length - micros, F.array(here, next_one)).otherwise(F.array(here))).alias("x"))
+    dealt = dealt.select("key", "x.slice", "x.guest", "id", "ts", "t")
+    return dealt.groupBy("key", "slice").transformWithStateInPandas(Limiter(limit, micros, length), "id long, n long, accepted boolean", "append", "eventTime")
+
+
+class Machine(StatefulProcessor):
+    """The state machine of a region over the days of all batches. State: the last day and the state after it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "day string, state string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last, now = tuple(self.now.get()) if self.now.exists() else ("", "silent")
+        new = pd.concat(list(rows)).sort_values("day")  # a row for each day
         out = []
-        for w in rows["wanted"]:
-            now = advance(now, w)
+        for day, wanted in zip(new["day"], new["wanted"], strict=True):
+            if day <= last:  # late: what was decided stays
+                out.append(None)
+                continue
+            last, now = day, advance(now, wanted)
             out.append(now)
-        state.update((now,))
-        yield pd.DataFrame({"region": key[0], "day": rows["day"].to_numpy(), "wanted": rows["wanted"].to_numpy(), "state": out})
+        self.now.update((last, now))
+        yield pd.DataFrame({"region": key[0], "day": new["day"].to_numpy(), "wanted": new["wanted"].to_numpy(), "state": out})
+
+    def close(self) -> None:
+        pass
+
+
+def area_states(df: DataFrame) -> DataFrame:
+    """(region, day, wanted, state): the state machine over rows (region, day, wanted), aggregated to days, its state kept between batches. To be started within keyed_state().
 
-    return df.groupBy("region").applyInPandasWithState(step, "region string, day string, wanted string, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+    A day that comes after a later one, or again, is late: it has no state and changes nothing.
+    """
+    return df.groupBy("region").transformWithStateInPandas(Machine(), "region string, day string, wanted string, state string", "append", "none")
 
 
 def assign(df: DataFrame, centroids: DataFrame, id_col: str, vector: str) -> Callable[[DataFrame, int], DataFrame]:

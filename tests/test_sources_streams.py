@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -60,11 +61,34 @@ def test_windows_wait_for_the_delay(spark, tmp_path):
 def test_state_machine_keeps_state_between_batches(spark, tmp_path):
     schema = StructType.fromDDL("region string, day string, wanted string")
     raw, out = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
-    for rows in ([("a", "1", "quiet"), ("a", "2", "active")], [("a", "3", "elevated"), ("b", "3", "elevated")]):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for rows in ([("a", "1", "quiet"), ("a", "2", "active")], [("a", "3", "elevated"), ("b", "3", "elevated"), ("a", "0", "quiet")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(raw)
-        streams.to_table(streams.area_states(streams.files(spark, raw, schema)), f"{out}/t", f"{out}/c")
+        with streams.keyed_state(spark):
+            streams.to_table(streams.area_states(streams.files(spark, raw, schema)), f"{out}/t", f"{out}/c")
     got = {(r["region"], r["day"]): r["state"] for r in spark.read.parquet(f"{out}/t").collect()}
-    assert got == {("a", "1"): "quiet", ("a", "2"): "active", ("a", "3"): "elevated", ("b", "3"): "silent"}
+    assert got == {("a", "1"): "quiet", ("a", "2"): "active", ("a", "3"): "elevated", ("b", "3"): "silent", ("a", "0"): None}  # a late day has no state
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+@pytest.mark.parametrize("stretches", [1, 24])
+def test_rate_limit_over_batches(spark, tmp_path, stretches):
+    """Counts go on over micro-batches and slices; a row that is late within the delay counts what has arrived; one beyond it gets no row."""
+    schema = StructType.fromDDL("id long, region string, ts timestamp")
+    raw, out = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    batches = [
+        [(1, "10:10:00"), (2, "10:50:00"), (3, "10:50:00")],
+        [(4, "11:05:00"), (5, "11:10:00"), (6, "11:10:01"), (7, "10:55:00")],  # 7 is late, but within an hour
+        [(8, "15:00:00")],
+        [(9, "15:30:00"), (10, "10:20:00")],  # 10 is late by hours
+    ]
+    for rows in batches:
+        df = spark.createDataFrame([(i, "r", f"2024-01-01 {t}") for i, t in rows], "id long, region string, t string")
+        df.select("id", "region", F.to_timestamp("t").alias("ts")).write.mode("append").parquet(raw)
+        with streams.keyed_state(spark):
+            streams.to_table(streams.rate_limit(streams.files(spark, raw, schema), "region", "ts", "id", 3, stretches=stretches), f"{out}/t", f"{out}/c")
+    got = {r["id"]: (r["n"], r["accepted"]) for r in spark.read.parquet(f"{out}/t").collect()}
+    assert got == {1: (1, True), 2: (3, True), 3: (3, True), 4: (5, False), 5: (6, False), 6: (6, False), 7: (4, False), 8: (1, True), 9: (2, True)}
 
 
 def test_counts_over_two_batches(spark, tmp_path):
