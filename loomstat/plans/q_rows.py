@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import normalize as N
+from ..operators import rules as R
 from ..operators.slices import counts_within
-from ..sources.adapters import SQL_DOC, SQL_EV, SQL_MATCHES, SQL_REGIONS, as_of, event_signals, place_names, place_texts, regions, table, text_signals
+from ..sources.adapters import AS_OF, BOX, SQL_DOC, SQL_EV, SQL_MATCHES, SQL_RECORDS, SQL_REGIONS, as_of, event_signals, place_names, place_texts, records, regions, table, text_signals
 from .base import query
 
 TARGETS = ["01101", "01249", "01582", "01138"]
@@ -253,22 +254,30 @@ def message_parse(spark, sf):
     return c.select("conv_id", "turn", code.alias("region"), F.when(code.isNull(), F.trim("t")).otherwise(body).alias("body"), F.when(F.col("t").contains("?"), "question").otherwise("report").alias("category"))
 
 
-@query(f"""with {SQL_EV}, s as (select avg(weight) as m, stddev_pop(weight) as sd from ev)
-select signal_id, concat_ws(',', case when weight < 0 then 'negative_weight' end, case when region not in {_T} then 'unknown_region' end, case when abs(weight - m) > 3 * sd then 'outlier' end,
-case when count(*) over (partition by region, source, ts) > 1 then 'duplicate' end) as warnings from ev, s""")
+def _judged(spark, sf):
+    return R.judged(records(spark, sf), regions(spark).select(F.col("region").alias("zip")), BOX, AS_OF[:10])
+
+
+@query(f"with {SQL_RECORDS} select record_id, errors, warnings, errors = '' as valid from jd")
 def record_rules(spark, sf):
-    e = event_signals(spark, sf)
-    s = e.agg(F.avg("weight").alias("m"), F.stddev_pop("weight").alias("sd"))
-    same = F.count(F.lit(1)).over(Window.partitionBy("region", "source", "ts"))
-    got = e.withColumn("same", same).crossJoin(F.broadcast(s))  # one row of statistics
-    rules = [(F.col("weight") < 0, "negative_weight"), (~F.col("region").isin(*TARGETS), "unknown_region"), (F.abs(F.col("weight") - F.col("m")) > 3 * F.col("sd"), "outlier"), (F.col("same") > 1, "duplicate")]
-    return got.select("signal_id", F.array_join(N.reasons(rules), ",").alias("warnings"))
+    """Broken rules of each record, of 16 in five groups, by severity."""
+    return _judged(spark, sf).select("record_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "valid")
+
+
+_N = "sum(case when {0} = '' then 0 else len(string_split({0}, ',')) end)::bigint"
+
+
+@query(f"with {SQL_RECORDS} select count(*) as total, count(*) filter (where errors = '') as n_valid, {_N.format('errors')} as n_errors, {_N.format('warnings')} as n_warnings, round(100 * {_N.format('errors')} / count(*), 2) as error_rate from jd")
+def record_error_rate(spark, sf):
+    return R.rates(_judged(spark, sf))
 
 
-@query(f"with {SQL_EV} select signal_id, least(greatest(round(weight, 6), 0), 100) as weight, coalesce(source, 'unknown') as source from ev where region is not null")
+@query(f"""with {SQL_RECORDS} select record_id, strftime(day, '%Y-%m-%d') as date, case when length(regexp_replace(zip, '[^0-9]', '', 'g')) = 5 then regexp_replace(zip, '[^0-9]', '', 'g') end as zip,
+case when intensity is null then 1 else greatest(0, least(10, floor(intensity + 0.5))) end::double as intensity, case when lower(trim(source_type)) in ('news', 'community', 'official', 'verified') then lower(trim(source_type)) else 'unknown' end as source_type,
+case when lower(trim(trend)) in ('increasing', 'decreasing', 'stable') then lower(trim(trend)) else 'stable' end as trend from jd where errors = ''""")
 def record_clean(spark, sf):
-    e = event_signals(spark, sf).where("region is not null")
-    return e.select("signal_id", F.least(F.greatest(F.round("weight", 6), F.lit(0.0)), F.lit(100.0)).alias("weight"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    """Records without a critical fault, normalised."""
+    return R.cleaned(_judged(spark, sf)).select("record_id", "date", "zip", "intensity", "source_type", "trend")
 
 
 @query("select count(*) filter (where text is null) as missing_text, count(*) filter (where source is null) as missing_source, count(*) filter (where length(text) < 50) as short_text, count(*) as n from documents")

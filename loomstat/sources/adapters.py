@@ -54,6 +54,30 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("site"), region_code(F.col("s_nationkey")).alias("region"), lat.alias("lat"), lon.alias("lon"))
 
 
+#: Where the regions' coordinates lie: south, north, west, east.
+BOX = (9.9, 10.3, 19.9, 20.4)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, date, zip, lat, lon, intensity, source_type, trend, source, summary) from events, with faults in some fields by rules on the event's id."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("record_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), region_code(F.col("user_id")).alias("region"), F.col("value").alias("value"))
+    e = e.join(F.broadcast(regions(spark).select("region", "lat", "lon")), "region", "left")
+    every = lambda n: F.col("record_id") % n == 0
+    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return e.select(
+        "record_id",
+        F.when(every(97), None).when(every(89), "no date").when(every(83), "2031-01-01").when(every(79), "2019-05-05").otherwise(day).alias("date"),
+        F.when(every(71), None).when(every(67), "12").when(every(61), "99999").otherwise(F.col("region")).alias("zip"),
+        F.when(every(59), F.col("lat") + 30).when(every(57), None).otherwise(F.col("lat")).alias("lat"), "lon",
+        F.when(every(53), None).otherwise(F.col("value") / 10).alias("intensity"),
+        pick(("news", "Community", "official", "verified", "rumour", None), F.col("record_id")).alias("source_type"),
+        pick(("increasing", "stable", "Decreasing", None, "sideways"), F.col("record_id")).alias("trend"),
+        F.when(every(47), "").otherwise(F.col("source")).alias("source"),
+        F.concat_ws(" ", "source", F.date_format("ts", "HH")).alias("summary"),
+    )
+
+
 def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, entity, kind) from the tables: regions and nations, aliases of nations (region's name and nation's number), and products."""
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
@@ -109,6 +133,18 @@ SQL_GEV = f"gev as (select *, (list_position({_CODES}, region) - 1) * 100000 + d
 SQL_DOC = f"doc as (select doc_id as signal_id, text, source, lang as language, timestamp '2024-01-01' + to_hours((doc_id % 720)::int) as ts, ({_CODES})[(doc_id % 17 + 1)::int] as region from documents)"
 SQL_VEC = f"vec as (select vec_id as signal_id, label as cluster_id, embedding::double[] as embedding, timestamp '2024-01-01' + to_hours((vec_id % 720)::int) as ts, ({_CODES})[(vec_id % 17 + 1)::int] as region from embeddings)"
 SQL_SITES = f"sites as (select s_suppkey as site, ({_CODES})[(s_nationkey % 17 + 1)::int] as region, 9.98 + 0.24 * (s_suppkey * 7919 % 10007) / 10007.0 as lat, 19.98 + 0.26 * (s_suppkey * 104729 % 10009) / 10009.0 as lon from supplier)"
+SQL_RECORDS = f"""{SQL_REGIONS}, {SQL_EV}, rec as (select signal_id as record_id, case when signal_id % 97 = 0 then null when signal_id % 89 = 0 then 'no date' when signal_id % 83 = 0 then '2031-01-01' when signal_id % 79 = 0 then '2019-05-05' else strftime(ts, '%Y-%m-%d') end as date,
+case when signal_id % 71 = 0 then null when signal_id % 67 = 0 then '12' when signal_id % 61 = 0 then '99999' else region end as zip, case when signal_id % 59 = 0 then lat + 30 when signal_id % 57 = 0 then null else lat end as lat, lon,
+case when signal_id % 53 = 0 then null else weight / 10 end as intensity, (['news', 'Community', 'official', 'verified', 'rumour', null])[(signal_id % 6 + 1)::int] as source_type, (['increasing', 'stable', 'Decreasing', null, 'sideways'])[(signal_id % 5 + 1)::int] as trend,
+case when signal_id % 47 = 0 then '' else source end as source, source || ' ' || strftime(ts, '%H') as summary from ev left join regions using (region)),
+jr as (select *, try_cast(date as date) as day, count(*) over (partition by date, zip, summary) as copies, avg(intensity) over () as m, stddev_pop(intensity) over () as sd, (select count(distinct zip) from rec) as nz from rec),
+jd as (select *, concat_ws(',', case when date is null then 'temporal.dateExists' end, case when day is null then 'temporal.dateValid' end, case when zip is null or zip = '' then 'spatial.zipExists' end,
+ case when not coalesce(regexp_full_match(zip, '[0-9]{{5}}'), false) then 'spatial.zipFormat' end, case when coalesce(date, '') = '' or coalesce(zip, '') = '' then 'integrity.hasRequiredFields' end) as errors,
+ concat_ws(',', case when day is null or day > date '2024-01-31' then 'temporal.dateNotFuture' end, case when day is null or day > date '2024-01-31' or day < date '2020-01-01' then 'temporal.dateWithinRange' end,
+ case when zip is null or zip not in (select region from regions) then 'spatial.zipInRegion' end, case when coalesce(lat, 0) <> 0 and coalesce(lon, 0) <> 0 and not (lat between {BOX[0]} and {BOX[1]} and lon between {BOX[2]} and {BOX[3]}) then 'spatial.coordinatesValid' end,
+ case when intensity not between 0 and 10 then 'logical.intensityRange' end, case when source_type <> '' and lower(source_type) not in ('news', 'community', 'official', 'verified') then 'logical.sourceTypeValid' end,
+ case when trend <> '' and lower(trend) not in ('increasing', 'decreasing', 'stable') then 'logical.trendLogical' end, case when abs(intensity - m) / sd >= 3 then 'statistical.noOutliers' end, case when nz <= 1 then 'statistical.distributionNormal' end,
+ case when copies > 1 then 'integrity.noDuplicates' end, case when source is null or source = '' then 'integrity.sourceExists' end) as warnings from jr)"""
 SQL_NAMES = """names as (select r_name as name, r_name as entity, 'PLACE' as kind from region union all select n_name, n_name, 'PLACE' from nation
 union all select r_name || ' ' || n_nationkey, n_name, 'PLACE' from nation join region on n_regionkey = r_regionkey union all select distinct p_name, p_name, 'PRODUCT' from part),
 notes as (select 'd' || doc_id as text_id, text from documents union all select 'o' || o_orderkey, 'Order of ' || strftime(o_orderdate, '%Y-%m-%d') || ' from ' || case when o_orderkey % 3 = 0 then r_name || ' ' || n_nationkey else n_name || ', ' || r_name end || ': ' || coalesce(p_name, 'nothing') || '.'
