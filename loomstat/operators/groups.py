@@ -160,6 +160,32 @@ def topics(df: DataFrame, id_col: str, text: str, k: int, vocabulary: int, stop:
     return got.join(F.broadcast(best), "topic", "left").select(id_col, "topic", "words")  # k rows
 
 
+def seed_groups(df: DataFrame, key: str, metrics: list[str], radius: float) -> DataFrame:
+    """(key, seed, distance): rows grouped around seeds that are at least `radius` apart, each row with its nearest seed, which is nearer than that (ties to the smaller seed).
+
+    metrics: numbers between 0 and 100, so there can only be so many seeds. Rows are dealt to cells whose rows are all nearer than the radius. In each round the row of the smallest hash stands for its cell,
+    and one whose hash is the smallest among those that are near it becomes a seed; rows near a seed are settled. So seeds don't depend on the order of rows. What is compared pair by pair
+    are cells and seeds, whose number the space bounds, not rows. Rows with a null metric have no seed; equal keys are one row.
+    """
+    side = 0.999 * radius / len(metrics) ** 0.5
+    cell = [F.floor(F.col(c) / side).alias(f"c{k}") for k, c in enumerate(metrics)]
+    known = cut(df.where(" and ".join(f"{c} is not null" for c in metrics)).select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(metrics)], *cell, F.md5(F.col(key).cast("string")).alias("h")).dropDuplicates(["id"]))
+    names = [f"m{k}" for k in range(len(metrics))]
+    far = lambda a, b: F.sqrt(sum((F.pow(F.col(f"{a}.{c}") - F.col(f"{b}.{c}"), 2) for c in names), F.lit(0.0)))
+    left, seeds = known, known.where("1 = 0").select("id", "h", *names)
+    while not left.isEmpty():
+        first = left.groupBy(*[f"c{k}" for k in range(len(metrics))]).agg(F.min(F.struct("h", "id", *names)).alias("x")).select("x.*")
+        first = cut(first)
+        beaten = first.alias("a").join(F.broadcast(first).alias("b"), (F.col("a.h") > F.col("b.h")) & (far("a", "b") < radius), "left_semi")
+        new = cut(first.join(beaten.select("id"), "id", "left_anti").select("id", "h", *names))
+        left = cut(left.alias("a").join(F.broadcast(new).alias("b"), far("a", "b") < radius, "left_anti"))
+        seeds = seeds.unionByName(new)
+    seeds = cut(seeds)
+    met = known.alias("a").join(F.broadcast(seeds).alias("b"), far("a", "b") < radius)
+    best = met.groupBy("a.id").agg(F.min(F.struct(far("a", "b").alias("distance"), F.col("b.id").alias("seed"))).alias("x"))
+    return best.select(F.col("id").alias(key), "x.seed", "x.distance")
+
+
 def embed_with(df: DataFrame, id_col: str, text: str, load: Callable[[], Callable[[list[str]], Iterable[Iterable[float]]]]) -> DataFrame:
     """(id, embedding) by a model of the user's own: load() is called once in each Python worker and gives a function from a list of texts to their vectors. Null texts have no vector."""
     rows = df.select(F.col(id_col), F.col(text).cast("string").alias("text"))

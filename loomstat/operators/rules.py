@@ -87,7 +87,7 @@ def rates(judged_records: DataFrame) -> DataFrame:
     """One row: (total, n_valid, n_errors, n_warnings, error_rate in percent)."""
     n = F.count(F.lit(1))
     total = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long")
-    return judged_records.agg(n.alias("total"), F.count_if(F.col("valid")).alias("n_valid"), total("errors").alias("n_errors"), total("warnings").alias("n_warnings"), F.round(100 * total("errors") / n, 2).alias("error_rate"))
+    return judged_records.agg(n.alias("total"), F.count_if(F.col("valid")).alias("n_valid"), total("errors").alias("n_errors"), total("warnings").alias("n_warnings"), F.round(100 * total("errors") / F.nullif(n, F.lit(0)), 2).alias("error_rate"))
 
 
 def cleaned(judged_records: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import cases
 from ..operators import dedup as D
 from ..operators import opinions as V
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, cut
+from ..operators.groups import seed_groups
 from ..sources.adapters import SQL_EV, SQL_GEV, SQL_VOTES, table, votes
 from .base import query
 from .q_aggregate import _CS, clusters
@@ -39,36 +39,60 @@ def vote_matrix(spark, sf):
     return V.matrix(latest(spark, sf))
 
 
+def _groups(spark, sf):
+    m = cut(V.matrix(latest(spark, sf)))
+    return m, cut(V.opinion_groups(m))
+
+
 @query()
 def opinion_groups(spark, sf):
-    """Groups of sessions by PCA (10 dimensions at most) and k-means, k from 2 to 8 of the best silhouette; groups below 5 sessions are hidden."""
-    return V.opinion_groups(V.matrix(latest(spark, sf)))
+    """Groups of sessions by principal components (10 at most) and k-means, k from 2 to 8 of the best silhouette; groups below 5 sessions are hidden."""
+    return _groups(spark, sf)[1].where("group >= 0").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
 
 
-_GR = f"{_LV}, gv as (select session % 3 as grp, statement, avg(case vote when 'agree' then 1.0 when 'disagree' then -1.0 else 0 end) as mean, count(*) filter (where vote = 'agree') / count(*) as ratio, count(*) as n from lv group by 1, 2)"
+@query()
+def group_representatives(spark, sf):
+    """The five strongest statements of each group of opinion."""
+    r = V.representatives(V.by_group(*_groups(spark, sf)))
+    return r.select("group", "statement", F.round("mean", 6).alias("mean"), "rank")
 
 
-def by_group(spark, sf):
-    v = cases([(F.col("vote") == "agree", 1.0), (F.col("vote") == "disagree", -1.0)], 0.0)
-    n = F.count(F.lit(1))
-    return latest(spark, sf).groupBy((F.col("session") % 3).alias("grp"), "statement").agg(F.avg(v).alias("mean"), (F.count_if(F.col("vote") == "agree") / n).alias("ratio"), n.alias("n"))
+@query()
+def consensus(spark, sf):
+    """Statements that at least 70 % agree with in every group of opinion."""
+    m, g = _groups(spark, sf)
+    n = g.where("group >= 0").select("group").distinct().count()
+    return V.consensus(V.by_group(m, g), n).select("statement", F.round("lowest", 6).alias("lowest"), "consensus")
 
 
-@query(f"{_GR} select grp, statement, round(mean, 6) as mean, rank from (select *, row_number() over (partition by grp order by round(abs(mean), 9) desc, statement) as rank from gv) where rank <= 5")
-def group_representatives(spark, sf):
-    w = Window.partitionBy("grp").orderBy(F.desc(F.round(F.abs("mean"), 9)), "statement")
-    return by_group(spark, sf).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("grp", "statement", F.round("mean", 6).alias("mean"), "rank")
+@query()
+def divisive(spark, sf):
+    """How far groups of opinion are apart on each statement, and whether by 0.30 or more."""
+    return V.divisive(V.by_group(*_groups(spark, sf)), 0.0).select("statement", F.round("spread", 6).alias("spread"), (F.col("spread") >= 0.3).alias("divisive"))
+
+
+_GR = f"{_LV}, gv as (select (session % 3)::int as \"group\", statement, avg(case vote when 'agree' then 1.0 when 'disagree' then -1.0 else 0 end) as mean, count(*) filter (where vote = 'agree') / count(*) as ratio, count(*) as n from lv group by 1, 2)"
+
+
+def _cohorts(spark, sf):
+    """The same measures for three given cohorts, for which SQL can say what is right."""
+    m = V.matrix(latest(spark, sf))
+    return V.by_group(m, m.select("session", (F.col("session") % 3).cast("int").alias("group")).distinct())
+
+
+@query(f"{_GR} select \"group\", statement, round(mean, 6) as mean, rank from (select *, row_number() over (partition by \"group\" order by round(abs(mean), 9) desc, statement) as rank from gv) where rank <= 5")
+def cohort_representatives(spark, sf):
+    return V.representatives(_cohorts(spark, sf)).select("group", "statement", F.round("mean", 6).alias("mean"), "rank")
 
 
 @query(f"{_GR} select statement, round(min(ratio), 6) as lowest, min(ratio) >= 0.7 and count(*) = 3 as consensus from gv group by 1")
-def consensus(spark, sf):
-    return by_group(spark, sf).groupBy("statement").agg(F.round(F.min("ratio"), 6).alias("lowest"), ((F.min("ratio") >= 0.7) & (F.count(F.lit(1)) == 3)).alias("consensus"))
+def cohort_consensus(spark, sf):
+    return V.consensus(_cohorts(spark, sf), 3).select("statement", F.round("lowest", 6).alias("lowest"), "consensus")
 
 
-@query(f"{_GR} select statement, round(max(ratio) - min(ratio), 6) as spread from gv group by 1 having max(ratio) - min(ratio) >= 0.1")
-def divisive(spark, sf):
-    s = F.max("ratio") - F.min("ratio")
-    return by_group(spark, sf).groupBy("statement").agg(s.alias("s")).where("s >= 0.1").select("statement", F.round("s", 6).alias("spread"))
+@query(f"{_GR} select statement, round(max(ratio) - min(ratio), 6) as spread, max(ratio) - min(ratio) >= 0.3 as divisive from gv group by 1")
+def cohort_divisive(spark, sf):
+    return V.divisive(_cohorts(spark, sf), 0.0).select("statement", F.round("spread", 6).alias("spread"), (F.col("spread") >= 0.3).alias("divisive"))
 
 
 @query(f"{_LV} select count(*) as n_votes, count(distinct session) as n_sessions, count(distinct statement) as n_statements, round(count(*) filter (where vote = 'agree') / count(*), 6) as agree_ratio from lv")
@@ -94,10 +118,21 @@ def behaviour_profile(spark, sf):
 
 @query(f"""{_BP}, m as (select region, avg(density) as d, avg(breadth) as b, avg(strength) as s, avg(span) as p from bp group by 1), e as (select x.region as a, y.region as b from m x join m y on x.region <> y.region and sqrt(pow(x.d - y.d, 2) + pow(x.b - y.b, 2) + pow(x.s - y.s, 2) + pow(x.p - y.p, 2)) <= 25),
 r(a, c) as (select region, region from m union select e.a, r.c from e join r on r.a = e.b) select a as region, min(c) as component from r group by 1""")
-def behaviour_regions(spark, sf):
+def behaviour_links(spark, sf):
     """Regions whose mean profiles are linked by distances below 25; neutral labels."""
     m = profile(spark, sf).groupBy("region").agg(*[F.avg(c).alias(c) for c in ("density", "breadth", "strength", "span")])
     a, b = m.alias("a"), m.alias("b")
     d = sum(F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), 2) for c in ("density", "breadth", "strength", "span"))
     near = a.join(b, F.col("a.region") < F.col("b.region")).where(F.sqrt(d) <= 25).select(F.col("a.region").alias("a"), F.col("b.region").alias("b"))  # regions, not rows
     return connected_components(m.select(F.col("region").alias("id")), near).withColumnRenamed("id", "region")
+
+
+@query()
+def behaviour_regions(spark, sf):
+    """Groups around seeds of like profiles, with the seed's group, its size, mean measures and a neutral label by rules."""
+    metrics = ["density", "breadth", "strength", "span"]
+    p = cut(profile(spark, sf).select("cluster_id", *metrics))
+    near = seed_groups(p, "cluster_id", metrics, 25.0)
+    g = p.join(near, "cluster_id").groupBy("seed").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in metrics])
+    rules = [((F.col("span") < 40) & (F.col("density") > 60), "fast and dense"), ((F.col("breadth") > 60) & (F.col("strength") > 60), "broad and strong"), ((F.col("span") > 60) & (F.col("density") < 40), "slow and sparse")]
+    return g.select("seed", "n", *[F.round(c, 6).alias(c) for c in metrics], cases(rules, "mixed").alias("label"))

@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomstat.operators import density, gates, normalize, scans, spatial, windows
+from loomstat.operators import density, gates, groups, normalize, opinions, rules, scans, spatial, windows
 
 
 def plain_leaves(rows):
@@ -169,3 +169,71 @@ def test_kde_cells(spark):
     line = df.limit(3).withColumn("lon", F.col("lat") * 2)
     for few in (df.limit(1), line, df.where("1 = 0"), df.withColumn("weight", F.lit(0.0))):
         assert spatial.kde_cells(few, 10).count() == 0
+
+
+def test_principal_scores(spark):
+    """Sparse votes on many statements: distances along the components are those of a full decomposition with centred columns."""
+    rng = np.random.default_rng(6)
+    side = rng.integers(0, 3, 60)
+    a = np.zeros((60, 400))
+    for k in range(60):
+        some = rng.choice(400, 80, replace=False)
+        a[k, some] = np.where(rng.random(80) < 0.85, np.where((some + side[k]) % 3 == 0, 1, -1), rng.integers(-1, 2, 80))
+    votes = [(int(i), int(j) * 7, int(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
+    got = opinions.principal_scores(spark.createDataFrame(votes, "session long, statement long, v int"), 2, rounds=4).orderBy("session").toPandas()
+    u, s, _ = np.linalg.svd(a - a.mean(axis=0), full_matrices=False)
+    want, have = u[:, :2] * s[:2], got[["p0", "p1"]].to_numpy()
+    near = lambda x: np.linalg.norm(x[:, None] - x[None], axis=2)
+    assert np.abs(near(want) - near(have)).max() < 0.05 * near(want).max()
+
+
+def test_group_measures(spark):
+    m = spark.createDataFrame([(s, q, v) for s, q, v in [(1, 1, 1), (2, 1, 1), (3, 1, -1), (4, 1, 1), (1, 2, 1), (3, 2, 1), (9, 2, -1), (2, 3, -1)]], "session long, statement long, v int")
+    g = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (9, -1)], "session long, group int")
+    by = opinions.by_group(m, g)
+    assert {(r["group"], r["statement"]): (r["mean"], r["ratio"], r["n"]) for r in by.collect()} == {(0, 1): (1.0, 1.0, 2), (1, 1): (0.0, 0.5, 2), (0, 2): (1.0, 1.0, 1), (1, 2): (1.0, 1.0, 1), (0, 3): (-1.0, 0.0, 1)}
+    assert {r["statement"]: r["consensus"] for r in opinions.consensus(by, 2).collect()} == {1: False, 2: True, 3: False}
+    assert {r["statement"]: r["spread"] for r in opinions.divisive(by).collect()} == {1: 0.5}
+    assert [(r["group"], r["statement"], r["rank"]) for r in opinions.representatives(by, 1).orderBy("group").collect()] == [(0, 1, 1), (1, 2, 1)]
+
+
+def test_seed_groups(spark):
+    """Seeds are apart, every row is near the nearest seed, each seed is what its round allows, and the order of rows doesn't matter."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.random((150, 3)) * 100, rng.normal(50, 3, (150, 3)), np.full((5, 3), 7.0))).clip(0, 100)
+    rows = [(k, *map(float, v)) for k, v in enumerate(x)] + [(1000, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g long, a double, b double, c double")
+    got = {r["g"]: (r["seed"], r["distance"]) for r in groups.seed_groups(df.repartition(4), "g", ["a", "b", "c"], 25.0).collect()}
+    assert got == {r["g"]: (r["seed"], r["distance"]) for r in groups.seed_groups(df.orderBy(F.desc("g")), "g", ["a", "b", "c"], 25.0).collect()}
+    assert sorted(got) == list(range(305))
+    seeds = sorted({s for s, _ in got.values()})
+    d = np.linalg.norm(x[:, None] - x[seeds][None], axis=2)
+    assert all(got[s] == (s, 0.0) for s in seeds) and (d[seeds] + 1000 * np.eye(len(seeds)) >= 25).all()
+    for k, (s, dist) in got.items():
+        assert abs(dist - d[k].min()) < 1e-9 < 25 and seeds[int(d[k].argmin())] == s
+    assert groups.seed_groups(df.where("1 = 0"), "g", ["a", "b", "c"], 25.0).count() == 0
+
+
+def test_record_rules(spark):
+    """Each rule breaks on its own fault; nulls, equal records and an empty table."""
+    good = ("2024-01-05", "01101", 10.0, 20.0, 3.0, "News", "stable", "s", "x")
+    faults = [
+        ({0: None}, {"temporal.dateExists", "temporal.dateValid", "integrity.hasRequiredFields", "temporal.dateNotFuture", "temporal.dateWithinRange"}), ({0: "2025-01-01"}, {"temporal.dateNotFuture", "temporal.dateWithinRange"}),
+        ({0: "2019-12-31"}, {"temporal.dateWithinRange"}), ({1: ""}, {"spatial.zipExists", "spatial.zipFormat", "integrity.hasRequiredFields", "spatial.zipInRegion"}), ({1: "1101"}, {"spatial.zipFormat", "spatial.zipInRegion"}), ({1: "99999"}, {"spatial.zipInRegion"}),
+        ({2: 50.0}, {"spatial.coordinatesValid"}), ({2: None}, set()), ({4: 11.0}, {"logical.intensityRange"}), ({4: 90.0}, {"logical.intensityRange", "statistical.noOutliers"}), ({4: None}, set()), ({5: "rumour"}, {"logical.sourceTypeValid"}), ({5: None}, set()), ({6: "UP"}, {"logical.trendLogical"}),
+        ({7: None}, {"integrity.sourceExists"}), ({8: "twice"}, {"integrity.noDuplicates"}), ({8: "twice"}, {"integrity.noDuplicates"}),
+    ]
+    rows = [(k, *[change.get(c, f"{v}{k}" if c == 8 else v) for c, v in enumerate(good)]) for k, (change, _) in enumerate(faults)]
+    rows += [(100 + k, *good[:8], f"y{k}") for k in range(30)]
+    schema = "id long, date string, zip string, lat double, lon double, intensity double, source_type string, trend string, source string, summary string"
+    df = spark.createDataFrame(rows, schema)
+    places = spark.createDataFrame([("01101",), ("01101",), (None,)], "zip string")
+    judged = rules.judged(df, places, (9.0, 11.0, 19.0, 21.0), "2024-01-31")
+    got = {r["id"]: (set(r["errors"]) | set(r["warnings"]), r["valid"]) for r in judged.collect()}
+    for k, (change, want) in enumerate(faults):
+        assert got[k][0] == want, (change, got[k])
+    assert all(got[k] == (set(), True) for k in range(100, 130)) and sum(not v for _, v in got.values()) == 3
+    assert rules.cleaned(judged).count() == 44
+    assert rules.rates(rules.judged(df.where("1 = 0"), places, (9.0, 11.0, 19.0, 21.0), "2024-01-31")).first()["total"] == 0
+    same = rules.judged(df.where("id in (100, 101)").withColumn("zip", F.lit("01101")), places, (9.0, 11.0, 19.0, 21.0), "2024-01-31")
+    assert all(r["warnings"] == ["statistical.distributionNormal"] for r in same.collect())
