@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .normalize import name_matches
+from .sizes import spread
 
 
 def terms(df: DataFrame, key: list[str], text: str, pattern: str = "[a-z]{3,}") -> DataFrame:
@@ -20,7 +21,7 @@ def keywords(df: DataFrame, key: str, text: str, stop: list[str], boost: list[st
     """
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
     placed = F.filter(F.transform(found, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))), lambda x: ~x["term"].isin(*stop))
-    df = df.select(key, F.sort_array(placed).alias("s"))
+    df = spread(df.select(key, text)).select(key, F.sort_array(placed).alias("s"))
     at = lambda i: F.get("s", i)
     # A text without terms has no first place and so no row: a filter here would be pushed below, and find and sort all terms twice.
     places = F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)))
@@ -40,7 +41,7 @@ def keywords(df: DataFrame, key: str, text: str, stop: list[str], boost: list[st
 def cooccurrence(df: DataFrame, text: str, window: int, stop: list[str]) -> DataFrame:
     """(a, b, weight): unordered pairs of different terms less than `window` places apart, stop words left out. A text's pairs are made in its row; only counts of pairs are shuffled."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
-    t = df.select((F.filter(found, lambda x: ~x.isin(*stop)) if stop else found).alias("t"))
+    t = spread(df.select(text)).select((F.filter(found, lambda x: ~x.isin(*stop)) if stop else found).alias("t"))
     # Pairs of a text by distance; no filter on its terms, which would be pushed below and find them twice.
     ahead = lambda k: F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - k, F.lit(0))).alias("x"), F.slice("t", k + 1, F.greatest(F.size("t"), F.lit(1))).alias("y"))
     p = t.select(F.explode(F.concat(*[ahead(k) for k in range(1, window)])).alias("p")).select("p.x", "p.y")
