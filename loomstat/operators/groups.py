@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import cosine
 from .graph import connected_components, cut
-from .sizes import sent
+from .sizes import sent, spread
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -124,6 +124,22 @@ def ctfidf(tokens: DataFrame, topic: str, term: str) -> DataFrame:
     return tf.join(total, term).join(F.broadcast(mean), F.lit(True)).select(topic, term, "tf", (F.col("tf") * F.log(1 + F.col("mean") / F.col("f"))).alias("score"))
 
 
+def ngrams(df: DataFrame, topic: str, text: str, stop: list[str], most: int = 3) -> DataFrame:
+    """(topic, term, tf): how often each run of one to `most` words of three letters or more (stop words left out before) occurs in a topic's texts. Counted where the texts are before anything is shuffled; no vocabulary is held anywhere."""
+    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*stop))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.when(F.size("w") >= i + (n - 1), F.array_join(F.slice("w", i, n), " ")))
+    terms = spread(df.select(topic, text)).select(topic, found.alias("w")).select(topic, F.explode(F.concat(*[runs(n) for n in range(1, most + 1)])).alias("term"))
+    return terms.groupBy(topic, "term").agg(F.count(F.lit(1)).alias("tf")).where("term is not null")
+
+
+def topic_words(df: DataFrame, topic: str, text: str, stop: list[str], words: int = 10, least: int = 2) -> DataFrame:
+    """(topic, term, tf, score, rank): the strongest 1- to 3-grams of each topic by class-based term weights, of all that occur at least `least` times."""
+    tf = cut(ngrams(df, topic, text, stop))
+    often = tf.groupBy("term").agg(F.sum("tf").alias("f")).where(F.col("f") >= least)
+    mean = tf.agg((F.sum("tf") / F.countDistinct(topic)).alias("mean")).first()["mean"] or 0.0
+    return top_terms(tf.join(often, "term").select(topic, "term", "tf", (F.col("tf") * F.log(1 + F.lit(mean) / F.col("f"))).alias("score")), topic, "term", words)
+
+
 def top_terms(scored: DataFrame, topic: str, term: str, n: int) -> DataFrame:
     w = Window.partitionBy(topic).orderBy(F.desc("score"), term)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
@@ -140,7 +156,10 @@ def merged_topics(counts: DataFrame, least: float) -> DataFrame:
 
 
 def topics(df: DataFrame, id_col: str, text: str, k: int, vocabulary: int, stop: list[str], words: int = 10, seed: int = 42) -> DataFrame:
-    """(id, topic, words): LDA over counts of 1- to 3-grams without stop words; words: the topic's strongest, comma-joined. Texts without terms have topic -1 and null words."""
+    """(id, topic, words): LDA over counts of 1- to 3-grams without stop words; words: the topic's strongest, comma-joined. Texts without terms have topic -1 and null words.
+
+    vocabulary: the most frequent n-grams that count for the model, which the driver holds (times k numbers); topic_words() has no such bound.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer, NGram, StopWordsRemover
     from pyspark.ml.functions import vector_to_array

@@ -12,7 +12,7 @@ from ..operators.sizes import sent
 from ..sources.adapters import SQL_DOC, SQL_EV, SQL_GEV, SQL_VEC, as_of, event_groups, table, text_signals, vector_groups
 from .base import query
 from .q_aggregate import _CS, clusters
-from .q_text import STOP
+from .q_text import _IN, STOP
 
 _CEN = "cu as (select cluster_id, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as p from vec), cp as (select cluster_id, p, avg(x) as x from cu group by all), cen as (select cluster_id, list(x order by p) as c from cp group by 1)"
 _TOK = "tok as (select signal_id, language as topic, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as term from doc)"
@@ -106,9 +106,23 @@ def cluster_noise_stats(spark, sf):
     return clusters(spark, sf).agg(F.count_if(big).alias("n_groups"), F.sum(F.when(big, F.col("size"))).alias("n_grouped"), F.sum(F.when(~big, F.col("size"))).alias("n_noise"))
 
 
-@query()
+_NG = f"""with {SQL_VEC}, tw as (select cluster_id as topic, list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: w not in {_IN(STOP)}) as w from documents join vec on signal_id = doc_id where cluster_id is not null and text is not null),
+ng as (select topic, unnest(flatten([case when len(w) >= n then list_transform(range(1, len(w) + 2 - n), lambda i: array_to_string(w[i:i + n - 1], ' ')) else [] end for n in [1, 2, 3]])) as term from tw),
+tf as (select topic, term, count(*) as tf from ng group by all), ff as (select term, sum(tf) as f from tf group by 1), sc as (select topic, term, tf, tf * ln(1 + (select sum(tf) / count(distinct topic) from tf) / f) as score from tf join ff using (term) where f >= 2),
+rk as (select *, row_number() over (partition by topic order by score desc, term) as rank from sc)"""
+
+
+@query(f"{_NG} select topic, term, tf, round(score, 4) as score, rank from rk where rank <= 10")
 def topic_model(spark, sf):
-    """Topic of each document, with the topic's ten strongest words or word groups: LDA over counted 1- to 3-grams without stop words."""
+    """Topics are groups of vectors; the ten strongest words and groups of words of each, from its texts."""
+    v = vector_groups(spark, sf).where("cluster_id is not null").select(F.col("signal_id").alias("doc_id"), F.col("cluster_id").alias("topic"))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text").join(v, "doc_id")
+    return G.topic_words(d, "topic", "text", STOP).select("topic", "term", "tf", F.round("score", 4).alias("score"), "rank")
+
+
+@query()
+def topic_lda(spark, sf):
+    """Topic of each document, with the topic's ten strongest words or word groups: LDA over counted 1- to 3-grams without stop words, the 2,000 most frequent ones."""
     d = table(spark, sf, "documents").where("text is not null")
     return G.topics(d, "doc_id", "text", k=4, vocabulary=2000, stop=STOP)
 
