@@ -127,20 +127,21 @@ def name_matches(df: DataFrame, gazetteer: DataFrame, text: str, key: str, most_
     row yields at most most_words phrases for each word, whatever the gazetteer's size. Null texts have no names; keys that repeat are one text each only if they differ.
     """
     firsts, names = name_trie(gazetteer, most_words)
-    rows = df.select(F.col(key), F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    own = "loomstat_key"
+    rows = df.select(F.col(key).alias(own), F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("tokens"))
     ahead = F.transform("tokens", lambda w, i: F.struct(i.alias("at"), F.slice("tokens", i + 1, most_words).alias("ahead")))
-    rows = rows.select(key, F.inline(ahead)).withColumn("first", F.element_at("ahead", 1))
-    begun = rows.join(sent(firsts), "first").select(key, "at", "ahead", F.explode("lengths").alias("words")).where(F.size("ahead") >= F.col("words"))
+    rows = rows.select(own, F.inline(ahead)).withColumn("first", F.element_at("ahead", 1))
+    begun = rows.join(sent(firsts), "first").select(own, "at", "ahead", F.explode("lengths").alias("words")).where(F.size("ahead") >= F.col("words"))
     met = begun.withColumn("phrase", F.array_join(F.slice("ahead", 1, F.col("words")), " ")).join(sent(names), "phrase")
-    found = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("start"), (-F.col("words")).alias("less"), "entity", "kind"))).alias("all"))
+    found = met.groupBy(own).agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("start"), (-F.col("words")).alias("less"), "entity", "kind"))).alias("all"))
 
     def taken(acc, x):
         free = x["start"] >= acc["end"]
         return F.when(free, F.struct((x["start"] - x["less"]).alias("end"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
 
     none = F.struct(F.lit(0).alias("end"), F.from_json(F.lit("[]"), "array<struct<start:int,less:int,entity:string,kind:string>>").alias("out"))
-    kept = found.select(key, F.inline(F.aggregate("all", none, taken, lambda acc: acc["out"])))
-    return kept.select(key, "entity", "kind", "start", (-F.col("less")).alias("words"))
+    kept = found.select(own, F.inline(F.aggregate("all", none, taken, lambda acc: acc["out"])))
+    return kept.select(F.col(own).alias(key), "entity", "kind", "start", (-F.col("less")).alias("words"))
 
 
 def submission_errors(text: Column, region: Column, category: Column, ts: Column, as_of: Column, categories: list[str]) -> Column:

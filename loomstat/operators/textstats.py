@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
 from .normalize import name_matches
-from .sizes import spread
+from .sizes import sent, spread
 
 
 def terms(df: DataFrame, key: list[str], text: str, pattern: str = "[a-z]{3,}") -> DataFrame:
@@ -60,3 +61,19 @@ def entities(df: DataFrame, key: str, text: str, rules: dict[str, str], gazettee
 def sentences(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, pos, sentence)"""
     return df.select(*key, F.posexplode(F.split(text, r"[.!?]+[ \n]+")).alias("pos", "sentence")).where(F.length(F.trim("sentence")) > 0)
+
+
+def events(df: DataFrame, key: str, text: str, triggers: DataFrame, gazetteer: DataFrame, date_pattern: str, most_chars: int = 300) -> DataFrame:
+    """(key, pos, event_type, date, place, text): the sentences of each text that hold a trigger word.
+
+    triggers: (term, kind); a sentence is of the kind of which it holds the most different terms, ties to the kind of the smaller name. date and place: the first in the sentence, else the first in the
+    whole text, else null; places by name_matches(). Keys name one text each. text: the sentence's first characters.
+    """
+    s = cut(sentences(df, [key], text).withColumn("sentence", F.trim("sentence")).withColumn("at", F.concat_ws("#", F.col(key).cast("string"), "pos")))
+    words = s.select("at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+    kinds = words.join(sent(triggers), "term").groupBy("at", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("at").agg(F.min(F.struct((-F.col("n")).alias("n"), "kind"))["kind"].alias("event_type"))
+    names = cut(name_matches(s.select("at", "sentence"), gazetteer.where("kind = 'PLACE'"), "sentence", "at").groupBy("at").agg(F.min(F.struct("start", "entity"))["entity"].alias("place")))
+    dated = s.select(key, "pos", "at", "sentence", F.nullif(F.regexp_extract("sentence", date_pattern, 0), F.lit("")).alias("date")).join(names, "at", "left")
+    first = dated.groupBy(key).agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("pos"))).alias("any_date"), F.min_by("place", F.when(F.col("place").isNotNull(), F.col("pos"))).alias("any_place"))
+    got = dated.join(kinds, "at").join(first, key)
+    return got.select(key, "pos", "event_type", F.coalesce("date", "any_date").alias("date"), F.coalesce("place", "any_place").alias("place"), F.substring("sentence", 1, most_chars).alias("text"))

@@ -145,16 +145,31 @@ def event_type_classify(spark, sf):
     return _docs(spark, sf).select("doc_id").join(h, "doc_id", "left").select("doc_id", F.coalesce("k", F.lit("other")).alias("kind"))
 
 
-@query(r"with s as (select conv_id, turn, unnest(regexp_split_to_array(text, '[.!?]+[ \n]+')) as sentence from conversations) select conv_id, turn, count(*) as n from s where length(trim(sentence)) > 0 and contains(lower(sentence), 'th') group by 1, 2")
+EVENT_TERMS = [("order", "filing"), ("license", "notice"), ("rights", "notice"), ("token", "report"), ("widget", "delivery"), ("ring", "delivery"), ("gear", "delivery")]
+_SENT = SQL_MATCHES.replace("notes as (", "whole as (", 1).replace("nw as (", """sn as materialized (select text_id || '#' || (k - 1) as sid, text_id as id, k - 1 as pos, trim(sentence) as sentence from (select text_id, unnest(sp) as sentence, unnest(range(1, len(sp) + 1)) as k from (select text_id, regexp_split_to_array(text, '[.!?]+[ \n]+') as sp from whole)) where length(trim(sentence)) > 0),
+notes as (select sid as text_id, sentence as text from sn), nw as (""", 1)
+_EVENTS = f"""with recursive {_SENT}, kd as (select sid, arg_min(kind, (-n, kind)) as event_type from (select sid, kind, count(*) as n from (select distinct sid, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+')) as term from sn) join (values {', '.join(f"('{t}', '{k}')" for t, k in EVENT_TERMS)}) as g(term, kind) using (term) group by 1, 2) group by 1),
+pl as (select text_id as sid, arg_min(entity, s) as place from hit where kind = 'PLACE' group by 1), dt as (select sn.*, nullif(regexp_extract(sentence, '{DATE}'), '') as date, place from sn left join pl using (sid)),
+fi as (select id, arg_min(date, pos) filter (where date is not null) as any_date, arg_min(place, pos) filter (where place is not null) as any_place from dt group by 1),
+ev as (select id as text_id, pos::int as pos, event_type, coalesce(date, any_date) as date, coalesce(place, any_place) as place, substr(sentence, 1, 300) as text from dt join kd using (sid) join fi using (id))"""
+
+
+def _events(spark, sf):
+    t = spark.createDataFrame(EVENT_TERMS, "term string, kind string")
+    return T.events(place_texts(spark, sf), "text_id", "text", t, place_names(spark, sf), DATE)
+
+
+@query(f"{_EVENTS} select text_id, pos, event_type, date, place, text from ev")
 def event_extract(spark, sf):
-    s = T.sentences(table(spark, sf, "conversations"), ["conv_id", "turn"], "text").where(F.lower("sentence").contains("th"))
-    return s.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+    """Events: sentences with a trigger, their type, date and place."""
+    return _events(spark, sf)
 
 
-@query(f"with {SQL_DOC} select signal_id, strftime(case when signal_id % 5 <> 0 then ts end, '%Y-%m-%d %H') as at from doc order by case when signal_id % 5 <> 0 then ts end nulls last, signal_id")
+@query(f"{_EVENTS} select text_id, pos, event_type, place, strftime(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%d %B %Y'), try_strptime(date, '%Y')), '%Y-%m-%d') as at from ev")
 def event_timeline(spark, sf):
-    d = text_signals(spark, sf).select("signal_id", F.when(F.col("signal_id") % 5 != 0, F.col("ts")).alias("ts"))
-    return d.orderBy(F.asc_nulls_last("ts"), "signal_id").select("signal_id", F.date_format("ts", "yyyy-MM-dd HH").alias("at"))
+    """Events by their dates, those without one at the end."""
+    at = F.coalesce(*[F.to_date(F.try_to_timestamp("date", F.lit(f))) for f in ("yyyy-MM-dd", "d MMMM yyyy", "yyyy")])
+    return _events(spark, sf).withColumn("at", at).orderBy(F.asc_nulls_last("at"), "text_id", "pos").select("text_id", "pos", "event_type", "place", F.date_format("at", "yyyy-MM-dd").alias("at"))
 
 
 @query(f"with {_TERMS}, h as (select doc_id, count(*) as words, count(*) filter (where term in {_IN(BOOST)}) as hits, count(*) filter (where term in {_PL}) as ents, count(*) filter (where term in {_IN([t for t, _ in TRIGGERS])}) as trig from t group by 1) select doc_id, round(least(5.0 * hits / words, 0.5) + least(10.0 * ents / words, 0.25) + least(trig / 10, 0.25), 6) as relevance from h")

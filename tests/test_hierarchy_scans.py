@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomstat.operators import density, gates, groups, normalize, opinions, rules, scans, spatial, windows
+from loomstat.operators import density, gates, groups, normalize, opinions, rules, scans, spatial, textstats, windows
 
 
 def plain_leaves(rows):
@@ -237,3 +237,18 @@ def test_record_rules(spark):
     assert rules.rates(rules.judged(df.where("1 = 0"), places, (9.0, 11.0, 19.0, 21.0), "2024-01-31")).first()["total"] == 0
     same = rules.judged(df.where("id in (100, 101)").withColumn("zip", F.lit("01101")), places, (9.0, 11.0, 19.0, 21.0), "2024-01-31")
     assert all(r["warnings"] == ["statistical.distributionNormal"] for r in same.collect())
+
+
+def test_events(spark):
+    """Types by most triggers, dates and places of the sentence or else of the text, long sentences cut, texts without triggers left out."""
+    texts = [
+        (1, "A meeting in New York on 2024-03-05. The Order and the filing came! No more? Token report, in Rome."), (2, None), (3, ""), (4, "nothing here"), (5, "order " * 100), (6, "Vote. In 2021 it rained in Rome. An order was filed."),
+    ]
+    df = spark.createDataFrame(texts, "id int, t string").withColumn("pos", F.lit(-1)).withColumn("date", F.lit("clash"))
+    triggers = spark.createDataFrame([("meeting", "meeting"), ("order", "filing"), ("filing", "filing"), ("report", "report"), ("token", "report"), ("vote", "b"), ("vote", "a")], "term string, kind string")
+    places = spark.createDataFrame([("new york", "New York", "PLACE"), ("rome", "Rome", "PLACE"), ("york", "York", "ORG")], "name string, entity string, kind string")
+    got = sorted(map(tuple, textstats.events(df, "id", "t", triggers, places, "[0-9]{4}-[0-9]{2}-[0-9]{2}|20[0-9]{2}").collect()))
+    assert got == [
+        (1, 0, "meeting", "2024-03-05", "New York", "A meeting in New York on 2024-03-05"), (1, 1, "filing", "2024-03-05", "New York", "The Order and the filing came"), (1, 3, "report", "2024-03-05", "Rome", "Token report, in Rome."),
+        (5, 0, "filing", None, None, ("order " * 100)[:300]), (6, 0, "a", "2021", "Rome", "Vote"), (6, 2, "filing", "2021", "Rome", "An order was filed."),
+    ]

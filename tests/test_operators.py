@@ -37,10 +37,10 @@ def test_limits_cannot_be_weakened():
 def test_release_gate(spark):
     old, new = "2025-03-01 08:30:00", "2025-03-09 21:00:00"
     data = [("ok", 7, 4, old, 2.25), ("small", 2, 4, old, 2.25), ("one source", 7, 1, old, 2.25), ("new", 7, 4, new, 2.25), ("weak", 7, 4, old, 0.75), ("null", 7, 4, None, 2.25)]
-    df = spark.createDataFrame(data, "name string, size int, n_sources int, t string, volume double").withColumn("last_ts", F.to_timestamp("t"))
+    df = spark.createDataFrame(data, "topic string, size int, n_sources int, t string, volume double").withColumn("last_ts", F.to_timestamp("t"))
     now = F.to_timestamp(F.lit("2025-03-10 09:00:00"))
-    assert [r["name"] for r in gates.release(df, Limits(), now).collect()] == ["ok"]
-    failed = {r["name"]: r["f"] for r in df.select("name", gates.failed(Limits(), now).alias("f")).collect()}
+    assert [r["topic"] for r in gates.release(df, Limits(), now).collect()] == ["ok"]
+    failed = {r["topic"]: r["f"] for r in df.select("topic", gates.failed(Limits(), now).alias("f")).collect()}
     assert failed == {"ok": [], "small": ["size"], "one source": ["sources"], "new": ["delay"], "weak": ["volume"], "null": ["delay"]}
     a = gates.audit(df, Limits(), now).first()
     assert (a["n_in"], a["n_out"], a["pass_size"]) == (6, 1, 5)
@@ -51,6 +51,9 @@ def test_identity_columns_are_refused(spark, tmp_path):
     assert gates.identity_fields(df.schema) == ["meta.author", "more.email"]
     with pytest.raises(ValueError):
         sinks.json_rows(df, f"file://{tmp_path}/x")
+    fields = "user_id device_id ip_address phone_number name email social_media_handle biometric_data precise_coordinates street_address license_plate mac_address imei advertising_id ssn account_id".split()
+    for f in fields:
+        assert gates.identity_fields(spark.range(1).withColumnRenamed("id", f.upper()).schema) == [f.upper()]
 
 
 def test_state_machine(spark):
