@@ -111,6 +111,21 @@ def kinematics(df: DataFrame, keys: list[str]) -> DataFrame:
     return s.withColumn("acceleration", F.col("velocity") - F.lag("velocity", 1).over(w)).drop("new_source", "new_region")
 
 
+def accelerating(k: DataFrame, keys: list[str], places: int = 12, sigma: float = 2.0, least_hours: int = 3) -> DataFrame:
+    """(keys, hours, accelerating) from kinematics(): with at least `places` accelerations, whether any is more than sigma deviations above the mean of the trailing ones, itself included (no or zero sample deviation counts
+    as 1); with fewer, whether the greatest size is more than sigma population deviations (one value: 1; at least 0.01) above their mean. Never with fewer hours than least_hours."""
+    a = F.col("acceleration")
+    w = per(keys).rowsBetween(1 - places, 0)
+    std = F.stddev_samp(a).over(w)
+    z = (a - F.avg(a).over(w)) / F.when(std.isNull() | (std == 0), 1.0).otherwise(std)
+    one = k.withColumn("z", F.when(a.isNotNull(), z)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("hours"), F.count(a).alias("n"), F.max("z").alias("z"), F.max(F.abs(a)).alias("top"), F.avg(a).alias("mean"), F.stddev_pop(a).alias("std"),
+    )
+    single = F.when(F.col("n") > 1, F.greatest(F.col("std"), F.lit(0.01))).otherwise(1.0)
+    short = F.col("top") > F.col("mean") + sigma * single
+    return one.select(*keys, "hours", ((F.col("hours") >= least_hours) & F.coalesce(F.when(F.col("n") >= places, F.col("z") > sigma).otherwise(short), F.lit(False))).alias("accelerating"))
+
+
 def regression(s: DataFrame, keys: list[str]) -> DataFrame:
     """Slope and intercept of n over the bucket's number."""
     s = s.withColumn("x", F.row_number().over(per(keys)) - 1)

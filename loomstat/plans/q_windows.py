@@ -165,19 +165,25 @@ def _kin(spark, sf):
     return W.kinematics(e, ["topic"]).drop("sources").withColumnRenamed("topic", "source")
 
 
-@query(f"""{_KIN}, z as (select source, n, count(*) over w as k, (acceleration - avg(acceleration) over w) / nullif(stddev_samp(acceleration) over w, 0) as z from kin where acceleration is not null window w as (partition by source order by bucket rows between 11 preceding and current row))
-select source, coalesce(max(case when k >= 12 and z > 2 then 1 else 0 end) = 1, false) as accelerating from z group by 1""")
+_ACC = f"""{_KIN}, z as (select source, acceleration as a, (acceleration - avg(acceleration) over w) / coalesce(nullif(stddev_samp(acceleration) over w, 0), 1) as z from kin where acceleration is not null window w as (partition by source order by bucket rows between 11 preceding and current row)),
+ac as (select source, h.hours, h.hours >= 3 and coalesce(case when n >= 12 then z > 2 else top > mean + 2 * case when n > 1 then greatest(std, 0.01) else 1 end end, false) as accelerating
+from (select source, count(*) as hours from kin group by 1) h left join (select source, count(*) as n, max(z) as z, max(abs(a)) as top, avg(a) as mean, stddev_pop(a) as std from z group by 1) using (source))"""
+
+
+@query(f"{_ACC} select source, hours, accelerating from ac")
 def acceleration_flag(spark, sf):
-    w = Window.partitionBy("source").orderBy("bucket").rowsBetween(-11, 0)
-    a = F.col("acceleration")
-    k = _kin(spark, sf).where(a.isNotNull()).withColumn("k", F.count(F.lit(1)).over(w)).withColumn("z", (a - F.avg(a).over(w)) / F.nullif(F.stddev_samp(a).over(w), F.lit(0.0)))
-    return k.groupBy("source").agg(F.coalesce(F.max(((F.col("k") >= 12) & (F.col("z") > 2)).cast("int")) == 1, F.lit(False)).alias("accelerating"))
+    return W.accelerating(_kin(spark, sf), ["source"])
 
 
-@query(f"""{_HOUR}, {_BURST}, r as (select region, coalesce(sum(n) filter (where z > 2), 0) / sum(n) as ratio from b group by 1) select region, round(ratio, 6) as burst_ratio, case when ratio > 0.3 then 'spike' when ratio < 0.1 then 'sustained' else 'mixed' end as kind from r""")
+@query(f"""{_ACC}, bz as (select source, (n - avg(n) over w) / coalesce(nullif(stddev_samp(n) over w, 0), 1) as z from s window w as (partition by source order by bucket rows between 23 preceding and current row)),
+br as (select source, count(*) filter (where z > 2) as burst_hours, count(*) filter (where z > 2) / count(*) as ratio from bz group by 1)
+select source, burst_hours, round(ratio, 6) as burst_ratio, accelerating, accelerating and ratio < 0.5 as sustained, not accelerating and ratio > 0.3 as spike from ac join br using (source)""")
 def sustained_vs_spike(spark, sf):
-    r = W.bursts(W.series(event_signals(spark, sf), "hour", ["region"]), ["region"]).groupBy("region").agg((F.sum(F.when(F.col("burst"), F.col("n")).otherwise(0)) / F.sum("n")).alias("ratio"))
-    return r.select("region", F.round("ratio", 6).alias("burst_ratio"), cases([(F.col("ratio") > 0.3, "spike"), (F.col("ratio") < 0.1, "sustained")], "mixed").alias("kind"))
+    """Sustained: accelerating, and less than half of the hours are bursts; a spike: not accelerating, and more than 0.3 are."""
+    b = W.bursts(W.series(event_signals(spark, sf), "hour", ["source"]), ["source"]).groupBy("source").agg(F.count_if("burst").alias("burst_hours"), (F.count_if("burst") / F.count(F.lit(1))).alias("ratio"))
+    j = b.join(W.accelerating(_kin(spark, sf), ["source"]), "source")
+    up, ratio = F.col("accelerating"), F.col("ratio")
+    return j.select("source", "burst_hours", F.round(ratio, 6).alias("burst_ratio"), "accelerating", (up & (ratio < 0.5)).alias("sustained"), (~up & (ratio > 0.3)).alias("spike"))
 
 
 @query(f"""with {SQL_VEC}, u as (select cluster_id, date_trunc('week', ts)::date as d, unnest(embedding) as x, unnest(range(1, 65)) as p from vec), c as (select cluster_id, d, p, avg(x) as x from u group by all),

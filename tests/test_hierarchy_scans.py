@@ -252,3 +252,24 @@ def test_events(spark):
         (1, 0, "meeting", "2024-03-05", "New York", "A meeting in New York on 2024-03-05"), (1, 1, "filing", "2024-03-05", "New York", "The Order and the filing came"), (1, 3, "report", "2024-03-05", "Rome", "Token report, in Rome."),
         (5, 0, "filing", None, None, ("order " * 100)[:300]), (6, 0, "a", "2021", "Rome", "Vote"), (6, 2, "filing", "2021", "Rome", "An order was filed."),
     ]
+
+
+def test_accelerating(spark):
+    """The rolling rule, the rule for short series, and too few hours, against the plain formulas."""
+    rng = np.random.default_rng(12)
+    series = {f"k{n}{k}": [float(x) for x in rng.poisson(6, n)] for n in (1, 2, 3, 4, 9, 14, 40) for k in range(4)} | {"flat": [5.0] * 30, "jump": [5.0] * 20 + [50.0], "pair": [0.0, 0.0, 9.0]}
+    rows = []
+    for key, counts in series.items():
+        v = [None, *np.diff(counts).tolist()]
+        a = [None, None, *np.diff(np.diff(counts)).tolist()][: len(counts)]
+        rows += [(key, h, c, y, x) for h, (c, y, x) in enumerate(zip(counts, v, a, strict=True))]
+    got = {r["key"]: (r["hours"], r["accelerating"]) for r in windows.accelerating(spark.createDataFrame(rows, "key string, bucket int, n double, velocity double, acceleration double"), ["key"]).collect()}
+    for key, counts in series.items():
+        a = np.diff(np.diff(counts)) if len(counts) > 2 else np.zeros(0)
+        if len(a) >= 12:
+            part = [a[max(0, k - 11) : k + 1] for k in range(len(a))]
+            std = [x.std(ddof=1) if len(x) > 1 and x.std(ddof=1) > 0 else 1 for x in part]
+            want = any((a[k] - part[k].mean()) / std[k] > 2 for k in range(len(a)))
+        else:
+            want = len(a) > 0 and np.abs(a).max() > a.mean() + 2 * (max(a.std(), 0.01) if len(a) > 1 else 1)
+        assert got[key] == (len(counts), bool(want and len(counts) >= 3)), key
