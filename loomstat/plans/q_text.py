@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import cases
+from ..functions.columns import cases, hours_before
 from ..operators import textstats as T
-from ..operators.graph import expand
+from ..operators.graph import cut, expand
 from ..operators.normalize import name_matches
-from ..sources.adapters import SQL_DOC, SQL_MATCHES, place_names, place_texts, table, text_signals
+from ..sources.adapters import SQL_DOC, SQL_MATCHES, as_of, place_names, place_texts, table, text_signals
 from .base import query
 
 STOP = ["the", "and", "der", "die", "und", "les", "des", "una", "que", "for", "was", "con"]
@@ -47,21 +47,46 @@ def categorize(spark, sf):
     return _docs(spark, sf).select("doc_id", F.coalesce(F.nullif(F.array_join(_categories(), ","), F.lit("")), F.lit("general")).alias("categories"))
 
 
-@query(f"{_KW}, {SQL_DOC}, j as (select term, d.region, d.source, d.ts from kr join doc d on d.signal_id = kr.doc_id where rank <= 10), s as (select term, count(*) as n, strftime(min(ts), '%Y-%m-%d %H') as first_ts, strftime(max(ts), '%Y-%m-%d %H') as last_ts from j group by 1), r as (select term, region, row_number() over (partition by term order by count(*) desc, region) as k from j group by term, region) select s.*, r.region as top_region from s join r using (term) where k = 1 order by n desc, term limit 30")
+_KC = f"""{_KW}, {SQL_DOC}, j as (select term, d.region, d.source, d.ts from kr join doc d on d.signal_id = kr.doc_id where rank <= 10),
+ks as (select term, count(*) as n, min(ts) as first_ts, max(ts) as last_ts, (epoch_us(timestamp '2024-01-31') - epoch_us(max(ts))) / 3.6e9 as recency from j group by 1),
+tr as (select term, string_agg(region, ',' order by k) as top_regions from (select term, region, row_number() over (partition by term order by count(*) desc, region) as k from j group by term, region) where k <= 3 group by 1),
+ts as (select term, source as top_source from (select term, source, row_number() over (partition by term order by count(*) desc, source) as k from j where source is not null group by term, source) where k = 1)"""
+
+
+def _context(spark, sf):
+    """(term, n, first_ts, last_ts, recency) of the ten strongest keywords of each text, and the rows that they come from."""
+    d = text_signals(spark, sf).select(F.col("signal_id").alias("doc_id"), "region", "source", "ts")
+    j = cut(_keywords(spark, sf).select("doc_id", "term").join(d, "doc_id"))
+    return j.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), hours_before(as_of(), F.max("ts")).alias("recency")), j
+
+
+@query(f"""{_KC} select term, n, strftime(first_ts, '%Y-%m-%d %H') as first_ts, strftime(last_ts, '%Y-%m-%d %H') as last_ts, round(recency, 4) as recency_hours, top_regions, top_source from ks join tr using (term) left join ts using (term) order by n desc, term limit 30""")
 def keyword_context(spark, sf):
-    d = text_signals(spark, sf).select(F.col("signal_id").alias("doc_id"), "region", "ts")
-    j = _keywords(spark, sf).select("doc_id", "term").join(d, "doc_id")
-    w = Window.partitionBy("term").orderBy(F.desc("c"), "region")
-    top = j.groupBy("term", "region").agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(w)).where("k = 1").select("term", F.col("region").alias("top_region"))
-    s = j.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH").alias("first_ts"), F.date_format(F.max("ts"), "yyyy-MM-dd HH").alias("last_ts"))
-    return s.join(top, "term").orderBy(F.desc("n"), "term").limit(30)
+    """The 30 most frequent keywords: count, first and last time, hours since, three top regions, top source."""
+    s, j = _context(spark, sf)
+    top = s.orderBy(F.desc("n"), "term").limit(30)  # the report's length
+    mine = cut(j.join(F.broadcast(top.select("term")), "term"))
+
+    def strongest(c, n):
+        w = Window.partitionBy("term").orderBy(F.desc("c"), c)
+        k = mine.where(F.col(c).isNotNull()).groupBy("term", c).agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+        return k.groupBy("term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c))), lambda x: x[c]), ",").alias(f"top_{c}"))
+
+    got = top.join(strongest("region", 3), "term").join(strongest("source", 1), "term", "left")
+    hour = lambda c: F.date_format(c, "yyyy-MM-dd HH").alias(c)
+    return got.select("term", "n", hour("first_ts"), hour("last_ts"), F.round("recency", 4).alias("recency_hours"), F.col("top_region").alias("top_regions"), "top_source")
 
 
-@query(f"{_KW}, s as (select term, count(*) as n from kr where rank <= 10 group by 1) select term, n, case when n >= 0.7 * (select max(n) from s) then 'large' when n >= 0.4 * (select max(n) from s) then 'medium' else 'small' end as size from s")
+@query(f"""{_KC} select term, n, floor(recency / 24)::bigint as days, row_number() over (order by floor(recency / 24), n desc, term) as rank, case when n >= 0.7 * (select max(n) from ks) then 'large' when n >= 0.4 * (select max(n) from ks) then 'medium' else 'small' end as size from ks""")
 def keyword_display_rank(spark, sf):
-    s = _keywords(spark, sf).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    s = s.join(F.broadcast(s.agg(F.max("n").alias("top"))), F.lit(True))
-    return s.orderBy(F.desc("n"), "term").select("term", "n", cases([(F.col("n") >= 0.7 * F.col("top"), "large"), (F.col("n") >= 0.4 * F.col("top"), "medium")], "small").alias("size"))
+    """All keywords in the order of display: the more recent day first, then the more frequent; and their size class. Terms are sorted by all tasks; ranks follow from the sizes of days and the places within."""
+    s, _ = _context(spark, sf)
+    s = cut(s.withColumn("days", F.floor(F.col("recency") / 24)))
+    top = s.agg(F.max("n")).first()[0] or 0
+    per = s.groupBy("days", "n").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.sum("m").over(Window.orderBy("days", F.desc("n"))) - F.col("m"))  # a row for each day and count
+    place = F.row_number().over(Window.partitionBy("days", "n").orderBy("term"))
+    got = s.withColumn("place", place).join(per, ["days", "n"])
+    return got.select("term", "n", "days", (F.col("before") + F.col("place")).alias("rank"), cases([(F.col("n") >= 0.7 * top, "large"), (F.col("n") >= 0.4 * top, "medium")], "small").alias("size"))
 
 
 @query(f"{_KW} select term, sum(c)::bigint as n from kc group by 1 order by n desc, term limit 20")

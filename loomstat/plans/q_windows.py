@@ -283,14 +283,35 @@ def weekly_digest(spark, sf):
     return c.orderBy(rank, F.desc("z"), "region").limit(1).select("region", "class", F.round("z", 6).alias("z"))
 
 
-@query(f"""{_HOUR}, {_BURST}, bs as (select region, coalesce(sum(n) filter (where z > 2), 0) / sum(n) as burst, sum(n) as n from b group by 1),
-t as (select region, count(*) filter (where ts >= {_NOW} - interval 7 day) as last, count(*) filter (where ts >= {_NOW} - interval 14 day and ts < {_NOW} - interval 7 day) as before from ev where ts <= {_NOW} - interval 24 hour group by 1)
-select region, round(least(100, greatest(0, 40 * least(n / 1000, 1) + 30 * least(greatest(case when before > 0 then (last - before) / before else 0 end, 0), 1) + 30 * burst)), 6) as gauge from bs join t using (region)""")
+_GAUGE = f"""{_AL}, hs as (select region, date_trunc('hour', ts)::timestamp as h, count(*) as n from ev group by 1, 2), hm as (select min(h) as a, max(h) as b from hs),
+hf as (select k.region, x.h, coalesce(n, 0) as n from (select distinct region from hs) k cross join (select unnest(generate_series(a, b, interval 1 hour)) as h from hm) x left join hs on hs.region = k.region and hs.h = x.h),
+hz as (select region, h, n, (n - avg(n) over w) / coalesce(nullif(stddev_samp(n) over w, 0), 1) as z from hf window w as (partition by region order by h rows between 23 preceding and current row)),
+wb as (select region, max(share) as share from (select region, date_trunc('week', h) as wk, coalesce(sum(n) filter (where z > 2), 0) / nullif(sum(n), 0) as share from hz where h >= {_NOW} - interval 28 day group by 1, 2) group by 1),
+dg as (select region, ts::date as d, count(*) as n, count(distinct source) as s, max(ts) as t, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 as span from ev group by 1, 2),
+gt as (select region, count(*) filter (where t >= {_NOW} - interval 7 day) as recent, avg(greatest(0, 100 - 100 * span / 24)) as velocity from dg where n >= 3 and s >= 2 and t <= {_NOW} - interval 24 hour group by 1),
+tw as (select count(*) filter (where ts >= {_NOW} - interval 8 day) as last, count(*) filter (where ts >= {_NOW} - interval 15 day and ts < {_NOW} - interval 8 day) as before from ev where ts <= {_NOW} - interval 24 hour),
+tr as (select case when before > 0 then 100.0 * (last - before) / before else 0 end as m from tw)"""
+
+
+@query(f"""{_GAUGE}, pt as (select region, least(recent / 10 * 40, 40) as volume, case when m > 0 then least(m / 50 * 30, 30) else greatest(m / 50 * 15, -15) end as trend, case when coalesce(share, 0) > 0.5 then 15 else 0 end as burst,
+case when z >= 2 then 15 when (last > m2 + 1.5 * s2 and previous > m2 + 1.5 * s2) or (last < 0.5 * base and last < previous) then 10 else 0 end as alert, velocity / 10 as velocity from gt join wb using (region) join az using (region), tr)
+select region, round(volume, 6) as volume, round(trend, 6) as trend, burst::int as burst, alert::int as alert, round(velocity, 6) as velocity, round(least(100, greatest(0, volume + trend + burst + alert + velocity)), 6) as gauge from pt""")
 def attention_gauge(spark, sf):
+    """Five parts by region, from released groups: recent volume (40 points), the trend of all signals (30, or down to -15), bursts of the last four weeks (15), alerts (15 or 10), velocity (10); the sum within 0 and 100."""
     e = event_signals(spark, sf)
-    b = W.bursts(W.series(e, "hour", ["region"]), ["region"]).groupBy("region").agg((F.sum(F.when(F.col("burst"), F.col("n")).otherwise(0)) / F.sum("n")).alias("burst"), F.sum("n").alias("n"))
-    w1, w2 = as_of() - F.expr("interval 7 days"), as_of() - F.expr("interval 14 days")
-    t = e.where(F.col("ts") <= as_of() - F.expr("interval 24 hours")).groupBy("region").agg(F.count_if(F.col("ts") >= w1).alias("last"), F.count_if((F.col("ts") >= w2) & (F.col("ts") < w1)).alias("before"))
-    up = F.when(F.col("before") > 0, (F.col("last") - F.col("before")) / F.col("before")).otherwise(0.0)
-    score = 40 * F.least(F.col("n") / 1000, F.lit(1.0)) + 30 * clamp(up, 0.0, 1.0) + 30 * F.col("burst")
-    return b.join(t, "region").select("region", F.round(clamp(score, 0.0, 100.0), 6).alias("gauge"))
+    day, hours = F.to_date("ts"), lambda n: as_of() - F.make_dt_interval(hours=F.lit(n))
+    groups = e.groupBy("region", day.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("s"), F.max("ts").alias("t"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 3.6e9).alias("span"))
+    out = groups.where((F.col("n") >= 3) & (F.col("s") >= 2) & (F.col("t") <= hours(24)))
+    g = out.groupBy("region").agg(F.count_if(F.col("t") >= hours(7 * 24)).alias("recent"), F.avg(F.greatest(F.lit(0.0), 100 - 100 * F.col("span") / 24)).alias("velocity"))
+    b = W.bursts(W.series(e, "hour", ["region"]), ["region"]).where(F.col("bucket") >= hours(28 * 24)).groupBy("region", F.date_trunc("week", "bucket").alias("w"))
+    b = b.agg((F.sum(F.when(F.col("burst"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0))).alias("share")).groupBy("region").agg(F.max("share").alias("share"))
+    t = e.where(F.col("ts") <= hours(24)).agg(F.count_if(F.col("ts") >= hours(8 * 24)).alias("last"), F.count_if((F.col("ts") >= hours(15 * 24)) & (F.col("ts") < hours(8 * 24))).alias("before")).first()
+    moved = 100.0 * (t["last"] - t["before"]) / t["before"] if t["before"] else 0.0
+    trend = F.lit(min(moved / 50 * 30, 30.0) if moved > 0 else max(moved / 50 * 15, -15.0))
+    j = g.join(b, "region").join(_alerts(spark, sf).select("region", "alert_a", "alert_b", "alert_c"), "region")
+    volume, velocity = F.least(F.col("recent") / 10 * 40, F.lit(40.0)), F.col("velocity") / 10
+    burst = F.when(F.coalesce("share", F.lit(0.0)) > 0.5, 15).otherwise(0)
+    alert = F.when(F.col("alert_a"), 15).when(F.col("alert_b") | F.col("alert_c"), 10).otherwise(0)
+    six = lambda x, name: F.round(x, 6).alias(name)
+    return j.select("region", six(volume, "volume"), six(trend, "trend"), burst.alias("burst"), alert.alias("alert"), six(velocity, "velocity"), six(clamp(volume + trend + burst + alert + velocity, 0.0, 100.0), "gauge"))
+
