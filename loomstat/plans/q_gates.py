@@ -43,10 +43,12 @@ def gate_audit(spark, sf):
     return G.audit(clusters(spark, sf), TIERS[1], as_of())
 
 
-@query(f"{_W} select cluster_id, concat_ws(',', case when not size >= 3 then 'size' end, case when not n_sources >= 2 then 'sources' end, case when not last_ts <= {_NOW} - interval 24 hour then 'delay' end, case when not volume >= 1 then 'volume' end) as failed from cs where not ({_pass()})")
+@query(f"""{_W}, f as (select cluster_id, concat_ws(',', case when not size >= 3 then 'size' end, case when not n_sources >= 2 then 'sources' end, case when not last_ts <= {_NOW} - interval 24 hour then 'delay' end, case when not volume >= 1 then 'volume' end) as failed from cs where not ({_pass()}))
+select cluster_id, failed, sha256(cluster_id || '|' || failed) as hash from f""")
 def gate_reasons(spark, sf):
+    """The gates that each group fails, and a hash of that."""
     r = clusters(spark, sf).select("cluster_id", F.array_join(G.failed(TIERS[1], as_of()), ",").alias("failed"))
-    return r.where("failed <> ''")
+    return r.where("failed <> ''").withColumn("hash", F.sha2(F.concat_ws("|", F.col("cluster_id").cast("string"), "failed"), 256))
 
 
 @query("select 'customer' as t, 0 as n, count(*) as n_rows from customer union all select 'documents', 0, count(*) from documents union all select 'events', 1, count(*) from events union all select 'pages', 0, count(*) from pages")
@@ -211,10 +213,13 @@ def compliance_checks(spark, sf):
     return out.withColumn("complies", F.coalesce(kept, F.lit(True)))
 
 
-@query(f"{_W}, g as (select * from cs where {_pass()} and first_ts >= {_NOW} - interval 8 day), {SQL_REGIONS} select region, count(cluster_id) as n_groups, coalesce(sum(size), 0)::bigint as n_signals, round(coalesce(avg(volume), 0), 6) as mean_volume from regions left join g using (region) group by 1")
+@query(f"""{_W}, g as (select * from cs where {_pass()} and first_ts >= {_NOW} - interval 8 day), {SQL_REGIONS}, r as (select region, count(cluster_id) as n_groups, coalesce(sum(size), 0)::bigint as n_signals, round(coalesce(avg(volume), 0), 6) as mean_volume from regions left join g using (region) group by 1)
+select *, sha256(concat_ws('|', '2024-01-31', region, n_groups, n_signals)) as hash from r""")
 def weekly_brief(spark, sf):
+    """The last week's released groups by region, with a hash of the day and the counts."""
     g = _gated(spark, sf).where(F.col("first_ts") >= as_of() - F.expr("interval 8 days")).groupBy("region").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("size").alias("n_signals"), F.round(F.avg("volume"), 6).alias("mean_volume"))
-    return regions(spark).select("region").join(g, "region", "left").fillna({"n_groups": 0, "n_signals": 0, "mean_volume": 0.0})
+    r = regions(spark).select("region").join(g, "region", "left").fillna({"n_groups": 0, "n_signals": 0, "mean_volume": 0.0})
+    return r.withColumn("hash", F.sha2(F.concat_ws("|", F.date_format(as_of(), "yyyy-MM-dd"), "region", F.col("n_groups").cast("string"), F.col("n_signals").cast("string")), 256))
 
 
 @query(f"with {SQL_EV}, w as (select region, date_trunc('week', ts) as b, count(*) as n from ev where ts <= {_NOW} - interval 24 hour group by 1, 2), x as (select *, row_number() over (partition by region order by b) - 1 as x from w) select region, count(*) as weeks, round(regr_slope(n, x), 6) as slope from x group by 1")

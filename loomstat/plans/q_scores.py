@@ -63,9 +63,11 @@ def interarrival_cv(spark, sf):
     return S.interarrival(event_signals(spark, sf), ["region"]).select("region", F.round("cv", 5).alias("cv"), F.round("squashed", 5).alias("squashed"))
 
 
-@query(f"with {SQL_EV}, {_ent('ev', 'region', 'source')}, {_IA}, d as (select region, ts::date as d, count(*) as c from ev group by 1, 2), dh as (select region, -sum(c / n * log2(c / n)) / log2(count(*)) as dh from d join en using (region) group by 1) select region, round(100 * (h / log2(k) + dh + 2 / (1 + exp(-cv)) - 1 + simpson) / 4, 4) as cei from eh join ia using (region) join dh using (region)")
+@query(f"with {SQL_EV.replace('ev as (', 'ev0 as (', 1)}, ev as (select * from ev0 union all select signal_id, ts, source, 'all' as region, weight from ev0), {_ent('ev', 'region', 'source')}, {_IA}, d as (select region, ts::date as d, count(*) as c from ev group by 1, 2), dh as (select region, -sum(c / n * log2(c / n)) / log2(count(*)) as dh from d join en using (region) group by 1) select region, round(100 * (h / log2(k) + dh + 2 / (1 + exp(-cv)) - 1 + simpson) / 4, 4) as cei from eh join ia using (region) join dh using (region)")
 def composite_entropy_index(spark, sf):
+    """By region, and of all regions together."""
     e = event_signals(spark, sf)
+    e = e.unionByName(e.withColumn("region", F.lit("all")))
     a = S.entropy(e, ["region"], "source").select("region", F.col("normalized").alias("a"), "simpson")
     d = S.entropy(e.withColumn("d", F.to_date("ts")), ["region"], "d").select("region", F.col("normalized").alias("d"))
     i = S.interarrival(e, ["region"]).select("region", "squashed")

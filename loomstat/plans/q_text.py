@@ -122,15 +122,24 @@ def graph_expand(spark, sf):
 _EM = f"""with {_TERMS}, {SQL_DOC}, w as (select date_trunc('week', ts)::date as week, term, count(*) as n from t join doc on signal_id = doc_id where term not in {_IN(STOP)} group by 1, 2), k as (select week, term from (select *, row_number() over (partition by week order by n desc, term) as r from w) where r <= 20)"""
 
 
-@query(f"{_EM} select strftime(a.week, '%Y-%m-%d') as week, count(*) filter (where b.term is null) as n_new from k a left join k b on b.week = a.week - 7 and b.term = a.term group by 1")
+@query(f"""{_EM}, wk as (select distinct week from k), n as (select a.week, a.term from k a left join k b on b.week = a.week - 7 and b.term = a.term where b.term is null),
+g as (select wk.week, b.term from wk join k b on b.week = wk.week - 7 left join k a on a.week = wk.week and a.term = b.term where a.term is null),
+f as (select week, count(*) as c, string_agg(term, ',' order by term) filter (where r <= 10) as l from (select *, row_number() over (partition by week order by term) as r from n) group by 1),
+h as (select week, count(*) as c, string_agg(term, ',' order by term) filter (where r <= 10) as l from (select *, row_number() over (partition by week order by term) as r from g) group by 1)
+select strftime(wk.week, '%Y-%m-%d') as week, coalesce(f.c, 0) as n_new, coalesce(f.l, '') as new_terms, coalesce(h.c, 0) as n_lost, coalesce(h.l, '') as lost_terms from wk left join f using (week) left join h using (week)""")
 def term_emergence(spark, sf):
+    """Of the 20 most frequent terms of each week: those that the week before didn't have, and those that it had; the first ten of each."""
     d = text_signals(spark, sf).select(F.col("signal_id").alias("doc_id"), "text", F.to_date(F.date_trunc("week", "ts")).alias("week"))
     c = T.terms(d, ["week"], "text").where(~F.col("term").isin(*STOP)).groupBy("week", "term").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("week").orderBy(F.desc("n"), "term")
     top = c.withColumn("r", F.row_number().over(w)).where("r <= 20").groupBy("week").agg(F.collect_set("term").alias("terms"))
     before = top.select(F.date_add("week", 7).alias("week"), F.col("terms").alias("old"))
-    j = top.join(before, "week", "left")
-    return j.select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.size(F.array_except("terms", F.coalesce("old", F.array().cast("array<string>")))).cast("long").alias("n_new"))
+    none = F.array().cast("array<string>")
+    j = top.join(before, "week", "left").withColumn("old", F.coalesce("old", none))
+    new, lost = F.sort_array(F.array_except("terms", "old")), F.sort_array(F.array_except("old", "terms"))
+    first = lambda x, name: F.array_join(F.slice(x, 1, 10), ",").alias(name)
+    n = lambda x, name: F.size(x).cast("long").alias(name)
+    return j.select(F.date_format("week", "yyyy-MM-dd").alias("week"), n(new, "n_new"), first(new, "new_terms"), n(lost, "n_lost"), first(lost, "lost_terms"))
 
 
 # Rules of typed entities. A person type is never produced.

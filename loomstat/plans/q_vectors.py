@@ -74,10 +74,14 @@ def cluster_centroid(spark, sf):
     return c.select("cluster_id", F.array_join(F.transform(F.slice("centroid", 1, 8), lambda x: F.round(x, 5).cast("decimal(12,5)").cast("string")), ",").alias("head"))
 
 
-@query(f"with {SQL_VEC}, {_CEN}, d as (select cluster_id, signal_id, list_distance(embedding, c) as d from vec join cen using (cluster_id)) select cluster_id, arg_min(signal_id, (d, signal_id)) as representative, round(min(d), 5) as distance from d group by 1")
+@query(f"""with {SQL_VEC}, {_CEN}, d as (select cluster_id, signal_id, list_distance(embedding, c) as d from vec join cen using (cluster_id)), r as (select cluster_id, arg_min(signal_id, (d, signal_id)) as representative, round(min(d), 5) as distance from d group by 1)
+select cluster_id, representative, distance, substr(text, 1, 200) as text from r left join documents on doc_id = representative""")
 def cluster_representative(spark, sf):
+    """The member nearest to each centroid, with the first 200 characters of its text."""
     v = vector_groups(spark, sf)
-    return G.representatives(v, G.centroids(v, ["cluster_id"], "embedding"), "cluster_id", "signal_id", "embedding").withColumn("distance", F.round("distance", 5))
+    r = G.representatives(v, G.centroids(v, ["cluster_id"], "embedding"), "cluster_id", "signal_id", "embedding").withColumn("distance", F.round("distance", 5))
+    text = table(spark, sf, "documents").select(F.col("doc_id").alias("representative"), F.substring("text", 1, 200).alias("text"))
+    return r.join(text, "representative", "left").select("cluster_id", "representative", "distance", "text")
 
 
 @query(f"with {SQL_EV}, {SQL_GEV} select cluster_id, round(sum(exp(-ln(2) * (epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 3.6e9 / 72)), 6) as volume from gev group by 1")
@@ -85,13 +89,19 @@ def cluster_volume_decay(spark, sf):
     return event_groups(spark, sf).groupBy("cluster_id").agg(F.round(F.sum(F.exp(-F.log(F.lit(2.0)) * hours_before(as_of(), F.col("ts")) / 72)), 6).alias("volume"))
 
 
-@query(f"with {SQL_VEC}, m as (select cluster_id, region, count(*) as c, row_number() over (partition by cluster_id order by count(*) desc, region) as k from vec group by 1, 2) select cluster_id, count(*) as size, strftime(min(ts), '%Y-%m-%d') as first_day, strftime(max(ts), '%Y-%m-%d') as last_day, any_value(m.region) as region from vec join (select cluster_id, region from m where k = 1) m using (cluster_id) group by 1")
+@query(f"""with {SQL_VEC}, m as (select cluster_id, region, count(*) as c, row_number() over (partition by cluster_id order by count(*) desc, region) as k from vec group by 1, 2)
+select cluster_id, count(*) as size, round(sum(exp(-ln(2) * (epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 3.6e9 / 72)), 6) as volume, strftime(min(ts), '%Y-%m-%d') as first_day, strftime(max(ts), '%Y-%m-%d') as last_day, any_value(m.region) as region, count(distinct source) as n_sources
+from vec join (select cluster_id, region from m where k = 1) m using (cluster_id) left join documents on doc_id = signal_id group by 1""")
 def cluster_stats(spark, sf):
-    v = vector_groups(spark, sf)
+    """Size, decayed volume, days, most frequent region and number of sources of each group; the largest volume first."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("signal_id"), "source")
+    v = vector_groups(spark, sf).select("signal_id", "cluster_id", "region", "ts").join(d, "signal_id", "left")
     w = Window.partitionBy("cluster_id").orderBy(F.desc("c"), "region")
     mode = v.groupBy("cluster_id", "region").agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(w)).where("k = 1").select("cluster_id", "region")
-    s = v.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"))
-    return s.join(mode, "cluster_id")
+    day = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
+    volume = F.round(F.sum(F.exp(-F.log(F.lit(2.0)) * hours_before(as_of(), F.col("ts")) / 72)), 6)
+    s = v.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), volume.alias("volume"), day(F.min("ts"), "first_day"), day(F.max("ts"), "last_day"), F.countDistinct("source").alias("n_sources"))
+    return s.join(mode, "cluster_id").orderBy(F.desc("volume"), "cluster_id")
 
 
 @query(f"with {SQL_VEC}, {_CEN} select a.cluster_id, round(1 - max(list_cosine_similarity(a.c, b.c)), 5) as novelty from cen a join cen b on b.cluster_id < 5 where a.cluster_id >= 5 group by 1")

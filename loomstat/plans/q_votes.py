@@ -95,10 +95,17 @@ def cohort_divisive(spark, sf):
     return V.divisive(_cohorts(spark, sf), 0.0).select("statement", F.round("spread", 6).alias("spread"), (F.col("spread") >= 0.3).alias("divisive"))
 
 
-@query(f"{_LV} select count(*) as n_votes, count(distinct session) as n_sessions, count(distinct statement) as n_statements, round(count(*) filter (where vote = 'agree') / count(*), 6) as agree_ratio from lv")
+@query(f"""{_LV}, st as (select statement, count(*) as n, count(*) filter (where vote = 'agree') / count(*) as ratio from lv group by 1)
+select count(*) as n_votes, count(distinct session) as n_sessions, count(distinct statement) as n_statements, round(count(*) filter (where vote = 'agree') / count(*), 6) as agree_ratio,
+(select string_agg(statement::varchar, ',' order by ratio desc, statement) from (select * from st order by ratio desc, statement limit 5)) as top_agreed, (select string_agg(statement::varchar, ',' order by n desc, statement) from (select * from st order by n desc, statement limit 5)) as most_voted from lv""")
 def opinion_summary(spark, sf):
+    """Totals, and the five statements of the highest agreement and of the most votes; no session is named."""
+    lv = latest(spark, sf)
     n = F.count(F.lit(1))
-    return latest(spark, sf).agg(n.alias("n_votes"), F.countDistinct("session").alias("n_sessions"), F.countDistinct("statement").alias("n_statements"), F.round(F.count_if(F.col("vote") == "agree") / n, 6).alias("agree_ratio"))
+    st = lv.groupBy("statement").agg(n.alias("n"), (F.count_if(F.col("vote") == "agree") / n).alias("ratio"))
+    five = lambda order: F.lit(",".join(str(r["statement"]) for r in st.orderBy(F.desc(order), "statement").limit(5).collect()))
+    totals = lv.agg(n.alias("n_votes"), F.countDistinct("session").alias("n_sessions"), F.countDistinct("statement").alias("n_statements"), F.round(F.count_if(F.col("vote") == "agree") / F.nullif(n, F.lit(0)), 6).alias("agree_ratio"))
+    return totals.select("*", five("ratio").alias("top_agreed"), five("n").alias("most_voted"))
 
 
 _BP = f"""with recursive {SQL_EV}, {SQL_GEV}, {_CS}, bp as (select cluster_id, region, least(100, 5.0 * size) as density, least(100, 20.0 * n_sources) as breadth, least(100, volume / 10) as strength, least(100, (epoch_us(last_ts) - epoch_us(first_ts)) / 3.6e9 / 24 * 100) as span from cs where size >= 3 and n_sources >= 2 and last_ts <= timestamp '2024-01-30')"""
