@@ -17,11 +17,13 @@ def bucket_counts(df: DataFrame, unit: str, ts: str = "ts") -> DataFrame:
 
 
 def stats(df: DataFrame, field: str, keys: list[str] | None = None) -> DataFrame:
-    """count, sum, mean, median, min, max and population deviation."""
-    c = F.col(field)
-    return df.groupBy(*(keys or [])).agg(
-        F.count(c).alias("count"), F.sum(c).alias("sum"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_pop(c).alias("std")
-    )
+    """count, sum, mean, median, min, max and population deviation, by keys (or of all rows); the median by percentiles(), so no group's values are held. A null key is a group of its own."""
+    own = {f"loomstat_key{k}": c for k, c in enumerate(keys or [])} or {"loomstat_key0": None}
+    named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")).alias(k) if c else F.lit("").alias(k) for k, c in own.items()]
+    rows = df.select(*(keys or []), F.col(field).alias("loomstat_x"), *named)
+    c = F.col("loomstat_x")
+    out = rows.groupBy(*own, *(keys or [])).agg(F.count(c).alias("count"), F.sum(c).alias("sum"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_pop(c).alias("std"))
+    return out.join(percentiles(rows, list(own), "loomstat_x", {"median": 0.5}), list(own), "left").select(*(keys or []), "count", "sum", "mean", "median", "min", "max", "std")
 
 
 def count_by(df: DataFrame, field: str) -> DataFrame:

@@ -145,14 +145,18 @@ def first_appearance(spark, sf):
 
 
 @query(f"""{_FIRST}, o as (select source, fa.region, first_day, lat, lon, lead(fa.region) over w as to_region, lead(first_day) over w as to_day, lead(lat) over w as lat2, lead(lon) over w as lon2 from fa join regions using (region) window w as (partition by source order by first_day, fa.region)),
-v as (select a.source, a.region, a.to_region, date_diff('day', a.first_day, a.to_day) as lag_days, {_KM.replace('b.lat', 'a.lat2').replace('b.lon', 'a.lon2')} as km from o a where a.to_day > a.first_day)
-select source, region, to_region, lag_days, round(km, 6) as km, round(km / (24 * lag_days), 6) as km_per_hour from v""")
+v as (select a.source, a.region, a.to_region, date_diff('day', a.first_day, a.to_day) as lag_days, {_KM.replace('b.lat', 'a.lat2').replace('b.lon', 'a.lon2')} as km, {_DEG.replace('b.lat', 'a.lat2').replace('b.lon', 'a.lon2')} as bearing from o a where a.to_day > a.first_day)
+select source, region, to_region, lag_days, round(km, 6) as km, round(km / (24 * lag_days), 6) as km_per_hour, round(bearing, 5) as bearing, round(count(*) over (partition by region, to_region) / count(*) over (partition by region), 6) as edge_share from v""")
 def spread_vectors(spark, sf):
+    """Steps from a topic's region of first appearance to the next one's: distance, days, speed, bearing, and the share of all steps from this region that go there. Topics and regions, not rows."""
     w = Window.partitionBy("source").orderBy("first_day", "region")
     o = _first(spark, sf).join(regions(spark), "region")
     o = o.select("source", "region", "first_day", "lat", "lon", F.lead("region").over(w).alias("to_region"), F.lead("first_day").over(w).alias("to_day"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"))
-    v = o.where("to_day > first_day").withColumn("lag_days", F.datediff("to_day", "first_day").cast("long")).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    return v.select("source", "region", "to_region", "lag_days", F.round("km", 6).alias("km"), F.round(F.col("km") / (24 * F.col("lag_days")), 6).alias("km_per_hour"))
+    c = [F.col(x) for x in ("lat", "lon", "lat2", "lon2")]
+    v = o.where("to_day > first_day").withColumn("lag_days", F.datediff("to_day", "first_day").cast("long")).withColumn("km", haversine_km(*c)).withColumn("bearing", bearing_deg(*c))
+    n = F.count(F.lit(1))
+    share = n.over(Window.partitionBy("region", "to_region")) / n.over(Window.partitionBy("region"))
+    return v.select("source", "region", "to_region", "lag_days", F.round("km", 6).alias("km"), F.round(F.col("km") / (24 * F.col("lag_days")), 6).alias("km_per_hour"), F.round("bearing", 5).alias("bearing"), F.round(share, 6).alias("edge_share"))
 
 
 @query(f"""{_W}, p as (select source, region, lat, lon, count(*) as n from ev join regions using (region) group by all), c as (select source, sum(n * lat) / sum(n) as lat, sum(n * lon) / sum(n) as lon from p group by 1), d as (select a.source, {_KM} as km from p a join c b using (source))

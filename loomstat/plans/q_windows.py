@@ -276,11 +276,15 @@ def alert_class_z(spark, sf):
     return _alerts(spark, sf).select("region", cases([(F.col("z") > 2, "A"), (F.col("z") > 1.5, "B"), (F.col("z") < -0.5, "C")], "none").alias("class"))
 
 
-@query(f"""{_AL}, c as (select region, case when z > 2 then 'A' when z > 1.5 then 'B' when z < -0.5 then 'C' else 'none' end as class, z from az) select region, class, round(z, 6) as z from c order by case class when 'A' then 0 when 'B' then 1 when 'C' then 2 else 3 end, z desc, region limit 1""")
+@query(f"""{_AL}, c as (select region, case when z > 2 then 'A' when z > 1.5 then 'B' when z < -0.5 then 'C' else 'none' end as class, z, case when previous > 0 then (last - previous) / previous else 0 end as change from az)
+select region, class, round(z, 6) as z, round(change, 6) as change, case when change > 0.15 then 'rising' when change < -0.15 then 'falling' else 'stable' end as trend from c order by case class when 'A' then 0 when 'B' then 1 when 'C' then 2 else 3 end, z desc, region limit 1""")
 def weekly_digest(spark, sf):
+    """The first notice by class, and its region's change from the week before."""
     c = _alerts(spark, sf).withColumn("class", cases([(F.col("z") > 2, "A"), (F.col("z") > 1.5, "B"), (F.col("z") < -0.5, "C")], "none"))
     rank = cases([(F.col("class") == "A", 0), (F.col("class") == "B", 1), (F.col("class") == "C", 2)], 3)
-    return c.orderBy(rank, F.desc("z"), "region").limit(1).select("region", "class", F.round("z", 6).alias("z"))
+    change = F.when(F.col("previous") > 0, (F.col("last") - F.col("previous")) / F.col("previous")).otherwise(0.0)
+    top = c.withColumn("change", change).orderBy(rank, F.desc("z"), "region").limit(1)
+    return top.select("region", "class", F.round("z", 6).alias("z"), F.round("change", 6).alias("change"), cases([(F.col("change") > 0.15, "rising"), (F.col("change") < -0.15, "falling")], "stable").alias("trend"))
 
 
 _GAUGE = f"""{_AL}, hs as (select region, date_trunc('hour', ts)::timestamp as h, count(*) as n from ev group by 1, 2), hm as (select min(h) as a, max(h) as b from hs),
