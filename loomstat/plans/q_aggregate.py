@@ -229,12 +229,12 @@ def lineage_summary(spark, sf):
 
 
 @query("""with e as (select o_orderkey as record, 'ordered' as stage, o_orderstatus as step, 0 as line, o_orderdate::timestamp as t from orders union all select l_orderkey, 'shipped', l_returnflag || l_linestatus, l_linenumber, l_shipdate::timestamp from lineitem)
-select record, row_number() over w as place, stage, step, line::int as line, strftime(t, '%Y-%m-%d') as day, date_diff('day', lag(t) over w, t) as days from e window w as (partition by record order by t, line, stage)""")
+select record, row_number() over w as place, stage, step, line::int as line, strftime(t, '%Y-%m-%d') as day, date_diff('day', lag(t) over w, t) as days from e window w as (partition by record order by t, line, stage, step)""")
 def lineage_chain(spark, sf):
     """Every record's events in the order of time: when it was ordered and each of its lines shipped, and the days since the event before."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("record"), F.lit("ordered").alias("stage"), F.col("o_orderstatus").alias("step"), F.lit(0).alias("line"), F.col("o_orderdate").cast("timestamp").alias("at"))
     i = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record"), F.lit("shipped").alias("stage"), F.concat("l_returnflag", "l_linestatus").alias("step"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_shipdate").cast("timestamp").alias("at"))
-    w = Window.partitionBy("record").orderBy("at", "line", "stage")  # the few events of one record
+    w = Window.partitionBy("record").orderBy("at", "line", "stage", "step")  # the few events of one record
     e = o.unionByName(i).withColumn("place", F.row_number().over(w)).withColumn("days", F.datediff("at", F.lag("at").over(w)).cast("long"))
     return e.select("record", "place", "stage", "step", "line", F.date_format("at", "yyyy-MM-dd").alias("day"), "days")
 
