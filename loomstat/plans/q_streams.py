@@ -126,8 +126,10 @@ def stream_topic_assign(spark, sf):
 
 @query(f"with {SQL_EV} select source, region, count(*) as n from ev group by 1, 2")
 def stream_upsert(spark, sf):
+    """Counts by source and region, merged batch by batch; events arrive in two stretches."""
     p = place(spark)
-
-    S.each_batch(events(spark, sf), S.batch_counts(f"{p}/counts", ["source", "region"]), f"{p}/checkpoint")
-    sinks.upsert(S.total_counts(spark, f"{p}/counts", ["source", "region"], "source string, region string"), f"{p}/out", ["source", "region"], ["region"])
-    return spark.read.schema("source string, n long, region string").parquet(f"{p}/out").select("source", "region", "n")
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), region_code(F.col("user_id")).alias("region"))
+    for cond in ("ts < timestamp'2024-01-16 00:00:00'", "ts >= timestamp'2024-01-16 00:00:00'"):
+        e.where(cond).write.mode("append").parquet(f"{p}/raw")
+        S.each_batch(S.files(spark, f"{p}/raw", e.schema), S.merged_counts(f"{p}/counts", ["source", "region"]), f"{p}/checkpoint")
+    return spark.read.schema("source string, region string, n long").parquet(f"{p}/counts/{S.versions(spark, f'{p}/counts')[-1]}")

@@ -184,6 +184,36 @@ def total_counts(spark: SparkSession, path: str, keys: list[str], schema: str) -
     return spark.read.schema(f"{schema}, n long, batch int").parquet(path).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole tables below a path, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    found = [f.getPath() for f in system.listStatus(where)]
+    return sorted(int(f.getName()) for f in found if f.getName().isdigit() and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
+def merged_counts(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps one table of counts by key: each batch merges its own into the table that the batch before left, and writes it under its number.
+
+    A batch that runs again starts from the same table, so it counts once. Of older tables only the one before stays.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in versions(spark, path) if v < number]
+        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        if before:
+            counts = spark.read.schema(counts.schema).parquet(f"{path}/{before[-1]}").unionByName(counts).groupBy(*keys).agg(F.sum("n").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/{number}")
+        for old in before[:-1]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return put
+
+
 def to_table(df: DataFrame, path: str, checkpoint: str) -> None:
     """Run over what there is now, appending to a Parquet table."""
     refuse_identity(df).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -103,3 +103,20 @@ def test_counts_over_two_batches(spark, tmp_path):
     assert total() == [("r", "s", 15)]
     put(spark.createDataFrame([("r", "s")] * 5, schema), 1)
     assert total() == [("r", "s", 15)]
+
+
+def test_counts_are_merged_once(spark, tmp_path):
+    """Each batch is merged into what the one before left; a batch that runs again counts once, and older tables go."""
+    path = f"file://{tmp_path}/t"
+    put = streams.merged_counts(path, ["region"])
+    batch = lambda **n: spark.createDataFrame([(r,) for r, k in n.items() for _ in range(k)], "region string")
+    total = lambda: {r["region"]: r["n"] for r in spark.read.parquet(f"{path}/{streams.versions(spark, path)[-1]}").collect()}
+    assert streams.versions(spark, path) == []
+    put(batch(a=3, b=1), 0)
+    put(batch(a=2), 1)
+    put(batch(a=2), 1)
+    assert total() == {"a": 5, "b": 1}
+    put(batch(c=4), 2)
+    put(batch(c=4), 2)
+    put(batch(c=0), 3)
+    assert total() == {"a": 5, "b": 1, "c": 4} and streams.versions(spark, path) == [2, 3]
