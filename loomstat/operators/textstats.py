@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +43,54 @@ def keywords(df: DataFrame, key: str, text: str, stop: list[str], boost: list[st
     return got.select(key, "x.term", "x.c", "x.pos", "x.score", (F.col("k") + 1).alias("rank"))
 
 
+#: Tokens that are paired at once, and pairs that a task holds before it counts them and hands on their counts.
+TOKENS, MOST_PAIRS = 1 << 19, 1 << 24
+
+
+def pair_counts(batches: Iterator[pa.RecordBatch], window: int, stop: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counts (a, b, n) of unordered pairs of different terms in lists t of terms; the same pair comes again only after MOST_PAIRS others."""
+    number: dict[str, int] = {}
+    held: list[np.ndarray] = []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([np.zeros(0, dtype=np.int64), *held])
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        counts, keys = np.diff(first, append=len(keys)), keys[first]
+        words = pa.array(list(number), pa.string())
+        place = np.empty(len(number), dtype=np.int64)
+        place[np.argsort(np.array(list(number)), kind="stable")] = np.arange(len(number))
+        for k in range(0, len(keys), 1 << 16):
+            lo, hi = keys[k : k + (1 << 16)] >> 32, keys[k : k + (1 << 16)] & 0xFFFFFFFF
+            less = place[lo] < place[hi]
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(np.where(less, lo, hi))), words.take(pa.array(np.where(less, hi, lo))), pa.array(counts[k : k + (1 << 16)])], ["a", "b", "n"])
+
+    for b in batches:
+        lists = b.column(0)
+        size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        ends, at = np.cumsum(size), 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
+            tokens = lists.slice(at, to - at).flatten().dictionary_encode()
+            local = np.array([-1 if w in stop else number.setdefault(w, len(number)) for w in tokens.dictionary.to_pylist()], dtype=np.int64)
+            code, text = local[tokens.indices.to_numpy()] if len(tokens) else np.zeros(0, dtype=np.int64), np.repeat(np.arange(at, to), size[at:to])
+            code, text = code[code >= 0], text[code >= 0]
+            for k in range(1, window):
+                x, y = code[:-k], code[k:]
+                pair = (text[:-k] == text[k:]) & (x != y)
+                held.append((np.minimum(x, y)[pair] << 32) | np.maximum(x, y)[pair])
+            at = to
+            if sum(map(len, held)) > MOST_PAIRS:
+                yield from rows()
+                number, held = {}, []
+    yield from rows()
+
+
 def cooccurrence(df: DataFrame, text: str, window: int, stop: list[str]) -> DataFrame:
-    """(a, b, weight): unordered pairs of different terms less than `window` places apart, stop words left out. A text's pairs are made in its row; only counts of pairs are shuffled."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
-    t = spread(df.select(text)).select((F.filter(found, lambda x: ~x.isin(*stop)) if stop else found).alias("t"))
-    # Pairs of a text by distance; no filter on its terms, which would be pushed below and find them twice.
-    ahead = lambda k: F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - k, F.lit(0))).alias("x"), F.slice("t", k + 1, F.greatest(F.size("t"), F.lit(1))).alias("y"))
-    p = t.select(F.explode(F.concat(*[ahead(k) for k in range(1, window)])).alias("p")).select("p.x", "p.y")
-    p = p.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("x <> y")
-    return p.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").alias("weight"))
+    """(a, b, weight): unordered pairs of different terms less than `window` places apart, stop words left out. Pairs are counted in the task that reads their texts, as numbers; only counts are shuffled, once."""
+    t = spread(df.select(text)).select(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)).alias("t"))
+    p = t.mapInArrow(lambda batches: pair_counts(batches, window, stop), "a string, b string, n long")
+    return p.groupBy("a", "b").agg(F.sum("n").alias("weight"))
 
 
 def entities(df: DataFrame, key: str, text: str, rules: dict[str, str], gazetteer: DataFrame) -> DataFrame:

@@ -154,6 +154,47 @@ def test_cooccurrence(spark):
     assert rows(textstats.cooccurrence(df, "t", 3, ["bbb"]), "a", "b") == [("aaa", "ccc", 2)]
 
 
+def test_cooccurrence_by_counting(spark, monkeypatch):
+    """Pairs of many texts against a plain count, shuffled once; a task that hands on its counts early loses none."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["cat", "dog", "the", "Token", "fish", "bird", "x", "zoo"], k=n)) for n in (0, 1, 5, 300, 40)] + [None, "the the cat"]
+    want = {}
+    for t in texts:
+        words = [w for w in re.findall("[a-z]{3,}", (t or "").lower()) if w != "the"]
+        for i, x in enumerate(words):
+            for y in words[i + 1 : i + 5]:
+                if x != y:
+                    want[min(x, y), max(x, y)] = want.get((min(x, y), max(x, y)), 0) + 1
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = textstats.cooccurrence(df, "t", 5, ["the"])
+    assert rows(got, "a", "b") == [(a, b, n) for (a, b), n in sorted(want.items())]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    import pyarrow as pa
+
+    monkeypatch.setattr(textstats, "TOKENS", 7)
+    monkeypatch.setattr(textstats, "MOST_PAIRS", 3)
+    lists = [None if t is None else re.findall("[a-z]{3,}", t.lower()) for t in texts]
+    held = {}
+    for b in textstats.pair_counts(iter([pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["t"])]), 5, ["the"]):
+        for a, z, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held[a, z] = held.get((a, z), 0) + n
+    assert held == want
+
+
+def test_expand_reads_its_edges_once(spark):
+    """Each hop reads what was computed, not the edges' plan again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([("a", "b", 5), ("b", "c", 5), ("c", "d", 5)], "a string, b string, weight int").mapInArrow(count, "a string, b string, weight int")
+    assert rows(expand(spark.createDataFrame([("a",)], "node string"), e, 2, 3), "node") == [("a", 0), ("b", 1), ("c", 2)]
+    assert seen.value == 3
+
+
 def test_keywords_by_counting(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choices(["cat", "dog", "the", "token", "fish", "bird", "x"], k=n)) for n in (0, 1, 5, 300)] + [None, "the the"]
