@@ -350,6 +350,26 @@ def test_density_groups_against_brute_force(spark, monkeypatch, block):
     assert got == want
 
 
+def test_near_edges_sends_rows_to_blocks(spark, monkeypatch):
+    """Vectors without any clusters reach all cells, but are sent to a few blocks only; the links are all found."""
+    from loomstat.operators import blocks
+
+    monkeypatch.setattr(blocks, "FEW", 200)
+    monkeypatch.setattr(blocks, "TILE", 32)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 6))
+    written = []
+    monkeypatch.setattr(groups, "cut", lambda d, cut=groups.cut: written.append(cut(d)) or written[-1])
+    v = spark.createDataFrame([(k, [float(a) for a in r]) for k, r in enumerate(x)], "id long, x array<double>")
+    found = groups.near_edges(v, 0.8, per_cell=10).collect()
+    sent = [d.agg(F.sum(F.size(c))).first()[0] for d in written for c, t in d.dtypes if t == "array<int>"]
+    assert sent and sent[0] <= 3 * len(x)
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.8
+    assert found and all(a != b for a, b in found)
+    label = lambda i, j: groups.forest(np.array(i, dtype=int), np.array(j, dtype=int), len(x)).tolist()
+    assert label([a for a, _ in found], [b for _, b in found]) == label(*np.nonzero(near))
+
+
 def test_keep_last(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y")], "signal_id int, text string")
     new = spark.createDataFrame([(3, "x")], "signal_id int, text string")
