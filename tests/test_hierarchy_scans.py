@@ -65,6 +65,25 @@ def test_leaf_groups(spark, monkeypatch):
     assert shares[0] < 0.2 * 30  # nearest rows: below a fifth of the 30 cells
 
 
+def test_leaf_groups_without_clusters(spark, monkeypatch):
+    """Vectors without any clusters reach all cells, but are sent to a few blocks only, and to less than that the second time; several blocks and parts of blocks give the same leaves."""
+    from loomstat.operators import blocks
+
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(a) for a in x]) for k, x in enumerate(rng.normal(size=(400, 10)))]
+    monkeypatch.setattr(density, "CELL", 8)
+    monkeypatch.setattr(blocks, "FEW", 100)
+    monkeypatch.setattr(blocks, "TILE", 32)
+    visits = []
+    monkeypatch.setattr(density, "cut", lambda d, cut=density.cut: visits.append(cut(d)) or visits[-1])
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert {r["id"]: (r["group"], r["size"]) for r in density.leaf_groups(df, "id", "v").collect()} == plain_leaves(rows)
+    first, again = (v.agg(F.avg(F.size("visits"))).first()[0] for v in visits if "visits" in v.columns)
+    assert first <= 3 and again <= 0.7 * first
+    monkeypatch.setattr(density, "BLOCK", 64)
+    assert {r["id"]: (r["group"], r["size"]) for r in density.leaf_groups(df, "id", "v").collect()} == plain_leaves(rows)
+
+
 def test_leaf_groups_hard_rows(spark):
     """Nulls, other lengths, non-finite content, only copies, one row, no rows; signs of zero don't matter."""
     rows = [(1, None), (2, []), (3, [None, 1.0]), (4, [float("nan"), 0.0]), (5, [0.0, 1.0]), (6, [-0.0, 1.0]), (7, [5.0, 5.0]), (8, [5.0, 5.5]), (9, [5.0, 7.0]), (10, [100.0, 100.0]), (11, [1.0]), (None, [5.0, 5.0])]
