@@ -8,9 +8,10 @@ from math import cos, log, pi, radians, sin, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import EARTH_KM, bearing, haversine_km, normal_cdf
-from .graph import connected_components
+from .graph import connected_components, cut
 
 
 def adjacency(regions: DataFrame, min_km: float = 0.01, max_km: float = 30.0) -> DataFrame:
@@ -37,15 +38,61 @@ def near_pairs(points: DataFrame, eps_km: float) -> DataFrame:
     return j.where(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= eps_km).select(F.col("id").alias("a"), "b")
 
 
+def small_cubes(points: DataFrame, eps_km: float) -> DataFrame:
+    """points (id, lat, lon) with the cube (cx, cy, cz) of each: cubes so small that all points of one are within eps."""
+    side = 2 * sin(min(eps_km / EARTH_KM, pi) / 2) / sqrt(3) * (1 - 1e-9)
+    lat, lon = F.radians("lat"), F.radians("lon")
+    xyz = {"cx": F.cos(lat) * F.cos(lon), "cy": F.cos(lat) * F.sin(lon), "cz": F.sin(lat)}
+    return points.select("id", "lat", "lon", *[F.floor(v / side).alias(c) for c, v in xyz.items()])
+
+
+#: Steps to the cubes that can hold a point within eps of one in a small cube; and half of them, so that of two cubes one meets the other.
+STEPS = list(product((-2, -1, 0, 1, 2), repeat=3))
+AFTER = [d for d in STEPS if d > (0, 0, 0)]
+#: Cores of each of two cubes that are tried first.
+PROBES = 64
+
+
+def stepped(df: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """df once for each step from its cube."""
+    to = F.explode(F.array(*[F.struct(*[(F.col(c) + F.lit(k)).alias(c) for c, k in zip(("cx", "cy", "cz"), d, strict=True)]) for d in steps]))
+    rest = [c for c in df.columns if c not in ("cx", "cy", "cz")]
+    return df.select(*rest, to.alias("to")).select(*rest, "to.*")
+
+
 def dbscan(points: DataFrame, eps_km: float, min_points: int) -> DataFrame:
-    """(id, group): density groups; points with enough neighbours (themselves included) are cores, cores within eps are one group, others join their smallest core; noise is -1."""
-    pairs = near_pairs(points, eps_km)
-    n = pairs.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")) if min_points > 1 else None
-    core = points.select("id") if n is None else n.where(F.col("n") >= min_points).select(F.col("a").alias("id"))
-    core_pairs = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    groups = connected_components(core, core_pairs)
-    border = pairs.join(groups.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-    out = points.select("id").join(groups, "id", "left").join(border, "id", "left")
+    """(id, group): density groups; points with enough neighbours (themselves included) are cores, cores within eps are one group, others join their smallest core; noise is -1.
+
+    No list of all near pairs is made: points of one small cube are all near each other, so those of cubes with enough points are cores and in one group, and only points of other cubes count their neighbours. Cubes are linked
+    by the first of their cores within eps: a few of each are tried, and all of them only for cubes that are in different groups after that.
+    """
+    at = ["cx", "cy", "cz"]
+    p = cut(small_cubes(points.where("id is not null and lat is not null and lon is not null").dropDuplicates(["id"]), eps_km))
+    n = p.groupBy(*at).agg(F.count(F.lit(1)).alias("held"))
+    near = lambda: haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= eps_km
+    other = lambda df, *more: df.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *at, *more)
+    sparse = p.join(n.where(F.col("held") < min_points), at, "left_semi")
+    counts = stepped(sparse, STEPS).join(other(p), at).where("id <> b").where(near()).groupBy("id").agg((F.count(F.lit(1)) + 1).alias("n"))
+    core = p.join(n.where(F.col("held") >= min_points), at, "left_semi").unionByName(sparse.join(counts.where(F.col("n") >= min_points), "id", "left_semi") if min_points > 1 else sparse.where("1 = 0"))
+    # A core's cube is named by its smallest core.
+    named = cut(core.groupBy(*at).agg(F.min("id").alias("cube")))
+    core = cut(core.join(named, at))
+    beside = stepped(named, AFTER).withColumnRenamed("cube", "a").join(named.withColumnRenamed("cube", "c"), at).select("a", "c")
+    rank = F.row_number().over(Window.partitionBy("cube").orderBy(F.xxhash64("id"), "id"))
+    probes = cut(core.withColumn("k", rank).where(F.col("k") <= PROBES).select("cube", "id", "lat", "lon"))
+    side = lambda df, name, more: df.select(F.col("cube").alias(name), F.col("id").alias(f"id{more}"), F.col("lat").alias(f"lat{more}"), F.col("lon").alias(f"lon{more}"))
+    linked = lambda pairs, df: pairs.join(side(df, "a", ""), "a").join(side(df, "c", "2"), "c").where(near()).select("a", F.col("c").alias("b")).distinct()
+    sure = cut(linked(beside, probes))
+    cubes = named.select(F.col("cube").alias("id"))
+    groups = connected_components(cubes, sure)
+    of = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}"))
+    apart = cut(beside.join(of("a"), "a").join(of("c"), "c").where("in_a <> in_c").select("a", "c"))
+    if not apart.isEmpty():
+        groups = connected_components(cubes, sure.unionByName(linked(apart, core)))
+    core = cut(core.join(groups.withColumnRenamed("id", "cube"), "cube").select("id", "lat", "lon", *at, "component"))
+    rest = sparse.join(core.select("id"), "id", "left_anti")
+    border = stepped(rest, STEPS).join(other(core, "component"), at).where(near()).groupBy("id").agg(F.min("component").alias("near"))
+    out = points.select("id").join(core.select("id", "component"), "id", "left").join(border, "id", "left")
     return out.select("id", F.coalesce("component", "near", F.lit(-1).cast(points.schema["id"].dataType)).alias("group"))
 
 

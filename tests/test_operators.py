@@ -85,6 +85,25 @@ def test_dbscan_across_cells(spark):
     assert rows(spatial.dbscan(p, 0.2, 2), "id") == [(1, 1), (2, 1), (3, 1), (4, -1)]
 
 
+@pytest.mark.parametrize("min_points", [1, 3, 6])
+def test_dbscan_against_brute_force(spark, monkeypatch, min_points):
+    """Dense places, chains and single points; no plan of a crowd makes its near pairs."""
+    monkeypatch.setattr(spatial, "PROBES", 2)
+    rng = random.Random(min_points)
+    pts = [(40 + rng.gauss(0, 0.004), -74 + rng.gauss(0, 0.004)) for _ in range(150)] + [(40 + rng.uniform(-0.1, 0.1), -74 + rng.uniform(-0.1, 0.1)) for _ in range(150)] + [(40.2 + k * 0.008, -74.0) for k in range(20)] + [(40.5, -74.0)] * 4
+    pts = [(k * 7 % len(pts), *p) for k, p in enumerate(pts)]
+    a = np.array(pts)
+    lat, lon = np.radians(a[:, 1]), np.radians(a[:, 2])
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    near = 2 * 6371.0 * np.arcsin(np.sqrt(h)) <= 1.0
+    core, label = near.sum(1) >= min_points, a[:, 0].copy()
+    for _ in pts:
+        label = np.where(core, np.where(near & core[None], label[None], 1e9).min(1), 1e9)
+    label = np.where(core, label, np.where(near & core[None], label[None], 1e9).min(1))
+    got = rows(spatial.dbscan(spark.createDataFrame(pts, "id int, lat double, lon double"), 1.0, min_points), "id")
+    assert got == sorted((int(i), int(g) if g < 1e9 else -1) for i, g in zip(a[:, 0], label, strict=True))
+
+
 def test_getis_ord_constant_is_empty(spark):
     p = spark.createDataFrame([(k, 40.0 + k / 1000, -74.0, 1.0) for k in range(5)], "id int, lat double, lon double, w double")
     assert spatial.getis_ord(p, 0.2).count() == 0
