@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import EARTH_KM, bearing, haversine_km, normal_cdf
 from .graph import connected_components, cut
+from .sizes import sent
 
 
 def adjacency(regions: DataFrame, min_km: float = 0.01, max_km: float = 30.0) -> DataFrame:
@@ -22,20 +23,35 @@ def adjacency(regions: DataFrame, min_km: float = 0.01, max_km: float = 30.0) ->
     return p.where(F.col("km").between(min_km, max_km)).withColumn("weight", 1 / F.col("km"))
 
 
-def near_pairs(points: DataFrame, eps_km: float) -> DataFrame:
-    """(a, b) of points (id, lat, lon) within eps.
+#: Points of a cube that meet its neighbours in one piece; pairs that are looked at in one task, about.
+PIECE, PAIRS = 256, 1 << 26
+
+
+def near_points(points: DataFrame, eps_km: float) -> DataFrame:
+    """(a, b, lat, lon, lat2, lon2) of points (id, lat, lon) within eps, with their coordinates.
 
     Points are put on the unit sphere and dealt to cubes as wide as the chord of eps, so they meet those of their own and the 26 neighbouring
-    cubes only, at every latitude and across the date line.
+    cubes only, at every latitude and across the date line. Cubes of many points are cut into pieces, which are spread over as many tasks as there are pairs to look at, so no task gets a whole place.
     """
     step = 2 * sin(min(eps_km / EARTH_KM, pi) / 2) + 1e-12
     lat, lon = F.radians("lat"), F.radians("lon")
     xyz = {"cx": F.cos(lat) * F.cos(lon), "cy": F.cos(lat) * F.sin(lon), "cz": F.sin(lat)}
+    at, around = list(xyz), list(product((-1, 0, 1), repeat=3))
     p = points.select("id", "lat", "lon", *[F.floor(v / step).alias(c) for c, v in xyz.items()])
-    around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("x"), (F.col("cy") + j).alias("y"), (F.col("cz") + k).alias("z")) for i, j, k in product((-1, 0, 1), repeat=3)]))
-    q = p.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around.alias("cell")).select("b", "lat2", "lon2", F.col("cell.x").alias("cx"), F.col("cell.y").alias("cy"), F.col("cell.z").alias("cz"))
-    j = p.join(q, ["cx", "cy", "cz"]).where("id <> b")
-    return j.where(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= eps_km).select(F.col("id").alias("a"), "b")
+    cubes = cut(p.groupBy(*at).agg(F.count(F.lit(1)).alias("held"), F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces")))
+    looked = stepped(cubes.select(*at, F.col("held").alias("by")), around).join(cubes, at).agg(F.sum(F.col("by") * F.col("held"))).first()[0] or 0
+    tasks = max(p.sparkSession.sparkContext.defaultParallelism, min(10_000, looked // PAIRS))
+    pieces = sent(cubes.select(*at, "pieces"))
+    p = p.join(pieces, at).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
+    q = stepped(points.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[F.floor(v / step).alias(c) for c, v in xyz.items()]), around)
+    q = q.join(pieces, at).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    j = p.repartition(tasks, *at, "piece").join(q.repartition(tasks, *at, "piece"), [*at, "piece"]).where("id <> b")
+    return j.where(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= eps_km).select(F.col("id").alias("a"), "b", "lat", "lon", "lat2", "lon2")
+
+
+def near_pairs(points: DataFrame, eps_km: float) -> DataFrame:
+    """(a, b) of points (id, lat, lon) within eps; see near_points()."""
+    return near_points(points, eps_km).select("a", "b")
 
 
 def small_cubes(points: DataFrame, eps_km: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import haversine_km
 from ..operators import dedup as D
 from ..operators.sizes import sent
-from ..operators.spatial import near_pairs
+from ..operators.spatial import near_points
 from ..sources.adapters import SQL_DOC, SQL_EV, SQL_GEV, SQL_REGIONS, SQL_SITES, event_groups, event_signals, regions, sites, table, text_signals
 from .base import query
 
@@ -97,10 +97,8 @@ def calendar_gap_fill(spark, sf):
 @query(f"with {SQL_SITES} select a.site as a, b.site as b, round({_KM}, 6) as km from sites a join sites b on a.site <> b.site and b.lat between a.lat - 0.04 and a.lat + 0.04 where {_KM} <= 4.0")
 def self_pair_join(spark, sf):
     """Pairs of sites within four kilometres; sites meet those of neighbouring cells only."""
-    p = sites(spark, sf)
-    one = lambda c: p.select(F.col("site").alias(c), F.col("lat").alias(f"lat_{c}"), F.col("lon").alias(f"lon_{c}"))
-    near = near_pairs(p.withColumnRenamed("site", "id"), 4.0).join(one("a"), "a").join(one("b"), "b")
-    return near.select("a", "b", F.round(haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 6).alias("km"))
+    near = near_points(sites(spark, sf).withColumnRenamed("site", "id"), 4.0)
+    return near.select("a", "b", F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6).alias("km"))
 
 
 _RING = "case when km < 2 then 0 when km < 5 then 1 when km < 10 then 2 when km < 20 then 3 else 4 end"

@@ -250,6 +250,17 @@ def test_near_pairs_everywhere(spark, lat, lon):
     assert got == want
 
 
+def test_near_points_of_a_crowd_are_spread(spark, monkeypatch):
+    """One cube of many points is worked on by many tasks, and none of its pairs is lost."""
+    monkeypatch.setattr(spatial, "PIECE", 10)
+    monkeypatch.setattr(spatial, "PAIRS", 5000)
+    rng = random.Random(5)
+    pts = [(k, 40 + rng.uniform(0, 0.001), -74 + rng.uniform(0, 0.001)) for k in range(300)]
+    got = spatial.near_points(spark.createDataFrame(pts, "id int, lat double, lon double"), 5.0)
+    per = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 300 * 299 and max(per) < 300 * 299 / 4
+
+
 def test_slices_give_whole_windows(spark):
     """Windows in slices of time against windows over whole keys: counts to both sides, and gaps."""
     from loomstat.operators import slices
