@@ -106,6 +106,8 @@ def gazetteer_matches(df: DataFrame, gazetteer: DataFrame, text: str, key: str)
 
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: So many first words of names at most are looked for in the text's row; they come to the driver.
+MOST_FIRSTS = 5_000
 
 
 def name_trie(gazetteer: DataFrame, most_words: int) -> tuple[DataFrame, DataFrame]:
@@ -123,14 +125,20 @@ def name_trie(gazetteer: DataFrame, most_words: int) -> tuple[DataFrame, DataFra
 def name_matches(df: DataFrame, gazetteer: DataFrame, text: str, key: str, most_words: int = 8) -> DataFrame:
     """(key, entity, kind, start, words): names of one or several words in each whole text, from the left, the longest first, none over another; start and words count the text's words from 0.
 
+    First words of names, if they are not too many, are told from other words in the text's row, so only places where a name can begin become rows.
     A text's words meet the trie's first words by an equi-join, are extended by as many words as names with that first word have, and these phrases meet the names by another. So a
     row yields at most most_words phrases for each word, whatever the gazetteer's size. Null texts have no names; keys that repeat are one text each only if they differ.
     """
     firsts, names = name_trie(gazetteer, most_words)
     own = "loomstat_key"
     rows = df.select(F.col(key).alias(own), F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    ahead = F.transform("tokens", lambda w, i: F.struct(i.alias("at"), F.slice("tokens", i + 1, most_words).alias("ahead")))
-    rows = rows.select(own, F.inline(ahead)).withColumn("first", F.element_at("ahead", 1))
+    few = [r["first"] for r in firsts.select("first").limit(MOST_FIRSTS + 1).collect()]
+    places = F.transform("tokens", lambda w, i: F.struct(w.alias("first"), i.alias("at")))
+    if len(few) <= MOST_FIRSTS:
+        places = F.filter(places, lambda x: x["first"].isin(*few))
+    places = F.transform(places, lambda x: F.struct(x["first"].alias("first"), x["at"].alias("at"), F.slice("tokens", x["at"] + 1, most_words).alias("ahead")))
+    # Outer, and filtered after: a filter on the array would be pushed below, and find all words twice.
+    rows = rows.select(own, F.inline_outer(places)).where("first is not null")
     begun = rows.join(sent(firsts), "first").select(own, "at", "ahead", F.explode("lengths").alias("words")).where(F.size("ahead") >= F.col("words"))
     met = begun.withColumn("phrase", F.array_join(F.slice("ahead", 1, F.col("words")), " ")).join(sent(names), "phrase")
     found = met.groupBy(own).agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("start"), (-F.col("words")).alias("less"), "entity", "kind"))).alias("all"))

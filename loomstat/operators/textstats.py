@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import cut
-from .normalize import name_matches
+from .normalize import MOST_FIRSTS, name_matches
 from .sizes import sent, spread
 
 
@@ -113,7 +113,11 @@ def events(df: DataFrame, key: str, text: str, triggers: DataFrame, gazetteer: D
     whole text, else null; places by name_matches(). Keys name one text each. text: the sentence's first characters.
     """
     s = cut(sentences(df, [key], text).withColumn("sentence", F.trim("sentence")).withColumn("at", F.concat_ws("#", F.col(key).cast("string"), "pos")))
-    words = s.select("at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    few = [r["term"] for r in triggers.select("term").distinct().limit(MOST_FIRSTS + 1).collect()]
+    if len(few) <= MOST_FIRSTS:  # told from other words in the sentence's row
+        words = F.filter(words, lambda w: w.isin(*few))
+    words = s.select("at", F.explode_outer(words).alias("term")).where("term is not null")
     kinds = words.join(sent(triggers), "term").groupBy("at", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("at").agg(F.min(F.struct((-F.col("n")).alias("n"), "kind"))["kind"].alias("event_type"))
     names = cut(name_matches(s.select("at", "sentence"), gazetteer.where("kind = 'PLACE'"), "sentence", "at").groupBy("at").agg(F.min(F.struct("start", "entity"))["entity"].alias("place")))
     dated = s.select(key, "pos", "at", "sentence", F.nullif(F.regexp_extract("sentence", date_pattern, 0), F.lit("")).alias("date")).join(names, "at", "left")

@@ -166,6 +166,18 @@ def test_name_matches(spark):
     assert normalize.name_matches(df, gazetteer.where("1 = 0"), "text", "id").count() == 0
 
 
+def test_name_matches_looks_once_and_at_first_words_only(spark, monkeypatch):
+    """The plan finds the words of a text once, and only places of first words become rows; a gazetteer of too many first words gives the same names."""
+    df = spark.createDataFrame([(k, "old town of new york and rome " * 20) for k in range(30)], "id int, text string")
+    gazetteer = spark.createDataFrame([("new york", "NYC", "PLACE"), ("rome", "Rome", "PLACE")], "name string, entity string, kind string")
+    got = normalize.name_matches(df, gazetteer, "text", "id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(text") == 1 and " IN (" in plan
+    few = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(normalize, "MOST_FIRSTS", 1)
+    assert len(few) == 1200 and few == sorted(map(tuple, normalize.name_matches(df, gazetteer, "text", "id").collect()))
+
+
 def test_kde_cells(spark):
     """Densities equal a whole sum over all points; outlines are closed; degenerate points have no cells."""
     rng = np.random.default_rng(2)
