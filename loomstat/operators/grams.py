@@ -15,8 +15,8 @@ from .graph import cut
 
 #: Words that get numbers, and runs by which longer ones are chosen. With more words, callers count all runs as strings; with more runs, longer ones are chosen by their words alone.
 MOST_RUNS = 1 << 17
-#: Words that are counted at once in a task.
-TOKENS = 1 << 19
+#: Words that are counted at once in a task, and characters of a slice of texts.
+TOKENS, SLICE = 1 << 19, 1 << 23
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -31,6 +31,12 @@ def found(text: str, stop: list[str]):
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*stop))
 
 
+def dealt(df: DataFrame, text: str, slice_chars: int | None = None) -> DataFrame:
+    """df in slices of about SLICE characters of text, as many as there are cores at least: what a task holds doesn't grow with the table, and no task has most of the texts."""
+    chars = df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-chars // (slice_chars or SLICE))))
+
+
 def pieces(batches: Batches) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
     """Groups, words of all lists, and the row of each word: of so many rows (g, w) at once that their lists hold about TOKENS words."""
     for b in batches:
@@ -129,6 +135,24 @@ def spelled(key: np.ndarray, words: pa.Array, length: int) -> pa.Array:
     return pc.binary_join_element_wise(*parts, " ")
 
 
+def terms(df: DataFrame, words: list[str], length: int) -> DataFrame:
+    """df with the runs that the numbers in its column key stand for."""
+
+    def spell(batches: Batches) -> Batches:
+        known = pa.array(words, pa.string())
+        for b in batches:
+            at = b.schema.get_field_index("key")
+            yield b.set_column(at, "key", spelled(b.column("key").to_numpy().astype(np.int64), known, length))
+
+    return df.mapInArrow(spell, with_kind(df.schema, "key", StringType()))
+
+
+def keys(df: DataFrame) -> np.ndarray | None:
+    """The different numbers in its column key, ascending; None if they are more than MOST_RUNS."""
+    some = [r["key"] for r in df.select("key").distinct().limit(MOST_RUNS + 1).collect()]
+    return np.sort(np.array(some, dtype=np.int64)) if len(some) <= MOST_RUNS else None
+
+
 def most_frequent(df: DataFrame, vocabulary: int, longest: int = 3) -> tuple[list[str], DataFrame] | None:
     """The `vocabulary` most frequent runs of one to `longest` words of those in two rows of df at least (ties to the smaller), and df with numbers instead of the words in its lists w and a list `terms` of all occurrences of those runs. None if words or runs that tie are too many to hold.
 
