@@ -37,15 +37,37 @@ def dealt(df: DataFrame, text: str, slice_chars: int | None = None) -> DataFrame
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-chars // (slice_chars or SLICE))))
 
 
+def sizes(lists: pa.Array) -> np.ndarray:
+    """Lengths of lists; 0 for null."""
+    return np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def portions(size: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, end and list lengths of so many rows at once that their lists hold about `most` values."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to, size[at:to]
+        at = to
+
+
 def pieces(batches: Batches) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
     """Groups, words of all lists, and the row of each word: of so many rows (g, w) at once that their lists hold about TOKENS words."""
     for b in batches:
-        size = np.nan_to_num(b.column("w").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        ends, at = np.cumsum(size), 0
-        while at < len(size):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
-            yield b.column("g").slice(at, to - at), b.column("w").slice(at, to - at).flatten(), np.repeat(np.arange(to - at), size[at:to])
-            at = to
+        for at, to, size in portions(sizes(b.column("w")), TOKENS):
+            yield b.column("g").slice(at, to - at), b.column("w").slice(at, to - at).flatten(), np.repeat(np.arange(to - at), size)
+
+
+def ends(size: np.ndarray) -> pa.Array:
+    """Offsets of lists of these lengths."""
+    return pa.array(np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(size, dtype=np.int32))))
+
+
+def row_counts(row: np.ndarray, place: np.ndarray, n_rows: int, n_places: int) -> list[pa.Array]:
+    """For each row the different places that it has, and how often."""
+    key, n = np.unique(row * n_places + place, return_counts=True)
+    row, at = np.divmod(key, n_places)
+    return [pa.ListArray.from_arrays(ends(np.bincount(row, minlength=n_rows)), pa.array(x.astype(np.int32))) for x in (at, n)]
 
 
 def tally(groups: pa.Array, key: np.ndarray, row: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,9 +110,8 @@ def coded(df: DataFrame, words: list[str]) -> DataFrame:
         known = pa.array(words, pa.string())
         for b in batches:
             at = b.schema.get_field_index("w")
-            ends = np.cumsum(np.nan_to_num(b.column("w").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int32), dtype=np.int32)
             codes = pc.fill_null(pc.index_in(b.column("w").flatten(), value_set=known), -1)
-            yield b.set_column(at, "w", pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, dtype=np.int32), ends))), codes))
+            yield b.set_column(at, "w", pa.ListArray.from_arrays(ends(sizes(b.column("w"))), codes))
 
     return df.mapInArrow(code, with_kind(df.schema, "w", ArrayType(IntegerType())))
 
@@ -153,8 +174,9 @@ def keys(df: DataFrame) -> np.ndarray | None:
     return np.sort(np.array(some, dtype=np.int64)) if len(some) <= MOST_RUNS else None
 
 
-def most_frequent(df: DataFrame, vocabulary: int, longest: int = 3) -> tuple[list[str], DataFrame] | None:
-    """The `vocabulary` most frequent runs of one to `longest` words of those in two rows of df at least (ties to the smaller), and df with numbers instead of the words in its lists w and a list `terms` of all occurrences of those runs. None if words or runs that tie are too many to hold.
+def most_frequent(df: DataFrame, vocabulary: int, longest: int = 3, counts: bool = False) -> tuple[list[str], DataFrame] | None:
+    """The `vocabulary` most frequent runs of one to `longest` words of those in two rows of df at least (ties to the smaller), and df with numbers instead of the words in its lists w and a list `terms` of all occurrences of those runs
+    (counts: lists `at` and `n` instead, of each row's different runs by their places in the first, and how often it has them). None if words or runs that tie are too many to hold.
 
     A run is as rare as its rarest word, at least. So the vocabulary-th of the words bounds how often words of longer runs must occur, and then the vocabulary-th of words and pairs how often pairs in runs of three must.
     """
@@ -189,21 +211,28 @@ def most_frequent(df: DataFrame, vocabulary: int, longest: int = 3) -> tuple[lis
         mine = sorted((k, w) for _, w, m, k in taken if m == length)
         wanted.append((np.array([k for k, _ in mine], dtype=np.int64), [w for _, w in mine]))
     names = [w for _, mine in wanted for w in mine]
+    held = [w for _, w, *_ in taken]
+    place = {w: k for k, w in enumerate(held)}
+    places = np.array([place[w] for w in names], dtype=np.int64)
 
     def listed(batches: Batches) -> Batches:
         named = pa.array(names, pa.string())
         for b in batches:
-            size = np.nan_to_num(b.column("w").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            row, before, which, where = np.repeat(np.arange(len(size)), size), 0, [], []
-            for (key, fine), (mine, _) in zip(runs(b.column("w").flatten().to_numpy().astype(np.int64), row, len(words), [None] * (longest - 1)), wanted):
-                fine = fine & member(key, mine)
-                which.append(before + np.searchsorted(mine, key[fine]))
-                where.append(row[: len(fine)][fine])
-                before += len(mine)
-            where = np.concatenate(where)
-            ends = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(np.bincount(where, minlength=len(size)), dtype=np.int32)))
-            listed_terms = pa.ListArray.from_arrays(pa.array(ends), named.take(pa.array(np.concatenate(which)[np.argsort(where, kind="stable")])))
-            yield b.append_column("terms", listed_terms)
+            for lo, hi, size in portions(sizes(b.column("w")), TOKENS):
+                row, before, which, where = np.repeat(np.arange(hi - lo), size), 0, [], []
+                for (key, fine), (mine, _) in zip(runs(b.column("w").slice(lo, hi - lo).flatten().to_numpy().astype(np.int64), row, len(words), [None] * (longest - 1)), wanted):
+                    fine = fine & member(key, mine)
+                    which.append(before + np.searchsorted(mine, key[fine]))
+                    where.append(row[: len(fine)][fine])
+                    before += len(mine)
+                which, where = np.concatenate(which), np.concatenate(where)
+                if counts:
+                    lists = row_counts(where, places[which], hi - lo, len(held))
+                else:
+                    lists = [pa.ListArray.from_arrays(ends(np.bincount(where, minlength=hi - lo)), named.take(pa.array(which[np.argsort(where, kind="stable")])))]
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, *lists], kind.names)
 
     d = d.drop("g")
-    return [w for _, w, *_ in taken], d.mapInArrow(listed, StructType([*d.schema, StructField("terms", ArrayType(StringType()))]))
+    more = [StructField("at", ArrayType(IntegerType())), StructField("n", ArrayType(IntegerType()))] if counts else [StructField("terms", ArrayType(StringType()))]
+    kind = StructType([*d.schema, *more])
+    return held, d.mapInArrow(listed, kind)
